@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from larkspur.llm import language, mixing, pii, simhash, url_filters
+from larkspur.llm import language, licenses, mixing, pii, simhash, url_filters
 
-MODULES = (language, mixing, url_filters, simhash, pii)
+MODULES = (language, mixing, licenses, url_filters, simhash, pii)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: text for module in MODULES for name, text in module.ORACLE_SQL.items()}
