@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from larkspur.llm import fingerprints, language, licenses, mixing, pii, simhash, url_filters
+from larkspur.llm import fingerprints, language, licenses, mixing, packing, pii, simhash, token_counts, url_filters
 
-MODULES = (language, mixing, licenses, fingerprints, url_filters, simhash, pii)
+MODULES = (language, mixing, token_counts, packing, licenses, fingerprints, url_filters, simhash, pii)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: text for module in MODULES for name, text in module.ORACLE_SQL.items()}
