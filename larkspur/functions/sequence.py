@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Channel order and complements.
+#: Fixed value: channel order.
 LETTERS = "ACGT"
-COMPLEMENT = str.maketrans("ACGT", "TGCA")
 
 
 def reverse_complement(seq: Column) -> Column:
@@ -26,7 +25,8 @@ def letter_count(seq: Column, letters: str) -> Column:
 def one_hot(seq: Column) -> Column:
     """Four channels (A, C, G, T) of 0 and 1 along the sequence; other letters are 0 in all."""
     letters = F.split(seq, "")
-    return F.array(*[F.transform(letters, lambda x, b=b: (x == b).cast("tinyint")) for b in LETTERS])
+    channel = lambda base: F.transform(letters, lambda x: (x == base).cast("tinyint"))
+    return F.array(*map(channel, LETTERS))
 
 
 def is_clean(seq: Column) -> Column:
