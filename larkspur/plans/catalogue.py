@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from larkspur.plans import interval_queries, relational_queries, scoring, sequence_queries
+from larkspur.plans import interval_queries, linear_queries, relational_queries, scoring, sequence_queries
 
 FLAGSHIP = "flagship_concept_scores"
 
-MODULES = (scoring, interval_queries, sequence_queries, relational_queries)
+MODULES = (scoring, interval_queries, sequence_queries, relational_queries, linear_queries)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: text for module in MODULES for name, text in module.ORACLE_SQL.items()}
