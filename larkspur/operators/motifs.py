@@ -86,7 +86,7 @@ def pssm_hits(sequences: DataFrame, pwm: DataFrame, threshold: float = 2.0, floo
     rows = pwm.select("motif", "pos", F.array(*map(score, BASES)).alias("s"))
     matrix = rows.groupBy("motif").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]).alias("m"))
     both = sequences.select("seq_id", F.explode(F.array(F.col("seq"), reverse_complement(F.col("seq")))).alias("seq"))
-    coded = both.select("seq_id", F.transform(F.split(F.translate("seq", "ACGT", "1234"), ""), lambda x: x.cast("int")).alias("code"))
+    coded = both.select("seq_id", F.transform(F.split(F.translate("seq", "ACGT", "1234"), ""), lambda x: x.try_cast("int")).alias("code"))
     width = F.size("m")
     starts = F.when(F.size("code") >= width, F.sequence(F.lit(1), F.size("code") - width + 1)).otherwise(F.array().cast("array<int>"))
     odds = lambda i: F.aggregate(F.zip_with(F.slice(F.col("code"), i, width), F.col("m"), lambda c, s: F.element_at(s, c)), F.lit(0.0), lambda a, x: a + x)
