@@ -39,6 +39,8 @@ SEED = 42
 CELL = 2048
 #: Anchors with over CELL fingerprints up to this number (16 bytes each) are broadcast.
 BROADCAST_ANCHORS = 20_000
+#: Parts that the rows of one fingerprint are dealt into where they get their component.
+SALTS = 63
 #: Bytes of a text that are cut into words at once.
 PIECE = 1 << 20
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -203,14 +205,17 @@ def links(points: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, words: int = WORDS) -> DataFrame:
     """``doc_id, fp, component_id`` of every row."""
-    marked = stored(fingerprints(docs, words), "simhash")
-    points = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "points")
+    marked = stored(fingerprints(docs, words).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))), "simhash")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("salt").cast("int"))
+    points = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.bit_or(bit).alias("salts")), "points")
     names = connected_components(stored(links(points, threshold), "links"))
     grouped = points.join(names, points["fp"] == names["node"]).select("fp", "root", "first_id")
     least = grouped.groupBy("root").agg(F.min("first_id").alias("least_id"))
     joined = grouped.join(least, "root").select("fp", "least_id")
-    points = points.join(joined, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"))
-    return marked.join(points, "fp").select("doc_id", "fp", "component_id")
+    points = points.join(joined, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"), "salts")
+    own = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.col("salts").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0)
+    points = points.select("fp", "component_id", F.explode(F.transform(own, lambda i: i.cast("long"))).alias("salt"))
+    return marked.join(points, ["fp", "salt"]).select("doc_id", "fp", "component_id")
 
 
 def deduplicated(docs: DataFrame, threshold: int = THRESHOLD, words: int = WORDS) -> DataFrame:
