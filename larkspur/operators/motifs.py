@@ -3,6 +3,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -79,18 +83,35 @@ def permuted(consensus: DataFrame, least_moved: float, seed: str, attempts: int
 def pssm_hits(sequences: DataFrame, pwm: DataFrame, threshold: float = 2.0, floor: float = 1e-3) -> DataFrame:
     """``seq_id, motif, hits``: windows on either strand whose log-odds against even letters reach ``threshold``.
 
-    The matrix is turned into one array of scores per motif (small, broadcast); windows stay within
-    their row, so nothing is shuffled per position.
+    The matrices, a few numbers per motif, are gathered and sent to the tasks; sequences stay where they
+    are, and their windows are scored together, batch by batch. Windows with other letters don't count.
     """
-    score = lambda b: F.log2(F.greatest(F.col(b), F.lit(floor)) / 0.25)
-    rows = pwm.select("motif", "pos", F.array(*map(score, BASES)).alias("s"))
-    matrix = rows.groupBy("motif").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]).alias("m"))
-    both = sequences.select("seq_id", F.explode(F.array(F.col("seq"), reverse_complement(F.col("seq")))).alias("seq"))
-    coded = both.select("seq_id", F.transform(F.split(F.translate("seq", "ACGT", "1234"), ""), lambda x: x.try_cast("int")).alias("code"))
-    width = F.size("m")
-    starts = F.when(F.size("code") >= width, F.sequence(F.lit(1), F.size("code") - width + 1)).otherwise(F.array().cast("array<int>"))
-    odds = lambda i: F.aggregate(F.zip_with(F.slice(F.col("code"), i, width), F.col("m"), lambda c, s: F.element_at(s, c)), F.lit(0.0), lambda a, x: a + x)
-    return coded.join(F.broadcast(matrix)).withColumn("n", F.size(F.filter(starts, lambda i: odds(i) >= threshold))).groupBy("seq_id", "motif").agg(F.sum("n").alias("hits"))
+    matrices: dict[str, np.ndarray] = {}
+    for r in pwm.orderBy("motif", "pos").collect():
+        row = np.log2(np.maximum([[r.a, r.c, r.g, r.t]], floor) / 0.25)
+        matrices[r.motif] = np.concatenate([matrices[r.motif], row]) if r.motif in matrices else row
+    code = np.full(256, 4, np.int8)
+    code[list(b"ACGT")] = range(4)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [(x.as_py() or "").encode() for x in batch.column("seq")]
+            flat, sizes = code[np.frombuffer(b"".join(texts), np.uint8)], np.array([len(t) for t in texts], np.int64)
+            ends = np.repeat(np.cumsum(sizes), sizes)
+            row = np.repeat(np.arange(len(texts)), sizes)
+            for motif, m in matrices.items():
+                width, n = len(m), max(0, len(flat) - len(m) + 1)
+                inside = np.arange(n) + width <= ends[:n]
+                hits = np.zeros(len(texts), np.int64)
+                for strand in (m, m[::-1, ::-1]):
+                    padded = np.column_stack([strand, np.full(width, -np.inf)])
+                    score = np.zeros(n)
+                    for i in range(width):
+                        score += padded[i][flat[i : i + n]]
+                    hits += np.bincount(row[:n][inside & (score >= threshold)], minlength=len(texts))
+                yield pa.RecordBatch.from_arrays([batch.column("seq_id"), pa.array([motif] * len(texts), pa.string()), pa.array(hits)], names=["seq_id", "motif", "hits"])
+
+    return sequences.select(F.col("seq_id").cast("long").alias("seq_id"), "seq").mapInArrow(run, "seq_id long, motif string, hits long")
 
 
 def meme_text(pwm: DataFrame) -> DataFrame:
