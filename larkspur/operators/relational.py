@@ -66,8 +66,8 @@ def whole_batches(rows: DataFrame, size: int) -> DataFrame:
 def split_by_hash(rows: DataFrame, by: str, key: Column, test_share: float, seed: str) -> DataFrame:
     """With ``split``: of each class, the first share in hash order is ``test``, rounded up, the rest ``train``."""
     nth = F.row_number().over(W.partitionBy(by).orderBy(shuffle_key(seed, key), key))
-    size = rows.groupBy(by).agg(F.ceil(F.count(F.lit(1)) * test_share).alias("n_test"))
-    return rows.withColumn("nth", nth).join(F.broadcast(size.limit(100_000)), by).withColumn("split", F.when(F.col("nth") <= F.col("n_test"), "test").otherwise("train")).drop("nth", "n_test")
+    size = F.count(F.lit(1)).over(W.partitionBy(by))
+    return rows.withColumn("split", F.when(nth <= F.ceil(size * test_share), "test").otherwise("train"))
 
 
 def sampled(rows: DataFrame, key: str, n: int, seed: str) -> DataFrame:

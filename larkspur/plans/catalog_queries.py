@@ -13,8 +13,6 @@ from larkspur.operators import relational as R
 from larkspur.plans import proxies as P
 from larkspur.sources.storage import table
 
-FEW = 5_000  # rows of a table of names that may be broadcast
-
 
 def _sources(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy(F.col("source").alias("concept")).agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"), F.max("n_chars").alias("longest"))
@@ -48,7 +46,7 @@ def b3_expand_regions(spark, sf_dir):
 
 def b16_normalise_tracks(spark, sf_dir):
     stats = P.signal(spark, sf_dir).groupBy("chrom").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
-    z = P.signal(spark, sf_dir).join(F.broadcast(stats.limit(FEW)), "chrom").withColumn("z", (F.col("value") - F.col("mean")) / F.col("std"))
+    z = P.signal(spark, sf_dir).join(stats, "chrom").withColumn("z", (F.col("value") - F.col("mean")) / F.col("std"))
     return z.groupBy("chrom", "pos").agg(F.round(F.sum("z"), 5).alias("z"))
 
 
@@ -71,7 +69,7 @@ def c9_clean_region_sequences(spark, sf_dir):
 def d4_motif_lookup(spark, sf_dir):
     covariates = M.covariates(P.pwm(spark, sf_dir))
     counts = table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("motif")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.join(F.broadcast(covariates.limit(FEW)), "motif").select("motif", "n", "len", F.round("ic", 6).alias("ic"))
+    return counts.join(covariates, "motif").select("motif", "n", "len", F.round("ic", 6).alias("ic"))
 
 
 def e10_line_or_zero(spark, sf_dir):

@@ -144,7 +144,7 @@ def k5_concept_run(spark, sf_dir):
     """From vectors to ranked concepts: components, embeddings, classifiers, attributions, log ratios."""
     model, _, cavs = _cavs(spark, sf_dir)
     found = C.scores(_attributed(spark, sf_dir, model), cavs).groupBy("concept").agg(F.sum((F.col("score") > 0).cast("long")).alias("n_pos"), F.sum((F.col("score") < 0).cast("long")).alias("n_neg"))
-    return found.join(F.broadcast(cavs.select("concept", "fscore").limit(100_000)), "concept").select("concept", "n_pos", "n_neg", F.round(V.log_ratio(F.col("n_pos"), F.col("n_neg")), 6).alias("log_ratio"), "fscore")
+    return found.join(cavs.select("concept", "fscore"), "concept").select("concept", "n_pos", "n_neg", F.round(V.log_ratio(F.col("n_pos"), F.col("n_neg")), 6).alias("log_ratio"), "fscore")
 
 
 L, AXES = f"l AS ({LONG_SQL})", f"ax AS (SELECT i AS pc, d, {uniform_sql(chr(39) + '6' + chr(39), 'i::VARCHAR', 'd::VARCHAR')} - 0.5::DOUBLE AS w FROM generate_series(0, {DIRECTIONS - 1}) a(i), generate_series(0, 63) b(d))"
