@@ -31,7 +31,7 @@ from larkspur.sources.storage import stored, table
 VOCABULARY = "byte_bpe_50k.tiktoken"
 LIMITS = (128, 512, 1024, 2048, 4096, 8192)
 QUANTILES = (0.5, 0.9, 0.99)
-BLOCK = 4096
+BLOCK = 256
 
 
 @functools.cache
