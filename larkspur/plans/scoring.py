@@ -11,32 +11,29 @@ from larkspur.sources.storage import table
 LONG_SQL = "SELECT vec_id, label, generate_subscripts(embedding, 1) - 1 AS d, unnest(embedding)::DOUBLE AS v FROM embeddings"
 
 
-def _z(spark: SparkSession, sf_dir: str) -> DataFrame:
-    long = V.long_form(table(spark, sf_dir, "embeddings"), "embedding", "vec_id", "label")
-    return V.standardised(long, V.zscore_stats(long))
-
-
 def flagship_concept_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per concept (label) against the control (label 0): sign counts of attribution . direction,
     their log ratio, and the F-score of the midpoint classifier.
 
-    Directions have (concepts x dimensions) rows, so they are broadcast; samples are never moved
-    but for the sums per (sample, concept).
+    Statistics and class means are sums per dimension, combined before the shuffle; they and the
+    directions have (concepts x dimensions) numbers. Samples stay arrays where they were read: each is scored against
+    every direction in place, and only counts per concept are shuffled.
     """
-    z = _z(spark, sf_dir)
-    means = z.groupBy("label", "d").agg(F.avg("z").alias("m"))
-    control = means.filter("label = 0").select("d", F.col("m").alias("m0"))
-    cavs = means.filter("label <> 0").join(F.broadcast(control), "d").select(
-        F.col("label").alias("concept"), "d", (F.col("m") - F.col("m0")).alias("w"), ((F.col("m") + F.col("m0")) / 2).alias("mid"), "m0")
-    head = ((F.col("d") % 7) - 3) / F.lit(3.0)
-    per_sample = (
-        z.join(F.broadcast(cavs), "d")
-        .groupBy("vec_id", "label", "concept")
-        .agg(F.sum(F.abs(F.col("z") - F.col("m0")) * head * F.col("w")).alias("score"), F.sum((F.col("z") - F.col("mid")) * F.col("w")).alias("side"))
-    )
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    stats = V.gathered(V.zscore_stats(V.long_form(rows, "v")), "mean", "std")
+    z = F.zip_with(F.zip_with("v", "mean", lambda x, m: x - m), "std", lambda x, s: x / s)
+    standard = rows.crossJoin(F.broadcast(stats)).select("vec_id", "label", z.alias("z"))  # one row of statistics
+    means = V.gathered(V.long_form(standard, "z", "label").groupBy("label", "d").agg(F.avg("v").alias("m")), "m", by="label")
+    control = means.filter("label = 0").select(F.col("m").alias("m0"))
+    w, middle = F.zip_with("m", "m0", lambda a, b: a - b), F.zip_with("m", "m0", lambda a, b: (a + b) / 2)
+    cavs = means.filter("label <> 0").crossJoin(F.broadcast(control)).select(F.col("label").alias("concept"), "m0", w.alias("w"), middle.alias("mid"))
+    head = F.transform("w", lambda x, d: x * ((d % 7) - 3) / F.lit(3.0))
+    cavs = cavs.select("concept", "m0", "w", head.alias("hw"), V.dot("mid", "w").alias("cut"))
+    away = F.zip_with("z", "m0", lambda a, b: F.abs(a - b))
+    scored = standard.crossJoin(F.broadcast(cavs)).select("label", "concept", V.dot(away, "hw").alias("score"), (V.dot("z", "w") - F.col("cut")).alias("side"))
     target, is_concept, is_control = F.col("label") != 0, F.col("label") == F.col("concept"), F.col("label") == 0
     count = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    counts = per_sample.groupBy("concept").agg(
+    counts = scored.groupBy("concept").agg(
         count(target).alias("n"), count(target & (F.col("score") > 0)).alias("n_pos"), count(target & (F.col("score") < 0)).alias("n_neg"),
         count(is_concept & (F.col("side") > 0)).alias("tp"), count(is_control & (F.col("side") > 0)).alias("fp"), count(is_concept & (F.col("side") <= 0)).alias("fn"))
     return counts.select(
