@@ -22,19 +22,6 @@ def standardised(long: DataFrame, stats: DataFrame) -> DataFrame:
     return long.join(F.broadcast(stats), "d").withColumn("z", (F.col("v") - F.col("mean")) / F.col("std"))
 
 
-def gathered(long: DataFrame, *values: str, by: str | None = None) -> DataFrame:
-    """Arrays of ``values`` in the order of ``d``, a row in all or per ``by``; of a few numbers per dimension."""
-    cells = F.array_sort(F.collect_list(F.struct("d", *values)))
-    arrays = long.groupBy(*([by] if by else [])).agg(cells.alias("cells"))
-    pick = lambda name: F.transform("cells", lambda x: x[name]).alias(name)
-    return arrays.select(*([by] if by else []), *map(pick, values))
-
-
-def dot(a: Column | str, b: Column | str) -> Column:
-    """Inner product of two arrays of doubles, in the JVM."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
 def f1(tp: Column, fp: Column, fn: Column) -> Column:
     """F1 from counts, 0 where undefined."""
     return F.coalesce(2.0 * tp / F.nullif(2 * tp + fp + fn, F.lit(0)), F.lit(0.0)).cast("double")

@@ -2,40 +2,65 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.operators import vectors as V
 from larkspur.sources.storage import table
 
+COUNTS = ("n", "n_pos", "n_neg", "tp", "fp", "fn")
 LONG_SQL = "SELECT vec_id, label, generate_subscripts(embedding, 1) - 1 AS d, unnest(embedding)::DOUBLE AS v FROM embeddings"
 
 
+def class_moments(rows: DataFrame) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+    """Labels and, by label and dimension, numbers, means and population variances of ``label, v``.
+
+    One pass, combined before the shuffle; (labels x dimensions) numbers reach the driver.
+    """
+    cells = V.long_form(rows, "v", "label").groupBy("label", "d").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("m"), F.var_pop("v").alias("q")).orderBy("label", "d").collect()
+    labels = sorted({c.label for c in cells})
+    shaped = lambda name: np.array([c[name] for c in cells], float).reshape(len(labels), -1)
+    return labels, shaped("n"), shaped("m"), shaped("q")
+
+
 def flagship_concept_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per concept (label) against the control (label 0): sign counts of attribution . direction,
     their log ratio, and the F-score of the midpoint classifier.
 
-    Statistics and class means are sums per dimension, combined before the shuffle; they and the
-    directions have (concepts x dimensions) numbers. Samples stay arrays where they were read: each is scored against
-    every direction in place, and only counts per concept are shuffled.
+    Means and deviations follow from the moments of the classes. Samples stay where they were read: Arrow batches are
+    scored as matrices against all directions, and only counts per concept and partition are shuffled.
     """
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    stats = V.gathered(V.zscore_stats(V.long_form(rows, "v")), "mean", "std")
-    z = F.zip_with(F.zip_with("v", "mean", lambda x, m: x - m), "std", lambda x, s: x / s)
-    standard = rows.crossJoin(F.broadcast(stats)).select("vec_id", "label", z.alias("z"))  # one row of statistics
-    means = V.gathered(V.long_form(standard, "z", "label").groupBy("label", "d").agg(F.avg("v").alias("m")), "m", by="label")
-    control = means.filter("label = 0").select(F.col("m").alias("m0"))
-    w, middle = F.zip_with("m", "m0", lambda a, b: a - b), F.zip_with("m", "m0", lambda a, b: (a + b) / 2)
-    cavs = means.filter("label <> 0").crossJoin(F.broadcast(control)).select(F.col("label").alias("concept"), "m0", w.alias("w"), middle.alias("mid"))
-    head = F.transform("w", lambda x, d: x * ((d % 7) - 3) / F.lit(3.0))
-    cavs = cavs.select("concept", "m0", "w", head.alias("hw"), V.dot("mid", "w").alias("cut"))
-    away = F.zip_with("z", "m0", lambda a, b: F.abs(a - b))
-    scored = standard.crossJoin(F.broadcast(cavs)).select("label", "concept", V.dot(away, "hw").alias("score"), (V.dot("z", "w") - F.col("cut")).alias("side"))
-    target, is_concept, is_control = F.col("label") != 0, F.col("label") == F.col("concept"), F.col("label") == 0
-    count = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    counts = scored.groupBy("concept").agg(
-        count(target).alias("n"), count(target & (F.col("score") > 0)).alias("n_pos"), count(target & (F.col("score") < 0)).alias("n_neg"),
-        count(is_concept & (F.col("side") > 0)).alias("tp"), count(is_control & (F.col("side") > 0)).alias("fp"), count(is_concept & (F.col("side") <= 0)).alias("fn"))
+    rows = table(spark, sf_dir, "embeddings").filter("embedding IS NOT NULL").select("label", F.col("embedding").cast("array<double>").alias("v"))
+    labels, n, m, q = class_moments(rows)
+    mean = (n * m).sum(axis=0) / n.sum(axis=0)
+    std = np.sqrt((n * (q + (m - mean) ** 2)).sum(axis=0) / (n.sum(axis=0) - 1))
+    std[std == 0] = -1.0
+    centres, at = (m - mean) / std, labels.index(0)
+    concepts = [x for x in labels if x != 0]
+    own = np.array([i for i, x in enumerate(labels) if x != 0], int)
+    w = centres[own] - centres[at]
+    cut = (w * (centres[own] + centres[at]) / 2).sum(axis=1)
+    head = w * ((np.arange(w.shape[1]) % 7) - 3) / 3.0
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(concepts), len(COUNTS)), np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            z = (batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) - mean) / std
+            label = batch.column("label").to_numpy(zero_copy_only=False)[:, None]
+            score, side = np.abs(z - centres[at]) @ head.T, z @ w.T > cut
+            target, mine = label != 0, label == np.array(concepts)
+            found = (target & np.ones_like(side), target & (score > 0), target & (score < 0), mine & side, ~target & side, mine & ~side)
+            total += np.stack([x.sum(axis=0) for x in found], axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(concepts, pa.int32()), *(pa.array(c) for c in total.T)], names=["concept", *COUNTS])
+
+    parts = rows.mapInArrow(counted, "concept int, " + ", ".join(f"{c} long" for c in COUNTS))
+    counts = parts.groupBy("concept").agg(*[F.sum(c).alias(c) for c in COUNTS])
     return counts.select(
         "concept", "n", "n_pos", "n_neg",
         F.round(V.log_ratio(F.col("n_pos"), F.col("n_neg")), 6).alias("log_ratio"),
