@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +11,22 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that a function holds at once, but for a single longer text.
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 4 << 20
+
+
+@functools.cache
+def _trim():
+    """glibc's function that gives free memory back to the system, where there is one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return lambda pad: None
+
+
+def returned() -> None:
+    """Give back what this worker has freed; it lives on, beside others, after its task."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
@@ -24,4 +41,4 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
-            pa.default_memory_pool().release_unused()
+            returned()

@@ -45,9 +45,9 @@ END_ID = 1
 TIERS = (256, 512, 1024, 2048)
 #: Tokens of a step group.
 STEP_TOKENS = 1 << 16
-UNIT_DOCS, UNIT_TOKENS = 8_192, 8 << 20
+UNIT_DOCS, UNIT_TOKENS = 4_096, 4 << 20
 #: Words whose ids a Python worker keeps.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 #: Bytes of text that are encoded at once, but for a single longer text.
 SLICE_BYTES = 4 << 20
 #: Sequence and step numbers: the partition's number, then this many bits.
@@ -74,10 +74,11 @@ class WordIds:
         find = self.at.get
         codes = [find(w, -1) for w in words]
         new = [i for i, c in enumerate(codes) if c < 0]
-        for i, e in zip(new, self.encode([words[i] for i in new], add_special_tokens=False)):
-            codes[i] = len(self.ends) - 1
-            self.flat.extend(e.ids)
-            self.ends.append(len(self.flat))
+        for some in range(0, len(new), 4096):  # encodings are large while they live
+            for i, e in zip(new[some:], self.encode([words[i] for i in new[some : some + 4096]], add_special_tokens=False)):
+                codes[i] = len(self.ends) - 1
+                self.flat.extend(e.ids)
+                self.ends.append(len(self.flat))
         for i in new[: max(0, CACHE_WORDS - len(self.at))]:
             self.at[words[i]] = codes[i]
         return np.array(codes, np.int64)
@@ -105,11 +106,14 @@ def encoded(texts: pa.Array, path: str) -> list[np.ndarray]:
     code = known.codes(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
     flat, ends = np.array(known.flat, np.uint32), np.array(known.ends, np.int64)
     n, parents = (ends[1:] - ends[:-1])[code], pc.list_parent_indices(split).to_numpy()
-    into = np.cumsum(n) - n + parents  # each text before has an END_ID
+    before = np.cumsum(n) - n
     closed = np.cumsum(np.bincount(parents, weights=n, minlength=len(texts)).astype(np.int64) + 1)
     stream = np.full(int(closed[-1]) if len(closed) else 0, END_ID, np.uint32)
-    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    stream[np.repeat(into, n) + step] = flat[np.repeat(ends[:-1][code], n) + step]
+    for a in range(0, len(n), 1 << 17):  # parts at a time, for memory
+        some = slice(a, a + (1 << 17))
+        k = n[some]
+        at = np.arange(k.sum()) + np.repeat(parents[some] + before[a], k)  # each text before has an END_ID
+        stream[at] = flat[np.arange(k.sum()) + np.repeat(ends[:-1][code[some]] - (before[some] - before[a]), k)]
     return [stream[a:b] for a, b in zip([0, *closed[:-1].tolist()], closed.tolist())]
 
 
@@ -188,8 +192,9 @@ def pack(docs: DataFrame, path: str | None = None, tiers: Sequence[int] = TIERS)
                 in_step[tier] = (step, n + 1)
                 at = 0
                 for d, start, length in pieces:
-                    doc_id, own = ids[d]
-                    rows.append((doc_id, start, length, zlib.crc32(own[start : start + length].astype("<u4").tobytes()), len(own), sequence, at, tier, step))
+                    doc_id, own, first_id, n_ids = ids[d]
+                    piece = own[start - first_id : start - first_id + length]
+                    rows.append((doc_id, start, length, zlib.crc32(piece.astype("<u4").tobytes()), n_ids, sequence, at, tier, step))
                     at += length
                 sequence += 1
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)] if rows else [pa.array([], pa.int64()) for _ in names], names=names)
@@ -197,7 +202,7 @@ def pack(docs: DataFrame, path: str | None = None, tiers: Sequence[int] = TIERS)
         for part in text_slices(batches, limit=SLICE_BYTES):
             whole: list[Window] = []
             for doc_id, own in zip(part.column("doc_id").to_pylist(), encoded(part.column("text"), vocabulary)):
-                ids[seen] = (doc_id, own)
+                ids[seen] = (doc_id, own, 0, len(own))
                 full = len(own) // top * top
                 whole += [(top, [(seen, at, top)]) for at in range(0, full, top)]
                 if full < len(own):
@@ -205,12 +210,16 @@ def pack(docs: DataFrame, path: str | None = None, tiers: Sequence[int] = TIERS)
                     tokens += len(own) - full
                 seen += 1
             yield written(whole)
+            for d, at, n in rests:  # of a document, only the rest is kept
+                doc_id, own, first_id, n_ids = ids[d]
+                if own.base is not None:
+                    ids[d] = (doc_id, own[at - first_id :].copy(), at, n_ids)
             if tokens >= UNIT_TOKENS or len(rests) >= UNIT_DOCS:
                 windows, rests = pack_rests(rests, tiers)
                 yield written(windows)
                 tokens = sum(n for _, _, n in rests)
             waiting = {d for d, _, _ in rests}
-            ids = {d: (i, own.copy() if own.base is not None else own) for d, (i, own) in ids.items() if d in waiting}
+            ids = {d: x for d, x in ids.items() if d in waiting}
         windows, rests = pack_rests(rests, tiers)
         yield written(windows)
         yield written(close(rests, tiers))
