@@ -41,15 +41,15 @@ def uniform(*parts: Column | str) -> Column:
 def source_rates(docs: DataFrame, weights: Mapping[str | None, float] | None = None, total: float | None = None) -> DataFrame:
     """``source, size, rate`` of each source with a weight; equal weights by default."""
     sizes = docs.groupBy("source").agg(F.sum(F.length(F.coalesce("text", F.lit(""))) + F.lit(1)).alias("size"))
-    sums = sizes.agg(F.sum("size").alias("all"), F.count(F.lit(1)).alias("n"))
-    sizes = sizes.crossJoin(F.broadcast(sums))  # one row
+    sizes = stored(sizes, "sizes")
+    sums = sizes.agg(F.sum("size").alias("all"), F.count(F.lit(1)).alias("n")).first()
     if weights is None:
-        sizes = sizes.withColumn("weight", 1.0 / F.col("n"))
+        sizes = sizes.withColumn("weight", F.lit(1.0 / max(1, sums.n)))
     else:
         kept = {k: float(w) for k, w in weights.items() if w > 0}
         given = docs.sparkSession.createDataFrame([(k, w / sum(kept.values())) for k, w in kept.items()], "name string, weight double")
         sizes = sizes.join(given, F.col("source").eqNullSafe(F.col("name")))
-    goal = F.col("all").cast("double") if total is None else F.lit(float(total))
+    goal = F.lit(float((sums["all"] or 0) if total is None else total))
     return sizes.select("source", "size", (F.col("weight") * goal / F.col("size")).alias("rate"))
 
 
