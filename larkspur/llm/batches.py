@@ -4,16 +4,35 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 #: Bytes of text that a function holds at once, but for a single longer text.
 TEXT_BYTES = 4 << 20
 
 
+#: Bytes of an Arrow batch between the JVM and a Python worker; both hold some at a time.
+BATCH_BYTES = 4 << 20
+_UNITS = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+
+
+def bounded(rows: DataFrame) -> DataFrame:
+    """The same rows; from now on the session's Arrow batches have at most BATCH_BYTES, or one row.
+
+    A lower limit of the session's own stays.
+    """
+    conf, name = rows.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(-?[0-9]+)([bkmg]?)b?", conf.get(name).lower()).groups()
+    if not 0 < int(number) * _UNITS[unit or "b"] <= BATCH_BYTES:
+        conf.set(name, f"{BATCH_BYTES}b")
+    return rows
+
+
 @functools.cache
 def _trim():
     """glibc's function that gives free memory back to the system, where there is one."""

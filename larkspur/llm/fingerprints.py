@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.batches import text_slices
+from larkspur.llm.batches import bounded, text_slices
 from larkspur.sources.storage import table
 
 #: Hashes of a sketch: estimates of a resemblance have a standard error of 0.044 at most.
@@ -111,7 +111,7 @@ def fingerprint(docs: DataFrame, k: int = K, words: int = WORDS) -> DataFrame:
             made = sketches(part.column("text"), k, words)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(map(written, made), pa.string()), pa.array([distinct_shingles(x, k) for x in made], pa.float64())], names=["doc_id", "fingerprint", "distinct_shingles"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fingerprint string, distinct_shingles double")
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fingerprint string, distinct_shingles double")
 
 
 def merged_by(rows: DataFrame, group: str, k: int = K) -> DataFrame:
@@ -151,7 +151,7 @@ def beside_next(docs: DataFrame) -> DataFrame:
 
     Bounds of buckets are quantiles of the ids, so buckets are alike in rows; texts are shuffled once.
     """
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), F.col("text").cast("string").alias("text"))
+    rows = bounded(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), F.col("text").cast("string").alias("text"))
     n, first = rows.agg(F.count(F.lit(1)), F.min("id")).first()
     count = max(1, min(MAX_BUCKETS, -(-n // BUCKET_ROWS)))
     cuts = [i / count for i in range(1, count)]

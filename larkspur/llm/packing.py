@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from larkspur.llm.batches import text_slices
+from larkspur.llm.batches import bounded, text_slices
 from larkspur.sources.storage import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -224,7 +224,7 @@ def pack(docs: DataFrame, path: str | None = None, tiers: Sequence[int] = TIERS)
         yield written(windows)
         yield written(close(rests, tiers))
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, ", ".join(f"`{n}` long" for n in names))
 
 

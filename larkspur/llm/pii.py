@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.batches import text_slices
+from larkspur.llm.batches import bounded, text_slices
 from larkspur.sources.storage import table
 
 KINDS = ("email", "ip", "card", "phone")
@@ -171,7 +171,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def vote_counts(docs: DataFrame) -> pd.DataFrame:
     """``code, n`` over all rows: at most ``len(COMBINATIONS)`` rows reach the driver."""
-    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_counted, "code int, n long")
+    counted = bounded(docs).select(F.col("text").cast("string").alias("text")).mapInArrow(_counted, "code int, n long")
     return counted.groupBy("code").agg(F.sum("n").alias("n")).toPandas()
 
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.batches import text_slices
+from larkspur.llm.batches import bounded, text_slices
 from larkspur.llm.components import connected_components
 from larkspur.sources.storage import stored, table
 
@@ -95,7 +95,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
             made = np.array([simhash(x.as_py(), words) for x in part.column("text")], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(made)], names=["doc_id", "fp"])
 
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    ids = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return ids.mapInArrow(run, "doc_id long, fp long")
 
 

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from larkspur.llm.batches import text_slices
+from larkspur.llm.batches import bounded, text_slices
 from larkspur.sources.storage import stored, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -55,7 +56,7 @@ def _counted(path: str):
 def length_histogram(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``n_tokens, n_docs``, one row per length that occurs."""
     run = _counted(path or public_tokenizers.path(VOCABULARY))
-    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "n_tokens long, n_docs long")
+    counted = bounded(docs).select(F.col("text").cast("string").alias("text")).mapInArrow(run, "n_tokens long, n_docs long")
     return counted.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
 
 
@@ -76,17 +77,17 @@ def answers(histogram: DataFrame, limits: Sequence[int] = LIMITS, quantiles: Seq
     """``question, at, value``: ``total`` tokens; ``truncated`` tokens for each limit; for each
     quantile q the smallest length that a share of at least q of the documents doesn't exceed."""
     sums = stored(suffix_sums(histogram), "suffix-sums")
-    spark = sums.sparkSession
-    totals = sums.agg(F.coalesce(F.max("tokens_from"), F.lit(0)).alias("tokens"), F.coalesce(F.max("docs_from"), F.lit(0)).alias("docs"))
-    asked = spark.createDataFrame([(float(x),) for x in limits], "at double")
-    reached = sums.join(F.broadcast(asked), F.col("n_tokens") >= F.col("at")).groupBy("at").agg(F.max("docs_from").alias("docs_long"), F.max("tokens_from").alias("tokens_long"))
-    cut = asked.join(reached, "at", "left").crossJoin(totals).select(F.lit("truncated").alias("question"), "at", (F.col("tokens") - F.coalesce("tokens_long", F.lit(0)) + F.coalesce("docs_long", F.lit(0)) * F.col("at").cast("long")).alias("value"))
-    shares = spark.createDataFrame([(float(x),) for x in quantiles], "at double")
-    below = F.col("docs") - F.col("docs_from") + F.col("n_docs")
-    met = sums.crossJoin(F.broadcast(totals)).join(F.broadcast(shares), below >= F.ceil(F.col("at") * F.col("docs"))).groupBy("at").agg(F.min("n_tokens").alias("value"))
-    ranked = shares.join(met, "at", "left").select(F.lit("quantile").alias("question"), "at", "value")
-    whole = totals.select(F.lit("total").alias("question"), F.lit(None).cast("double").alias("at"), F.col("tokens").alias("value"))
-    return whole.unionByName(cut).unionByName(ranked)
+    whole = sums.agg(F.max("tokens_from").alias("tokens"), F.max("docs_from").alias("docs")).first()
+    tokens, docs = whole.tokens or 0, whole.docs or 0
+    from_ = lambda limit, what: F.max(F.when(F.col("n_tokens") >= limit, F.col(what)))
+    upto = F.lit(docs) - F.col("docs_from") + F.col("n_docs")
+    asked = [from_(x, what) for x in limits for what in ("tokens_from", "docs_from")]
+    asked += [F.min(F.when(upto >= math.ceil(q * docs), F.col("n_tokens"))) for q in quantiles]
+    found = list(sums.agg(*(c.alias(f"a{i}") for i, c in enumerate(asked))).first()) if asked else []
+    rows = [("total", None, tokens)]
+    rows += [("truncated", float(x), tokens - (found[2 * i] or 0) + (found[2 * i + 1] or 0) * int(x)) for i, x in enumerate(limits)]
+    rows += [("quantile", float(q), found[2 * len(limits) + i]) for i, q in enumerate(quantiles)]
+    return sums.sparkSession.createDataFrame(rows, "question string, at double, value long")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
