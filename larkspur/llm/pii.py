@@ -6,7 +6,8 @@ shape, a gazetteer, words that speak for it just before it, and signs that speak
 it. Votes are counted over the whole corpus, per kind and combination of votes; there are at most
 4 * 3**5 combinations, whatever the corpus. Expectation-maximisation on these counts estimates how
 reliable each labeler is and how likely each combination is personal data; a logistic model is then trained
-on those soft labels, and its decisions add broad spans to the strict ones.
+on those soft labels, and its decisions add broad spans to the strict ones. All candidates vote; only of
+accepted ones that overlap does one stay, the most probable.
 
 Edge cases: a null text counts as empty and has no spans; rows that repeat an id are scanned each for
 itself; null ids and other columns pass through; a corpus without any candidate accepts nothing and
@@ -15,6 +16,7 @@ an empty table gives an empty one. Scans are linear in the text but for bounded
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -97,7 +99,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def broad_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Further candidates, leftmost first, that overlap neither base spans nor each other."""
+    """Further candidates, leftmost first, that overlap no base span; they may overlap each other."""
     found = []
     if "(at)" in text.lower() or "[at]" in text.lower():
         found += [(m.start(), 0, m.end()) for m in BROAD_EMAIL.finditer(text)]
@@ -117,7 +119,6 @@ def broad_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
             reach, i = max(reach, taken[i][1]), i + 1
         if a >= reach:
             kept.append((a, kind, b))
-            reach = b
     return kept
 
 
@@ -195,10 +196,10 @@ def reliabilities(counts: pd.DataFrame, rounds: int = 50) -> tuple[np.ndarray, n
     return belief, given
 
 
-def fit(counts: pd.DataFrame, steps: int = 400, decay: float = 1e-3) -> frozenset[int]:
-    """The codes that the classifier accepts: logistic in the kind and each labeler's vote."""
+def fit(counts: pd.DataFrame, steps: int = 400, decay: float = 1e-3) -> dict[int, float]:
+    """The codes that the classifier accepts, with their probabilities: logistic in the kind and each labeler's vote."""
     if not len(counts):
-        return frozenset()
+        return {}
     counts = counts.sort_values("code")
     belief, _ = reliabilities(counts)
     combos = np.array([COMBINATIONS[c] for c in counts.code], int)
@@ -208,17 +209,28 @@ def fit(counts: pd.DataFrame, steps: int = 400, decay: float = 1e-3) -> frozense
         p = 1 / (1 + np.exp(-features @ w))
         w -= 2.0 * (features.T @ (share * (p - belief)) + decay * w)
     p = 1 / (1 + np.exp(-features @ w))
-    return frozenset(int(c) for c, x in zip(counts.code, p) if x >= ACCEPT)
+    return {int(c): float(x) for c, x in zip(counts.code, p) if x >= ACCEPT}
 
 
 def listed(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
 
 
-def all_spans(text: str, accepted: frozenset[int]) -> tuple[list, list]:
+def settled(found: list[tuple[float, tuple[int, int, int]]]) -> list[tuple[int, int, int]]:
+    """Of spans with probabilities, those that overlap none of the more probable ones kept; ties go to the leftmost."""
+    kept: list[tuple[int, int, int]] = []
+    for _, span in sorted(found, key=lambda x: (-x[0], x[1])):
+        i = bisect.bisect(kept, span)
+        if (not i or kept[i - 1][2] <= span[0]) and (i == len(kept) or span[2] <= kept[i][0]):
+            kept.insert(i, span)
+    return kept
+
+
+def all_spans(text: str, accepted: dict[int, float]) -> tuple[list, list]:
     """Base spans, and these with the accepted broad ones."""
     base = base_spans(text)
-    return base, sorted(base + [s for s in broad_spans(text, base) if coded(text, s, False) in accepted])
+    voted = [(accepted.get(coded(text, s, False)), s) for s in broad_spans(text, base)]
+    return base, sorted(base + settled([(p, s) for p, s in voted if p is not None]))
 
 
 def find_pii(docs: DataFrame) -> DataFrame:

@@ -81,3 +81,24 @@ def test_long_adversarial_texts_are_linear():
     for text in ("1" * 300_000, "a" * 300_000, "+1(" * 100_000, "1." * 150_000, "@" * 300_000, "4 " * 150_000):
         assert P.base_spans(text) is not None
         P.broad_spans(text, [])
+
+
+def test_rejected_candidates_take_no_phone_away():
+    """A run of digits that no labeler takes for a card holds a phone number; all candidates vote."""
+    for text in ("phone 555-123-4567 24 hours", "phone 2023 555-123-4567"):
+        at = text.index("555")
+        phone, card = (at, 3, at + 12), next(s for s in P.broad_spans(text, []) if s[1] == 2)
+        assert phone in P.broad_spans(text, [])
+        codes = {s: P.coded(text, s, False) for s in (phone, card)}
+        assert P.all_spans(text, {codes[phone]: 0.9})[1] == [phone]
+        assert P.all_spans(text, {codes[phone]: 0.9, codes[card]: 0.6})[1] == [phone]
+        assert P.all_spans(text, {codes[phone]: 0.6, codes[card]: 0.9})[1] == [card]
+        assert P.all_spans(text, {codes[phone]: 0.7, codes[card]: 0.7})[1] == [min(phone, card)]
+
+
+def test_phones_beside_numbers_are_found(spark):
+    texts = ["phone 555-123-4567 24 hours", "phone 2023 555-123-4567", "phone 2024 555-123-4567"]
+    rows = [(i, texts[i] if i < 3 else f"call 212-555-{i + 1000} now" if i % 2 else f"order {i + 100000000000} sent") for i in range(80)]
+    found = {r.doc_id: r.spans for r in P.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[0] == "phone:6:18" and found[1] == "phone:11:23"
+    assert found[2] == "card:6:23"  # its check digit is right by chance: a strict span, which stays
