@@ -1,6 +1,7 @@
 """Language identification: script ranges, then Viterbi over per-word scores.
 
-Words are runs of letters. The script of a word, from ranges of code points, leaves only the
+Words are runs of letters; a run of over ``SCORED`` letters or of several scripts, as in unspaced text, is
+cut into pieces that each count as a word, in spans too. The script of a word, from ranges of code points, leaves only the
 languages that were seen with that script in training. Each of these scores the word by the mean
 log-probability of its letter 1- to 3-grams (with word ends), bounded from below. Over a document's
 words, Viterbi finds the sequence of languages of highest total score less ``SWITCH`` for each change of
@@ -11,7 +12,7 @@ words' scores bear it out.
 Edge cases: null texts and texts without letters are ``und`` with score 0, as is every text if nothing
 could be learned; words in a script never seen in training leave all languages open and no
 preference; ties go to the alphabetically first language; repeated rows, null ids and other columns change nothing;
-an empty table gives an empty one. Whole texts are read, in batches of bounded size.
+an empty table gives an empty one. Whole texts are read and all their letters scored, in batches of bounded size.
 """
 
 from __future__ import annotations
@@ -79,8 +80,10 @@ class Model(NamedTuple):
 _NAMES = [*SCRIPTS, "other"]
 _SCRIPT = np.array([_NAMES.index(name) for _, _, name in _BOUNDS])
 _LAST = np.array([b for _, b, _ in _BOUNDS])
-#: Letters of a word that are scored.
+#: Letters of a word that are scored; longer runs of letters are several words.
 SCORED = 40
+#: Letters that are cut into pieces at once.
+PIECE = 1 << 16
 
 
 def scripts_of(points: np.ndarray) -> np.ndarray:
@@ -89,6 +92,30 @@ def scripts_of(points: np.ndarray) -> np.ndarray:
     return np.where((k >= 0) & (points <= _LAST[k]), _SCRIPT[k], len(_NAMES) - 1)
 
 
+#: Words that stay whole: short ones of one script.
+_PLAIN = re.compile("|".join(f"[{''.join(f'{chr(a)}-{chr(b)}' for a, b in ranges)}]{{1,{SCORED}}}" for ranges in SCRIPTS.values()))
+
+
+def _cut(run: str) -> list[str]:
+    """A run of letters in pieces of one script and at most SCORED letters; letters of no script go with those before."""
+    script = scripts_of(np.frombuffer(run.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64))
+    at = np.arange(len(run))
+    known = np.flatnonzero(script < len(_NAMES) - 1)
+    first = np.zeros(len(run), bool)
+    first[0] = True
+    first[known[1:][script[known[1:]] != script[known[:-1]]]] = True
+    first |= (at - np.maximum.accumulate(np.where(first, at, 0))) % SCORED == 0
+    cuts = [*np.flatnonzero(first).tolist(), len(run)]
+    return [run[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+def pieces(word: str) -> list[str]:
+    """The word, or its pieces if it has over SCORED letters or several scripts."""
+    if _PLAIN.fullmatch(word):
+        return [word]
+    return [x for i in range(0, len(word), PIECE) for x in _cut(word[i : i + PIECE])]
+
+
 def gram_key(gram: str) -> int:
     """One to three code points as one number."""
     return sum(ord(c) << (21 * i) for i, c in enumerate(gram))
@@ -148,7 +175,13 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in text_slices(batches):
         for text, lang in zip(part.column("text"), part.column("lang")):
             lang = lang.as_py()
-            for word, n in Counter(_words(text.as_py())).items():
+            counted = Counter(_words(text.as_py()))
+            if not all(map(_PLAIN.fullmatch, counted)):
+                whole, counted = counted, Counter()
+                for word, n in whole.items():
+                    for x in pieces(word):
+                        counted[x] += n
+            for word, n in counted.items():
                 seen[lang, word] += min(n, 3)  # a word repeated at length is no evidence of the language's letters
     by_lang: dict[str, tuple[list[str], list[int]]] = {}
     for (lang, word), n in seen.items():
@@ -273,6 +306,16 @@ def labelled(texts: pa.Array, model: Model, with_spans: bool = True) -> tuple[li
     coded = words.dictionary_encode()
     distinct = coded.dictionary.to_pylist()
     code = coded.indices.to_numpy(zero_copy_only=False)
+    cut = [pieces(w) for w in distinct]
+    if len(distinct) < sum(map(len, cut)):
+        count = np.array([len(x) for x in cut])
+        place: dict[str, int] = {}
+        codes = np.array([place.setdefault(x, len(place)) for own in cut for x in own])
+        each, distinct = count[code], list(place)
+        within = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        code = codes[np.repeat((np.cumsum(count) - count)[code], each) + within]
+        parents = np.repeat(parents, each)
+    del cut
     table_ = word_scores(distinct, model)
     sizes = np.array([len(w) for w in distinct])[code]
     scores = table_[code]

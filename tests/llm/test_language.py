@@ -82,3 +82,19 @@ def test_edge_cases(spark):
     assert kept.columns == docs.columns and kept.count() == len(rows) - 3
     unlabelled = docs.withColumn("lang", docs.lang.substr(1, 0)).filter("lang <> ''")
     assert L.identify(unlabelled).count() == 0
+
+
+def test_unspaced_runs_count_whole():
+    """A change of language or script after the first 40 letters of a run is seen, and weighs by its letters."""
+    assert L.pieces("cat") == ["cat"] and L.pieces("x" * 90) == ["x" * 40, "x" * 40, "x" * 10]
+    assert L.pieces("мирcatмир") == ["мир", "cat", "мир"] and "".join(L.pieces("漢字かなmir" * 40_000)) == "漢字かなmir" * 40_000
+    texts = pa.array(["thecatsat" * 5 + "derhundlief" * 60, "thecatsat" * 5 + "мир" * 200, "catмирcatcatcat"])
+    langs, _, spans = L.labelled(texts, small_model())
+    assert langs == ["xx", "ru", "en"]
+    assert [s["lang"] for s in spans[1]] == ["en", "ru"]
+
+
+def test_training_reads_whole_runs():
+    rows = pa.RecordBatch.from_pydict({"text": ["thecatsat" * 5 + "q" * 3 + "мир" * 20], "lang": ["en"]})
+    items = {(r["kind"], r["item"]) for out in L._counted(iter([rows])) for r in out.to_pylist()}
+    assert {("gram", "qqq"), ("gram", "мир"), ("script", "cyrillic"), ("script", "latin")} <= items
