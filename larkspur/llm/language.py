@@ -354,12 +354,17 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows and columns of ``docs`` without documents that have no language (``und``)."""
+    """The rows and columns of ``docs`` without documents that have no letters.
+
+    If no language could be learned, that of texts with letters is unknown, and they stay.
+    """
     model = fit(docs)
     given = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("string")
     def language(texts: pa.Array) -> pa.Array:
+        if not given.value.languages:
+            return pc.if_else(pc.match_substring_regex(pc.fill_null(texts, ""), r"\p{L}"), "", UNKNOWN)
         parts = text_slices(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]))
         return pa.array([x for part in parts for x in labelled(part.column("text"), given.value, False)[0]], pa.string())
 

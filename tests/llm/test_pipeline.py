@@ -1,6 +1,9 @@
 import math
 from collections import Counter, defaultdict
 from hashlib import md5
+from zlib import crc32
+
+from pyspark.sql import functions as F
 
 import corpus_pipeline as C
 from larkspur.llm import language, packing, pii
@@ -71,3 +74,13 @@ def test_odd_rows_pass_all_stages(spark):
         for name, stage in C.STAGES:
             given = stored(stage(spark, given, SF), name)
         assert given.columns == packing.pack(docs).columns
+
+
+def test_documents_of_a_table_without_languages_stay(spark):
+    """No language is learned if ``lang`` is null everywhere, or only set in the held-out quarter."""
+    held = next(i for i in range(100) if crc32(str(i).encode()) % 4 == 2)
+    rows = [(held, "one of the held out texts", "s", 25), (200, "words about some other thing", "s", 28), (201, "12 !", "s", 4), (202, None, "s", None), (203, "漢字", "t", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    for lang in (F.lit(None).cast("string"), F.when(F.col("doc_id") == held, "en")):
+        given = docs.withColumn("lang", lang)
+        assert sorted(r.doc_id for r in C.identify_language(spark, given, SF).collect()) == sorted([held, 200, 203])
