@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm.batches import bounded, text_slices
@@ -218,15 +218,41 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, words: int = WO
     return marked.join(points, ["fp", "salt"]).select("doc_id", "fp", "component_id")
 
 
+def row_key() -> list[Column]:
+    """Whether the id is null, the id, and a hash of the text: equal for rows of one id and text only."""
+    own = F.col("doc_id").cast("long")
+    return [own.isNull().alias("no_id"), F.coalesce(own, F.lit(0)).alias("id"), F.xxhash64(F.col("text").cast("string")).alias("of_text")]
+
+
+def one_of_each(docs: DataFrame, points: DataFrame, links: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each component of ``points`` (``fp, first``: the least row key of a point) under ``links``.
+
+    It is the row with the least key: that of the smallest id, null ids last, then of the least hash of the text.
+    """
+    names = stored(connected_components(stored(links, "links")), "names")
+    linked = points.join(names, points["fp"] == names["node"]).groupBy("root").agg(F.min("first").alias("first")).select("first.*")
+    single = points.join(names, points["fp"] == names["node"], "left_anti").select("first.*")
+    kept = linked.unionByName(single).toDF("kept__none", "kept__id", "kept__text")
+    none, own, of_text = row_key()
+    keyed = docs.withColumns({"row__none": none, "row__id": own, "row__text": of_text})
+    rows = keyed.join(kept, (F.col("row__none") == F.col("kept__none")) & (F.col("row__id") == F.col("kept__id")) & (F.col("row__text") == F.col("kept__text")))
+    return rows.drop("kept__none", "kept__id", "kept__text").dropDuplicates(["row__none", "row__id", "row__text"]).select(*(f"`{c}`" for c in docs.columns))
+
+
 def deduplicated(docs: DataFrame, threshold: int = THRESHOLD, words: int = WORDS) -> DataFrame:
-    """The rows of one document of each component, that of the smallest id, in all their columns.
+    """The row of one document of each component, that of the smallest id, in all its columns.
 
-    Of several rows with that id one stays; a component of null ids only keeps one row for each
-    fingerprint's worth of null ids joined, that is one row in all for the null id.
+    Components are of texts, not of ids: unlinked texts all keep a row, whether their ids repeat or are null.
     """
-    kept = near_duplicates(docs, threshold, words).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept__id")).distinct()
-    rows = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("kept__id"))).drop("kept__id")
-    return rows.dropDuplicates(["doc_id"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches):
+            made = np.array([simhash(x.as_py(), words) for x in part.column("text")], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("no_id", "id", "of_text")), pa.array(made)], names=["no_id", "id", "of_text", "fp"])
+
+    marked = bounded(docs).select(*row_key(), F.col("text").cast("string").alias("text")).mapInArrow(run, "no_id boolean, id long, of_text long, fp long")
+    points = stored(marked.groupBy("fp").agg(F.min(F.struct("no_id", "id", "of_text")).alias("first")), "points")
+    return one_of_each(docs, points, links(points, threshold))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,3 +97,12 @@ def test_edge_cases(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "4", "None"]
     assert S.near_duplicates(docs.limit(0)).count() == 0
     assert docs.filter(F.lit(False)).count() == 0
+
+
+def test_unlinked_texts_keep_a_row_whatever_their_ids(spark):
+    texts = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(6)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (1, texts[2]), (7, texts[2]), (7, texts[3]), (7, texts[4]), (7, texts[4]), (None, texts[5]), (9, texts[5])]
+    for parts in (1, 3):
+        kept = S.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
+        want = [(None, texts[0]), (None, texts[1]), (1, texts[2]), (7, texts[3]), (7, texts[4]), (9, texts[5])]
+        assert sorted(map(str, ((r.doc_id, r.text) for r in kept))) == sorted(map(str, want))
