@@ -1,7 +1,7 @@
 """Exact token counts from a histogram of encoded lengths.
 
 Every document is encoded once, to its length only; lengths are added up per partition before
-the shuffle, so a length that a third of all documents share costs no more than another. Suffix sums over
+the shuffle, so a length that a third of all documents share costs no more than another, and the histogram is stored. Suffix sums over
 the histogram then answer, for every limit: how many documents are at least that long, the
 tokens in them, and the corpus's tokens after truncation to the limit; and any quantile.
 
@@ -54,10 +54,10 @@ def _counted(path: str):
 
 
 def length_histogram(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """``n_tokens, n_docs``, one row per length that occurs."""
+    """``n_tokens, n_docs``, one row per length that occurs; stored, since suffix sums read it twice."""
     run = _counted(path or public_tokenizers.path(VOCABULARY))
     counted = bounded(docs).select(F.col("text").cast("string").alias("text")).mapInArrow(run, "n_tokens long, n_docs long")
-    return counted.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    return stored(counted.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs")), "lengths")
 
 
 def suffix_sums(histogram: DataFrame) -> DataFrame:
@@ -76,7 +76,10 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
 def answers(histogram: DataFrame, limits: Sequence[int] = LIMITS, quantiles: Sequence[float] = QUANTILES) -> DataFrame:
     """``question, at, value``: ``total`` tokens; ``truncated`` tokens for each limit; for each
     quantile q the smallest length that a share of at least q of the documents doesn't exceed."""
-    sums = stored(suffix_sums(histogram), "suffix-sums")
+    return _answered(stored(suffix_sums(histogram), "suffix-sums"), limits, quantiles)
+
+
+def _answered(sums: DataFrame, limits: Sequence[int] = LIMITS, quantiles: Sequence[float] = QUANTILES) -> DataFrame:
     whole = sums.agg(F.max("tokens_from").alias("tokens"), F.max("docs_from").alias("docs")).first()
     tokens, docs = whole.tokens or 0, whole.docs or 0
     from_ = lambda limit, what: F.max(F.when(F.col("n_tokens") >= limit, F.col(what)))
@@ -91,7 +94,10 @@ def answers(histogram: DataFrame, limits: Sequence[int] = LIMITS, quantiles: Seq
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_sums(length_histogram(table(spark, sf_dir, "documents")))
+    """A row per length (``question`` is ``length``, ``value`` the tokens truncated to it), then the rows of ``answers``."""
+    sums = stored(suffix_sums(length_histogram(table(spark, sf_dir, "documents"))), "suffix-sums")
+    lengths = sums.select(F.lit("length").alias("question"), F.col("n_tokens").cast("double").alias("at"), F.col("tokens_truncated").alias("value"), "*")
+    return lengths.unionByName(_answered(sums), allowMissingColumns=True)
 
 
 QUERIES = {"op4_token_counts": op4_token_counts}

@@ -1,6 +1,7 @@
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from larkspur.llm import token_counts as C
 
@@ -13,7 +14,11 @@ def lengths(spark):
 
 def test_whole_table(spark, lengths, monkeypatch):
     monkeypatch.setattr(C, "BLOCK", 256)
-    got = C.op4_token_counts(spark, "/root/testdata/sf0.001").collect()
+    rows = C.op4_token_counts(spark, "/root/testdata/sf0.001").collect()
+    asked = {(r.question, r["at"]): r.value for r in rows if r.question != "length"}
+    assert asked == {("total", None): lengths.sum()} | {("truncated", float(x)): np.minimum(lengths, x).sum() for x in C.LIMITS} | {("quantile", q): np.sort(lengths)[int(np.ceil(q * len(lengths))) - 1] for q in C.QUANTILES}
+    got = [r for r in rows if r.question == "length"]
+    assert all((r["at"], r.value) == (r.n_tokens, r.tokens_truncated) for r in got)
     assert [r.n_tokens for r in sorted(got, key=lambda r: r.n_tokens)] == sorted(set(lengths.tolist()))
     for r in got:
         longer = lengths[lengths >= r.n_tokens]
@@ -38,3 +43,15 @@ def test_edge_cases(spark):
     empty = C.length_histogram(docs.limit(0))
     assert C.suffix_sums(empty).count() == 0
     assert {(r.question, r.value) for r in C.answers(empty, limits=(5,)).collect()} == {("total", 0), ("truncated", 0), ("quantile", None)}
+
+
+def test_documents_are_encoded_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        seen.add(1)
+        return text
+
+    docs = spark.createDataFrame([(f"some words {i}",) for i in range(40)], "text string").withColumn("text", counted.asNondeterministic()("text"))
+    assert C.answers(C.length_histogram(docs)).count() and seen.value == 40
