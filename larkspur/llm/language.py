@@ -9,6 +9,10 @@ language, so a lone borrowed word doesn't make a span but a quoted passage does.
 is the one with most letters in its spans, and its score that share of letters, weighted by how far the
 words' scores bear it out.
 
+Words are found alike in training and prediction: maximal runs of letters of the lower-cased text. In training a
+word counts at most ``REPEATS`` times per document, since repeating it is no evidence of a language's letters. The model is
+sparse: of an n-gram, only the languages that have it.
+
 Edge cases: null texts and texts without letters are ``und`` with score 0, as is every text if nothing
 could be learned; words in a script never seen in training leave all languages open and no
 preference; ties go to the alphabetically first language; repeated rows, null ids and other columns change nothing;
@@ -19,7 +23,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -29,15 +33,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from larkspur.llm.batches import bounded, text_slices
+from larkspur.llm.batches import TEXT_BYTES, bounded, text_slices
 from larkspur.sources.storage import stored, table
 
 #: Labelled documents per language that the model is fitted on, chosen by a hash of the id.
 SAMPLE_DOCS = 3_000
-#: Languages that can be learned, the first ones by name.
-MAX_LANGUAGES = 250
-#: N-grams kept per language, the most frequent ones.
-GRAMS = 20_000
+#: Bounds of the fitted model: languages that can be learned, those with most labelled documents, and the most frequent
+#: n-grams of each. An n-gram takes 16 bytes in each language that has it, so the model has 400 MB at most; four languages take under 2 MB.
+MAX_LANGUAGES = 500
+GRAMS = 50_000
+#: Times that a word of one document counts in training.
+REPEATS = 3
 #: Score that a change of language costs, in nats.
 SWITCH = 6.0
 #: Bounds of a word's score against the best language's.
@@ -65,16 +71,19 @@ SCRIPTS = {
 }
 _BOUNDS = sorted((a, b, name) for name, ranges in SCRIPTS.items() for a, b in ranges)
 _STARTS = np.array([a for a, _, _ in _BOUNDS])
-LETTERS = re.compile(r"[^\W\d_]+")
-#: For splitting in Arrow; a word is then made of letters and marks, and may hold no letter at all.
 NO_LETTERS = r"[^\p{L}]+"
+#: Documents whose language scores less, so that under this share of their letters bears it out, aren't identified (``keep_identified``).
+LEAST_SCORE = 0.3
 
 
 class Model(NamedTuple):
     languages: list[str]
     scripts: np.ndarray  # script (the last row: none) by language: whether the language has it
     keys: np.ndarray  # sorted n-grams as numbers
-    weights: np.ndarray  # log-probability by n-gram (the last row: any other) and language
+    starts: np.ndarray  # where each n-gram's entries begin, and their number last
+    of: np.ndarray  # an entry's language
+    gains: np.ndarray  # an entry's log-probability less that of an n-gram the language doesn't have
+    missing: np.ndarray  # the latter, by language
 
 
 _NAMES = [*SCRIPTS, "other"]
@@ -153,8 +162,27 @@ class Held:
         return [(p, self.inner), (p | after << 21, self.left >= 1), (p | after << 21 | later << 42, self.left >= 2)]
 
 
-def _words(text: str | None) -> list[str]:
-    return LETTERS.findall((text or "").lower())
+def split_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct words and pieces, and for each in all the texts, in order, its place among these and its text."""
+    split = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts.cast(pa.string()), "")), NO_LETTERS)
+    words, parents = pc.list_flatten(split), pc.list_parent_indices(split).to_numpy()
+    real = pc.not_equal(words, "")
+    words, parents = words.filter(real), parents[real.to_numpy(zero_copy_only=False)]
+    if not len(words):
+        return [], np.zeros(0, np.int64), parents
+    coded = words.dictionary_encode()
+    distinct = coded.dictionary.to_pylist()
+    code = coded.indices.to_numpy(zero_copy_only=False)
+    cut = [pieces(w) for w in distinct]
+    if len(distinct) < sum(map(len, cut)):
+        count = np.array([len(x) for x in cut])
+        place: dict[str, int] = {}
+        codes = np.array([place.setdefault(x, len(place)) for own in cut for x in own])
+        each, distinct = count[code], list(place)
+        within = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        code = codes[np.repeat((np.cumsum(count) - count)[code], each) + within]
+        parents = np.repeat(parents, each)
+    return distinct, code, parents
 
 
 def fold(doc_id: Column) -> Column:
@@ -165,24 +193,24 @@ def fold(doc_id: Column) -> Column:
 def training_rows(docs: DataFrame, per_language: int = SAMPLE_DOCS) -> DataFrame:
     """``text, lang`` of at most about ``per_language`` labelled documents per language outside the held-out fold."""
     usable = bounded(docs).select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 2))
-    rates = usable.groupBy("lang").agg((F.lit(float(per_language)) / F.count(F.lit(1))).alias("rate"))
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    rates = counts.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).select("lang", (F.lit(float(per_language)) / F.col("n")).alias("rate"))
     drawn = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    return usable.join(F.broadcast(rates.orderBy("lang").limit(MAX_LANGUAGES)), "lang").filter(drawn < F.col("rate")).select("text", "lang")
+    return usable.join(F.broadcast(rates), "lang").filter(drawn < F.col("rate")).select("text", "lang")
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: Counter = Counter()
     for part in text_slices(batches):
-        for text, lang in zip(part.column("text"), part.column("lang")):
-            lang = lang.as_py()
-            counted = Counter(_words(text.as_py()))
-            if not all(map(_PLAIN.fullmatch, counted)):
-                whole, counted = counted, Counter()
-                for word, n in whole.items():
-                    for x in pieces(word):
-                        counted[x] += n
-            for word, n in counted.items():
-                seen[lang, word] += min(n, 3)  # a word repeated at length is no evidence of the language's letters
+        distinct, code, parents = split_words(part.column("text"))
+        if not distinct:
+            continue
+        of_text = part.column("lang").dictionary_encode()
+        both, n = np.unique(parents.astype(np.int64) * len(distinct) + code, return_counts=True)
+        lang = of_text.indices.to_numpy(zero_copy_only=False).astype(np.int64)[both // len(distinct)]
+        own, at = np.unique(lang * len(distinct) + both % len(distinct), return_inverse=True)
+        total, langs = np.bincount(at, weights=np.minimum(n, REPEATS)), of_text.dictionary.to_pylist()
+        seen.update({(langs[x // len(distinct)], distinct[x % len(distinct)]): k for x, k in zip(own.tolist(), total.astype(int).tolist())})
     by_lang: dict[str, tuple[list[str], list[int]]] = {}
     for (lang, word), n in seen.items():
         words, ns = by_lang.setdefault(lang, ([], []))
@@ -220,32 +248,39 @@ def model_of(totals: dict[tuple[str, str], tuple[int, int]], rows: list[tuple[st
     languages = sorted({lang for lang, _ in totals})
     at = {lang: i for i, lang in enumerate(languages)}
     size = np.array([sum(totals.get((lang, "gram"), (0, 0))) + 1.0 for lang in languages])
-    missing = np.log(0.5 / size)
-    weights: dict[int, np.ndarray] = {}
     scripts = np.zeros((len(_NAMES), len(languages)), bool)
     for lang, kind, item, n in rows:
-        if kind == "gram":
-            weights.setdefault(gram_key(item), missing.copy())[at[lang]] = np.log((n + 0.5) / size[at[lang]])
-        elif n >= SCRIPT_SHARE * totals[lang, "script"][0]:
+        if kind == "script" and n >= SCRIPT_SHARE * totals[lang, "script"][0]:
             scripts[_NAMES.index(item), at[lang]] = True
-    keys = sorted(weights)
-    return Model(languages, scripts, np.array(keys, np.int64), np.array([*(weights[k] for k in keys), missing]).reshape(len(keys) + 1, len(languages)))
+    own = [(gram_key(item), at[lang], n) for lang, kind, item, n in rows if kind == "gram"]
+    key, of, n = (np.array(x, np.int64) for x in zip(*own)) if own else np.zeros((3, 0), np.int64)
+    order = np.lexsort((of, key))
+    keys, starts = np.unique(key[order], return_index=True)
+    missing = np.log(0.5 / size)
+    gains = (np.log((n + 0.5) / size[of]) - missing[of])[order]
+    return Model(languages, scripts, keys, np.r_[starts, len(key)], of[order].astype(np.int32), gains.astype(np.float32), missing)
 
 
 def word_scores(words: list[str], model: Model) -> np.ndarray:
     """For each word, a score per language: 0 for the best, down to WORST; twice that where the script rules it out."""
-    out = [_some_scores(words[i : i + 50_000], model) for i in range(0, len(words), 50_000)]
+    step = max(1, 200_000 // max(4, len(model.languages)))
+    out = [_some_scores(words[i : i + step], model) for i in range(0, len(words), step)]
     return np.concatenate(out) if out else np.zeros((0, len(model.languages)), np.float32)
 
 
 def _some_scores(words: list[str], model: Model) -> np.ndarray:
-    held = Held(words)
-    total = np.zeros((len(held.points), len(model.languages)))
+    held, k = Held(words), len(model.languages)
+    word = np.repeat(np.arange(len(words)), held.size + 2)
+    total = ((3 * held.size + 1)[:, None] * model.missing).ravel()
     for key, use in held.keys():
+        key, of_word = key[use], word[use]
         place = np.searchsorted(model.keys, key)
         found = np.append(model.keys, -1)[place] == key
-        total += np.where(use[:, None], model.weights[np.where(found, place, len(model.keys))], 0.0)
-    score = np.add.reduceat(total, held.starts, axis=0) / (3 * held.size + 1)[:, None] * np.minimum(np.array([len(w) for w in words]) + 1, 6)[:, None]
+        place, of_word = place[found], of_word[found]
+        n = model.starts[place + 1] - model.starts[place]
+        entry = np.arange(n.sum()) + np.repeat(model.starts[place] - (np.cumsum(n) - n), n)
+        total += np.bincount(np.repeat(of_word * k, n) + model.of[entry], weights=model.gains[entry], minlength=len(total))
+    score = total.reshape(len(words), k) / (3 * held.size + 1)[:, None] * np.minimum(np.array([len(w) for w in words]) + 1, 6)[:, None]
     open_ = model.scripts[held.script]
     none = ~open_.any(axis=1)
     score = np.where(open_, score, -np.inf)
@@ -297,25 +332,9 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) ->
 def labelled(texts: pa.Array, model: Model, with_spans: bool = True) -> tuple[list[str], list[float], list[list[dict]]]:
     """Language, score and spans (``lang, start, words``) of every text."""
     k, n = len(model.languages), len(texts)
-    split = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts.cast(pa.string()), "")), NO_LETTERS)
-    words, parents = pc.list_flatten(split), pc.list_parent_indices(split).to_numpy()
-    real = pc.not_equal(words, "")
-    words, parents = words.filter(real), parents[real.to_numpy(zero_copy_only=False)]
-    if not k or not len(words):
+    distinct, code, parents = split_words(texts)
+    if not k or not distinct:
         return [UNKNOWN] * n, [0.0] * n, [[] for _ in range(n)]
-    coded = words.dictionary_encode()
-    distinct = coded.dictionary.to_pylist()
-    code = coded.indices.to_numpy(zero_copy_only=False)
-    cut = [pieces(w) for w in distinct]
-    if len(distinct) < sum(map(len, cut)):
-        count = np.array([len(x) for x in cut])
-        place: dict[str, int] = {}
-        codes = np.array([place.setdefault(x, len(place)) for own in cut for x in own])
-        each, distinct = count[code], list(place)
-        within = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-        code = codes[np.repeat((np.cumsum(count) - count)[code], each) + within]
-        parents = np.repeat(parents, each)
-    del cut
     table_ = word_scores(distinct, model)
     sizes = np.array([len(w) for w in distinct])[code]
     scores = table_[code]
@@ -338,14 +357,19 @@ def labelled(texts: pa.Array, model: Model, with_spans: bool = True) -> tuple[li
     return langs, np.where(lengths > 0, np.clip(borne / total, 0, 1), 0.0).tolist(), spans
 
 
+def _slices(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    """Slices that are the smaller, the more languages each of their words has a score in."""
+    return text_slices(batches, limit=TEXT_BYTES * 8 // max(8, len(model.languages)))
+
+
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """``doc_id, held_out, lang_pred, score, spans`` of every row."""
     model = fit(docs) if model is None else model
-    given = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_LANGUAGES * GRAMS n-grams
+    given = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_LANGUAGES * GRAMS entries
     span = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("words", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches):
+        for part in _slices(batches, given.value):
             langs, scores, spans = labelled(part.column("text"), given.value)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(spans, span)], names=["doc_id", "held_out", "lang_pred", "score", "spans"])
 
@@ -353,22 +377,33 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, spans array<struct<lang:string,start:long,words:long>>")
 
 
-def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows and columns of ``docs`` without documents that have no letters.
+def keep_identified(docs: DataFrame, languages: Sequence[str] | None = None, least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of ``docs`` whose language is identified, one of ``languages`` if given, with the label as ``lang`` where that is null.
 
-    If no language could be learned, that of texts with letters is unknown, and they stay.
+    Rejected are texts without letters, and those that no language bears out (a score under ``least``). If no language could be
+    learned, that of texts with letters is unknown: they stay as they are.
     """
     model = fit(docs)
     given = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.arrow_udf("string")
-    def language(texts: pa.Array) -> pa.Array:
+    @F.arrow_udf("struct<lang:string,score:double>")
+    def found(texts: pa.Array) -> pa.Array:
+        langs, scores = [], []
         if not given.value.languages:
-            return pc.if_else(pc.match_substring_regex(pc.fill_null(texts, ""), r"\p{L}"), "", UNKNOWN)
-        parts = text_slices(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]))
-        return pa.array([x for part in parts for x in labelled(part.column("text"), given.value, False)[0]], pa.string())
-
-    return bounded(docs).filter(language(F.col("text").cast("string")) != UNKNOWN)
+            some = pc.match_substring_regex(pc.fill_null(texts, ""), r"\p{L}").to_pylist()
+            langs, scores = ["" if x else UNKNOWN for x in some], [1.0] * len(some)
+        else:
+            for part in _slices(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]), given.value):
+                own, score, _ = labelled(part.column("text"), given.value, False)
+                langs, scores = langs + own, scores + score
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["lang", "score"])
+
+    rows = bounded(docs).select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), found.asNondeterministic()(F.col("text").cast("string")).alias("found"))
+    kept = rows.filter((F.col("found.lang") != UNKNOWN) & (F.col("found.score") >= least))
+    if languages is not None:
+        kept = kept.filter(F.col("found.lang").isin(list(languages)))
+    label = F.coalesce(F.col("doc.lang"), F.nullif(F.col("found.lang"), F.lit("")))
+    return kept.select(*((label.cast(docs.schema[c].dataType) if c == "lang" else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,17 +69,18 @@ def simhash(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
         ends = np.cumsum([len(w) + 1 for w in held])
         starts, stops = (ends - [len(w) + 1 for w in held])[:n].tolist(), (ends[words - 1 :] - 1).tolist()
         hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts, stops)], np.uint64)
-        counts += _bit_counts(hashes)
+        counts += bit_counts(hashes)
         total += n
         held = held[n:]
     if not total:
         if not held:
             return 0
-        counts, total = _bit_counts(np.array([digest(b" ".join(held), seed)], np.uint64)), 1
+        counts, total = bit_counts(np.array([digest(b" ".join(held), seed)], np.uint64)), 1
     return int((np.uint64(1) << np.flatnonzero(2 * counts > total).astype(np.uint64)).sum(dtype=np.uint64))
 
 
-def _bit_counts(hashes: np.ndarray) -> np.ndarray:
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit."""
     counts = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 4096):
         bits = np.unpackbits(hashes[i : i + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -232,11 +233,9 @@ def one_of_each(docs: DataFrame, points: DataFrame, links: DataFrame) -> DataFra
     names = stored(connected_components(stored(links, "links")), "names")
     linked = points.join(names, points["fp"] == names["node"]).groupBy("root").agg(F.min("first").alias("first")).select("first.*")
     single = points.join(names, points["fp"] == names["node"], "left_anti").select("first.*")
-    kept = linked.unionByName(single).toDF("kept__none", "kept__id", "kept__text")
-    none, own, of_text = row_key()
-    keyed = docs.withColumns({"row__none": none, "row__id": own, "row__text": of_text})
-    rows = keyed.join(kept, (F.col("row__none") == F.col("kept__none")) & (F.col("row__id") == F.col("kept__id")) & (F.col("row__text") == F.col("kept__text")))
-    return rows.drop("kept__none", "kept__id", "kept__text").dropDuplicates(["row__none", "row__id", "row__text"]).select(*(f"`{c}`" for c in docs.columns))
+    kept = linked.unionByName(single)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), *row_key())
+    return rows.join(kept, ["no_id", "id", "of_text"]).dropDuplicates(["no_id", "id", "of_text"]).select("doc.*")
 
 
 def deduplicated(docs: DataFrame, threshold: int = THRESHOLD, words: int = WORDS) -> DataFrame:

@@ -1,8 +1,10 @@
 import itertools
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import regex
 
 from larkspur.llm import language as L
 
@@ -50,13 +52,16 @@ def test_scores_of_words():
     model = small_model()
     words = ["the", "hund", "мир", "zzz", "漢字", "a", "x" * 60, "éthe"]
     got = L.word_scores(words, model)
-    weight = {int(k): w for k, w in zip(model.keys, model.weights)}
+    weight = {int(k): model.missing.copy() for k in model.keys}
+    for i, k in enumerate(model.keys):
+        for e in range(model.starts[i], model.starts[i + 1]):
+            weight[int(k)][model.of[e]] += model.gains[e]
     for w, row in zip(words, got):
         open_ = [True, False, True] if w.isascii() or w[0] == "é" else [False, True, False] if w == "мир" else None
         if open_ is None:
             assert row.tolist() == [0, 0, 0]
             continue
-        mean = np.mean([weight.get(L.gram_key(g), model.weights[-1]) for g in L.grams(w[:40])], axis=0) * min(len(w) + 1, 6)
+        mean = np.mean([weight.get(L.gram_key(g), model.missing) for g in L.grams(w[:40])], axis=0) * min(len(w) + 1, 6)
         best = max(m for m, o in zip(mean, open_) if o)
         assert np.allclose(row, [max(m - best, L.WORST) if o else 2 * L.WORST for m, o in zip(mean, open_)], atol=1e-4)
 
@@ -98,3 +103,53 @@ def test_training_reads_whole_runs():
     rows = pa.RecordBatch.from_pydict({"text": ["thecatsat" * 5 + "q" * 3 + "мир" * 20], "lang": ["en"]})
     items = {(r["kind"], r["item"]) for out in L._counted(iter([rows])) for r in out.to_pylist()}
     assert {("gram", "qqq"), ("gram", "мир"), ("script", "cyrillic"), ("script", "latin")} <= items
+
+
+def test_training_against_brute_force(spark, monkeypatch):
+    """Counts of n-grams and scripts, one word at a time; languages are those with most documents."""
+    monkeypatch.setattr(L, "MAX_LANGUAGES", 2)
+    rows = [(i, "Der Hund, der Hund und der HUND 3x" if i % 3 else "chat мир Ⅷ çà", "de" if i % 3 else "fr") for i in range(90)] + [(500 + i, "few", "aa") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    grams, scripts = Counter(), Counter()
+    for i, text, lang in rows:
+        if lang == "aa" or zlib.crc32(str(i).encode()) % 4 == 2:
+            continue
+        for word, n in Counter(regex.findall(r"\p{L}+", text.lower())).items():
+            n = min(n, 3)
+            scripts[lang, "cyrillic" if word == "мир" else "latin"] += n * len(word)
+            for g in L.grams(word):
+                grams[lang, g] += n
+    made = L.training_rows(docs).mapInArrow(L._counted, "lang string, kind string, item string, n long").groupBy("lang", "kind", "item").sum("n").collect()
+    assert {(r.lang, r["item"]): r["sum(n)"] for r in made if r.kind == "gram"} == grams
+    assert {(r.lang, r["item"]): r["sum(n)"] for r in made if r.kind == "script"} == scripts
+    model = L.fit(docs)
+    assert model.languages == ["de", "fr"]
+    for (lang, g), n in grams.items():
+        i, of = np.searchsorted(model.keys, L.gram_key(g)), model.languages.index(lang)
+        [e] = [e for e in range(model.starts[i], model.starts[i + 1]) if model.of[e] == of]
+        own = [k for (x, _), k in grams.items() if x == lang]
+        assert np.isclose(model.missing[of] + model.gains[e], np.log((n + 0.5) / (sum(own) + len(own) + 1)), atol=1e-5)
+
+
+def test_many_languages_take_sparse_scores():
+    """A model of 300 languages: words of each are found, without a number for every pair of n-gram and language."""
+    rng = np.random.default_rng(3)
+    words = ["".join(chr(97 + x) for x in rng.integers(0, 26, 9)) for _ in range(300)]
+    rows, totals = [], {}
+    for i, w in enumerate(words):
+        items = Counter(L.grams(w))
+        rows += [(f"l{i:03}", "gram", g, n) for g, n in items.items()] + [(f"l{i:03}", "script", "latin", 9)]
+        totals |= {(f"l{i:03}", "gram"): (sum(items.values()), len(items)), (f"l{i:03}", "script"): (9, 1)}
+    model = L.model_of(totals, rows)
+    assert len(model.gains) == len(model.of) < 300 * 30
+    assert L.labelled(pa.array([f"{w} {w}" for w in words]), model)[0] == [f"l{i:03}" for i in range(300)]
+
+
+def test_filter_labels_and_rejects(spark):
+    rows = [(i, "the quick brown fox and the dog" if i % 2 else "der schnelle braune fuchs und hund", "en" if i % 2 else "de", "x") for i in range(60)]
+    rows += [(100, "the dog and the fox", None, "x"), (101, "12 34", None, "x"), (102, "der hund und der fuchs", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, found string")
+    got = {r.doc_id: r.lang for r in L.keep_identified(docs).collect()}
+    assert got == {i: "en" if i % 2 else "de" for i in range(60)} | {100: "en", 102: "de"}
+    assert {r.doc_id for r in L.keep_identified(docs, ["de"]).collect()} == {*range(0, 60, 2), 102}
+    assert L.keep_identified(docs, least=1.1).count() == 0

@@ -1,6 +1,8 @@
 import corpus_pipeline as C
 import numpy as np
+import pyarrow as pa
 from larkspur.llm import near_copies as N
+from larkspur.llm.fingerprints import sketches
 
 
 def plain_shingles(text):
@@ -36,3 +38,17 @@ def test_planted_copies_go(spark, monkeypatch):
         monkeypatch.setattr(N, "CELL", cell)
         docs = spark.createDataFrame(rows + rows[:3], "doc_id long, text string")
         assert sorted(r.doc_id for r in C.drop_near_duplicates(spark, docs, "").collect()) == sorted(want)
+
+
+def test_close_simhashes_are_candidates(spark):
+    """Points without a common band are candidates if their SimHashes differ in at most 3 bits, or in none."""
+    rows = [(1, 0b1011 << 40, [1]), (2, 0b0011 << 40, [2]), (3, 0b0011 << 40, [3]), (4, -1, [4]), (5, None, []), (6, 0x7FFF << 40, [6])]
+    points = spark.createDataFrame(rows, "fp long, sim long, bands array<long>")
+    found = N.candidates(points).collect()
+    assert {x for r in found for x in (r.u, r.v)} == {1, 2, 3} and len(found) >= 2
+
+
+def test_simhash_of_sets():
+    [own] = sketches(pa.array([" ".join(f"w{i}" for i in range(300))]), N.ALL)
+    bits = sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in own) > len(own))
+    assert N.sim(own) % 2**64 == bits and N.sim(own[:0]) is None

@@ -3,14 +3,16 @@ from collections import Counter, defaultdict
 from hashlib import md5
 from zlib import crc32
 
+import regex
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 import corpus_pipeline as C
 from larkspur.llm import language, packing, pii
 from larkspur.sources.storage import stored
+from test_near_copies import plain_kept
 from test_packing import checked, plain_ids
 from test_pii import plain_base
-from test_simhash import plain_components, plain_simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,12 +27,13 @@ def test_stages_against_brute_force(spark):
     given = spark.read.parquet(f"{SF}/documents.parquet").collect()
 
     one = {r.doc_id: r for r in steps[0].collect()}
-    assert set(one) == {r.doc_id for r in given if language.LETTERS.search(r.text or "")}
+    labels = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
+    assert set(one) == {r.doc_id for r in given if regex.search(r"\p{L}", r.text or "") and labels[r.doc_id][1] >= language.LEAST_SCORE}
+    for r in given:
+        assert r.doc_id not in one or one[r.doc_id] == Row(**r.asDict() | {"lang": r.lang or labels[r.doc_id][0]})
 
-    ids = sorted(one)
-    groups = dict(zip(ids, plain_components(ids, [plain_simhash(one[i].text) for i in ids])))
     two = {r.doc_id: r for r in steps[1].collect()}
-    assert set(two) == {i for i, c in groups.items() if i == c} and all(two[i] == one[i] for i in two)
+    assert set(two) == plain_kept([(i, r.text) for i, r in one.items()]) and all(two[i] == one[i] for i in two)
 
     three = {r.doc_id: r for r in steps[2].collect()}
     assert set(three) == set(two)
@@ -68,11 +71,26 @@ def test_stages_against_brute_force(spark):
 
 
 def test_odd_rows_pass_all_stages(spark):
-    rows = [(None, "words of no id at all", "en", "s", 5), (1, None, None, None, None), (2, "", "en", "s", 0), (3, "the same words here and there", "en", None, 3), (3, "the same words here and there", "en", None, 3), (4, "1234 !!", "de", "t", 7), (5, "lang " * 30_000, None, "s", 150_000)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    """Distinct texts of repeated or null ids all stay until mixing; rows without letters and equal texts go."""
+    names = ["words of no id at all", "other words of no id", "the same words here and there", "unlike them: yet of that same id", "lang " * 30_000]
+    rows = [(None, names[0], "en", "s", 5), (None, names[1], "en", "s", 5), (1, None, None, None, None), (2, "", "en", "s", 0), (3, names[2], "en", None, 3), (3, names[2], "en", None, 3), (3, names[3], None, "t", 3), (4, "1234 !!", "de", "t", 7), (5, names[4], None, "s", 150_000)]
+    more = ["kept__id", "row__text", "doc", "found", "mix__rate", "copies", "start"]
+    docs = spark.createDataFrame([(*r, *range(len(more))) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} int" for c in more))
     for given in (docs, docs.limit(0)):
+        empty, given = given is not docs, given
         for name, stage in C.STAGES:
             given = stored(stage(spark, given, SF), name)
+            if name != "packing":
+                assert given.columns == docs.columns
+            if empty:
+                assert not given.count()
+            elif name == "language_id":
+                assert sorted(r.text for r in given.collect()) == sorted([*names, names[2]])
+                assert {r.lang for r in given.collect()} == {"en"}
+            elif name == "simhash_near_dedup":
+                assert sorted(r.text for r in given.collect()) == sorted(names)
+            elif name in ("pii", "mixing"):
+                assert all(tuple(r)[5:] == tuple(range(len(more))) and r.text in names for r in given.collect())
         assert given.columns == packing.pack(docs).columns
 
 
