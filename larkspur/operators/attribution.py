@@ -32,11 +32,9 @@ def forward(x: np.ndarray, layers: list[Dense]) -> list[np.ndarray]:
     return seen
 
 
-def multipliers(x: np.ndarray, base: np.ndarray, layers: list[Dense]) -> np.ndarray:
-    """Rescale multipliers of the first output with respect to the inputs."""
-    a, b = forward(x, layers), forward(base, layers)
-    m = np.repeat(layers[-1].weight[:, 0][None], len(x), axis=0)
-    for i in reversed(range(len(layers) - 1)):
+def backward(m: np.ndarray, a: list[np.ndarray], b: list[np.ndarray], layers: list[Dense], top: int, bottom: int = 0) -> np.ndarray:
+    """Multipliers of the inputs of layer ``bottom`` from those of layer ``top``, whose inputs are behind a rectifier."""
+    for i in reversed(range(bottom, top)):
         before = [s[i] @ layers[i].weight + layers[i].bias for s in (a, b)]
         d_in, d_out = before[0] - before[1], a[i + 1] - b[i + 1]
         slope = np.where(np.abs(d_in) > 1e-9, d_out / np.where(d_in == 0, 1, d_in), (before[0] > 0).astype(float))
@@ -44,6 +42,13 @@ def multipliers(x: np.ndarray, base: np.ndarray, layers: list[Dense]) -> np.ndar
     return m
 
 
+def multipliers(x: np.ndarray, base: np.ndarray, layers: list[Dense]) -> np.ndarray:
+    """Rescale multipliers of the first output with respect to the inputs."""
+    a, b = forward(x, layers), forward(base, layers)
+    m = np.repeat(layers[-1].weight[:, 0][None], len(x), axis=0)
+    return backward(m, a, b, layers, len(layers) - 1)
+
+
 def _arrays(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(float)
 
@@ -81,3 +86,41 @@ def split_by_subspace(attributions: np.ndarray, basis: np.ndarray) -> tuple[np.n
     """The parts of attributions within a subspace and outside it."""
     inside = attributions @ basis @ basis.T
     return inside, attributions - inside
+
+
+def patched_output(embedded: DataFrame, layers: list[Dense], upto: int, model: Model) -> DataFrame:
+    """``id, output`` of the network if the output of its first ``upto`` layers is replaced by what ``id, emb`` stand for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                out = forward(restore(_arrays(batch.column("emb")), model), layers[upto:])[-1]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out[:, 0])], names=["id", "output"])
+
+    return embedded.select("id", F.col("emb").cast("array<double>").alias("emb")).mapInArrow(run, "id long, output double")
+
+
+def input_attributions(pairs: DataFrame, layers: list[Dense], upto: int, model: Model, basis: np.ndarray | None = None, part: str = "all") -> DataFrame:
+    """``id, a`` of ``id, vector, base``: multipliers of the inputs times the difference of sample and baseline.
+
+    Of the multipliers at the output of the first ``upto`` layers, seen as embeddings, only the part ``inside`` the subspace of
+    ``basis`` (columns) or ``outside`` it is passed on; both parts add up to ``all``.
+    """
+    if part not in ("all", "inside", "outside"):
+        raise ValueError("part is all, inside or outside")
+    lift = np.concatenate([model.components, np.eye(len(model.mean))]) * model.std  # embeddings to vectors
+    embed = np.concatenate([model.components.T, np.eye(len(model.mean)) - model.components.T @ model.components], axis=1) / model.std[:, None]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, base = _arrays(batch.column("vector")), _arrays(batch.column("base"))
+                a, b = forward(x, layers), forward(base, layers)
+                m = backward(np.repeat(layers[-1].weight[:, 0][None], len(x), axis=0), a, b, layers, len(layers) - 1, upto)
+                if part != "all":
+                    inside, outside = split_by_subspace(m @ lift.T, basis)
+                    m = (inside if part == "inside" else outside) @ embed.T
+                m = backward(m, a, b, layers, upto)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(list(m * (x - base)), pa.list_(pa.float64()))], names=["id", "a"])
+
+    return pairs.select("id", *[F.col(c).cast("array<double>").alias(c) for c in ("vector", "base")]).mapInArrow(run, "id long, a array<double>")

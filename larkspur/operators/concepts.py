@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -11,7 +12,9 @@ from pyspark.sql import functions as F
 
 from larkspur.operators import motifs as M
 from larkspur.operators import sequences as S
-from larkspur.operators.intervals import keep_frequent
+from larkspur.operators.intervals import center_regions, keep_frequent, random_regions, track_values
+from larkspur.operators.relational import numbered
+from larkspur.sources.storage import stored
 
 ROLES = ("test", "control", "permuted")
 
@@ -29,6 +32,7 @@ class ConceptBuilder:
     seed: int = 1
     least: int = 1
     parts: list[DataFrame] = field(default_factory=list)
+    tracks: list[DataFrame] = field(default_factory=list)
 
     def __post_init__(self) -> None:
         self.parts.append(self._tagged(S.drop_unclean(self.control), "control", "control"))
@@ -36,19 +40,64 @@ class ConceptBuilder:
     def _tagged(self, rows: DataFrame, concept: str, role: str) -> DataFrame:
         return rows.select(F.lit(concept).alias("concept"), F.lit(role).alias("role"), F.col("seq_id").cast("long").alias("seq_id"), "seq")
 
-    def add_motif(self, name: str, matrix: np.ndarray, permuted: bool = False) -> "ConceptBuilder":
-        """A concept of a position probability matrix, and if asked its control with the positions permuted."""
+    @classmethod
+    def from_genome(cls, sizes: DataFrame, genome: DataFrame, window: int, n: int, seed: int = 1, **kept) -> "ConceptBuilder":
+        """With a control of ``n`` random windows of the genome; those with unknown bases are left out."""
+        regions = random_regions(sizes, window, n, f"{seed}:control")
+        control = S.region_sequences(regions, genome).select(F.col("region_id").alias("seq_id"), "seq")
+        return cls(stored(control, "control"), seed=seed, **kept)
+
+    def add_motif(self, name: str, matrix: np.ndarray | Sequence[np.ndarray], permuted: bool = False) -> "ConceptBuilder":
+        """A concept of a position probability matrix or of several variants, and if asked its control with the positions permuted."""
         name = name.replace("/", "-")
-        pairs = [(name, "test", matrix)]
+        variants = [np.asarray(m, float) for m in ([matrix] if np.ndim(matrix[0][0]) == 0 else matrix)]
+        pairs = [(name, "test", variants)]
         if permuted:
             rng = S.seeded(self.seed, name)
-            order = next(o for o in (rng.permutation(len(matrix)) for _ in range(M.ATTEMPTS)) if (o != np.arange(len(matrix))).mean() >= 0.3)
-            pairs.append((f"{name}_permuted", "permuted", np.asarray(matrix)[order]))
+            pairs.append((f"{name}_permuted", "permuted", [M.permuted_matrix(m, rng) for m in variants]))
         for concept, role, each in pairs:
             made = S.with_motifs(S.drop_unclean(self.control), each, self.motifs_per_sequence, *self.buffers, self.seed)
             self.parts.append(self._tagged(made, concept, role))
         return self
 
+    def add_meme_motifs(self, pwm: DataFrame, names: Sequence[str] | None = None, reverse: bool = True, permuted: bool = False) -> "ConceptBuilder":
+        """A concept for each motif of ``motif, pos, a, c, g, t``, or the named ones, with its reverse complement if asked."""
+        for name, matrix in sorted(M.matrices(pwm if names is None else pwm.filter(F.col("motif").isin(list(names)))).items()):
+            self.add_motif(name, [matrix, matrix[::-1, ::-1]] if reverse else [matrix], permuted)
+        return self
+
+    def add_custom_motifs(self, consensus: DataFrame, reverse: bool = True, permuted: bool = False) -> "ConceptBuilder":
+        """A concept for each name of ``motif, consensus``; its consensus strings are the variants."""
+        both = M.with_reverse_complements(consensus) if reverse else consensus
+        rows = both.groupBy("motif").agg(F.array_sort(F.collect_set(F.upper("consensus"))).alias("variants")).limit(M.MOTIFS + 1).collect()
+        if len(rows) > M.MOTIFS:
+            raise ValueError(f"more than {M.MOTIFS} motifs")
+        for r in sorted(rows):
+            self.add_motif(r.motif, [M.consensus_matrix(x) for x in r.variants], permuted)
+        return self
+
+    def add_regions(self, regions: DataFrame, genome: DataFrame, window: int) -> "ConceptBuilder":
+        """Concepts of regions ``concept, chrom, start, stop`` and perhaps ``strand``: the genome's sequences in windows around their middles."""
+        centred = center_regions(regions.select(*[c for c in ("concept", "chrom", "start", "stop", "strand") if c in regions.columns]).distinct(), window)
+        found = S.region_sequences(centred, genome)
+        return self.add_sequences(found.withColumn("seq_id", F.xxhash64("chrom", "start")))
+
+    def add_tracks(self, regions: DataFrame, signal: DataFrame, window: int) -> "ConceptBuilder":
+        """Concepts of signal: the control's sequences, each with the ``track`` of one of the concept's regions, paired in order.
+
+        Pairs end with the shorter side; concepts with too few regions are left out.
+        """
+        kept = keep_frequent(center_regions(regions.select("concept", "chrom", "start", "stop").distinct(), window).filter("start >= 0"), "concept", self.least)
+        tracks = numbered(track_values(kept, signal), "chrom", "start", by=["concept"]).select("concept", "ordinal", "track")
+        control = numbered(S.drop_unclean(self.control).select(F.col("seq_id").cast("long").alias("seq_id"), "seq"), "seq_id")
+        self.tracks.append(control.join(tracks, "ordinal").select("concept", F.lit("test").alias("role"), "seq_id", "seq", "track"))
+        return self
+
+    def apply_transform(self, transform: Callable[[DataFrame], DataFrame]) -> "ConceptBuilder":
+        """A function of DataFrames over all samples so far; it keeps the columns ``concept, role, seq_id, seq``."""
+        self.parts = [transform(p) for p in self.parts]
+        return self
+
     def add_sequences(self, rows: DataFrame) -> "ConceptBuilder":
         """Concepts of ``concept, seq_id, seq``; those with too few clean samples are left out."""
         kept = keep_frequent(S.drop_unclean(rows), "concept", self.least)
@@ -64,6 +113,10 @@ class ConceptBuilder:
     def samples(self) -> DataFrame:
         return reduce(lambda a, b: a.unionByName(b), self.parts)
 
+    def paired_tracks(self) -> DataFrame:
+        """``concept, role, seq_id, seq, track`` of the concepts of signal."""
+        return reduce(lambda a, b: a.unionByName(b), self.tracks)
+
     def for_components(self) -> DataFrame:
         return self.samples().filter(F.col("role") != "permuted")
 

@@ -7,9 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from larkspur.functions.hashing import uniform
+from larkspur.operators.relational import numbered
 
 #: Positions of a bin: the unit in which a chromosome is cut for windows and range joins.
 BIN = 1 << 16
+#: Points that one window runs over when they are smoothed.
+RUN = 1 << 12
 
 
 def center_regions(regions: DataFrame, window: int) -> DataFrame:
@@ -79,9 +82,33 @@ def first_wins(regions: DataFrame, *tie: str) -> DataFrame:
 
 
 def moving_average(points: DataFrame, width: int = 10) -> DataFrame:
-    """``smooth``: the sum of ``width`` neighbouring values in a block over ``width``, zeros beyond its ends."""
-    frame = W.partitionBy("chrom", "block").orderBy("start").rowsBetween(-(width // 2), width - width // 2 - 1)
-    return points.withColumn("smooth", F.sum("value").over(frame) / width)
+    """``smooth``: the sum of ``width`` neighbouring values in a block over ``width``, zeros beyond its ends.
+
+    Points are numbered within their block and cut into runs of ``RUN``; the few at a border are copied to the run beyond it, so
+    a window holds a run, however long the block.
+    """
+    before, after = width // 2, width - width // 2 - 1
+    if width > RUN:
+        raise ValueError(f"windows have at most {RUN} points")
+    own, at = F.floor(F.col("ordinal") / RUN), F.col("ordinal") % RUN
+    runs = F.array_compact(F.array(own, F.when(at < after, own - 1), F.when(at >= RUN - before, own + 1)))
+    copied = numbered(points, "start", by=["chrom", "block"]).withColumn("run", F.explode(runs))
+    frame = W.partitionBy("chrom", "block", "run").orderBy("ordinal").rowsBetween(-before, after)
+    return copied.withColumn("smooth", F.sum("value").over(frame) / width).filter(F.col("run") == own).drop("run", "ordinal")
+
+
+def track_values(regions: DataFrame, signal: DataFrame) -> DataFrame:
+    """Regions with ``track``, a value per base, from ``signal(chrom, start, stop, value)`` of intervals that don't overlap;
+    0 where there is none. Intervals meet regions by an equi-join on bins; what is gathered for a region lies within it."""
+    spread = lambda a, b: F.explode(F.sequence(F.floor(a / BIN), F.floor((b - 1) / BIN)))
+    left = regions.filter("start < stop").withColumn("bin", spread(F.col("start"), F.col("stop")))
+    right = signal.filter("start < stop").select("chrom", F.col("start").alias("from"), F.col("stop").alias("to"), "value").withColumn("bin", spread(F.col("from"), F.col("to")))
+    met = left.join(right, ["chrom", "bin"], "left").withColumn("piece", F.when((F.col("from") < F.col("stop")) & (F.col("to") > F.col("start")), F.struct(F.greatest("from", "start").alias("a"), F.least("to", "stop").alias("b"), F.col("value").cast("double").alias("v"))))
+    pieces = met.groupBy(*regions.columns).agg(F.array_sort(F.collect_set("piece")).alias("pieces"))
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
+    start = F.struct(F.col("start").alias("at"), F.array().cast("array<double>").alias("done"))
+    walked = F.aggregate("pieces", start, lambda x, p: F.struct(p["b"].alias("at"), F.concat(x["done"], zeros(p["a"] - x["at"]), F.array_repeat(p["v"], (p["b"] - p["a"]).cast("int"))).alias("done")))
+    return pieces.withColumn("walked", walked).select(*regions.columns, F.concat("walked.done", zeros(F.col("stop") - F.col("walked.at"))).alias("track"))
 
 
 def range_join(regions: DataFrame, points: DataFrame) -> DataFrame:

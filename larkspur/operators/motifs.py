@@ -3,7 +3,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,8 @@ from larkspur.functions.sequence import reverse_complement
 BASES = ("a", "c", "g", "t")
 #: Draws after which a permutation that moves too few letters is an error.
 ATTEMPTS = 100
+#: Motifs whose matrices may be gathered on the driver.
+MOTIFS = 10_000
 
 
 def entropy_term(p: Column) -> Column:
@@ -70,26 +73,58 @@ def sampled(pwm: DataFrame, draws: int, seed: str) -> DataFrame:
 
 
 def permuted(consensus: DataFrame, least_moved: float, seed: str, attempts: int = ATTEMPTS) -> DataFrame:
-    """``motif, consensus, permuted, moved``: the first permutation that moves at least that share of letters."""
-    tries = consensus.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))))
-    letters = tries.select("*", F.posexplode(F.split("consensus", "")).alias("pos", "letter"))
-    key = shuffle_key(seed, F.col("motif"), F.col("pos"), F.col("attempt"))
-    made = letters.groupBy("motif", "consensus", "attempt").agg(F.array_sort(F.collect_list(F.struct(key.alias("key"), "pos", "letter"))).alias("x"))
-    made = made.withColumn("moved", F.aggregate(F.transform("x", lambda x, i: (x["pos"] != i).cast("int")), F.lit(0), lambda a, b: a + b) / F.size("x")).filter(F.col("moved") >= least_moved)
-    first = made.groupBy("motif", "consensus").agg(F.min_by(F.struct("x", "moved"), "attempt").alias("best"))
-    return first.select("motif", "consensus", F.array_join(F.transform("best.x", lambda x: x["letter"]), "").alias("permuted"), F.col("best.moved").alias("moved"))
+    """``motif, consensus, permuted, moved``: the first permutation that moves at least that share of letters.
+
+    Attempts are made one after another, in the motif's own row; an error if all ``attempts`` fail.
+    """
+    letters = F.split("consensus", "")
+
+    def attempt(k: Column) -> Column:
+        order = F.array_sort(F.transform(letters, lambda c, i: F.struct(shuffle_key(seed, F.col("motif"), i, k).alias("key"), i.alias("pos"), c.alias("letter"))))
+        moved = F.aggregate(F.transform(order, lambda x, i: (x["pos"] != i).cast("int")), F.lit(0), lambda a, b: a + b) / F.size(letters)
+        return F.struct(F.array_join(F.transform(order, lambda x: x["letter"]), "").alias("permuted"), moved.alias("moved"))
+
+    none = F.struct(F.lit(None).cast("string").alias("permuted"), F.lit(-1.0).alias("moved"))
+    best = F.aggregate(F.sequence(F.lit(0), F.lit(attempts - 1)), none, lambda x, k: F.when(x["moved"] >= least_moved, x).otherwise(attempt(k)))
+    failed = F.raise_error(F.concat(F.lit(f"no permutation in {attempts} moves enough letters of "), F.col("motif")))
+    return consensus.withColumn("best", best).select("motif", "consensus", F.when(F.col("best.moved") >= least_moved, F.col("best.permuted")).otherwise(failed).alias("permuted"), F.col("best.moved").alias("moved"))
+
+
+def merged_consensus(tables: Sequence[DataFrame]) -> DataFrame:
+    """``motif, consensus`` of several tables one after another, upper-cased; a name may come from several."""
+    rows = reduce(lambda a, b: a.unionByName(b), [t.select("motif", "consensus") for t in tables])
+    return rows.withColumn("consensus", F.upper("consensus"))
+
+
+def matrices(pwm: DataFrame) -> dict[str, np.ndarray]:
+    """Matrices by motif, places by letters, on the driver; an error beyond ``MOTIFS`` of them."""
+    rows = pwm.groupBy("motif").agg(F.array_sort(F.collect_list(F.struct("pos", *BASES))).alias("rows")).limit(MOTIFS + 1).collect()
+    if len(rows) > MOTIFS:
+        raise ValueError(f"more than {MOTIFS} motifs")
+    return {r.motif: np.array([[x[b] for b in BASES] for x in r.rows], float) for r in rows}
+
+
+def consensus_matrix(consensus: str) -> np.ndarray:
+    """The matrix that always gives this string; an error for other letters than A, C, G, T."""
+    return np.eye(4)[["ACGT".index(c) for c in consensus.upper()]]
+
+
+def permuted_matrix(matrix: np.ndarray, rng: np.random.Generator, least_moved: float = 0.3) -> np.ndarray:
+    """Its places in another order, in which at least that share of them move; an error after ``ATTEMPTS``."""
+    for _ in range(ATTEMPTS):
+        order = rng.permutation(len(matrix))
+        if (order != np.arange(len(matrix))).mean() >= least_moved:
+            return np.asarray(matrix)[order]
+    raise ValueError(f"no permutation in {ATTEMPTS} moves enough places")
 
 
 def pssm_hits(sequences: DataFrame, pwm: DataFrame, threshold: float = 2.0, floor: float = 1e-3) -> DataFrame:
     """``seq_id, motif, hits``: windows on either strand whose log-odds against even letters reach ``threshold``.
 
-    The matrices, a few numbers per motif, are gathered and sent to the tasks; sequences stay where they
+    The matrices, a few numbers for each of at most ``MOTIFS`` motifs, are gathered and sent to the tasks; sequences stay where they
     are, and their windows are scored together, batch by batch. Windows with other letters don't count.
     """
-    matrices: dict[str, np.ndarray] = {}
-    for r in pwm.orderBy("motif", "pos").collect():
-        row = np.log2(np.maximum([[r.a, r.c, r.g, r.t]], floor) / 0.25)
-        matrices[r.motif] = np.concatenate([matrices[r.motif], row]) if r.motif in matrices else row
+    odds = {motif: np.log2(np.maximum(m, floor) / 0.25) for motif, m in sorted(matrices(pwm).items())}
     code = np.full(256, 4, np.int8)
     code[list(b"ACGT")] = range(4)
 
@@ -99,7 +134,7 @@ def pssm_hits(sequences: DataFrame, pwm: DataFrame, threshold: float = 2.0, floo
             flat, sizes = code[np.frombuffer(b"".join(texts), np.uint8)], np.array([len(t) for t in texts], np.int64)
             ends = np.repeat(np.cumsum(sizes), sizes)
             row = np.repeat(np.arange(len(texts)), sizes)
-            for motif, m in matrices.items():
+            for motif, m in odds.items():
                 width, n = len(m), max(0, len(flat) - len(m) + 1)
                 inside = np.arange(n) + width <= ends[:n]
                 hits = np.zeros(len(texts), np.int64)

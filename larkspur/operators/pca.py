@@ -104,12 +104,23 @@ def subspace(directions: np.ndarray, tolerance: float = 1e-10) -> np.ndarray:
     return u[:, s > tolerance * max(1.0, s[0] if len(s) else 0)]
 
 
-def average_linkage_order(similarity: np.ndarray) -> list[int]:
-    """Leaf order of average-linkage clustering of a small similarity matrix (concepts by concepts)."""
+def restored(embedded: DataFrame, model: Model) -> DataFrame:
+    """``id, vector`` of ``id, emb``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            back = restore(_matrix(batch.column("emb")), model) if batch.num_rows else np.zeros((0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(list(back), pa.list_(pa.float64()))], names=["id", "vector"])
+
+    return embedded.select("id", F.col("emb").cast("array<double>").alias("emb")).mapInArrow(run, "id long, vector array<double>")
+
+
+def _merges(similarity: np.ndarray) -> list[tuple[float, list[list[int]]]]:
+    """Average linkage of a small similarity matrix: each merge's distance and the clusters then left, in order of leaves."""
     distance = 1 - similarity.astype(float)
     np.fill_diagonal(distance, np.inf)
     leaves: list[list[int]] = [[i] for i in range(len(distance))]
-    live = list(range(len(distance)))
+    live, steps = list(range(len(distance))), []
     while len(live) > 1:
         sub = distance[np.ix_(live, live)]
         i, j = np.unravel_index(sub.argmin(), sub.shape)
@@ -118,6 +129,24 @@ def average_linkage_order(similarity: np.ndarray) -> list[int]:
         distance[a] = (na * distance[a] + nb * distance[b]) / (na + nb)
         distance[:, a] = distance[a]
         distance[a, a] = np.inf
-        leaves[a] += leaves[b]
+        leaves[a] = leaves[a] + leaves[b]
         live.remove(b)
-    return leaves[live[0]] if live else []
+        steps.append((float(sub.min()), [leaves[x] for x in live]))
+    return steps
+
+
+def average_linkage_order(similarity: np.ndarray) -> list[int]:
+    """Leaf order of average-linkage clustering of a small similarity matrix (concepts by concepts)."""
+    steps = _merges(similarity)
+    return steps[-1][1][0] if steps else list(range(len(similarity)))
+
+
+def clusters(similarity: np.ndarray, most: int) -> list[int]:
+    """Cluster numbers from 0, by smallest member, when average linkage has come down to ``most`` clusters."""
+    groups = [[i] for i in range(len(similarity))]
+    for _, left in _merges(similarity):
+        if len(groups) <= most:
+            break
+        groups = left
+    number = {i: k for k, g in enumerate(sorted(groups, key=min)) for i in g}
+    return [number[i] for i in range(len(similarity))]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,23 +10,31 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from larkspur.functions.hashing import shuffle_key
-
-#: Keys of a bin when rows are numbered.
-BIN = 1 << 14
-
+from larkspur.sources.storage import stored
 
 def left_joined(tables: list[DataFrame], on: str) -> DataFrame:
     return reduce(lambda left, right: left.join(right, on, "left"), tables)
 
 
-def numbered(rows: DataFrame, key: str, *tie: str) -> DataFrame:
-    """With ``ordinal`` from 0 in the order of an integer key: bins of keys carry their counts forward and
-    rows are numbered within a bin, so no task sorts the table."""
-    binned = rows.withColumn("bin", F.floor(F.col(key) / BIN))
-    before = W.orderBy("bin").rowsBetween(W.unboundedPreceding, -1)  # a row per bin
-    offsets = binned.groupBy("bin").count().select("bin", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
-    within = F.row_number().over(W.partitionBy("bin").orderBy(key, *tie)) - 1
-    return binned.join(offsets, "bin").withColumn("ordinal", (F.col("offset") + within).cast("long")).drop("bin", "offset")
+def same(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """An equi-join in which nulls are equal; ``on`` has the columns of both, kept once."""
+    other = right.withColumnsRenamed({c: f"{c}__right" for c in on})
+    met = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{c}__right")) for c in on])
+    return left.join(other, met).drop(*[f"{c}__right" for c in on])
+
+
+def numbered(rows: DataFrame, key: str, *tie: str, by: Sequence[str] = ()) -> DataFrame:
+    """With ``ordinal`` from 0 in the order of ``key`` and ``tie``, in each group of ``by`` if given.
+
+    Rows are cut by quantiles of the key into as many ranges as there are shuffle partitions, and stored; ranges carry
+    their counts forward and rows are numbered within a range, so no task sorts the table or a whole group.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stored(rows.repartitionByRange(parts, key, *tie).withColumn("range__", F.spark_partition_id()), "ranges")
+    before = W.partitionBy(*by).orderBy("range__").rowsBetween(W.unboundedPreceding, -1)  # a row per range and group
+    offsets = ranged.groupBy(*by, "range__").count().select(*by, "range__", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset__"))
+    within = F.row_number().over(W.partitionBy(*by, "range__").orderBy(key, *tie)) - 1
+    return same(ranged.withColumn("within__", within), offsets, [*by, "range__"]).withColumn("ordinal", (F.col("offset__") + F.col("within__")).cast("long")).drop("range__", "offset__", "within__")
 
 
 def zipped(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -65,9 +74,16 @@ def whole_batches(rows: DataFrame, size: int) -> DataFrame:
 
 def split_by_hash(rows: DataFrame, by: str, key: Column, test_share: float, seed: str) -> DataFrame:
     """With ``split``: of each class, the first share in hash order is ``test``, rounded up, the rest ``train``."""
-    nth = F.row_number().over(W.partitionBy(by).orderBy(shuffle_key(seed, key), key))
-    size = F.count(F.lit(1)).over(W.partitionBy(by))
-    return rows.withColumn("split", F.when(nth <= F.ceil(size * test_share), "test").otherwise("train"))
+    keyed = rows.withColumns({"hash__": shuffle_key(seed, key), "key__": key})
+    sizes = rows.groupBy(by).agg(F.count(F.lit(1)).alias("size__"))
+    placed = same(numbered(keyed, "hash__", "key__", by=[by]), sizes, [by])
+    split = F.when(F.col("ordinal") < F.ceil(F.col("size__") * test_share), "test").otherwise("train")
+    return placed.withColumn("split", split).drop("hash__", "key__", "size__", "ordinal")
+
+
+def epochs(rows: DataFrame, n: int, key: str, seed: str) -> DataFrame:
+    """``n`` epochs of all rows: ``epoch`` from 0, and ``turn``, a hash that gives each epoch an order of its own."""
+    return repeated(rows, n).withColumnRenamed("k", "epoch").withColumn("turn", shuffle_key(seed, F.col("epoch"), F.col(key)))
 
 
 def sampled(rows: DataFrame, key: str, n: int, seed: str) -> DataFrame:

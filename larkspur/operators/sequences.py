@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -106,21 +107,48 @@ def insert_motif(seq: str, draw, width: int, count: int, start_buffer: int, end_
     return "".join(bases), places
 
 
-def with_motifs(rows: DataFrame, probabilities: np.ndarray, count: int, start_buffer: int = 0, end_buffer: int = 0, seed: int = 1) -> DataFrame:
-    """``seq_id, seq, places``: motif instances drawn from a position probability matrix into every sequence."""
-    cumulative, width = np.cumsum(probabilities, axis=1), len(probabilities)
+def with_motifs(rows: DataFrame, probabilities: np.ndarray | Sequence[np.ndarray], count: int, start_buffer: int = 0, end_buffer: int = 0, seed: int = 1) -> DataFrame:
+    """``seq_id, seq, places``: motif instances drawn from a position probability matrix into every sequence.
 
-    def draw(rng: np.random.Generator) -> str:
-        return "".join("ACGT"[min(3, int((u >= row).sum()))] for u, row in zip(rng.random(width), cumulative))
+    Of several matrices, the variants of a motif, each sequence gets one by its hash.
+    """
+    one = isinstance(probabilities, np.ndarray) or np.ndim(probabilities[0][0]) == 0
+    variants = [np.cumsum(m, axis=1) for m in ([probabilities] if one else probabilities)]
+
+    def made(key, seq: str | None) -> tuple[str, list[int]]:
+        rng = seeded(seed, key)
+        cumulative = variants[int(rng.integers(len(variants))) if len(variants) > 1 else 0]
+        draw = lambda rng: "".join("ACGT"[min(3, k)] for k in (rng.random(len(cumulative))[:, None] >= cumulative).sum(axis=1))
+        return insert_motif(seq or "", draw, len(cumulative), count, start_buffer, end_buffer, rng)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            made = [insert_motif(s or "", draw, width, count, start_buffer, end_buffer, seeded(seed, i)) for i, s in zip(part.seq_id, part.seq)]
-            yield pd.DataFrame({"seq_id": part.seq_id, "seq": [s for s, _ in made], "places": [p for _, p in made]})
+            out = [made(i, s) for i, s in zip(part.seq_id, part.seq)]
+            yield pd.DataFrame({"seq_id": part.seq_id, "seq": [s for s, _ in out], "places": [p for _, p in out]})
 
     return rows.select("seq_id", "seq").mapInPandas(run, "seq_id long, seq string, places array<int>")
 
 
+def kmer_shares(rows: DataFrame, k: int = 3) -> DataFrame:
+    """``seq_id, vector``: the shares of all ``4**k`` strings of A, C, G, T among a sequence's; zeros if it has none."""
+    code = np.full(256, -1, np.int64)
+    code[list(b"ACGT")] = range(4)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for x in batch.column("seq"):
+                letters = code[np.frombuffer((x.as_py() or "").encode(), np.uint8)]
+                n = max(0, len(letters) - k + 1)
+                parts = [letters[i : i + n] for i in range(k)]
+                clean = np.all([p >= 0 for p in parts], axis=0) if n else np.zeros(0, bool)
+                number = sum(p[clean] * 4 ** (k - 1 - i) for i, p in enumerate(parts)) if n else np.zeros(0, np.int64)
+                out.append(np.bincount(number, minlength=4**k) / max(1, len(number)))
+            yield pa.RecordBatch.from_arrays([batch.column("seq_id"), pa.array(out, pa.list_(pa.float64()))], names=["seq_id", "vector"])
+
+    return rows.select(F.col("seq_id").cast("long").alias("seq_id"), "seq").mapInArrow(run, "seq_id long, vector array<double>")
+
+
 def dinucleotide_shuffled(seq: str, rng: np.random.Generator) -> str:
     """A random sequence with the same pairs of neighbours, hence the same ends.
 

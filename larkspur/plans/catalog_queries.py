@@ -10,7 +10,9 @@ from larkspur.operators import intervals as I
 from larkspur.operators import metrics as X
 from larkspur.operators import motifs as M
 from larkspur.operators import relational as R
+from larkspur.operators import sequences as S
 from larkspur.plans import proxies as P
+from larkspur.sources.files import folder_names
 from larkspur.sources.storage import table
 
 
@@ -27,13 +29,12 @@ def a10_missing_tracks(spark, sf_dir):
 
 def a14_merge_consensus(spark, sf_dir):
     rows = P.motifs(spark, sf_dir)
-    return rows.unionByName(rows.withColumn("motif", F.concat("motif", F.lit("_b")))).withColumn("consensus", F.upper("consensus"))
+    return M.merged_consensus([rows, rows.withColumn("motif", F.concat("motif", F.lit("_b")))])
 
 
 def a16_folder_names(spark, sf_dir):
     folder = F.concat(F.regexp_replace("source", "src", "control_rep1_insert_"), F.lit("_control_"), F.col("lang"))
-    parts = F.split(folder, "_control_")
-    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(parts[0], "control_rep[0-9]_insert_", "").alias("concept"), parts[1].alias("control"))
+    return table(spark, sf_dir, "documents").select("doc_id", *folder_names(folder))
 
 
 def a17_glob_names(spark, sf_dir):
@@ -62,8 +63,10 @@ def b23_base64(spark, sf_dir):
 
 def c9_clean_region_sequences(spark, sf_dir):
     """Sequences of regions: those of unknown bases, of no bases or beyond their text are left out."""
-    rows = P.sequences(spark, sf_dir).withColumn("seq", F.when(F.col("seq_id") % 7 == 0, F.lit("ACGN")).otherwise(F.col("seq")))
-    return rows.filter(E.is_clean(F.col("seq")) & (F.length("seq") >= 50)).select("seq_id", F.substring("seq", 11, 40).alias("seq"))
+    rows = P.sequences(spark, sf_dir).withColumn("seq", F.when(F.col("seq_id") % 7 == 0, F.concat(F.repeat(F.lit("ACGN"), 12), "seq")).otherwise(F.col("seq")))
+    regions = rows.select("seq_id", F.col("seq_id").cast("string").alias("chrom"), F.lit(10).cast("long").alias("start"), F.lit(50).cast("long").alias("stop"))
+    genome = rows.select(F.col("seq_id").cast("string").alias("chrom"), F.lit(0).cast("long").alias("chunk_start"), "seq").filter("seq <> ''")
+    return S.drop_unclean(S.region_sequences(regions, genome)).select("seq_id", "seq")
 
 
 def d4_motif_lookup(spark, sf_dir):
@@ -73,8 +76,10 @@ def d4_motif_lookup(spark, sf_dir):
 
 
 def e10_line_or_zero(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("name"), F.lit(1.0).alias("x"), F.col("n_chars").cast("double").alias("y"))
-    return X.line_fit(rows, "x", "y", "name").select("name", "slope", "intercept", "r2")
+    """Lines of length by id; the sources whose name ends in 0 have one point of x only, and so no line."""
+    x = F.when(F.endswith("source", F.lit("0")), F.lit(1.0)).otherwise(F.col("doc_id").cast("double"))
+    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("name"), x.alias("x"), F.col("n_chars").cast("double").alias("y"))
+    return X.line_fit(rows, "x", "y", "name").select("name", *[F.round(c, 5).alias(c) for c in ("slope", "intercept", "r2")])
 
 
 def e17_reduce_attributions(spark, sf_dir):
@@ -118,8 +123,8 @@ def g10_sample_cap(spark, sf_dir):
 
 
 def g11_argsort(spark, sf_dir):
-    order = W.partitionBy("lang").orderBy("n_chars", "doc_id")
-    return table(spark, sf_dir, "documents").select("lang", "doc_id", F.row_number().over(order).alias("place"))
+    rows = R.numbered(table(spark, sf_dir, "documents").select("lang", "doc_id", "n_chars"), "n_chars", "doc_id", by=["lang"])
+    return rows.select("lang", "doc_id", (F.col("ordinal") + 1).alias("place"))
 
 
 def g12_natural_order(spark, sf_dir):
@@ -164,7 +169,7 @@ ORACLE_SQL = {
     "b23_base64": "SELECT page_id, md5(to_base64(encode(url))) AS uri_md5 FROM pages",
     "c9_clean_region_sequences": f"WITH {P.SEQUENCES} SELECT seq_id, substr(seq, 11, 40) AS seq FROM seqs WHERE seq_id % 7 <> 0 AND length(seq) >= 50",
     "d4_motif_lookup": f"WITH {P.PWM}, i AS (SELECT motif, count(*) AS len, sum(2.0::DOUBLE + " + " + ".join(f"CASE WHEN {b} > 0 THEN {b} * log2({b}) ELSE 0.0::DOUBLE END" for b in M.BASES) + ") AS ic FROM pwm GROUP BY motif), c AS (SELECT lang AS motif, count(*) AS n FROM documents GROUP BY lang) SELECT c.motif, n, len, round(ic, 6) AS ic FROM c JOIN i ON c.motif = i.motif",
-    "e10_line_or_zero": "SELECT source AS name, 0.0::DOUBLE AS slope, 0.0::DOUBLE AS intercept, 0.0::DOUBLE AS r2 FROM documents GROUP BY source",
+    "e10_line_or_zero": "WITH p AS (SELECT source AS name, CASE WHEN source LIKE '%0' THEN 1.0::DOUBLE ELSE doc_id::DOUBLE END AS x, n_chars::DOUBLE AS y FROM documents), m AS (SELECT name, avg(x) AS mx, avg(y) AS my FROM p GROUP BY name), c AS (SELECT p.name, any_value(mx) AS mx, any_value(my) AS my, sum((x - mx) * (x - mx)) AS xx, sum((x - mx) * (y - my)) AS xy, sum((y - my) * (y - my)) AS yy FROM p JOIN m ON p.name = m.name GROUP BY p.name) SELECT name, round(coalesce(xy / nullif(xx, 0), 0), 5) AS slope, round(coalesce(my - xy / nullif(xx, 0) * mx, 0), 5) AS intercept, round(CASE WHEN xx = 0 THEN 0.0::DOUBLE WHEN yy = 0 THEN 1.0::DOUBLE ELSE xy * xy / (xx * yy) END, 5) AS r2 FROM c",
     "e17_reduce_attributions": "WITH t AS (SELECT label, vec_id, unnest(embedding)::DOUBLE AS v FROM embeddings), s AS (SELECT label, vec_id, sum(v) AS total FROM t GROUP BY 1, 2) SELECT label, round(avg(total), 6) AS mean_total FROM s GROUP BY label",
     "e18_mean_predictions": f"WITH {P.PREDICTIONS} SELECT truth, round(avg(pred::DOUBLE), 6) AS mean_pred FROM pr GROUP BY truth",
     "f5_fscore_threshold": f"WITH {P.PREDICTIONS}, f AS (SELECT source, coalesce(2.0::DOUBLE * count(*) FILTER (pred = 1 AND truth = 1) / nullif(count(*) FILTER (pred = 1) + count(*) FILTER (truth = 1), 0), 0) AS f FROM pr GROUP BY source) SELECT source, round(f, 6) AS fscore FROM f WHERE f >= 0.9::DOUBLE",

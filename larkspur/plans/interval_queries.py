@@ -47,9 +47,8 @@ def f6_moving_average(spark, sf_dir):
 
 
 def f3_position_bins(spark, sf_dir):
-    longest = P.sequences(spark, sf_dir).agg(F.max(F.length("seq")).alias("w"))
-    edges = longest.select("w", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("i")).select("w", F.floor(F.col("w") * F.col("i") / 5).alias("edge"))
-    return edges.select("edge").join(edges.select((F.col("edge")).alias("low"), "w"), F.col("edge") > F.col("low")).groupBy("edge", "w").agg(F.max("low").alias("start_buffer")).select("start_buffer", (F.col("w") - F.col("edge")).alias("end_buffer"))
+    width = P.sequences(spark, sf_dir).agg(F.max(F.length("seq")).alias("w")).first().w
+    return I.edge_bins(spark.createDataFrame([(width * i // 5,) for i in range(6)], "edge long"), width)
 
 
 def d6_range_join(spark, sf_dir):

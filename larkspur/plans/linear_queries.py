@@ -11,9 +11,12 @@ from larkspur.functions.hashing import uniform, uniform_sql
 from larkspur.operators import attribution as A
 from larkspur.operators import classifiers as C
 from larkspur.operators import pca
+from larkspur.operators import sequences as S
 from larkspur.operators import vectors as V
+from larkspur.plans import proxies as P
+from larkspur.plans.run import run_concepts
 from larkspur.plans.scoring import LONG_SQL
-from larkspur.sources.storage import table
+from larkspur.sources.storage import stored, table
 
 COMPONENTS, DIRECTIONS, PER_CONCEPT = 8, 4, 200
 
@@ -93,28 +96,99 @@ def _embedded(spark, sf_dir):
 
 def i5_embeddings(spark, sf_dir):
     _, rows = _embedded(spark, sf_dir)
-    return rows.select("id", F.size("emb").alias("n"), F.round(C.dot("emb", "emb"), 4).alias("square"))
+    return rows.select("id", "emb")
+
+
+def i6_restored(spark, sf_dir):
+    """Vectors from their embeddings."""
+    model, rows = _embedded(spark, sf_dir)
+    back = pca.restored(rows, model)
+    return back.select(F.col("id").alias("vec_id"), F.size("vector").alias("n"), F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
 
 
 def _cavs(spark, sf_dir):
     model, rows = _embedded(spark, sf_dir)
     named = rows.join(_vectors(spark, sf_dir).select("id", "concept"), "id")
-    return model, named, C.train(C.samples_for(named, "0", PER_CONCEPT))
+    return model, named, stored(C.train(C.samples_for(named, "0", PER_CONCEPT)), "directions")
+
+
+MEASURES = ("concept", "fscore", "fscore_macro", "accuracy", "train_fscore", "train_accuracy", "decay")
 
 
 def j1_classifiers(spark, sf_dir):
-    return _cavs(spark, sf_dir)[2].select("concept", "fscore", "fscore_macro", "accuracy", "decay")
+    """Averaged stochastic descent with either penalty."""
+    _, rows, _ = _cavs(spark, sf_dir)
+    samples = stored(C.samples_for(rows, "0", PER_CONCEPT), "samples")
+    both = [C.train(samples, method).select(F.lit(method).alias("penalty"), *MEASURES) for method in ("l2", "l1")]
+    return both[0].unionByName(both[1])
+
+
+def j2_adamw_classifiers(spark, sf_dir):
+    return _cavs(spark, sf_dir)[2].select(*MEASURES)
+
+
+def j5_paired_controls(spark, sf_dir):
+    """Each concept against a control of its own, the next concept."""
+    _, rows = _embedded(spark, sf_dir)
+    named = rows.join(_vectors(spark, sf_dir).select("id", "concept"), "id")
+    names = sorted(r.concept for r in named.select("concept").distinct().collect())
+    pairs = spark.createDataFrame(list(zip(names, names[1:] + names[:1])), "concept string, control string")
+    return C.train(C.samples_for_pairs(named, pairs, PER_CONCEPT)).select(*MEASURES)
+
+
+def j6_layer_output(spark, sf_dir):
+    return A.layer_output(_vectors(spark, sf_dir), network(), 2)
+
+
+def j7_patched_output(spark, sf_dir):
+    """The network's output when its input is put together again from embeddings."""
+    model, rows = _embedded(spark, sf_dir)
+    return A.patched_output(rows, network(), 0, model)
+
+
+def j9_input_attributions(spark, sf_dir):
+    """Attributions of the inputs: in all, through the directions' span at the first layer, and outside it."""
+    rows, layers = _vectors(spark, sf_dir), network()
+    hidden = A.layer_output(rows, layers, 1)
+    model = pca.fit(hidden, COMPONENTS)
+    basis = pca.subspace(np.random.default_rng(4).normal(size=(DIRECTIONS, COMPONENTS + 32)))
+    pairs = rows.withColumn("base", F.array_repeat(F.lit(0.0), 64))
+    total = F.aggregate("a", F.lit(0.0), lambda s, x: s + x)
+    parts = [A.input_attributions(pairs, layers, 1, model, basis, part).select("id", F.lit(part).alias("part"), total.alias("total")) for part in ("all", "inside", "outside")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def i10_cluster_order(spark, sf_dir):
     """Concepts in the order of average-linkage clustering of their directions."""
-    pairs = C.cosine(_cavs(spark, sf_dir)[2]).collect()  # concepts by concepts
+    names, similarity = _similarity(_cavs(spark, sf_dir)[2])
+    return spark.createDataFrame([(k, names[i]) for k, i in enumerate(pca.average_linkage_order(similarity))], "place int, concept string")
+
+
+def _similarity(rows):
+    """A small matrix of ``concept, w``: names and cosines."""
+    pairs = C.cosine(rows).collect()
     names = sorted({r.a for r in pairs})
-    at = {n: i for i, n in enumerate(names)}
-    similarity = np.eye(len(names))
+    at, similarity = {n: i for i, n in enumerate(names)}, np.eye(len(names))
     for r in pairs:
         similarity[at[r.a], at[r.b]] = r.cosine
-    return spark.createDataFrame([(k, names[i]) for k, i in enumerate(pca.average_linkage_order(similarity))], "place int, concept string")
+    return names, similarity
+
+
+def e19_cluster_similarity(spark, sf_dir):
+    """Concepts in at most three clusters of directions, and the mean cosine of vectors with their cluster's directions."""
+    _, rows, cavs = _cavs(spark, sf_dir)
+    names, similarity = _similarity(cavs)
+    of = spark.createDataFrame(list(zip(names, pca.clusters(similarity, 3))), "concept string, cluster int")
+    members = cavs.join(of, "concept").select("cluster", "w")
+    cosine = C.dot("emb", "w") / F.sqrt(C.dot("emb", "emb") * C.dot("w", "w"))
+    return rows.crossJoin(F.broadcast(members)).groupBy("id", "cluster").agg(F.avg(cosine).alias("mean_cosine"))
+
+
+def k5_motif_run(spark, sf_dir):
+    """The whole run over sequences: motifs of two languages put into the sequences of documents, shares of 3-letter strings as activations."""
+    control = P.sequences(spark, sf_dir).filter("length(seq) >= 200").select("seq_id", "seq")
+    pwm = P.pwm(spark, sf_dir).filter("motif IN ('de', 'fr')")
+    return run_concepts(control, pwm, S.kmer_shares, network(), (2, 8), COMPONENTS, PER_CONCEPT)["scores"]
 
 
 def network(inputs: int = 64, hidden: tuple[int, ...] = (32, 16), seed: int = 11) -> list[A.Dense]:
@@ -129,7 +203,7 @@ def _attributed(spark, sf_dir, model):
 
 
 def j8_mlp_attribution(spark, sf_dir):
-    return _attributed(spark, sf_dir, pca.fit(_vectors(spark, sf_dir), COMPONENTS)).select("id", F.size("a").alias("n"), F.round(F.aggregate("a", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+    return _attributed(spark, sf_dir, pca.fit(_vectors(spark, sf_dir), COMPONENTS)).select("id", "a")
 
 
 def i7_cav_subspace(spark, sf_dir):
@@ -153,6 +227,7 @@ ORACLE_SQL = {
     "e1_zscore_stats": f"WITH {L}, {S} SELECT d, round(mean, 6) AS mean, round(std, 6) AS std FROM s",
     "b14_zscores": f"WITH {L}, {S} SELECT vec_id, l.d, round((v - mean) / std, 6) AS z FROM l JOIN s ON l.d = s.d",
     "b15_destandardise": f"WITH {L} SELECT vec_id, round(sum(v), 5) AS total FROM l GROUP BY vec_id",
+    "i6_restored": f"WITH {L} SELECT vec_id, count(*)::INT AS n, round(sum(v), 4) AS total FROM l GROUP BY vec_id",
     "e14_mean_directions": f"WITH {L} SELECT label, d, round(avg(v), 6) AS w FROM l GROUP BY label, d",
     "i9_centroid_cosine": f"WITH {L}, m AS (SELECT label, d, avg(v) AS v FROM l GROUP BY label, d), n AS (SELECT label, sqrt(sum(v * v)) AS n FROM m GROUP BY label), p AS (SELECT x.label AS a, y.label AS b, sum(x.v * y.v) AS dot FROM m x JOIN m y ON x.d = y.d GROUP BY 1, 2) SELECT a, b, round(dot / (x.n * y.n), 6) AS cosine FROM p JOIN n x ON a = x.label JOIN n y ON b = y.label",
     "i8_direction_scores": f"WITH {L}, {AXES} SELECT pc AS concept, vec_id, round(sum(v * w), 6) AS score FROM l JOIN ax ON l.d = ax.d GROUP BY 1, 2",
@@ -163,4 +238,4 @@ ORACLE_SQL = {
       r AS (SELECT *, row_number() OVER (PARTITION BY concept, truth ORDER BY md5(concat_ws(':', '42', id::VARCHAR)), id) AS nth, count(*) OVER (PARTITION BY concept, truth) AS n FROM b)
       SELECT concept, truth, CASE WHEN nth <= ceil(n * 0.1::DOUBLE) THEN 'test' ELSE 'train' END AS split, count(*) AS n, sum(id)::BIGINT AS ids FROM r GROUP BY 1, 2, 3""",
 }
-QUERIES = {name: globals()[name] for name in [*ORACLE_SQL, "i3_pca_variance", "i5_embeddings", "j1_classifiers", "i10_cluster_order", "j8_mlp_attribution", "i7_cav_subspace", "k5_concept_run"]}
+QUERIES = {name: globals()[name] for name in [*ORACLE_SQL, "i3_pca_variance", "i5_embeddings", "j1_classifiers", "j2_adamw_classifiers", "j5_paired_controls", "j6_layer_output", "j7_patched_output", "j9_input_attributions", "e19_cluster_similarity", "k5_motif_run", "i10_cluster_order", "j8_mlp_attribution", "i7_cav_subspace", "k5_concept_run"]}

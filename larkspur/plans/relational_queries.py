@@ -144,9 +144,10 @@ def e20_summary(spark, sf_dir):
 
 
 def f2_label_suffix(spark, sf_dir):
-    nth = F.row_number().over(W.partitionBy("lang", "source").orderBy("doc_id"))
+    rows = R.numbered(_docs(spark, sf_dir).select("doc_id", "lang", "source"), "doc_id", by=["lang", "source"])
+    nth = F.col("ordinal") + 1
     named = F.concat(F.col("lang"), F.lit(" ("), F.col("source"), F.lit(")"), F.when(nth > 1, F.concat(F.lit("_"), nth.cast("string"))).otherwise(""))
-    return _docs(spark, sf_dir).select("doc_id", named.alias("label"))
+    return rows.select("doc_id", named.alias("label"))
 
 
 def f4_cumulative_shares(spark, sf_dir):

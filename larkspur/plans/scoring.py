@@ -34,8 +34,10 @@ def flagship_concept_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     Means and deviations follow from the moments of the classes. Samples stay where they were read: Arrow batches are
     scored as matrices against all directions, and only counts per concept and partition are shuffled.
     """
-    rows = table(spark, sf_dir, "embeddings").filter("embedding IS NOT NULL").select("label", F.col("embedding").cast("array<double>").alias("v"))
+    rows = table(spark, sf_dir, "embeddings").filter("embedding IS NOT NULL AND label IS NOT NULL AND forall(embedding, x -> x IS NOT NULL)").select("label", F.col("embedding").cast("array<double>").alias("v"))
     labels, n, m, q = class_moments(rows)
+    if 0 not in labels:  # no control, no scores
+        return table(spark, sf_dir, "embeddings").sparkSession.createDataFrame([], "concept int, n long, n_pos long, n_neg long, log_ratio double, fscore double")
     mean = (n * m).sum(axis=0) / n.sum(axis=0)
     std = np.sqrt((n * (q + (m - mean) ** 2)).sum(axis=0) / (n.sum(axis=0) - 1))
     std[std == 0] = -1.0

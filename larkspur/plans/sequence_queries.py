@@ -132,11 +132,11 @@ def _inserted(spark, sf_dir):
 
 
 def c3_motif_insertion(spark, sf_dir):
-    return _inserted(spark, sf_dir).select("seq_id", F.length("seq").alias("n"), F.size("places").alias("inserted"))
+    return _inserted(spark, sf_dir).select("seq_id", F.length("seq").alias("n"), F.array_join(F.transform("places", lambda x: x.cast("string")), ",").alias("places"), F.md5("seq").alias("seq_md5"))
 
 
 def c8_dinuc_shuffle(spark, sf_dir):
-    return S.with_shuffles(P.sequences(spark, sf_dir), 2).select("seq_id", "copy", F.length("seq").alias("n"), F.substring("seq", 1, 1).alias("first"), F.substring("seq", -1, 1).alias("last"))
+    return S.with_shuffles(P.sequences(spark, sf_dir), 2).select("seq_id", "copy", F.length("seq").alias("n"), F.md5("seq").alias("seq_md5"))
 
 
 RC = "translate(reverse(seq), 'ACGT', 'TGCA')"

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import bisect
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.operators.intervals import center_regions, moving_average, region_name, with_block
 from larkspur.operators.motifs import meme_text, merged_names, parsed_meme
+from larkspur.operators.sequences import region_sequences
 
 BED3 = "chrom string, start long, stop long"
 BED5 = f"{BED3}, strand string, concept string"
@@ -62,12 +68,68 @@ def read_consensus(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return read_tsv(spark, path, CONSENSUS).withColumn("consensus", F.upper("consensus"))
 
 
+def folder_names(folder: Column) -> list[Column]:
+    """``concept`` and ``control`` of a folder named ``<concept>_control_<control>``; what tells of a replicate is left out."""
+    parts = F.split(F.regexp_replace(folder, "control_rep[0-9]_insert_", ""), "_control_")
+    return [parts[0].alias("concept"), parts[1].alias("control")]
+
+
 def read_prediction_folders(spark: SparkSession, pattern: str) -> DataFrame:
     """Prediction files of folders named ``<concept>_control_<control>``, with both names as columns."""
     folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
     rows = read_tsv(spark, pattern, PREDICTIONS, header=True).select("Pred", "Truth", folder.alias("folder"))
-    parts = F.split("folder", "_control_")
-    return rows.select(parts[0].alias("concept"), parts[1].alias("control"), F.col("Pred").alias("pred"), F.col("Truth").alias("truth"))
+    return rows.select(*folder_names(F.col("folder")), F.col("Pred").alias("pred"), F.col("Truth").alias("truth"))
+
+
+def write_predictions(predictions: DataFrame, path: str) -> None:
+    """``pred, truth`` and any further columns, in a folder for each ``concept`` and ``control``."""
+    predictions.write.mode("overwrite").partitionBy("concept", "control").parquet(path)
+
+
+def write_run(path: str, tables: dict[str, DataFrame]) -> None:
+    """The tables of a run (directions, scores, ...), each a folder of Parquet files under ``path``."""
+    for name, rows in tables.items():
+        rows.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def read_run(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(f"{path}/{name}") for name in names}
+
+
+def read_indexed_fasta(spark: SparkSession, path: str, index: str, chunk: int = CHUNK) -> DataFrame:
+    """``chrom, chunk_start, seq`` of an uncompressed FASTA file with its .fai index, upper-cased, in chunks.
+
+    Lines come with their byte offsets from splits of the file; the index says which record, and where in it, an
+    offset is. So a chromosome is read by many tasks, and only a chunk's lines meet. ``chunk`` is a multiple of the line length.
+    """
+    records = read_tsv(spark, index, FAI).filter("length > 0").collect()  # a row per record, as random access to the file needs
+    if any(chunk % r.line_bases for r in records if r.length > r.line_bases):
+        raise ValueError("chunks are whole lines")
+    records.sort(key=lambda r: r.offset)
+    begins = [r.offset for r in records]
+
+    def placed(pair: tuple[int, str]) -> list[tuple[str, int, str]]:
+        i = bisect.bisect(begins, pair[0]) - 1
+        if i < 0:
+            return []
+        at = (pair[0] - begins[i]) // records[i].line_width * records[i].line_bases
+        return [(records[i].chrom, at, pair[1].strip().upper())] if at < records[i].length and not pair[1].startswith(">") else []
+
+    lines = spark.sparkContext.newAPIHadoopFile(path, "org.apache.hadoop.mapreduce.lib.input.TextInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.Text")
+    rows = spark.createDataFrame(lines.flatMap(placed), "chrom string, at long, line string").withColumn("chunk_start", F.col("at") - F.col("at") % chunk)
+    return rows.groupBy("chrom", "chunk_start").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "").alias("seq"))
+
+
+def read_source(spark: SparkSession, path: str, genome: DataFrame | None = None, window: int | None = None) -> DataFrame:
+    """``name, seq`` by the file's kind: records of ``.fa`` or ``.fasta``, or the ``genome``'s sequences at the regions of a ``.bed``."""
+    if path.endswith((".fa", ".fasta")):
+        return read_fasta_windows(spark, path, window)
+    if path.endswith(".bed") and genome is not None:
+        regions = read_tsv(spark, path, BED3)
+        regions = regions if window is None else center_regions(regions, window)
+        found = region_sequences(regions.distinct(), genome)
+        return found.select(region_name(F.col("chrom"), F.col("start"), F.col("stop")).alias("name"), "seq")
+    raise ValueError("sources are .fa, .fasta, or .bed with a genome")
 
 
 def write_tsv(rows: DataFrame, path: str) -> None:
@@ -80,10 +142,27 @@ def write_bedgraph(signal: DataFrame, path: str) -> None:
 
 
 def write_meme(pwm: DataFrame, path: str, background: float = 0.25) -> None:
-    """A folder of minimal MEME files, each with its own head."""
-    head = "MEME version 4\n\nALPHABET= ACGT\n\nstrands: + -\n\nBackground letter frequencies\n" + " ".join(f"{b} {background}" for b in "ACGT") + "\n\n"
-    texts = meme_text(pwm).groupBy((F.xxhash64("motif") % 1).alias("one")).agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("value"))  # a motif file is one document
-    texts.select(F.concat(F.lit(head), "value").alias("value")).write.mode("overwrite").text(path)
+    """A folder of minimal MEME files, one for each partition of motifs, each with a head."""
+    head = "MEME version 4\n\nALPHABET= ACGT\n\nstrands: + -\n\nBackground letter frequencies\n" + " ".join(f"{b} {background}" for b in "ACGT") + "\n"
+
+    def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for i, batch in enumerate(b for b in batches if b.num_rows):
+            yield pa.RecordBatch.from_arrays([pa.array([head] * (i == 0) + batch.column("text").to_pylist(), pa.string())], names=["value"])
+
+    meme_text(pwm).select("text").mapInArrow(headed, "value string").write.mode("overwrite").text(path)
+
+
+def write_signal(regions: DataFrame, arrays: str, path: str, smooth: bool = False, width: int = 10) -> DataFrame:
+    """Arrays of regions as one bedGraph track: first region wins, and if asked a moving average within each block of bases.
+
+    Returns ``chrom, start, stop, value`` as written.
+    """
+    bases = first_signal(region_signal(regions, arrays))
+    if smooth:
+        joined = bases.withColumn("stop", F.col("stop") + 1)  # neighbours overlap, so a block is a run of bases without a gap
+        bases = moving_average(with_block(joined), width).select("chrom", "start", (F.col("stop") - 1).alias("stop"), F.col("smooth").alias("value"))
+    write_bedgraph(bases, path)
+    return bases
 
 
 def region_signal(regions: DataFrame, arrays: str) -> DataFrame:
