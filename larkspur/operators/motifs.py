@@ -8,7 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -18,6 +18,8 @@ from larkspur.functions.sequence import reverse_complement
 BASES = ("a", "c", "g", "t")
 #: Draws after which a permutation that moves too few letters is an error.
 ATTEMPTS = 100
+#: Draws that are made at once.
+DRAWS = 1_024
 #: Motifs whose matrices may be gathered on the driver.
 MOTIFS = 10_000
 
@@ -72,6 +74,27 @@ def sampled(pwm: DataFrame, draws: int, seed: str) -> DataFrame:
     return each.groupBy("motif", "draw").agg(F.array_join(F.transform(parts, lambda x: x["letter"]), "").alias("seq"))
 
 
+def drawn(spark: SparkSession, matrix: np.ndarray, n: int, seed: int) -> DataFrame:
+    """``draw, seq``: ``n`` draws from one matrix, ``DRAWS`` at a time as arrays; what is left over by rounding is T.
+
+    Every lot has a generator seeded by its number, so results don't depend on partitions.
+    """
+    cumulative, width = np.cumsum(np.asarray(matrix, float), axis=1), len(matrix)
+    letters = np.frombuffer(b"ACGT", np.uint8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lot in batch.column("id").to_pylist():
+                size = min(DRAWS, n - lot * DRAWS)
+                u = np.random.default_rng([seed, lot]).random((size, width))
+                index = sum((u >= cumulative[:, k]).astype(np.uint8) for k in range(3))
+                ends = np.arange(size + 1, dtype=np.int32) * width
+                seqs = pa.StringArray.from_buffers(size, pa.py_buffer(ends), pa.py_buffer(letters[index].tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(size) + lot * DRAWS), seqs], names=["draw", "seq"])
+
+    return spark.range(-(-n // DRAWS)).mapInArrow(run, "draw long, seq string")
+
+
 def permuted(consensus: DataFrame, least_moved: float, seed: str, attempts: int = ATTEMPTS) -> DataFrame:
     """``motif, consensus, permuted, moved``: the first permutation that moves at least that share of letters.
 

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from larkspur.functions.hashing import uniform, uniform_sql
 from larkspur.operators import attribution as A
 from larkspur.operators import classifiers as C
-from larkspur.operators import pca
-from larkspur.operators import sequences as S
+from larkspur.operators import pca, sequences
 from larkspur.operators import vectors as V
 from larkspur.plans import proxies as P
 from larkspur.plans.run import run_concepts
@@ -188,7 +187,7 @@ def k5_motif_run(spark, sf_dir):
     """The whole run over sequences: motifs of two languages put into the sequences of documents, shares of 3-letter strings as activations."""
     control = P.sequences(spark, sf_dir).filter("length(seq) >= 200").select("seq_id", "seq")
     pwm = P.pwm(spark, sf_dir).filter("motif IN ('de', 'fr')")
-    return run_concepts(control, pwm, S.kmer_shares, network(), (2, 8), COMPONENTS, PER_CONCEPT)["scores"]
+    return run_concepts(control, pwm, sequences.kmer_shares, network(), (2, 8), COMPONENTS, PER_CONCEPT)["scores"]
 
 
 def network(inputs: int = 64, hidden: tuple[int, ...] = (32, 16), seed: int = 11) -> list[A.Dense]:

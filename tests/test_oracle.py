@@ -7,8 +7,3 @@ from oracle import differences
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLE_SQL))
 def test_same_as_sql(spark, name):
     assert differences(spark, catalogue.QUERIES[name], catalogue.ORACLE_SQL[name], "/root/testdata/sf0.001") == ""
-
-
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL)))
-def test_runs(spark, name):
-    assert catalogue.QUERIES[name](spark, "/root/testdata/sf0.001").columns
