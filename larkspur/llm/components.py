@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.sources.storage import stored
+from larkspur.sources.storage import discard, stored
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -22,8 +22,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while left.limit(1).count():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         step = stored(both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("to")), "step")
-        names = stored(names.join(step, names["at"] == step["a"], "left").select("node", F.coalesce("to", "at").alias("at")), "names")
+        renamed = stored(names.join(step, names["at"] == step["a"], "left").select("node", F.coalesce("to", "at").alias("at")), "names")
         one = left.join(step, "a").select(F.col("to").alias("x"), F.col("b").alias("y"))
         two = one.join(step, one["y"] == step["a"]).select("x", F.col("to").alias("y")).filter("x <> y")
-        left = stored(two.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        contracted = stored(two.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        discard(names, left, step)
+        names, left = renamed, contracted
+    discard(left)
     return names.select("node", F.col("at").alias("root"))
