@@ -5,8 +5,10 @@ span: +1 personal, -1 not, 0 no opinion. They are the strict pattern with its ch
 shape, a gazetteer, words that speak for it just before it, and signs that speak against it around
 it. Votes are counted over the whole corpus, per kind and combination of votes; there are at most
 4 * 3**5 combinations, whatever the corpus. Expectation-maximisation on these counts estimates how
-reliable each labeler is and how likely each combination is personal data; a logistic model is then trained
-on those soft labels, and its decisions add broad spans to the strict ones. All candidates vote; only of
+reliable each labeler is and how likely each combination is personal data. These are the soft labels that a
+logistic model of whole spans is trained on: besides the votes it sees a span's length, letters, digits and
+signs, and the words around it (hashed), so spans of equal votes can differ. It is trained on at most ``SAMPLE`` distinct spans of each
+combination, weighted by the combination's count, and its decisions add broad spans to the strict ones. All candidates vote; only of
 accepted ones that overlap does one stay, the most probable.
 
 Edge cases: a null text counts as empty and has no spans; rows that repeat an id are scanned each for
@@ -18,19 +20,25 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import math
 import re
+import zlib
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import product
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.llm.batches import bounded, text_slices
-from larkspur.sources.storage import table
+from larkspur.sources.storage import stored, table
 
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("strict", "shape", "gazetteer", "context", "against")
@@ -39,6 +47,11 @@ AROUND = 48
 #: A broad span is accepted from this probability on.
 ACCEPT = 0.5
 
+#: Spans of each combination of votes that the classifier is trained on, those of the smallest hashes of span and context.
+SAMPLE = 64
+#: Buckets of the words before and after a span.
+BUCKETS = (32, 16)
+
 # Patterns, gazetteers and context words.
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -157,23 +170,84 @@ def coded(text: str, span: tuple[int, int, int], strict: bool) -> int:
     return _CODE[kind, *votes(text, start, kind, end, strict)]
 
 
+_WORD = re.compile(r"[^\W\d_]+")
+_SIGNS = " .-()+:@"
+_LENGTHS = range(7, 20)
+WIDTH = 1 + 2 * len(LABELERS) + 7 + len(_SIGNS) + len(_LENGTHS) + sum(BUCKETS)
+
+
+def features(text: str, span: tuple[int, int, int], strict: bool) -> np.ndarray:
+    """What the classifier sees of a span, each number between 0 and 1; of length ``WIDTH``."""
+    start, kind, end = span
+    own, cast = text[start:end], votes(text, start, kind, end, strict)
+    before, after = text[max(0, start - AROUND) : start].lower(), text[end : end + AROUND].lower()
+    digits, n = sum(map(str.isdigit, own)), max(1, len(own))
+    out = [1.0, *(float(v == x) for v in cast for x in (-1, 1))]
+    out += [min(n, 64) / 64, digits / n, sum(map(str.isalpha, own)) / n, min(len(re.findall("[0-9]+", own)), 8) / 8, float(own[:1].isdigit()), float(before[-1:].isalnum()), float(after[:1].isalnum())]
+    out += [float(c in own) for c in _SIGNS] + [float(digits == k) for k in _LENGTHS]
+    for words, size in ((_WORD.findall(before), BUCKETS[0]), (_WORD.findall(after), BUCKETS[1])):
+        bag = [0.0] * size
+        for w in words:
+            bag[zlib.crc32(w.encode("utf-8", "surrogatepass")) % size] = 1.0
+        out += bag
+    return np.array(out, np.float32)
+
+
+class SpanModel(NamedTuple):
+    """A logistic model of whole spans, with weights of its own for each kind."""
+
+    weights: np.ndarray  # kind by feature
+
+    def __call__(self, text: str, span: tuple[int, int, int]) -> float | None:
+        """The probability that a broad span is personal data, if it is accepted."""
+        p = 1 / (1 + math.exp(-float(np.clip(self.weights[span[1]] @ features(text, span, False), -50, 50))))
+        return p if p >= ACCEPT else None
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    totals = np.zeros(len(COMBINATIONS), np.int64)
+    """``code, n`` of the partition's combinations, and ``code, hash, features`` of their ``SAMPLE`` spans of smallest hash."""
+    totals: Counter = Counter()
+    kept: dict[int, dict[int, np.ndarray]] = defaultdict(dict)
+    highest: dict[int, int] = {}
     for part in text_slices(batches):
         for x in part.column("text"):
             text = x.as_py() or ""
             base = base_spans(text)
             for strict, spans in ((True, base), (False, broad_spans(text, base))):
                 for span in spans:
-                    totals[coded(text, span, strict)] += 1
-    seen = np.flatnonzero(totals)
-    yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(totals[seen])], names=["code", "n"])
+                    code = coded(text, span, strict)
+                    totals[code] += 1
+                    context = text[max(0, span[0] - AROUND) : span[2] + AROUND].encode("utf-8", "surrogatepass")
+                    at = xxhash.xxh64_intdigest(context, code) >> 1
+                    own = kept[code]
+                    if at not in own and (len(own) < SAMPLE or at < highest[code]):
+                        if len(own) == SAMPLE:
+                            del own[highest[code]]
+                        own[at] = features(text, span, strict)
+                        highest[code] = max(own)
+    rows = [(code, n, None, None) for code, n in totals.items()]
+    rows += [(code, None, at, x) for code, own in kept.items() for at, x in own.items()]
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.float32()))
+    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["code", "n", "hash", "features"])
 
 
 def vote_counts(docs: DataFrame) -> pd.DataFrame:
-    """``code, n`` over all rows: at most ``len(COMBINATIONS)`` rows reach the driver."""
-    counted = bounded(docs).select(F.col("text").cast("string").alias("text")).mapInArrow(_counted, "code int, n long")
-    return counted.groupBy("code").agg(F.sum("n").alias("n")).toPandas()
+    """``code, n`` over all rows, and ``features`` of sampled spans, a list of vectors.
+
+    At most ``len(COMBINATIONS)`` rows and ``SAMPLE`` spans for each reach the driver. Samples of partitions are cut
+    to the smallest hashes in two steps, so no task gets those of all partitions.
+    """
+    counted = bounded(docs).select(F.col("text").cast("string").alias("text")).mapInArrow(_counted, "code int, n long, hash long, features array<float>")
+    counted = stored(counted, "votes")
+    counts = counted.filter("n IS NOT NULL").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
+    spans = counted.filter("hash IS NOT NULL").groupBy("code", "hash").agg(F.first("features").alias("features")).withColumn("part", F.col("hash") % 1024)
+    for by in (("code", "part"), ("code",)):
+        spans = spans.withColumn("place", F.row_number().over(W.partitionBy(*by).orderBy("hash"))).filter(F.col("place") <= SAMPLE)
+    found: dict[int, list] = defaultdict(list)
+    for r in spans.select("code", "hash", "features").collect():
+        found[r.code].append((r.hash, r.features))
+    counts["features"] = [[x for _, x in sorted(found[c])] for c in counts.code]
+    return counts
 
 
 def reliabilities(counts: pd.DataFrame, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
@@ -196,20 +270,37 @@ def reliabilities(counts: pd.DataFrame, rounds: int = 50) -> tuple[np.ndarray, n
     return belief, given
 
 
-def fit(counts: pd.DataFrame, steps: int = 400, decay: float = 1e-3) -> dict[int, float]:
-    """The codes that the classifier accepts, with their probabilities: logistic in the kind and each labeler's vote."""
+def logistic(x: np.ndarray, label: np.ndarray, weight: np.ndarray, decay: float = 1e-3, steps: int = 25) -> np.ndarray:
+    """Newton's method for soft labels; weights add up to 1."""
+    w = np.zeros(x.shape[1])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (weight * (p - label)) + decay * w
+        curve = (x.T * (weight * np.maximum(p * (1 - p), 1e-6))) @ x + decay * np.eye(len(w))
+        w = w - np.linalg.solve(curve, slope)
+    return w
+
+
+def fit(counts: pd.DataFrame) -> SpanModel | dict[int, float]:
+    """The classifier, trained on the soft labels of sampled spans.
+
+    Without a column ``features``, one of votes alone: the codes that it accepts, with their probabilities.
+    """
     if not len(counts):
         return {}
     counts = counts.sort_values("code")
     belief, _ = reliabilities(counts)
-    combos = np.array([COMBINATIONS[c] for c in counts.code], int)
-    features = np.concatenate([combos[:, :1] == np.arange(len(KINDS))] + [combos[:, k : k + 1] == v for k in range(1, combos.shape[1]) for v in (-1, 1)], axis=1).astype(float)
-    share, w = counts.n.to_numpy(float) / counts.n.sum(), np.zeros(features.shape[1])
-    for _ in range(steps):  # Newton steps would do with fewer; this is a table of under a thousand rows
-        p = 1 / (1 + np.exp(-features @ w))
-        w -= 2.0 * (features.T @ (share * (p - belief)) + decay * w)
-    p = 1 / (1 + np.exp(-features @ w))
-    return {int(c): float(x) for c, x in zip(counts.code, p) if x >= ACCEPT}
+    combos, n = np.array([COMBINATIONS[c] for c in counts.code], int), counts.n.to_numpy(float)
+    if "features" not in counts:
+        seen = np.concatenate([combos[:, :1] == np.arange(len(KINDS))] + [combos[:, k : k + 1] == v for k in range(1, combos.shape[1]) for v in (-1, 1)], axis=1).astype(float)
+        p = 1 / (1 + np.exp(-seen @ logistic(seen, belief, n / n.sum())))
+        return {int(c): float(x) for c, x in zip(counts.code, p) if x >= ACCEPT}
+    weights = np.zeros((len(KINDS), WIDTH))
+    for kind in set(combos[:, 0]):
+        rows = [(x, belief[i], n[i] / len(own)) for i, own in enumerate(counts.features) if combos[i, 0] == kind for x in own]
+        x, label, weight = (np.array(a, float) for a in zip(*rows))
+        weights[kind] = logistic(x, label, weight / weight.sum())
+    return SpanModel(weights)
 
 
 def listed(spans: list[tuple[int, int, int]]) -> str:
@@ -226,10 +317,11 @@ def settled(found: list[tuple[float, tuple[int, int, int]]]) -> list[tuple[int,
     return kept
 
 
-def all_spans(text: str, accepted: dict[int, float]) -> tuple[list, list]:
+def all_spans(text: str, accepted: SpanModel | dict[int, float]) -> tuple[list, list]:
     """Base spans, and these with the accepted broad ones."""
     base = base_spans(text)
-    voted = [(accepted.get(coded(text, s, False)), s) for s in broad_spans(text, base)]
+    judge = accepted if callable(accepted) else lambda text, span: accepted.get(coded(text, span, False))
+    voted = [(judge(text, s), s) for s in broad_spans(text, base)]
     return base, sorted(base + settled([(p, s) for p, s in voted if p is not None]))
 
 
@@ -249,7 +341,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *by_kind, pa.array(digests, pa.string()), pa.array(spans, pa.string())], names=schema.names)
 
     schema = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(f"n_{k}", T.LongType()) for k in KINDS), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -273,7 +365,7 @@ def redact(docs: DataFrame) -> DataFrame:
 
         return texts.map(one)
 
-    return docs.withColumn("text", clean(F.col("text")))
+    return bounded(docs).withColumn("text", clean(F.col("text")))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

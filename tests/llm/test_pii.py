@@ -102,3 +102,26 @@ def test_phones_beside_numbers_are_found(spark):
     found = {r.doc_id: r.spans for r in P.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found[0] == "phone:6:18" and found[1] == "phone:11:23"
     assert found[2] == "card:6:23"  # its check digit is right by chance: a strict span, which stays
+
+
+def test_classifier_against_truth(spark):
+    """Ten-digit numbers of equal votes: those in phone-like company are found, others not; truth is known here only."""
+    rng, rows, truth = np.random.default_rng(8), [], {}
+    for i in range(600):
+        number, phone = "{}-{}-{}".format(*rng.integers((200, 200, 1000), (999, 999, 9999))), bool(rng.integers(0, 2))
+        said = rng.choice(["call me at {}", "my mobile is {} today", "phone {} after six", "reach us: {}, home"] if phone else ["serial {} stock", "order {} stock shelf", "part no {} stock", "issue {} stock"])
+        if rng.random() < 0.15:  # the labelers' words are missing; only company tells
+            said = "today after six home {}" if phone else "stock shelf {} stock"
+        text = said.format(number)
+        rows.append((i, text))
+        truth[i] = f"phone:{text.index(number)}:{text.index(number) + 12}" if phone else ""
+    found = {r.doc_id: r.spans for r in P.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert np.mean([found[i] == truth[i] for i in truth]) > 0.9
+
+
+def test_samples_are_bounded_and_distinct(spark, monkeypatch):
+    monkeypatch.setattr(P, "SAMPLE", 5)
+    rows = [(f"call 212-555-{1000 + i} phone",) for i in range(40)] + [("mail a@b.org",)] * 30
+    counts = P.vote_counts(spark.createDataFrame(rows, "text string").repartition(3))
+    assert {(n, len(own)) for n, own in zip(counts.n, counts.features)} == {(40, 5), (30, 1)}
+    assert all(len(x) == P.WIDTH for own in counts.features for x in own)
