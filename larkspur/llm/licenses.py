@@ -1,6 +1,6 @@
 """License scans with a generalised suffix automaton of template words.
 
-Templates (and short base phrases) are cut into words and put into one suffix automaton. A file's words
+Templates (short notices, whole license texts and the base phrases) are cut into words and put into one suffix automaton. A file's words
 stream through it and give, at every word, the longest match with any template that ends there (the
 matching statistics). Matches of ``MIN_MATCH`` words or more, or of a whole template, are chained per
 template where they follow each other in file and template with gaps of at most ``MAX_GAP`` words. A chain
@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm.batches import bounded, text_slices
+from larkspur.llm.license_texts import TEXTS
 from larkspur.sources.storage import table
 
 MIN_MATCH = 3
@@ -126,7 +127,7 @@ class Automaton:
 class Scanner:
     """Templates compiled for scanning; small, and sent to every task."""
 
-    def __init__(self, phrases: Sequence[Template] = BASE, notices: Sequence[Template] = NOTICES):
+    def __init__(self, phrases: Sequence[Template] = BASE, notices: Sequence[Template] = NOTICES + TEXTS):
         texts = [words_of(text) for _, text in (*phrases, *notices)]
         if not all(texts):
             raise ValueError("a template has no words")

@@ -56,3 +56,33 @@ def test_chains_bridge_changed_words(spark):
     assert by[4, 40_000].n_base == 20_000 and by[4, 2].base_labels == "mit"
     assert (by[5, 5].n_base, by[5, 5].first_word, by[5, 5].last_word) == (2, 1, 3)
     assert L.scan_licenses(docs.limit(0)).count() == 0
+
+
+def altered(words, share, rng):
+    """Words replaced, left out or added."""
+    out = []
+    for w in words:
+        kind = rng.integers(0, 3) if rng.random() < share else 3
+        out += [[f"z{rng.integers(10**6)}"], [], [w, f"z{rng.integers(10**6)}"], [w]][kind]
+    return out
+
+
+def test_altered_texts_are_found():
+    """Whole texts with one word in 50 or one in 20 altered, inside other prose; prose alone gives no label."""
+    rng, scanner = np.random.default_rng(4), L.Scanner()
+    prose = sorted({w for _, t in L.TEXTS for w in L.words_of(t)})
+    for share, least in ((0.02, 0.98), (0.05, 0.9)):
+        texts, want = [], []
+        for label, text in L.TEXTS * 10:
+            around = [list(rng.choice(prose, 40)) for _ in range(2)]
+            texts.append(" ".join(around[0] + altered(L.words_of(text), share, rng) + around[1]))
+            want.append(label)
+        _, _, chains = L._scanned(L.pa.array(texts), scanner)
+        found = [{scanner.labels[t] for t, *_, share in chains.get(i, []) if share >= L.MIN_COVER} for i in range(len(texts))]
+        recall = np.mean([w in f for w, f in zip(want, found)])
+        print("recall", share, recall)
+        assert recall >= least
+        assert all(f <= {w, "mit", "apache", "gpl"} for w, f in zip(want, found))
+    texts = [" ".join(rng.choice(prose, 500)) for _ in range(100)]
+    _, _, chains = L._scanned(L.pa.array(texts), scanner)
+    assert not [c for own in chains.values() for c in own if c[3] >= L.MIN_COVER and scanner.sizes[c[0]] > 3]
