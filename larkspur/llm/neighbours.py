@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from larkspur.sources.storage import table
+from larkspur.sources.storage import stored, table
 
 PIVOTS = 128
 #: Rows that pivots are chosen from, by a hash of the id.
@@ -37,10 +37,10 @@ NEAREST = 20
 
 
 def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``id, vector`` of the rows that take part, in double precision."""
+    """``id, vector`` of the rows that take part, in double precision; stored, as several jobs read them."""
     doubles = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).filter("id IS NOT NULL AND vector IS NOT NULL")
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    sound = doubles.filter(finite & F.exists("vector", lambda x: x != 0))
+    sound = stored(doubles.filter(finite & F.exists("vector", lambda x: x != 0)), "vectors")
     most = sound.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
     return sound.filter(F.size("vector") == (most.n if most else 0))
 
