@@ -4,19 +4,21 @@ A source of weight ``w`` and size ``s`` (characters, and one more for each docum
 share ``w`` of a total ``T``, so its documents are repeated ``w * T / s`` times on average. Each
 document's number of copies is the inverse of that Poisson distribution at a uniform number hashed
 from the seed and the document's id, so it depends on nothing else. Copies are then dealt in the
-order of another hash, a shuffle over the whole cluster.
+order of another hash, a shuffle over the whole cluster: as that hash is uniform, its leading bits say which
+partition a copy goes to, and each partition is sorted for itself.
 
 A Poisson variable of mean over ``STEP_RATE`` is the sum of several of equal, smaller means, each with a
 hash of its own, so tables of the distribution stay short and rates have no bound.
 
 Edge cases: null sources are one source; null ids hash as the empty string; rows that repeat an id get
-equal numbers of copies; null and empty texts have size 1; sources without a weight, or of weight
-0, give no copies; an empty table gives an empty one.
+equal numbers of copies, whose ties in the order go by copy and text; null and empty texts have size 1; sources without a weight, or of weight
+0, give no copies; an empty table gives an empty one. Where a column of the documents begins like the added
+ones, these get further underscores after ``mix__``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,21 +69,33 @@ def poisson_tables(rates: DataFrame) -> DataFrame:
     )
 
 
+def prefix(columns: Sequence[str]) -> str:
+    """What names of added columns begin with: OWN, lengthened until no column has it."""
+    found = OWN
+    while any(c.lower().startswith(found) for c in columns):
+        found += "_"
+    return found
+
+
 def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, total: float | None = None, seed: str = SEED) -> DataFrame:
     """The documents' columns, ``mix__rate``, ``mix__copies``, ``mix__copy`` (from 1) and ``mix__order``,
     one row per copy, sorted by ``mix__order`` over all partitions."""
     rates = stored(poisson_tables(source_rates(docs, weights, total)), "rates")
-    n = rates.count()
-    tables = rates.select(F.col("source").alias(f"{OWN}source"), F.col("rate").alias(f"{OWN}rate"), F.col("steps").alias(f"{OWN}steps"), F.col("cdf").alias(f"{OWN}cdf"))
-    joined = docs.join(F.broadcast(tables) if n <= BROADCAST_SOURCES else tables, docs["source"].eqNullSafe(F.col(f"{OWN}source")))
-    key = F.coalesce(docs["doc_id"].cast("string"), F.lit(""))
-    below = lambda j: F.size(F.filter(F.col(f"{OWN}cdf"), lambda c: c <= uniform(F.lit(seed), key, j.cast("string"))))
-    copies = F.aggregate(F.sequence(F.lit(1).cast("long"), F.col(f"{OWN}steps").cast("long")), F.lit(0).cast("long"), lambda a, j: a + below(j))
-    own = [docs[f"`{c}`"] for c in docs.columns]
-    counted = joined.select(*own, f"{OWN}rate", copies.alias(f"{OWN}copies")).filter(F.col(f"{OWN}copies") > 0)
-    each = counted.withColumn(f"{OWN}copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"{OWN}copies"))))
-    id_text = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    return each.withColumn(f"{OWN}order", F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), id_text, F.col(f"{OWN}copy").cast("string"))), 1, 16)).orderBy(f"{OWN}order")
+    n, own = rates.count(), prefix(docs.columns)
+    tables = rates.select(F.struct("source", "rate", "steps", "cdf").alias("given"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    joined = rows.join(F.broadcast(tables) if n <= BROADCAST_SOURCES else tables, F.col("doc.source").eqNullSafe(F.col("given.source")))
+    key = F.coalesce(F.col("doc.doc_id").cast("string"), F.lit(""))
+    below = lambda j: F.size(F.filter(F.col("given.cdf"), lambda c: c <= uniform(F.lit(seed), key, j.cast("string"))))
+    copies = F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("given.steps").cast("long")), F.lit(0).cast("long"), lambda a, j: a + below(j))
+    counted = joined.select("doc", F.col("given.rate").alias("rate"), copies.alias("copies")).filter("copies > 0")
+    each = counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    ordered = each.withColumn("order", F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), key, F.col("copy").cast("string"))), 1, 16))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    leading = F.conv(F.substring("order", 1, 8), 16, 10).cast("long")
+    dealt = ordered.repartitionById(parts, F.floor(leading * F.lit(parts) / F.lit(2**32)).cast("int"))
+    names = [F.col(c).alias(f"{own}{c}") for c in ("rate", "copies", "copy", "order")]
+    return dealt.sortWithinPartitions("order", "copy", F.xxhash64("doc.text")).select("doc.*", *names)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

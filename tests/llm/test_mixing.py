@@ -51,3 +51,20 @@ def test_same_over_any_partitions(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "source")
     one, two = (sorted((r.doc_id, r["mix__copy"]) for r in M.mix(d).collect()) for d in (docs, docs.repartition(7)))
     assert one == two
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, f"text {i}", "s", i, "x") for i in range(50)], "doc_id long, text string, source string, mix__rate long, `mix__order` string")
+    got = M.mix(docs)
+    assert got.columns == [*docs.columns, "mix___rate", "mix___copies", "mix___copy", "mix___order"]
+    assert all(r["mix__rate"] == r.doc_id and r["mix__order"] == "x" for r in got.collect())
+
+
+def test_partitions_are_ranges_of_the_order(spark):
+    docs = spark.range(3_000).select(F.col("id").alias("doc_id"), F.lit("abc").alias("text"), F.lit("s").alias("source"))
+    mixed = M.mix(docs, total=12_000.0 * 3)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sizes = Counter(r.p for r in mixed.select(F.spark_partition_id().alias("p")).collect())
+    assert len(sizes) == parts and max(sizes.values()) < 1.2 * min(sizes.values())
+    order = [r["mix__order"] for r in mixed.collect()]
+    assert order == sorted(order)
