@@ -83,19 +83,20 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, tota
     rates = stored(poisson_tables(source_rates(docs, weights, total)), "rates")
     n, own = rates.count(), prefix(docs.columns)
     tables = rates.select(F.struct("source", "rate", "steps", "cdf").alias("given"))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
-    joined = rows.join(F.broadcast(tables) if n <= BROADCAST_SOURCES else tables, F.col("doc.source").eqNullSafe(F.col("given.source")))
-    key = F.coalesce(F.col("doc.doc_id").cast("string"), F.lit(""))
+    flat = {c: f"{own}{i}" for i, c in enumerate(docs.columns)}  # one by one, so that columns nobody asks for aren't shuffled
+    rows = docs.select(*(F.col(f"`{c}`").alias(name) for c, name in flat.items()))
+    joined = rows.join(F.broadcast(tables) if n <= BROADCAST_SOURCES else tables, F.col(flat["source"]).eqNullSafe(F.col("given.source")))
+    key = F.coalesce(F.col(flat["doc_id"]).cast("string"), F.lit(""))
     below = lambda j: F.size(F.filter(F.col("given.cdf"), lambda c: c <= uniform(F.lit(seed), key, j.cast("string"))))
     copies = F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("given.steps").cast("long")), F.lit(0).cast("long"), lambda a, j: a + below(j))
-    counted = joined.select("doc", F.col("given.rate").alias("rate"), copies.alias("copies")).filter("copies > 0")
+    counted = joined.select(*flat.values(), F.xxhash64(flat["text"]).alias("tie"), F.col("given.rate").alias("rate"), copies.alias("copies")).filter("copies > 0")
     each = counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     ordered = each.withColumn("order", F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), key, F.col("copy").cast("string"))), 1, 16))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     leading = F.conv(F.substring("order", 1, 8), 16, 10).cast("long")
     dealt = ordered.repartitionById(parts, F.floor(leading * F.lit(parts) / F.lit(2**32)).cast("int"))
-    names = [F.col(c).alias(f"{own}{c}") for c in ("rate", "copies", "copy", "order")]
-    return dealt.sortWithinPartitions("order", "copy", F.xxhash64("doc.text")).select("doc.*", *names)
+    sorted_ = dealt.sortWithinPartitions("order", "copy", "tie")
+    return sorted_.select(*(F.col(name).alias(c) for c, name in flat.items()), *(F.col(c).alias(f"{own}{c}") for c in ("rate", "copies", "copy", "order")))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
