@@ -7,12 +7,13 @@ and inputs between a sample and its baseline.
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.operators.pca import Model, project, restore
@@ -23,6 +24,12 @@ class Dense(NamedTuple):
     bias: np.ndarray
 
 
+def load_layers(spark: SparkSession, path: str) -> list[Dense]:
+    """A network from an .npz file with ``weight0, bias0, weight1, ...``, by any path that Spark can read."""
+    held = np.load(io.BytesIO(spark.read.format("binaryFile").load(path).select("content").first().content), allow_pickle=False)
+    return [Dense(held[f"weight{i}"].astype(float), held[f"bias{i}"].astype(float)) for i in range(len(held.files) // 2)]
+
+
 def forward(x: np.ndarray, layers: list[Dense]) -> list[np.ndarray]:
     """Inputs of every layer, and last the output."""
     seen = [x]

@@ -19,9 +19,33 @@ LONG_SQL = "SELECT vec_id, label, generate_subscripts(embedding, 1) - 1 AS d, un
 def class_moments(rows: DataFrame) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
     """Labels and, by label and dimension, numbers, means and population variances of ``label, v``.
 
-    One pass, combined before the shuffle; (labels x dimensions) numbers reach the driver.
+    One pass; each partition adds up its vectors as matrices, and only (labels x dimensions) numbers of it are shuffled or reach the driver.
     """
-    cells = V.long_form(rows, "v", "label").groupBy("label", "d").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("m"), F.var_pop("v").alias("q")).orderBy("label", "d").collect()
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, list] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sizes = np.unique(np.diff(batch.column("v").offsets.to_numpy()))
+            if len(sizes) > 1:
+                raise ValueError("vectors of several lengths")
+            x, label = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1), batch.column("label").to_numpy(zero_copy_only=False)
+            for k in np.unique(label).tolist():
+                own = x[label == k]
+                mean = own.mean(axis=0)
+                n, m, q = found.get(k, (0, 0.0, 0.0))
+                every = n + len(own)
+                # Sums of squares about the mean, put together.
+                q = q + ((own - mean) ** 2).sum(axis=0) + (mean - m) ** 2 * (n * len(own) / every)
+                found[k] = (every, m + (mean - m) * (len(own) / every), q)
+        for k, (n, m, q) in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(m), pa.int32()), pa.array(range(len(m)), pa.int32()), pa.array([n] * len(m), pa.int64()), pa.array(m), pa.array(q)], names=["label", "d", "n", "m", "q"])
+
+    parts = rows.select(F.col("label").cast("int").alias("label"), "v").mapInArrow(summed, "label int, d int, n long, m double, q double")
+    n, mean = F.sum("n"), F.sum(F.col("n") * F.col("m")) / F.sum("n")
+    spread = F.sum(F.col("q") + F.col("n") * F.col("m") * F.col("m")) / n - mean * mean
+    cells = parts.groupBy("label", "d").agg(n.alias("n"), mean.alias("m"), F.greatest(spread, F.lit(0.0)).alias("q")).orderBy("label", "d").collect()
     labels = sorted({c.label for c in cells})
     shaped = lambda name: np.array([c[name] for c in cells], float).reshape(len(labels), -1)
     return labels, shaped("n"), shaped("m"), shaped("q")

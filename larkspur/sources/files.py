@@ -100,23 +100,22 @@ def read_indexed_fasta(spark: SparkSession, path: str, index: str, chunk: int =
     """``chrom, chunk_start, seq`` of an uncompressed FASTA file with its .fai index, upper-cased, in chunks.
 
     Lines come with their byte offsets from splits of the file; the index says which record, and where in it, an
-    offset is. So a chromosome is read by many tasks, and only a chunk's lines meet. ``chunk`` is a multiple of the line length.
+    offset is. So a chromosome is read by many tasks, and only a chunk's lines meet: as many whole lines as ``chunk`` bases hold, or one.
     """
     records = read_tsv(spark, index, FAI).filter("length > 0").collect()  # a row per record, as random access to the file needs
-    if any(chunk % r.line_bases for r in records if r.length > r.line_bases):
-        raise ValueError("chunks are whole lines")
     records.sort(key=lambda r: r.offset)
     begins = [r.offset for r in records]
 
-    def placed(pair: tuple[int, str]) -> list[tuple[str, int, str]]:
+    def placed(pair: tuple[int, str]) -> list[tuple[str, int, int, str]]:
         i = bisect.bisect(begins, pair[0]) - 1
         if i < 0:
             return []
         at = (pair[0] - begins[i]) // records[i].line_width * records[i].line_bases
-        return [(records[i].chrom, at, pair[1].strip().upper())] if at < records[i].length and not pair[1].startswith(">") else []
+        whole = max(1, chunk // records[i].line_bases) * records[i].line_bases
+        return [(records[i].chrom, at - at % whole, at, pair[1].strip().upper())] if at < records[i].length and not pair[1].startswith(">") else []
 
     lines = spark.sparkContext.newAPIHadoopFile(path, "org.apache.hadoop.mapreduce.lib.input.TextInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.Text")
-    rows = spark.createDataFrame(lines.flatMap(placed), "chrom string, at long, line string").withColumn("chunk_start", F.col("at") - F.col("at") % chunk)
+    rows = spark.createDataFrame(lines.flatMap(placed), "chrom string, chunk_start long, at long, line string")
     return rows.groupBy("chrom", "chunk_start").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "").alias("seq"))
 
 

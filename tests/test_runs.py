@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from larkspur import __main__ as command
 from larkspur.operators import attribution as A
 from larkspur.operators import classifiers as C
 from larkspur.operators import intervals as I
@@ -248,8 +249,8 @@ def test_indexed_fasta(spark, tmp_path):
     finally:
         spark.sparkContext._jsc.hadoopConfiguration().unset("mapreduce.input.fileinputformat.split.maxsize")
     assert {(r.chrom, r.chunk_start): r.seq for r in got} == {(c, i): s[i : i + 120].upper() for c, s in chroms.items() for i in range(0, len(s), 120)}
-    with pytest.raises(ValueError):
-        files.read_indexed_fasta(spark, str(tmp_path / "g.fa"), str(tmp_path / "g.fa.fai"), 100)
+    lines = files.read_indexed_fasta(spark, str(tmp_path / "g.fa"), str(tmp_path / "g.fa.fai"), 100).collect()
+    assert {(r.chrom, r.chunk_start): r.seq for r in lines} == {(c, i): s[i : i + 60].upper() for c, s in chroms.items() for i in range(0, len(s), 60)}
 
 
 def test_sources_by_suffix(spark, tmp_path):
@@ -301,3 +302,26 @@ def test_stored_tables_can_go(spark):
     discard(rows, spark.range(3))
     with pytest.raises(Exception):
         spark.read.parquet(rows._stored_at).count()
+
+
+def test_command_line(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    lines = ["".join(rng.choice(list("ACGT"), 60)) for _ in range(100)]
+    (tmp_path / "g.fa").write_text(">c1\n" + "\n".join(lines) + "\n")
+    (tmp_path / "g.fai").write_text("c1\t6000\t4\t60\t61\n")
+    (tmp_path / "c.bed").write_text("".join(f"c1\t{i}\t{i + 10}\n" for i in range(200, 5600, 90)))
+    rows = "\n".join(" ".join("0.97" if i == j % 4 else "0.01" for i in range(4)) for j in range(6))
+    (tmp_path / "m.meme").write_text(f"MEME version 4\n\nMOTIF x\nletter-probability matrix: alength= 4 w= 6 nsites= 20 E= 0\n{rows}\n\nMOTIF y\nletter-probability matrix: alength= 4 w= 3 nsites= 20 E= 0\n" + "0.25 0.25 0.25 0.25\n" * 3)
+    layers = Q.network()
+    np.savez(tmp_path / "net.npz", **{f"{k}{i}": v for i, layer in enumerate(layers) for k, v in (("weight", layer.weight), ("bias", layer.bias))})
+    assert all(np.allclose(a.weight, b.weight) and np.allclose(a.bias, b.bias) for a, b in zip(A.load_layers(spark, str(tmp_path / "net.npz")), layers))
+    given = [f"--{k}={tmp_path / v}" for k, v in (("genome", "g.fa"), ("fai", "g.fai"), ("motifs", "m.meme"), ("layers", "net.npz"), ("out", "out"))]
+    command.main([*given, "--window=100", "--samples=40", "--insertions", "1", "4", "--edges", "0", "60", "100", f"--control={tmp_path / 'c.bed'}"])
+    for name in ("from0to60", "from60to100"):
+        found = spark.read.parquet(str(tmp_path / "out" / name / "scores")).collect()
+        assert {(r.insertions, r.concept) for r in found} == {(n, c) for n in (1, 4) for c in "xy"}
+    args = command.parsed([*given, "--bins=4", "--window=100"])
+    assert list(command.buffers(args).values()) == [(0, 75), (25, 50), (50, 25), (75, 0)]
+    genome = files.read_indexed_fasta(spark, args.genome, args.fai)
+    args.samples = 12
+    assert command.control_sequences(spark, args, genome).count() == 12
