@@ -62,11 +62,12 @@ def b23_base64(spark, sf_dir):
 
 
 def c9_clean_region_sequences(spark, sf_dir):
-    """Sequences of regions: those of unknown bases, of no bases or beyond their text are left out."""
+    """Sequences of regions of 40 along whole texts: those of unknown bases or beyond their text are left out."""
     rows = P.sequences(spark, sf_dir).withColumn("seq", F.when(F.col("seq_id") % 7 == 0, F.concat(F.repeat(F.lit("ACGN"), 12), "seq")).otherwise(F.col("seq")))
-    regions = rows.select("seq_id", F.col("seq_id").cast("string").alias("chrom"), F.lit(10).cast("long").alias("start"), F.lit(50).cast("long").alias("stop"))
-    genome = rows.select(F.col("seq_id").cast("string").alias("chrom"), F.lit(0).cast("long").alias("chunk_start"), "seq").filter("seq <> ''")
-    return S.drop_unclean(S.region_sequences(regions, genome)).select("seq_id", "seq")
+    rows = rows.filter("seq <> ''").withColumn("chrom", F.col("seq_id").cast("string"))
+    starts = F.sequence(F.lit(10).cast("long"), F.greatest(F.length("seq"), F.lit(10)).cast("long"), F.lit(40).cast("long"))
+    regions = rows.select("seq_id", "chrom", F.explode(starts).alias("start")).withColumn("stop", F.col("start") + 40)
+    return S.drop_unclean(S.region_sequences(regions, P.genome(rows, 256), 256)).select("seq_id", "start", "seq")
 
 
 def d4_motif_lookup(spark, sf_dir):
@@ -167,7 +168,8 @@ ORACLE_SQL = {
     "b16_normalise_tracks": f"WITH {P.SIGNAL}, s AS (SELECT chrom, avg(value) AS mean, stddev_pop(value) AS std FROM sig GROUP BY chrom) SELECT sig.chrom, pos, round(sum((value - mean) / std), 5) AS z FROM sig JOIN s ON sig.chrom = s.chrom GROUP BY 1, 2",
     "b21_letter_decode": "SELECT doc_id, translate(to_base(doc_id, 4), '0123', 'ACGT') AS seq FROM documents",
     "b23_base64": "SELECT page_id, md5(to_base64(encode(url))) AS uri_md5 FROM pages",
-    "c9_clean_region_sequences": f"WITH {P.SEQUENCES} SELECT seq_id, substr(seq, 11, 40) AS seq FROM seqs WHERE seq_id % 7 <> 0 AND length(seq) >= 50",
+    "c9_clean_region_sequences": f"""WITH {P.SEQUENCES}, w AS (SELECT seq_id, CASE WHEN seq_id % 7 = 0 THEN repeat('ACGN', 12) || seq ELSE seq END AS whole FROM seqs),
+      r AS (SELECT seq_id, whole, unnest(generate_series(10, length(whole) - 40, 40)) AS start FROM w) SELECT seq_id, start, substr(whole, start + 1, 40) AS seq FROM r WHERE NOT contains(substr(whole, start + 1, 40), 'N')""",
     "d4_motif_lookup": f"WITH {P.PWM}, i AS (SELECT motif, count(*) AS len, sum(2.0::DOUBLE + " + " + ".join(f"CASE WHEN {b} > 0 THEN {b} * log2({b}) ELSE 0.0::DOUBLE END" for b in M.BASES) + ") AS ic FROM pwm GROUP BY motif), c AS (SELECT lang AS motif, count(*) AS n FROM documents GROUP BY lang) SELECT c.motif, n, len, round(ic, 6) AS ic FROM c JOIN i ON c.motif = i.motif",
     "e10_line_or_zero": "WITH p AS (SELECT source AS name, CASE WHEN source LIKE '%0' THEN 1.0::DOUBLE ELSE doc_id::DOUBLE END AS x, n_chars::DOUBLE AS y FROM documents), m AS (SELECT name, avg(x) AS mx, avg(y) AS my FROM p GROUP BY name), c AS (SELECT p.name, any_value(mx) AS mx, any_value(my) AS my, sum((x - mx) * (x - mx)) AS xx, sum((x - mx) * (y - my)) AS xy, sum((y - my) * (y - my)) AS yy FROM p JOIN m ON p.name = m.name GROUP BY p.name) SELECT name, round(coalesce(xy / nullif(xx, 0), 0), 5) AS slope, round(coalesce(my - xy / nullif(xx, 0) * mx, 0), 5) AS intercept, round(CASE WHEN xx = 0 THEN 0.0::DOUBLE WHEN yy = 0 THEN 1.0::DOUBLE ELSE xy * xy / (xx * yy) END, 5) AS r2 FROM c",
     "e17_reduce_attributions": "WITH t AS (SELECT label, vec_id, unnest(embedding)::DOUBLE AS v FROM embeddings), s AS (SELECT label, vec_id, sum(v) AS total FROM t GROUP BY 1, 2) SELECT label, round(avg(total), 6) AS mean_total FROM s GROUP BY label",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.functions.sequence import letter_count
 from larkspur.sources.storage import table
 
 
@@ -28,25 +29,32 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 SEQUENCES = "seqs AS (SELECT doc_id AS seq_id, lang, upper(regexp_replace(text, '[^acgtACGT]', '', 'g')) AS seq FROM documents)"
 
 
+def genome(rows: DataFrame, size: int) -> DataFrame:
+    """Sequences ``chrom, seq`` as chromosomes in chunks of ``size``."""
+    pieces = F.posexplode(F.regexp_extract_all("seq", F.lit(f".{{1,{size}}}"), F.lit(0))).alias("i", "seq")
+    return rows.select("chrom", pieces).select("chrom", (F.col("i").cast("long") * size).alias("chunk_start"), "seq")
+
+
 def motifs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    letters = F.substring(F.upper(F.regexp_replace("text", "[^acgtACGT]", "")), 1, 8)
+    """The letters of each whole text as a consensus."""
+    letters = F.upper(F.regexp_replace("text", "[^acgtACGT]", ""))
     return table(spark, sf_dir, "benchmark").select(F.concat(F.lit("M/"), F.col("item_id").cast("string")).alias("motif"), letters.alias("consensus"))
 
 
-MOTIFS = "motifs AS (SELECT concat('M/', item_id) AS motif, substr(upper(regexp_replace(text, '[^acgtACGT]', '', 'g')), 1, 8) AS consensus FROM benchmark)"
+MOTIFS = "motifs AS (SELECT concat('M/', item_id) AS motif, upper(regexp_replace(text, '[^acgtACGT]', '', 'g')) AS consensus FROM benchmark)"
 
 
 def pwm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Letter frequencies at the first 12 places of the sequences of each language."""
-    rows = sequences(spark, sf_dir).filter("length(seq) >= 12").select(F.col("lang").alias("motif"), F.explode(F.sequence(F.lit(1), F.lit(12))).alias("pos"), "seq")
-    letter = F.substring(F.col("seq"), F.col("pos"), F.lit(1))
-    share = lambda b: F.avg((letter == b).cast("double")).alias(b.lower())
-    return rows.groupBy("motif", "pos").agg(*map(share, "ACGT"))
+    """Letter frequencies of each language's whole sequences, cut into stretches of 12, at the 12 places of a stretch."""
+    each = sequences(spark, sf_dir).select(F.col("lang").alias("motif"), F.explode(F.sequence(F.lit(1), F.lit(12))).alias("pos"), "seq")
+    own = each.select("motif", "pos", F.regexp_replace(F.substring(F.col("seq"), F.col("pos"), F.length("seq")), "(.).{0,11}", "$1").alias("own")).filter("own <> ''")
+    share = lambda b: (F.sum(letter_count(F.col("own"), b)) / F.sum(F.length("own"))).alias(b.lower())
+    return own.groupBy("motif", "pos").agg(*map(share, "ACGT"))
 
 
-PWM = f"""{SEQUENCES}, pwm AS (SELECT lang AS motif, pos::INT AS pos, avg((substr(seq, pos, 1) = 'A')::INT::DOUBLE) AS a, avg((substr(seq, pos, 1) = 'C')::INT::DOUBLE) AS c,
-  avg((substr(seq, pos, 1) = 'G')::INT::DOUBLE) AS g, avg((substr(seq, pos, 1) = 'T')::INT::DOUBLE) AS t
-  FROM seqs, generate_series(1, 12) s(pos) WHERE length(seq) >= 12 GROUP BY lang, pos)"""
+PWM = f"""{SEQUENCES}, own AS (SELECT lang AS motif, pos::INT AS pos, regexp_replace(substr(seq, pos), '(.).{{0,11}}', '\\1', 'g') AS own FROM seqs, generate_series(1, 12) s(pos)),
+  pwm AS (SELECT motif, pos, """ + ", ".join(f"sum(length(own) - length(replace(own, '{b}', '')))::DOUBLE / sum(length(own))::DOUBLE AS {b.lower()}" for b in "ACGT") + """
+  FROM own WHERE own <> '' GROUP BY motif, pos)"""
 
 
 def signal(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,11 +16,13 @@ MOTIF = "ACGTAC"
 
 
 def b4_sequence_slice(spark, sf_dir):
-    seqs = P.sequences(spark, sf_dir)
-    regions = seqs.select("seq_id", F.col("seq_id").cast("string").alias("chrom"), F.lit(10).cast("long").alias("start"), F.lit(30).cast("long").alias("stop"), F.when(F.col("seq_id") % 2 == 0, "-").otherwise("+").alias("strand"))
-    genome = seqs.filter("seq <> ''").select(F.col("seq_id").cast("string").alias("chrom"), F.posexplode(F.array(F.substring("seq", 1, 20), F.substring(F.col("seq"), F.lit(21), F.length("seq")))).alias("i", "seq"))
-    cut = S.region_sequences(regions, genome.filter("seq <> ''").select("chrom", (F.col("i") * 20).cast("long").alias("chunk_start"), "seq"))
-    return cut.select("seq_id", "strand", "seq")
+    """Regions of 20 from the tenth base to the end of every sequence, each on a strand, from a genome in chunks of 64."""
+    seqs = P.sequences(spark, sf_dir).withColumn("chrom", F.col("seq_id").cast("string"))
+    starts = F.sequence(F.lit(10).cast("long"), F.length("seq") - 20, F.lit(20).cast("long"))
+    regions = seqs.filter("length(seq) >= 30").select("seq_id", "chrom", F.explode(starts).alias("start")).withColumn("stop", F.col("start") + 20)
+    regions = regions.withColumn("strand", F.when((F.col("seq_id") + F.col("start") / 20) % 2 < 1, "-").otherwise("+"))
+    cut = S.region_sequences(regions, P.genome(seqs, 64), 256)
+    return cut.select("seq_id", "start", "strand", "seq")
 
 
 def b5_reverse_complement(spark, sf_dir):
@@ -60,7 +62,7 @@ def c6_paired_motif(spark, sf_dir):
 
 def c5_region_insert(spark, sf_dir):
     inserts = P.motifs(spark, sf_dir).select(F.col("motif").alias("insert_id"), F.col("consensus").alias("insert"))
-    made = S.with_region_insert(P.sequences(spark, sf_dir).filter("length(seq) >= 20"), inserts, F.lit(4), "5")
+    made = S.with_region_insert(P.sequences(spark, sf_dir), inserts, F.lit(4), "5")
     return made.select("seq_id", "insert_id", F.md5("seq").alias("seq_md5"))
 
 
@@ -146,7 +148,8 @@ LETTER = "CASE WHEN u < a THEN 'A' WHEN u < a + c THEN 'C' WHEN u < a + c + g TH
 MEME = f"""WITH {P.PWM}, l AS (SELECT motif, string_agg(printf('%.6f %.6f %.6f %.6f', a, c, g, t), chr(10) ORDER BY pos) AS body, count(*) AS w FROM pwm GROUP BY motif)
   SELECT motif, 'MOTIF ' || motif || chr(10) || 'letter-probability matrix: alength= 4 w= ' || w || ' nsites= 20 E= 0' || chr(10) || body || chr(10) AS text FROM l"""
 ORACLE_SQL = {
-    "b4_sequence_slice": f"WITH {P.SEQUENCES}, s AS (SELECT seq_id, CASE WHEN seq_id % 2 = 0 THEN '-' ELSE '+' END AS strand, substr(seq, 11, 20) AS seq FROM seqs WHERE length(seq) >= 30) SELECT seq_id, strand, CASE WHEN strand = '-' THEN {RC} ELSE seq END AS seq FROM s",
+    "b4_sequence_slice": f"""WITH {P.SEQUENCES}, r AS (SELECT seq_id, seq AS whole, unnest(generate_series(10, length(seq) - 20, 20)) AS start FROM seqs WHERE length(seq) >= 30),
+      s AS (SELECT seq_id, start, CASE WHEN (seq_id + start // 20) % 2 = 0 THEN '-' ELSE '+' END AS strand, substr(whole, start + 1, 20) AS seq FROM r) SELECT seq_id, start, strand, CASE WHEN strand = '-' THEN {RC} ELSE seq END AS seq FROM s""",
     "b5_reverse_complement": f"WITH {P.SEQUENCES} SELECT seq_id, md5({RC}) AS rc_md5 FROM seqs",
     "b7_one_hot_counts": f"WITH {P.SEQUENCES} SELECT seq_id, " + ", ".join(f"length(seq) - length(replace(seq, '{b.upper()}', '')) AS {b}" for b in M.BASES) + " FROM seqs",
     "b13_gc_content": f"WITH {P.SEQUENCES}, n AS (SELECT seq_id, length(seq) AS n, length(seq) - length(translate(seq, 'GC', '')) AS k FROM seqs) SELECT seq_id, k AS gc_count, round(k::DOUBLE / nullif(n, 0), 6) AS gc FROM n",
@@ -157,8 +160,8 @@ ORACLE_SQL = {
       y AS (SELECT seq_id, CASE WHEN n = 0 THEN seq ELSE substr(seq, 1, 3) || array_to_string([ '{MOTIF}' || CASE WHEN i < n THEN substr(seq, 10 + 10 * (i - 1), 4) ELSE substr(seq, 10 + 10 * (i - 1)) END FOR i IN generate_series(1, n)], '') END AS s FROM x) SELECT seq_id, md5(s) AS seq_md5 FROM y""",
     "c6_paired_motif": f"WITH {P.SEQUENCES} SELECT seq_id, md5(substr(seq, 1, 5) || 'AAAA' || substr(seq, 10, 7) || 'CCCC' || substr(seq, 21)) AS seq_md5 FROM seqs WHERE length(seq) >= 40",
     "c5_region_insert": f"""WITH {P.SEQUENCES}, {P.MOTIFS}, m AS (SELECT motif, consensus, row_number() OVER (ORDER BY motif) - 1 AS pick, count(*) OVER () AS n FROM motifs),
-      s AS (SELECT seq_id, seq, floor({uniform_sql("'5'", "'insert'", "seq_id::VARCHAR")} * (SELECT count(*) FROM motifs))::INT AS pick FROM seqs WHERE length(seq) >= 20)
-      SELECT seq_id, motif AS insert_id, md5(substr(seq, 1, 4) || consensus || substr(seq, 5 + length(consensus))) AS seq_md5 FROM s JOIN m ON s.pick = m.pick""",
+      s AS (SELECT seq_id, seq, floor({uniform_sql("'5'", "'insert'", "seq_id::VARCHAR")} * (SELECT count(*) FROM motifs))::INT AS pick FROM seqs)
+      SELECT seq_id, motif AS insert_id, md5(substr(substr(seq, 1, 4) || consensus || substr(seq, 5 + length(consensus)), 1, length(seq))) AS seq_md5 FROM s JOIN m ON s.pick = m.pick""",
     "c11_mixed_variants": f"WITH {P.SEQUENCES} SELECT seq_id, variant FROM seqs, (VALUES ('a'), ('b'), ('c')) v(variant) ORDER BY md5(concat_ws(':', '9', seq_id::VARCHAR, variant)) LIMIT 50",
     "b6_pwm_reverse_complement": f"WITH {P.PWM} SELECT motif, 13 - pos AS pos, round(t, 6) AS a, round(g, 6) AS c, round(c, 6) AS g, round(a, 6) AS t FROM pwm",
     "b8_clean_motif_names": f"WITH {P.MOTIFS} SELECT replace(motif, '/', '-') AS motif, consensus FROM motifs",
@@ -171,7 +174,7 @@ ORACLE_SQL = {
     "a11_meme_round_trip": f"WITH {P.PWM} SELECT motif, pos, {R6} FROM pwm",
     "a24_meme_text": MEME,
     "c1_pwm_sample": f"""WITH {P.PWM}, d AS (SELECT motif, i AS draw, pos, a, c, g, {uniform_sql("'1'", "motif", "i::VARCHAR", "pos::VARCHAR")} AS u FROM pwm, generate_series(0, 49) s(i)) SELECT motif, draw, string_agg({LETTER}, '' ORDER BY pos) AS seq FROM d GROUP BY motif, draw""",
-    "c7_permuted_motif": f"""WITH {P.MOTIFS}, t AS (SELECT motif, consensus, att, p - 1 AS pos, substr(consensus, p, 1) AS letter, md5(concat_ws(':', '2', motif, (p - 1)::VARCHAR, att::VARCHAR)) AS key FROM motifs, generate_series(0, 99) a(att), generate_series(1, 8) b(p) WHERE p <= length(consensus)),
+    "c7_permuted_motif": f"""WITH {P.MOTIFS}, t AS (SELECT motif, consensus, att, p - 1 AS pos, substr(consensus, p, 1) AS letter, md5(concat_ws(':', '2', motif, (p - 1)::VARCHAR, att::VARCHAR)) AS key FROM motifs, generate_series(0, 99) a(att), LATERAL (SELECT unnest(generate_series(1, length(consensus))) AS p) b),
       o AS (SELECT *, row_number() OVER (PARTITION BY motif, consensus, att ORDER BY key, pos) - 1 AS place FROM t),
       g AS (SELECT motif, consensus, att, string_agg(letter, '' ORDER BY place) AS permuted, avg((pos <> place)::INT::DOUBLE) AS moved FROM o GROUP BY motif, consensus, att)
       SELECT motif, consensus, arg_min(permuted, att) AS permuted, round(arg_min(moved, att), 6) AS moved FROM g WHERE moved >= 0.3::DOUBLE GROUP BY motif, consensus""",
