@@ -48,6 +48,21 @@ def test_close_simhashes_are_candidates(spark):
     assert {x for r in found for x in (r.u, r.v)} == {1, 2, 3} and len(found) >= 2
 
 
+def test_cells_of_loose_and_dense_components(spark, monkeypatch):
+    """A chain of points is compared by bands, a clique of points of the same bands as a whole; each pair of a band meets."""
+    monkeypatch.setattr(N, "CELL", 3)
+    chain = [(i, [1000 + i, 1001 + i, 5000 + i]) for i in range(20)]
+    clique = [(100 + i, list(range(2000, 2028))) for i in range(10)]
+    points = spark.createDataFrame(chain + clique + [(200, [7]), (201, [7])], "fp long, bands array<long>")
+    near = spark.createDataFrame([(fp, 1 if fp < 100 else 2 if fp < 200 else 3) for fp, _ in [*chain, *clique, (200, 0), (201, 0)]], "node long, root long")
+    groups = {}
+    for r in N.cells(points, near).collect():
+        groups.setdefault((r.root, r.cell), set()).add(r.fp)
+    met = {(a, b) for g in groups.values() for a in g for b in g if a < b}
+    assert met == {(i, i + 1) for i in range(19)} | {(a, b) for a in range(100, 110) for b in range(a + 1, 110)} | {(200, 201)}
+    assert sum(len(g) for g in groups.values()) <= 19 * 2 + 10 * 4 + 2
+
+
 def test_simhash_of_sets():
     [own] = sketches(pa.array([" ".join(f"w{i}" for i in range(300))]), N.ALL)
     bits = sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in own) > len(own))
