@@ -59,7 +59,7 @@ def lifted(vectors: np.ndarray, radius: float) -> np.ndarray:
 def places(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """The place of every pivot in each vector's order, nearest first: pivots by vectors."""
     order = np.argsort(-(vectors @ pivots.T), axis=1, kind="stable")
-    out = np.empty(order.shape, np.int16)
+    out = np.empty(order.shape, np.int16)  # a footrule is under half the square of the pivots, so it fits too
     np.put_along_axis(out, order, np.arange(order.shape[1], dtype=np.int16)[None, :], axis=1)
     return np.ascontiguousarray(out.T)
 
@@ -78,10 +78,12 @@ class Block:
         self.copies = np.minimum(copies, nearest + 1)  # one may be the query itself
         self.ids, self.vectors = ids, vectors[self.starts]
         self.files = places(lifted(self.vectors, radius), pivots)
+        self.apart = np.empty_like(self.files)  # overwritten by each query
         self.depth = min(len(self.vectors), max(LEAST, int(np.ceil(DEPTH * len(self.vectors)))))
 
     def footrule(self, order: np.ndarray) -> np.ndarray:
-        return np.abs(self.files - order[:, None]).sum(axis=0, dtype=np.int32)
+        np.subtract(self.files, order[:, None], out=self.apart)
+        return np.abs(self.apart, out=self.apart).sum(axis=0, dtype=np.int16)
 
     def best(self, query: int, vector: np.ndarray, order: np.ndarray, nearest: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the query's nearest, reranked from the lowest footrules."""
