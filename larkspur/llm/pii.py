@@ -84,15 +84,16 @@ def _digits(text: str) -> str:
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
-    last, at = 0, text.find("@")
+    last, passed, at = 0, 0, text.find("@")
     while at >= 0:
-        before = text[last:at]
-        start = last + len(before.rstrip(LOCAL))
+        from_ = max(last, passed)  # no name has an @, so nothing is looked at twice
+        start = from_ + len(text[from_:at].rstrip(LOCAL))
         found = DOMAIN.match(text, at + 1) if start < at else None
         if found:
             yield start, found.end()
             last = found.end()
-        at = text.find("@", max(at + 1, last))
+        passed = at + 1
+        at = text.find("@", max(passed, last))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import numpy as np
 import pandas as pd
@@ -83,6 +84,14 @@ def test_long_adversarial_texts_are_linear():
         P.broad_spans(text, [])
 
 
+def test_time_grows_with_the_text():
+    """Ten million letters each; looking back from every sign to the last match would take hours."""
+    for text in ("a@" * 5_000_000, "a" * 5_000_000 + "@" * 5_000_000, "a@b" * 3_000_000, "a@b.c" * 2_000_000, "a@b." * 2_500_000):
+        began = time.monotonic()
+        P.base_spans(text)
+        assert time.monotonic() - began < 20
+
+
 def test_rejected_candidates_take_no_phone_away():
     """A run of digits that no labeler takes for a card holds a phone number; all candidates vote."""
     for text in ("phone 555-123-4567 24 hours", "phone 2023 555-123-4567"):
