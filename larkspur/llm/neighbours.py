@@ -3,7 +3,8 @@
 Up to ``PIVOTS`` vectors, from a bounded sample, are pivots. A vector is represented by its pivots in order
 of nearness, and posted in every pivot's inverted file with the pivot's place in that order. A query
 orders the pivots likewise; summing, over the inverted files, how far apart the two places are gives the
-footrule distance of the two orders. The ``DEPTH`` share of lowest footrule is reranked by the exact inner product.
+footrule distance of the two orders. The ``DEPTH`` share of lowest footrule, of a block of any size, is reranked by the exact inner
+product (or as many as are asked for, if that is more).
 Norms may differ: vectors are lifted to equal length by one more component, on which queries have 0, so
 that order of nearness and of inner product agree.
 
@@ -31,8 +32,8 @@ PIVOTS = 128
 #: Rows that pivots are chosen from, by a hash of the id.
 PIVOT_SAMPLE = 1_024
 BLOCK, CHUNK = 8_192, 8_192
-#: Share of a block that is reranked, and the least number.
-DEPTH, LEAST = 0.1, 512
+#: Share of a block that is reranked.
+DEPTH = 0.25
 NEAREST = 20
 
 
@@ -67,7 +68,7 @@ def places(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 class Block:
     """The inverted files of one block: ``files[p]`` has pivot p's place in every distinct vector's order."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, pivots: np.ndarray, radius: float, nearest: int):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, pivots: np.ndarray, radius: float, nearest: int, depth: float = DEPTH):
         order = np.lexsort((ids, *vectors.T[::-1]))
         ids, vectors = ids[order], vectors[order]
         new = np.r_[True, (vectors[1:] != vectors[:-1]).any(axis=1)]
@@ -79,7 +80,7 @@ class Block:
         self.ids, self.vectors = ids, vectors[self.starts]
         self.files = places(lifted(self.vectors, radius), pivots)
         self.apart = np.empty_like(self.files)  # overwritten by each query
-        self.depth = min(len(self.vectors), max(LEAST, int(np.ceil(DEPTH * len(self.vectors)))))
+        self.depth = min(len(self.vectors), max(nearest + 1, int(np.ceil(depth * len(self.vectors)))))
 
     def footrule(self, order: np.ndarray) -> np.ndarray:
         np.subtract(self.files, order[:, None], out=self.apart)
@@ -100,7 +101,7 @@ class Block:
         return ids[first], scores[first]
 
 
-def search(vectors: DataFrame, queries: DataFrame, nearest: int = NEAREST) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, nearest: int = NEAREST, depth: float = DEPTH) -> DataFrame:
     """``query_id, rank, vec_id, score``: of ``vectors(id, vector)``, those nearest to each of ``queries``.
 
     Both have the rows of ``usable``; ranks begin at 1, ties go to the smaller id.
@@ -116,7 +117,7 @@ def search(vectors: DataFrame, queries: DataFrame, nearest: int = NEAREST) -> Da
     def cell(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         found = []
         if left.num_rows and right.num_rows:
-            block = Block(left.column("id").to_numpy(), matrix(left.column("vector")), pivots, radius, nearest)
+            block = Block(left.column("id").to_numpy(), matrix(left.column("vector")), pivots, radius, nearest, depth)
             asked, of = right.column("id").to_numpy(), matrix(right.column("vector"))
             orders = places(np.column_stack([of, np.zeros(len(of))]), pivots)
             for i, query in enumerate(asked.tolist()):
