@@ -9,9 +9,9 @@ language, so a lone borrowed word doesn't make a span but a quoted passage does.
 is the one with most letters in its spans, and its score that share of letters, weighted by how far the
 words' scores bear it out.
 
-Words are found alike in training and prediction: maximal runs of letters of the lower-cased text. In training a
-word counts at most ``REPEATS`` times per document, since repeating it is no evidence of a language's letters. The model is
-sparse: of an n-gram, only the languages that have it.
+Words are found alike in training and prediction: maximal runs of letters of the lower-cased text. The model is
+sparse: of an n-gram, only the languages that have it. It has every language and every n-gram of the sample; one that would
+be too large to be sent to the tasks is an error.
 
 Edge cases: null texts and texts without letters are ``und`` with score 0, as is every text if nothing
 could be learned; words in a script never seen in training leave all languages open and no
@@ -31,19 +31,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from larkspur.llm.batches import TEXT_BYTES, bounded, text_slices
-from larkspur.sources.storage import stored, table
+from larkspur.sources.storage import discard, stored, table
 
 #: Labelled documents per language that the model is fitted on, chosen by a hash of the id.
 SAMPLE_DOCS = 3_000
-#: Bounds of the fitted model: languages that can be learned, those with most labelled documents, and the most frequent
-#: n-grams of each. An n-gram takes 16 bytes in each language that has it, so the model has 400 MB at most; four languages take under 2 MB.
-MAX_LANGUAGES = 500
-GRAMS = 50_000
-#: Times that a word of one document counts in training.
-REPEATS = 3
+#: N-grams of all languages together that a model may have, of 16 bytes each; four languages have about 120,000. More is an error, never a smaller model.
+MODEL_GRAMS = 25_000_000
+#: Languages that can be learned; their rates are broadcast. More labels than this are an error too.
+LANGUAGES = 100_000
 #: Score that a change of language costs, in nats.
 SWITCH = 6.0
 #: Bounds of a word's score against the best language's.
@@ -193,8 +190,10 @@ def fold(doc_id: Column) -> Column:
 def training_rows(docs: DataFrame, per_language: int = SAMPLE_DOCS) -> DataFrame:
     """``text, lang`` of at most about ``per_language`` labelled documents per language outside the held-out fold."""
     usable = bounded(docs).select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 2))
-    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    rates = counts.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).select("lang", (F.lit(float(per_language)) / F.col("n")).alias("rate"))
+    counts = stored(usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    if counts.count() > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    rates = counts.select("lang", (F.lit(float(per_language)) / F.col("n")).alias("rate"))
     drawn = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     return usable.join(F.broadcast(rates), "lang").filter(drawn < F.col("rate")).select("text", "lang")
 
@@ -209,7 +208,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both, n = np.unique(parents.astype(np.int64) * len(distinct) + code, return_counts=True)
         lang = of_text.indices.to_numpy(zero_copy_only=False).astype(np.int64)[both // len(distinct)]
         own, at = np.unique(lang * len(distinct) + both % len(distinct), return_inverse=True)
-        total, langs = np.bincount(at, weights=np.minimum(n, REPEATS)), of_text.dictionary.to_pylist()
+        total, langs = np.bincount(at, weights=n), of_text.dictionary.to_pylist()
         seen.update({(langs[x // len(distinct)], distinct[x % len(distinct)]): k for x, k in zip(own.tolist(), total.astype(int).tolist())})
     by_lang: dict[str, tuple[list[str], list[int]]] = {}
     for (lang, word), n in seen.items():
@@ -234,12 +233,14 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame) -> Model:
-    """The model; at most ``GRAMS`` n-grams per language reach the driver."""
+    """The model; a ValueError if it has more than ``MODEL_GRAMS`` n-grams."""
     counted = training_rows(docs).mapInArrow(_counted, "lang string, kind string, item string, n long")
     counted = stored(counted.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")), "grams")
-    place = F.row_number().over(W.partitionBy("lang", "kind").orderBy(F.desc("n"), "item"))
     totals = {(r.lang, r.kind): (r.n, r.kinds) for r in counted.groupBy("lang", "kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).collect()}
-    rows = counted.withColumn("place", place).filter(F.col("place") <= GRAMS).collect()
+    if (size := sum(kinds for _, kinds in totals.values())) > MODEL_GRAMS:
+        raise ValueError(f"a model of {size} n-grams; take fewer documents per language, or fewer languages")
+    rows = counted.collect()
+    discard(counted)
     return model_of(totals, [(r.lang, r.kind, r.item, r.n) for r in rows])
 
 
@@ -365,7 +366,7 @@ def _slices(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Reco
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """``doc_id, held_out, lang_pred, score, spans`` of every row."""
     model = fit(docs) if model is None else model
-    given = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_LANGUAGES * GRAMS entries
+    given = docs.sparkSession.sparkContext.broadcast(model)  # at most MODEL_GRAMS entries
     span = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("words", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 import regex
 
 from larkspur.llm import language as L
@@ -106,16 +107,14 @@ def test_training_reads_whole_runs():
 
 
 def test_training_against_brute_force(spark, monkeypatch):
-    """Counts of n-grams and scripts, one word at a time; languages are those with most documents."""
-    monkeypatch.setattr(L, "MAX_LANGUAGES", 2)
+    """Counts of n-grams and scripts, one word at a time, of all languages; a model beyond its bound is an error."""
     rows = [(i, "Der Hund, der Hund und der HUND 3x" if i % 3 else "chat мир Ⅷ çà", "de" if i % 3 else "fr") for i in range(90)] + [(500 + i, "few", "aa") for i in range(5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     grams, scripts = Counter(), Counter()
     for i, text, lang in rows:
-        if lang == "aa" or zlib.crc32(str(i).encode()) % 4 == 2:
+        if zlib.crc32(str(i).encode()) % 4 == 2:
             continue
         for word, n in Counter(regex.findall(r"\p{L}+", text.lower())).items():
-            n = min(n, 3)
             scripts[lang, "cyrillic" if word == "мир" else "latin"] += n * len(word)
             for g in L.grams(word):
                 grams[lang, g] += n
@@ -123,12 +122,18 @@ def test_training_against_brute_force(spark, monkeypatch):
     assert {(r.lang, r["item"]): r["sum(n)"] for r in made if r.kind == "gram"} == grams
     assert {(r.lang, r["item"]): r["sum(n)"] for r in made if r.kind == "script"} == scripts
     model = L.fit(docs)
-    assert model.languages == ["de", "fr"]
+    assert model.languages == ["aa", "de", "fr"]
     for (lang, g), n in grams.items():
         i, of = np.searchsorted(model.keys, L.gram_key(g)), model.languages.index(lang)
         [e] = [e for e in range(model.starts[i], model.starts[i + 1]) if model.of[e] == of]
         own = [k for (x, _), k in grams.items() if x == lang]
         assert np.isclose(model.missing[of] + model.gains[e], np.log((n + 0.5) / (sum(own) + len(own) + 1)), atol=1e-5)
+    monkeypatch.setattr(L, "MODEL_GRAMS", 3)
+    with pytest.raises(ValueError, match="n-grams"):
+        L.fit(docs)
+    monkeypatch.setattr(L, "LANGUAGES", 2)
+    with pytest.raises(ValueError, match="languages"):
+        L.training_rows(docs)
 
 
 def test_many_languages_take_sparse_scores():
