@@ -6,11 +6,11 @@ of words of one language by a word to the next level, its endpos count is how of
 the run without the first word. Where a link keeps the count, both end at the same places and are one state, which is listed once, by its
 longest run and the length of its shortest. Spark takes the runs of the states apart again and adds up the counts of all shards.
 
-Most runs are rare, so a first scan counts words and pairs in ``2**BITS`` hash counters, each shard as one sorted list per
-slice of counters. A counter below ``LEAST`` proves that all its runs are below it. The second scan's
-automaton therefore reads only words whose counter reached it and follows transitions only where that of the pair did; what it lists goes by
-its text, not by its hash, so results are exact. The only thing broadcast is one bit per counter, 2**BITS / 8 bytes whatever
-the corpus.
+Most runs are rare, so a first scan counts words and pairs in hash counters, each shard as one sorted list per
+slice of counters. A counter below ``LEAST`` proves that all its runs are below it. A second scan counts triples likewise, of words and pairs
+that reached it. The third scan's automaton reads only such words and follows transitions only where the pair's and the triple's
+counters reached it; what it lists goes by its text, not by its hash, so results are exact. There is a counter for every ``PER_COUNTER`` bytes of text, up to
+``2**MOST_BITS``; broadcast is one bit of each, so 256 MB at most. In a larger corpus fewer runs are ruled out, and results are the same.
 
 Scores are the least over all cuts of a phrase, in decimals of 38 digits. A longer phrase is followed along its
 suffix link and its prefix to the phrases inside it: as counts only fall with length, a phrase is
@@ -23,7 +23,7 @@ the phrase itself, so no two rows of a language compare equal.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -45,8 +45,8 @@ SUBSUMED = 80
 #: Phrases of a language.
 FIRST = 2_000
 SHARD_BYTES = 16 << 20
-#: Counters of the first scan, as a power of two, and those of one slice.
-BITS, SLICE = 27, 16
+#: Bytes of text for each counter, the most and the fewest counters and those of one slice (powers of two).
+PER_COUNTER, MOST_BITS, FEWEST_BITS, SLICE = 32, 31, 20, 16
 
 # Signs that end a piece, blanks between words, and the scale of scores.
 ENDS, BLANKS, SCALE = b".,;:!?\n\x0b\x0c\r", b" \t", 2_000_000
@@ -86,7 +86,10 @@ def words(texts: pa.Array) -> Words:
     letters = _LOWER[raw[is_word]]
     offsets = np.r_[places, len(letters)].astype(np.int64)
     found = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
-    return Words(found.dictionary, found.indices.to_numpy(zero_copy_only=False).astype(np.int64), begins, of_text)
+    order = pc.sort_indices(found.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))  # numbers in the order of words, so that what is listed is in order too
+    return Words(found.dictionary.take(pa.array(order)), rank[found.indices.to_numpy(zero_copy_only=False)], begins, of_text)
 
 
 class Level(NamedTuple):
@@ -136,11 +139,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Settings(NamedTuple):
-    """Least occurrences, counters of the first scan (a power of two), and bytes of a shard."""
+    """Least occurrences, bytes of a shard, and counters (a power of two; by the bytes of text, if none are given)."""
 
     least: int = LEAST
-    bits: int = BITS
     shard_bytes: int = SHARD_BYTES
+    bits: int | None = None
 
     @property
     def slice(self) -> int:
@@ -177,26 +180,64 @@ class Shard:
         spoken = np.array([xxhash.xxh64_intdigest(x) for x in self.langs.to_pylist()], np.uint64)
         self.hash = mixed(named[self.name] * _FACTORS[0] + spoken[self.lang]) if len(pairs) else np.zeros(0, np.uint64)
 
-    def counters(self, bits: int, first: np.ndarray, second: np.ndarray | None = None) -> np.ndarray:
-        """The counter, of ``2**bits``, of words or of pairs of words."""
-        h = self.hash[first] if second is None else mixed(self.hash[first] * _FACTORS[1] + self.hash[second] * _FACTORS[2])
-        return (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _sketch(batch: pa.RecordBatch, how: Settings) -> pa.RecordBatch:
-    """A shard's counts, a row per slice of counters: places in it, and counts up to the least that matters."""
-    shard = Shard(batch)
+def longer(run: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hashes of runs with one more word."""
+    return mixed(run * _FACTORS[1] + word * _FACTORS[2])
+
+
+def counter(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
+
+
+class Held(NamedTuple):
+    """One bit per counter, packed: whether it reached the least."""
+
+    bits: int
+    packed: np.ndarray
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        at = counter(hashes, self.bits)
+        return (self.packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def frequent_roots(shard: Shard, held: Held) -> tuple[Level, np.ndarray, np.ndarray]:
+    """Runs of one word that may be frequent, and the places where a pair ends that may be, with the hash of that pair."""
+    symbol = np.where(held(shard.hash)[shard.symbol], shard.symbol, -1) if len(shard.symbol) else shard.symbol
+    allowed, hashes = np.zeros(len(symbol), bool), np.zeros(len(symbol), np.uint64)
+    place = np.flatnonzero((symbol[1:] >= 0) & (symbol[:-1] >= 0) & ~shard.begins[1:]) + 1
+    hashes[place] = longer(shard.hash[symbol[place - 1]], shard.hash[symbol[place]])
+    allowed[place] = held(hashes[place])
+    return roots(symbol), allowed, hashes
+
+
+def _first_counts(shard: Shard) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of words and pairs."""
     one = roots(shard.symbol)
     two = grown(one, one, shard.begins, 2)
-    counter = np.r_[shard.counters(how.bits, one.last), shard.counters(how.bits, two.parent, two.last)]
-    count = np.minimum(np.r_[one.count, two.count], how.least)
-    order = np.argsort(counter, kind="stable")
-    counter, count = counter[order], count[order].astype(np.min_scalar_type(how.least))
-    place = (counter & ((1 << how.slice) - 1)).astype("<u2")
-    cut = np.searchsorted(counter >> how.slice, np.arange((1 << how.bits - how.slice) + 1))
-    full = np.flatnonzero(np.diff(cut))
+    return np.r_[shard.hash[one.last], longer(shard.hash[two.parent], shard.hash[two.last])], np.r_[one.count, two.count]
+
+
+def _second_counts(shard: Shard, held: Held) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of triples whose words and pairs may be frequent."""
+    one, allowed, _ = frequent_roots(shard, held)
+    two = grown(one, one, shard.begins, 2, allowed)
+    three = grown(two, one, shard.begins, 3, allowed)
+    pairs = longer(shard.hash[two.parent], shard.hash[two.last])
+    return longer(pairs[three.parent], shard.hash[three.last]), three.count
+
+
+def _sketch(hashes: np.ndarray, count: np.ndarray, how: Settings) -> pa.RecordBatch:
+    """A shard's counts, a row per slice of counters: places in it, and counts up to the least that matters."""
+    at = counter(hashes, how.bits)
+    order = np.argsort(at, kind="stable")
+    at, count = at[order], np.minimum(count[order], how.least).astype(np.min_scalar_type(how.least))
+    place = (at & ((1 << how.slice) - 1)).astype("<u2")
+    number, starts = np.unique(at >> how.slice, return_index=True)
+    ends = np.r_[starts[1:], len(at)]
     kinds = {"slice": pa.int32(), "places": pa.binary(), "counts": pa.binary()}
-    columns = (full, [place[cut[s] : cut[s + 1]].tobytes() for s in full], [count[cut[s] : cut[s + 1]].tobytes() for s in full])
+    columns = (number, [place[a:b].tobytes() for a, b in zip(starts, ends)], [count[a:b].tobytes() for a, b in zip(starts, ends)])
     return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds.values())], names=list(kinds))
 
 
@@ -215,15 +256,23 @@ def _summed(batches: Iterator[pa.RecordBatch], how: Settings) -> Iterator[pa.Rec
         yield bits()
 
 
-def reached(docs: DataFrame, how: Settings) -> np.ndarray:
-    """One bit per counter, packed."""
+def reached(docs: DataFrame, how: Settings, counts: Callable[[Shard], tuple[np.ndarray, np.ndarray]]) -> Held:
+    """The counters of all shards together; ``counts`` gives a shard's hashes and counts."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sketch = docs.mapInArrow(lambda batches: (_sketch(x, how) for x in shards(batches, how.shard_bytes)), "slice int, places binary, counts binary")
+    sketch = docs.mapInArrow(lambda batches: (_sketch(*counts(Shard(x)), how) for x in shards(batches, how.shard_bytes)), "slice int, places binary, counts binary")
     slices = sketch.repartition(parts, "slice").sortWithinPartitions("slice").mapInArrow(lambda batches: _summed(batches, how), "slice int, bits binary")
     out, found = np.zeros((1 << how.bits) // 8, np.uint8), slices.toArrow()
     for s, bits in zip(found.column("slice").to_pylist(), found.column("bits").to_pylist()):
         out[s << how.slice - 3 : s + 1 << how.slice - 3] = np.frombuffer(bits, np.uint8)
-    return out
+    return Held(how.bits, out)
+
+
+def sized(docs: DataFrame, how: Settings) -> Settings:
+    """With counters by the bytes of text, if none are given."""
+    if how.bits is not None:
+        return how
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return how._replace(bits=min(MOST_BITS, max(FEWEST_BITS, int(size // PER_COUNTER).bit_length())))
 
 
 def shortest(levels: list[Level]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -240,25 +289,22 @@ def shortest(levels: list[Level]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 def counted(docs: DataFrame, how: Settings) -> DataFrame:
     """``lang, k, phrase, f``: runs of ``k`` words in ``docs(lang, text)`` and their occurrences, whole for all with the least or more; ``k`` is 0 for all words of a language."""
-    spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(reached(docs, how))
+    context, how = docs.sparkSession.sparkContext, sized(docs, how)
+    pairs = context.broadcast(reached(docs, how, _first_counts))
+    triples = context.broadcast(reached(docs, how, lambda shard: _second_counts(shard, pairs.value)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = lambda counter: (bits.value[counter >> 3] >> (7 - (counter & 7)).astype(np.uint8) & 1).astype(bool)
         for batch in shards(batches, how.shard_bytes):
             shard = Shard(batch)
             all_words = np.bincount(shard.lang[shard.symbol], minlength=len(shard.langs))
             spoken = np.flatnonzero(all_words)
             yield _states(shard.langs, spoken, np.zeros(len(spoken), np.int64), 0, pa.nulls(len(spoken), pa.string()), all_words[spoken])
-            frequent = held(shard.counters(how.bits, np.arange(len(shard.hash))))
-            symbol = np.where(frequent[shard.symbol], shard.symbol, -1) if len(shard.symbol) else shard.symbol
-            one = roots(symbol)
-            allowed = np.zeros(len(symbol), bool)
-            place = np.flatnonzero((symbol[1:] >= 0) & (symbol[:-1] >= 0) & ~shard.begins[1:])
-            allowed[place + 1] = held(shard.counters(how.bits, symbol[place], symbol[place + 1]))
+            one, pair, hashes = frequent_roots(shard, pairs.value)
+            triple, place = np.zeros(len(pair), bool), np.flatnonzero(pair[1:] & pair[:-1]) + 1
+            triple[place] = triples.value(longer(hashes[place - 1], shard.hash[one.at[place]]))
             levels = [one]
             for depth in range(2, DEPTH + 1):
-                levels.append(grown(levels[-1], one, shard.begins, depth, allowed))
+                levels.append(grown(levels[-1], one, shard.begins, depth, pair if depth == 2 else triple))
             text = single = pc.cast(shard.names.take(pa.array(shard.name[one.last])), pa.large_string())
             lang = shard.lang[one.last]
             for depth, (level, (longest, least)) in enumerate(zip(levels, shortest(levels)), 1):
