@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from larkspur.operators import intervals as I
 from larkspur.operators import relational as R
 from larkspur.plans import proxies as P
-from larkspur.sources import files
+from larkspur.sources import bigwig, files
 from larkspur.sources.storage import shared_dir, table
 
 
@@ -62,12 +62,62 @@ def a8_fasta_records(spark, sf_dir):
 
 def a9_interval_tracks(spark, sf_dir):
     """Values per base under each region, from intervals of signal."""
+    return _track_digests(I.track_values(P.regions(spark, sf_dir).select("region_id", "chrom", "start", "stop"), _event_signal(spark, sf_dir)))
+
+
+def _event_signal(spark, sf_dir):
     at = F.col("event_id").cast("long") * 97
-    signal = table(spark, sf_dir, "events").select(F.concat(F.lit("chr"), (F.col("user_id") % 5 + 1).cast("string")).alias("chrom"), at.alias("start"), (at + 40).alias("stop"), (F.col("event_id") % 10).alias("value"))
-    tracks = I.track_values(P.regions(spark, sf_dir).select("region_id", "chrom", "start", "stop"), signal)
+    return table(spark, sf_dir, "events").select(F.concat(F.lit("chr"), (F.col("user_id") % 5 + 1).cast("string")).alias("chrom"), at.alias("start"), (at + 40).alias("stop"), (F.col("event_id") % 10).alias("value"))
+
+
+def _track_digests(tracks):
     return tracks.select("region_id", F.size("track").alias("n"), F.md5(F.array_join(F.transform("track", lambda x: x.cast("int").cast("string")), ",")).alias("track_md5"))
 
 
+def a9_bigwig_scan(spark, sf_dir):
+    """The same tracks from intervals that were written as bigWig files and scanned."""
+    path = _path(spark, "bigwig")
+    bigwig.write_bigwig(_event_signal(spark, sf_dir), path)
+    regions = P.regions(spark, sf_dir).select("region_id", "chrom", "start", "stop")
+    return _track_digests(I.track_values(regions, bigwig.read_bigwig(spark, path)))
+
+
+def a9_bigwig_regions(spark, sf_dir):
+    """The same tracks by region: each finds its blocks in the files' indexes."""
+    path = _path(spark, "bigwig")
+    bigwig.write_bigwig(_event_signal(spark, sf_dir), path)
+    return _track_digests(bigwig.tracks(P.regions(spark, sf_dir).select("region_id", "chrom", "start", "stop"), path))
+
+
+def _signal_sums(spark, sf_dir, smooth):
+    """Arrays of regions written as bigWig and scanned: bases, values and places by chromosome; smoothed values are tenths."""
+    path = _path(spark, "signal")
+    values = F.transform(F.sequence(F.lit(0).cast("long"), F.col("stop") - F.col("start") - 1), lambda i: (F.col("region_id") + F.floor(i / 5)) % 7)
+    files.write_signal(P.regions(spark, sf_dir).select("region_id", "chrom", "start", "stop", values.alias("x")), "x", path, smooth, kind="bigwig")
+    n = F.col("stop") - F.col("start")
+    v = F.round(F.col("value").cast("double") * (10 if smooth else 1)).cast("long")
+    return bigwig.read_bigwig(spark, path).groupBy("chrom").agg(F.sum(n).alias("n"), F.sum(n * v).alias("total"), F.sum(v * F.expr("(start + stop - 1) * (stop - start) DIV 2")).cast("double").alias("moment"))
+
+
+def a23_bigwig_signal(spark, sf_dir):
+    return _signal_sums(spark, sf_dir, False)
+
+
+def a23_bigwig_smooth(spark, sf_dir):
+    return _signal_sums(spark, sf_dir, True)
+
+
+def a7_fasta_regions(spark, sf_dir):
+    """Stretches of 20 letters of every sequence, on a strand, by ranges of bytes from FASTA files that are indexed first."""
+    path = _path(spark, "fasta")
+    seqs = P.sequences(spark, sf_dir).filter("length(seq) >= 20").withColumn("chrom", F.col("seq_id").cast("string"))
+    seqs.select(F.concat(F.lit(">"), "chrom", F.lit(" text\n"), F.regexp_replace("seq", "(.{60})(?=.)", "$1\n")).alias("value")).write.text(path)
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.length("seq").cast("long") - 20, F.lit(50).cast("long")))
+    regions = seqs.select("chrom", starts.alias("start")).withColumn("stop", F.col("start") + 20)
+    regions = regions.withColumn("strand", F.when(F.col("start") / 50 % 2 < 1, "+").otherwise("-"))
+    return files.read_fasta_regions(regions, files.index_fasta(spark, path)).select("chrom", "start", "strand", "seq")
+
+
 def a15_prediction_files(spark, sf_dir):
     path = _path(spark, "predictions")
     rows = P.predictions(spark, sf_dir).select("concept", F.col("source").alias("control"), "pred", "truth")
@@ -79,6 +129,9 @@ def c10_epochs(spark, sf_dir):
     return R.epochs(table(spark, sf_dir, "documents").select("doc_id"), 3, "doc_id", "11")
 
 
+#: The value of every base: that of the first region by place.
+BASES = """bases AS (SELECT region_id, chrom, start, unnest(generate_series(start, stop - 1)) AS pos FROM iv),
+  own AS (SELECT chrom, pos, arg_min(region_id, (start, region_id)) AS region_id, arg_min((region_id + (pos - start) // 5) % 7, (start, region_id)) AS v FROM bases GROUP BY chrom, pos)"""
 ORACLE_SQL = {
     "a1_centred_bed": f"WITH {P.REGIONS} SELECT chrom, (start + stop) // 2 - 100 AS start, (start + stop) // 2 + 100 AS stop FROM iv",
     "a2_bed_scan": f"WITH {P.REGIONS} SELECT chrom, start, stop, strand, concept FROM iv",
@@ -89,7 +142,16 @@ ORACLE_SQL = {
     "a9_interval_tracks": f"""WITH {P.REGIONS}, b AS (SELECT region_id, chrom, unnest(generate_series(start, stop - 1)) AS pos FROM iv),
       v AS (SELECT region_id, pos, CASE WHEN pos % 97 < 40 THEN event_id % 10 END AS value FROM b LEFT JOIN events ON event_id = pos // 97 AND concat('chr', user_id % 5 + 1) = chrom)
       SELECT region_id, count(*)::INT AS n, md5(string_agg(coalesce(value, 0)::VARCHAR, ',' ORDER BY pos)) AS track_md5 FROM v GROUP BY region_id""",
+    "a7_fasta_regions": f"""WITH {P.SEQUENCES}, r AS (SELECT seq_id::VARCHAR AS chrom, seq, unnest(generate_series(0, length(seq) - 20, 50)) AS start FROM seqs WHERE length(seq) >= 20),
+      s AS (SELECT chrom, start, CASE WHEN start // 50 % 2 = 0 THEN '+' ELSE '-' END AS strand, substr(seq, start + 1, 20) AS own FROM r)
+      SELECT chrom, start, strand, CASE WHEN strand = '-' THEN translate(reverse(own), 'ACGT', 'TGCA') ELSE own END AS seq FROM s""",
+    "a23_bigwig_signal": f"WITH {P.REGIONS}, {BASES} SELECT chrom, count(*) AS n, sum(v)::BIGINT AS total, sum(v * pos)::DOUBLE AS moment FROM own GROUP BY chrom",
+    "a23_bigwig_smooth": f"""WITH {P.REGIONS}, {BASES}, reach AS (SELECT *, max(stop) OVER (PARTITION BY chrom ORDER BY start, region_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM iv),
+      heads AS (SELECT region_id, sum(CASE WHEN reach IS NULL OR reach <= start THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY start, region_id) AS block FROM reach),
+      s AS (SELECT chrom, pos, sum(v) OVER (PARTITION BY chrom, block ORDER BY pos ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING) AS v FROM own JOIN heads USING (region_id))
+      SELECT chrom, count(*) AS n, sum(v)::BIGINT AS total, sum(v * pos)::DOUBLE AS moment FROM s GROUP BY chrom""",
     "a15_prediction_files": f"WITH {P.PREDICTIONS} SELECT concept, source AS control, count(*) AS n, sum((pred = truth)::INT)::BIGINT AS n_right FROM pr GROUP BY 1, 2",
     "c10_epochs": "SELECT doc_id, epoch::INT AS epoch, md5(concat_ws(':', '11', epoch::VARCHAR, doc_id::VARCHAR)) AS turn FROM documents, generate_series(0, 2) e(epoch)",
 }
+ORACLE_SQL |= {name: ORACLE_SQL["a9_interval_tracks"] for name in ("a9_bigwig_scan", "a9_bigwig_regions")}
 QUERIES = {name: globals()[name] for name in ORACLE_SQL}

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.operators.intervals import center_regions, moving_average, region_name, with_block
+from larkspur.operators.intervals import center_regions, first_wins, range_join, region_name, with_block
 from larkspur.operators.motifs import meme_text, merged_names, parsed_meme
+from larkspur.functions.sequence import on_strand
 from larkspur.operators.sequences import region_sequences
+from larkspur.sources.bigwig import write_bigwig
+from larkspur.sources.storage import place
 
 BED3 = "chrom string, start long, stop long"
 BED5 = f"{BED3}, strand string, concept string"
@@ -22,6 +25,8 @@ BEDGRAPH = f"{BED3}, value double"
 PREDICTIONS = "Pred int, Truth int"
 #: Bases of a chunk of a genome.
 CHUNK = 1 << 16
+#: Bytes of one read, and bytes between ranges that are read along rather than skipped.
+READ_BYTES, GAP = 4 << 20, 4 << 10
 
 
 def read_tsv(spark: SparkSession, path: str | list[str], schema: str, header: bool = False) -> DataFrame:
@@ -99,24 +104,123 @@ def read_run(spark: SparkSession, path: str, names: list[str]) -> dict[str, Data
 def read_indexed_fasta(spark: SparkSession, path: str, index: str, chunk: int = CHUNK) -> DataFrame:
     """``chrom, chunk_start, seq`` of an uncompressed FASTA file with its .fai index, upper-cased, in chunks.
 
-    Lines come with their byte offsets from splits of the file; the index says which record, and where in it, an
-    offset is. So a chromosome is read by many tasks, and only a chunk's lines meet: as many whole lines as ``chunk`` bases hold, or one.
+    The index is a table like others: its rows become chunks of as many whole lines as ``chunk`` bases hold (or one), each a range of
+    bytes, and tasks read their ranges. A filter on ``chrom`` or ``chunk_start`` is applied to the ranges, so the rest isn't read.
     """
-    records = read_tsv(spark, index, FAI).filter("length > 0").collect()  # a row per record, as random access to the file needs
-    records.sort(key=lambda r: r.offset)
-    begins = [r.offset for r in records]
+    whole = F.greatest(F.lit(1), F.floor(F.lit(chunk) / F.col("line_bases"))) * F.col("line_bases")
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, whole.cast("long")))
+    records = read_tsv(spark, index, FAI).withColumn("file", F.lit(path)).filter("length > 0 AND line_bases > 0")
+    chunks = records.withColumn("size", whole.cast("long")).withColumn("chunk_start", starts)
+    return _fasta_ranges(chunks.withColumn("stop", F.least("length", F.col("chunk_start") + F.col("size"))), "chunk_start").select("chrom", "chunk_start", "seq")
 
-    def placed(pair: tuple[int, str]) -> list[tuple[str, int, int, str]]:
-        i = bisect.bisect(begins, pair[0]) - 1
-        if i < 0:
-            return []
-        at = (pair[0] - begins[i]) // records[i].line_width * records[i].line_bases
-        whole = max(1, chunk // records[i].line_bases) * records[i].line_bases
-        return [(records[i].chrom, at - at % whole, at, pair[1].strip().upper())] if at < records[i].length and not pair[1].startswith(">") else []
 
-    lines = spark.sparkContext.newAPIHadoopFile(path, "org.apache.hadoop.mapreduce.lib.input.TextInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.Text")
-    rows = spark.createDataFrame(lines.flatMap(placed), "chrom string, chunk_start long, at long, line string")
-    return rows.groupBy("chrom", "chunk_start").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "").alias("seq"))
+def index_fasta(spark: SparkSession, path: str) -> DataFrame:
+    """``file, chrom, length, offset, line_bases, line_width``: the index of a FASTA file or of all files of a folder, a task for each file.
+
+    A record whose lines differ in length (but for the last) is an error, as its letters can't be found by arithmetic.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("file"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column("file").to_pylist():
+                yield pa.RecordBatch.from_pylist(list(fasta_records(name)), pa.schema([("file", pa.string()), ("chrom", pa.string()), *[(c, pa.int64()) for c in ("length", "offset", "line_bases", "line_width")]]))
+
+    return found.mapInArrow(run, "file string, chrom string, length long, offset long, line_bases long, line_width long")
+
+
+def fasta_records(path: str) -> Iterator[dict]:
+    """The index entries of one file, read in blocks of whole lines."""
+    system, inner = place(path)
+    with system.open_input_stream(inner) as source:
+        rest, base, record, ended = b"", 0, None, False
+        while not ended:
+            more = source.read(READ_BYTES)
+            ended = not more
+            raw = rest + more
+            cut = len(raw) if ended else raw.rfind(b"\n") + 1
+            block, rest = np.frombuffer(raw[:cut], np.uint8), raw[cut:]
+            stops = np.flatnonzero(block == 10) + 1
+            stops = np.r_[stops, len(block)] if len(block) and (not len(stops) or stops[-1] < len(block)) else stops
+            starts = np.r_[0, stops][: len(stops)].astype(np.int64)
+            for first, last in _headed(block, starts):
+                if first >= 0:
+                    if record:
+                        yield record
+                    name = raw[starts[first] + 1 : stops[first]].split()
+                    record = {"file": path, "chrom": name[0].decode() if name else "", "length": 0, "offset": base + int(stops[first]), "line_bases": 0, "line_width": 0, "short": False}
+                if record:
+                    _lengthen(record, block, starts[first + 1 : last], stops[first + 1 : last])
+            base += cut
+        if record:
+            yield record
+
+
+def _headed(block: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int]]:
+    """The lines of each record in a block: that of its head (-1 if it is in an earlier block) and the end."""
+    heads = np.flatnonzero(block[starts] == ord(">")) if len(starts) else np.zeros(0, int)
+    edges = np.r_[-1, heads, len(starts)].tolist()
+    return ((a, b) for a, b in zip(edges, edges[1:]) if a >= 0 or b > 0)
+
+
+def _lengthen(record: dict, block: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> None:
+    if not len(starts):
+        return
+    ends = stops - (block[stops - 1] == 10)
+    bases = ends - starts - ((ends > starts) & (block[np.maximum(ends - 1, 0)] == 13))
+    if not record["line_bases"]:
+        record["line_bases"], record["line_width"] = int(bases[0]), int(stops[0] - starts[0])
+    short = bases < record["line_bases"]
+    if (bases > record["line_bases"]).any() or (record["short"] and bases.any()) or short[:-1].any() and bases[np.flatnonzero(short)[0] + 1 :].any():
+        raise ValueError(f"{record['file']}: lines of {record['chrom']} differ in length")
+    record["short"] |= bool(short.any())
+    record["length"] += int(bases.sum())
+
+
+def read_fasta_regions(regions: DataFrame, records: DataFrame) -> DataFrame:
+    """Regions ``chrom, start, stop`` and any further columns with ``seq`` from FASTA files, on their ``strand`` if they have one.
+
+    ``records`` are those of ``index_fasta``. Only the bytes of the regions are read, neighbouring ones together. Regions that are
+    empty or beyond their chromosome are left out.
+    """
+    met = regions.filter("start >= 0 AND start < stop").join(records.filter("length > 0 AND line_bases > 0"), "chrom").filter("stop <= length")
+    found = _fasta_ranges(met, "start")
+    return found.select(*regions.columns, (on_strand(F.col("seq"), F.col("strand")) if "strand" in regions.columns else F.col("seq")).alias("seq"))
+
+
+def _fasta_ranges(rows: DataFrame, start: str) -> DataFrame:
+    """Rows of ``start``, ``stop`` and the index's columns with ``seq``: their bytes are found by arithmetic and read in order of places."""
+    byte = lambda at: F.col("offset") + F.floor(at / F.col("line_bases")) * F.col("line_width") + at % F.col("line_bases")
+    ranged = rows.withColumns({"from__": byte(F.col(start)), "to__": byte(F.col("stop") - 1) + 1})
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    schema = ranged.withColumn("seq", F.lit("")).schema
+
+    return ranged.repartitionByRange(parts, "file", "from__").sortWithinPartitions("file", "from__").mapInArrow(range_batches, schema)
+
+
+def range_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with the letters of their ranges of bytes; ranges that are neighbours come by one read."""
+    source, opened = None, None
+    for batch in batches:
+        files, first, last = (batch.column(c).to_pylist() for c in ("file", "from__", "to__"))
+        i = 0
+        while i < len(first):
+            j, end = i + 1, last[i]
+            while j < len(first) and files[j] == files[i] and first[j] <= end + GAP and max(end, last[j]) - first[i] <= READ_BYTES:
+                j, end = j + 1, max(end, last[j])
+            if files[i] != opened:
+                if source:
+                    source.close()
+                opened = files[i]
+                system, inner = place(opened)
+                source = system.open_input_file(inner)
+            source.seek(first[i])
+            block = source.read(end - first[i])
+            seqs = [block[a - first[i] : b - first[i]].translate(None, b"\r\n").upper().decode() for a, b in zip(first[i:j], last[i:j])]
+            yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, pa.array(seqs, pa.string())], names=[*batch.schema.names, "seq"])
+            i = j
+    if source:
+        source.close()
 
 
 def read_source(spark: SparkSession, path: str, genome: DataFrame | None = None, window: int | None = None) -> DataFrame:
@@ -151,29 +255,75 @@ def write_meme(pwm: DataFrame, path: str, background: float = 0.25) -> None:
     meme_text(pwm).select("text").mapInArrow(headed, "value string").write.mode("overwrite").text(path)
 
 
-def write_signal(regions: DataFrame, arrays: str, path: str, smooth: bool = False, width: int = 10) -> DataFrame:
-    """Arrays of regions as one bedGraph track: first region wins, and if asked a moving average within each block of bases.
+def write_signal(regions: DataFrame, arrays: str, path: str, smooth: bool = False, width: int = 10, kind: str = "bedgraph", sizes: DataFrame | None = None) -> DataFrame:
+    """Arrays of regions as one track: first region wins, and if asked a moving average within each block of overlapping regions.
 
-    Returns ``chrom, start, stop, value`` as written.
+    ``kind`` is ``bedgraph`` or ``bigwig``. Returns ``chrom, start, stop, value`` as written, runs of equal values being one interval.
+    """
+    if kind not in ("bedgraph", "bigwig"):
+        raise ValueError("kind is bedgraph or bigwig")
+    pieces = signal_pieces(regions, arrays)
+    runs = value_runs(smoothed_pieces(pieces, width) if smooth else pieces)
+    if kind == "bigwig":
+        write_bigwig(runs, path, sizes)
+    else:
+        write_bedgraph(runs, path)
+    return runs
+
+
+def signal_pieces(regions: DataFrame, arrays: str) -> DataFrame:
+    """``chrom, start, stop, block, values``: what each region keeps of its array where regions overlap and the first by place wins.
+
+    Longer arrays reach out evenly on both sides; regions that then begin before 0 are left out, as is an odd surplus. ``block`` is the start of
+    the block of overlapping regions; those that only touch are blocks of their own.
     """
-    bases = first_signal(region_signal(regions, arrays))
-    if smooth:
-        joined = bases.withColumn("stop", F.col("stop") + 1)  # neighbours overlap, so a block is a run of bases without a gap
-        bases = moving_average(with_block(joined), width).select("chrom", "start", (F.col("stop") - 1).alias("stop"), F.col("smooth").alias("value"))
-    write_bedgraph(bases, path)
-    return bases
-
-
-def region_signal(regions: DataFrame, arrays: str) -> DataFrame:
-    """``region_id, chrom, start, stop, value`` per base from an array per region, longer arrays reaching out
-    evenly on both sides; regions that then begin before 0 are left out, as is an odd surplus."""
     surplus = F.size(arrays) - (F.col("stop") - F.col("start"))
     wide = regions.withColumn("surplus", surplus).filter("surplus >= 0 AND surplus % 2 = 0").withColumn("start", F.col("start") - F.floor(F.col("surplus") / 2)).filter("start >= 0")
-    each = wide.select("region_id", "chrom", F.col("start").alias("first"), F.posexplode(arrays).alias("i", "value"))
-    return each.select("region_id", "chrom", (F.col("first") + F.col("i")).alias("start"), (F.col("first") + F.col("i") + 1).alias("stop"), "first", F.col("value").cast("double").alias("value"))
+    wide = wide.select("region_id", "chrom", "start", (F.col("start") + F.size(arrays)).alias("stop"), F.col(arrays).cast("array<double>").alias("values"))
+    blocks = with_block(wide, "region_id").withColumn("first", F.col("start"))
+    kept = first_wins(blocks, "region_id")
+    offset = (F.col("start") - F.col("first")).cast("int")
+    return kept.select("chrom", "start", "stop", "block", F.slice("values", offset + 1, (F.col("stop") - F.col("start")).cast("int")).alias("values"))
 
 
-def first_signal(signal: DataFrame) -> DataFrame:
-    """One value per base: where regions overlap, that of the first region. Bases are combined before the shuffle."""
-    best = signal.groupBy("chrom", "start", "stop").agg(F.min(F.struct("first", "region_id", "value")).alias("x"))
-    return best.select("chrom", "start", "stop", "x.value")
+def smoothed_pieces(pieces: DataFrame, width: int = 10) -> DataFrame:
+    """The pieces with the sum of ``width`` neighbouring values of their block over ``width``, zeros beyond the block's ends.
+
+    A piece's values add to its own sums as arrays; only the few that reach beyond its ends, fewer than ``width`` a piece, become rows that
+    find the pieces they fall on.
+    """
+    before, after = width // 2, width - width // 2 - 1
+    schema = "chrom string, start long, stop long, block long, values array<double>, left array<double>, right array<double>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            full = [np.convolve(np.nan_to_num(np.array(v, float)), np.ones(width) / width) for v in batch.column("values").to_pylist()]
+            cut = [(x[after : len(x) - before], x[:after], x[len(x) - before :]) for x in full]
+            arrays = [pa.array([c[i] for c in cut], pa.list_(pa.float64())) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("chrom", "start", "stop", "block")), *arrays], names=[c.split()[0] for c in schema.split(", ")])
+
+    parts = pieces.mapInArrow(run, schema)
+    side = lambda name, at: parts.select("chrom", "block", F.posexplode(name).alias("i", "value")  , F.col("start"), F.col("stop")).select("chrom", F.col("block").alias("of"), (at + F.col("i")).alias("pos"), "value")
+    spilt = side("left", F.col("start") - after).unionByName(side("right", F.col("stop"))).filter("pos >= 0").groupBy("chrom", "of", "pos").agg(F.sum("value").alias("value"))
+    met = range_join(parts.select("chrom", "start", "stop", "block"), spilt).filter("block = of").groupBy("chrom", "block", "start").agg(F.map_from_entries(F.collect_list(F.struct((F.col("pos") - F.col("start")).cast("int"), "value"))).alias("more"))
+    added = F.transform("values", lambda v, i: v + F.coalesce(F.try_element_at("more", i), F.lit(0.0)))
+    return parts.join(met, ["chrom", "block", "start"], "left").select("chrom", "start", "stop", "block", F.when(F.col("more").isNull(), F.col("values")).otherwise(added).alias("values"))
+
+
+def value_runs(pieces: DataFrame) -> DataFrame:
+    """``chrom, start, stop, value`` of ``chrom, start, values``: a row for each run of equal values, not for each base; nulls are gaps."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column("values")
+            flat = values.flatten().to_numpy(zero_copy_only=False).astype(float)
+            sizes = values.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            at = np.repeat(batch.column("start").to_numpy(), sizes) + np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            cut = np.flatnonzero(np.r_[True, (flat[1:] != flat[:-1]) | (row[1:] != row[:-1])]) if len(flat) else np.zeros(0, int)
+            ends = at[np.r_[cut[1:], len(flat)] - 1] + 1 if len(flat) else cut
+            there = ~np.isnan(flat[cut])
+            cut, ends = cut[there], ends[there]
+            yield pa.RecordBatch.from_arrays([batch.column("chrom").take(pa.array(row[cut])), pa.array(at[cut]), pa.array(ends), pa.array(flat[cut])], names=["chrom", "start", "stop", "value"])
+
+    return pieces.select("chrom", "start", F.col("values").cast("array<double>").alias("values")).mapInArrow(run, BEDGRAPH)

@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -49,3 +50,8 @@ def discard(*tables: DataFrame) -> None:
             spark = rows.sparkSession
             place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def place(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path as Spark writes it, and the path there; for range reads and writes within tasks."""
+    return fs.FileSystem.from_uri(path) if re.match(r"[a-z0-9]+://", path := re.sub(r"^s3[an]:", "s3:", re.sub(r"^file:/+", "file:///", path))) else (fs.LocalFileSystem(), path)
