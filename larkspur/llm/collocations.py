@@ -44,7 +44,7 @@ LEAST = 30
 SUBSUMED = 80
 #: Phrases of a language.
 FIRST = 2_000
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 #: Bytes of text for each counter, the most and the fewest counters and those of one slice (powers of two).
 PER_COUNTER, MOST_BITS, FEWEST_BITS, SLICE = 32, 31, 20, 16
 
@@ -69,7 +69,7 @@ class Words(NamedTuple):
 
 def words(texts: pa.Array) -> Words:
     """Lower-cased words of whole texts."""
-    texts = pc.cast(pc.fill_null(texts, ""), pa.large_string())
+    texts = pc.cast(pc.fill_null(texts, ""), pa.large_string())  # offsets of 64 bits
     ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = texts.buffers()[2]
     raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8)
@@ -79,12 +79,14 @@ def words(texts: pa.Array) -> Words:
     first = np.r_[True, ~is_word[:-1]] if len(raw) else np.zeros(0, bool)
     first[ends[:-1][ends[:-1] < len(raw)]] = True
     starts = np.flatnonzero(is_word & first)
+    last = np.r_[~is_word[1:], True] if len(raw) else np.zeros(0, bool)
+    last[ends[1:][ends[1:] > 0] - 1] = True
+    sizes = np.flatnonzero(is_word & last) + 1 - starts
     of_text = np.searchsorted(ends, starts, side="right") - 1
     piece = np.searchsorted(np.flatnonzero(kind == _END), starts)
     begins = np.r_[True, (np.diff(piece) != 0) | (np.diff(of_text) != 0)] if len(starts) else np.zeros(0, bool)
-    places = np.cumsum(is_word)[starts] - 1 if len(starts) else starts
     letters = _LOWER[raw[is_word]]
-    offsets = np.r_[places, len(letters)].astype(np.int64)
+    offsets = np.r_[0, np.cumsum(sizes)].astype(np.int64)
     found = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
     order = pc.sort_indices(found.dictionary).to_numpy()
     rank = np.empty(len(order), np.int64)
@@ -163,6 +165,7 @@ def shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBa
         size += here
     if held:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        returned()
 
 
 class Shard:
