@@ -23,7 +23,8 @@ ROLES = ("test", "control", "permuted")
 class ConceptBuilder:
     """Collects ``concept, role, seq_id, seq``. Adding never changes what was given.
 
-    ``control`` has ``seq_id, seq``; motif concepts are the control's sequences with motifs put in.
+    ``control`` has ``seq_id, seq``; motif concepts are the control's sequences with motifs put in. Motifs are kept as matrices, and the sequences
+    of all of them are made in one pass over the control, so a plan has one branch for motifs whatever their number.
     """
 
     control: DataFrame
@@ -33,6 +34,7 @@ class ConceptBuilder:
     least: int = 1
     parts: list[DataFrame] = field(default_factory=list)
     tracks: list[DataFrame] = field(default_factory=list)
+    insertions: list[S.Insertion] = field(default_factory=list)
 
     def __post_init__(self) -> None:
         self.parts.append(self._tagged(S.drop_unclean(self.control), "control", "control"))
@@ -55,9 +57,7 @@ class ConceptBuilder:
         if permuted:
             rng = S.seeded(self.seed, name)
             pairs.append((f"{name}_permuted", "permuted", [M.permuted_matrix(m, rng) for m in variants]))
-        for concept, role, each in pairs:
-            made = S.with_motifs(S.drop_unclean(self.control), each, self.motifs_per_sequence, *self.buffers, self.seed)
-            self.parts.append(self._tagged(made, concept, role))
+        self.insertions += [S.Insertion(concept, role, each) for concept, role, each in pairs]
         return self
 
     def add_meme_motifs(self, pwm: DataFrame, names: Sequence[str] | None = None, reverse: bool = True, permuted: bool = False) -> "ConceptBuilder":
@@ -95,7 +95,7 @@ class ConceptBuilder:
 
     def apply_transform(self, transform: Callable[[DataFrame], DataFrame]) -> "ConceptBuilder":
         """A function of DataFrames over all samples so far; it keeps the columns ``concept, role, seq_id, seq``."""
-        self.parts = [transform(p) for p in self.parts]
+        self.parts, self.insertions = [transform(self.samples())], []
         return self
 
     def add_sequences(self, rows: DataFrame) -> "ConceptBuilder":
@@ -105,18 +105,34 @@ class ConceptBuilder:
         return self
 
     def add_synthetic_gc(self, step: float, n: int, length: int) -> "ConceptBuilder":
+        """Concepts of ``n`` sequences each, from no G and C to nothing else."""
+        return self.add_synthetic_gc_like(step, self.control.sparkSession.range(n).select(F.col("id").alias("seq_id"), F.lit(length).alias("length")))
+
+    def add_synthetic_gc_like(self, step: float, rows: DataFrame) -> "ConceptBuilder":
+        """The same, with a sequence for each row of ``seq_id`` and ``length`` (or ``seq``, whose length it is)."""
+        sizes = rows.select("seq_id", (F.col("length") if "length" in rows.columns else F.length("seq")).alias("length"))
         for gc in S.gc_grid(step):
-            made = S.synthetic_gc(self.control.sparkSession, gc, n, length, f"{self.seed}:{round(gc * 1e4)}")
-            self.parts.append(self._tagged(made, f"synthetic_gc_{gc:.2f}", "test"))
+            self.parts.append(self._tagged(S.synthetic_gc(sizes, gc, f"{self.seed}:{round(gc * 1e4)}"), f"synthetic_gc_{gc:.2f}", "test"))
         return self
 
+    def motif_samples(self) -> DataFrame:
+        """``concept, role, seq_id, seq`` of all motif concepts, in one pass over the control."""
+        return S.with_insertions(S.drop_unclean(self.control), self.insertions, self.motifs_per_sequence, *self.buffers, self.seed)
+
+    def motif_concepts(self) -> list[str]:
+        return [x.concept for x in self.insertions if x.role == "test"]
+
     def samples(self) -> DataFrame:
-        return reduce(lambda a, b: a.unionByName(b), self.parts)
+        return reduce(lambda a, b: a.unionByName(b), [*self.parts, *([self.motif_samples()] if self.insertions else [])])
 
     def paired_tracks(self) -> DataFrame:
         """``concept, role, seq_id, seq, track`` of the concepts of signal."""
         return reduce(lambda a, b: a.unionByName(b), self.tracks)
 
+    def everything(self) -> DataFrame:
+        """``concept, role, seq_id, seq, track`` of all concepts; only those of signal have a track."""
+        return reduce(lambda a, b: a.unionByName(b), [self.samples().withColumn("track", F.lit(None).cast("array<double>")), *self.tracks])
+
     def for_components(self) -> DataFrame:
         return self.samples().filter(F.col("role") != "permuted")
 

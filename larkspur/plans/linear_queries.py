@@ -21,11 +21,12 @@ COMPONENTS, DIRECTIONS, PER_CONCEPT = 8, 4, 200
 
 
 def _long(spark, sf_dir):
-    return V.long_form(table(spark, sf_dir, "embeddings"), "embedding", "vec_id", "label")
+    return V.long_form(V.sound(table(spark, sf_dir, "embeddings"), "embedding"), "embedding", "vec_id", "label")
 
 
 def _vectors(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("vector"), F.col("label").cast("string").alias("concept"))
+    sound = V.sound(table(spark, sf_dir, "embeddings").filter("vec_id IS NOT NULL"), "embedding")
+    return sound.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("vector"), F.col("label").cast("string").alias("concept"))
 
 
 def e1_zscore_stats(spark, sf_dir):
@@ -69,11 +70,9 @@ def i4_project(spark, sf_dir):
 
 
 def e15_mean_abs_corr(spark, sf_dir):
-    n, total, products = pca.moments(_vectors(spark, sf_dir))
-    cov = products / n - np.outer(total / n, total / n)
-    corr = cov / np.sqrt(np.outer(np.diag(cov), np.diag(cov)))
+    corr = pca.correlation(_vectors(spark, sf_dir))
     off = np.abs(corr[~np.eye(len(corr), dtype=bool)])
-    return spark.createDataFrame([(round(float(off.mean()), 6),)], "mean_abs_corr double")
+    return spark.createDataFrame([(round(float(off.mean()), 6),)] if off.size else [], "mean_abs_corr double")
 
 
 def j3_prepare_samples(spark, sf_dir):
@@ -105,9 +104,13 @@ def i6_restored(spark, sf_dir):
     return back.select(F.col("id").alias("vec_id"), F.size("vector").alias("n"), F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
 
 
-def _cavs(spark, sf_dir):
+def _named(spark, sf_dir):
     model, rows = _embedded(spark, sf_dir)
-    named = rows.join(_vectors(spark, sf_dir).select("id", "concept"), "id")
+    return model, rows.join(_vectors(spark, sf_dir).select("id", "concept").filter("concept IS NOT NULL"), "id")
+
+
+def _cavs(spark, sf_dir):
+    model, named = _named(spark, sf_dir)
     return model, named, stored(C.train(C.samples_for(named, "0", PER_CONCEPT)), "directions")
 
 
@@ -116,8 +119,7 @@ MEASURES = ("concept", "fscore", "fscore_macro", "accuracy", "train_fscore", "tr
 
 def j1_classifiers(spark, sf_dir):
     """Averaged stochastic descent with either penalty."""
-    _, rows, _ = _cavs(spark, sf_dir)
-    samples = stored(C.samples_for(rows, "0", PER_CONCEPT), "samples")
+    samples = stored(C.samples_for(_named(spark, sf_dir)[1], "0", PER_CONCEPT), "samples")
     both = [C.train(samples, method).select(F.lit(method).alias("penalty"), *MEASURES) for method in ("l2", "l1")]
     return both[0].unionByName(both[1])
 
@@ -128,8 +130,7 @@ def j2_adamw_classifiers(spark, sf_dir):
 
 def j5_paired_controls(spark, sf_dir):
     """Each concept against a control of its own, the next concept."""
-    _, rows = _embedded(spark, sf_dir)
-    named = rows.join(_vectors(spark, sf_dir).select("id", "concept"), "id")
+    _, named = _named(spark, sf_dir)
     names = sorted(r.concept for r in named.select("concept").distinct().collect())
     pairs = spark.createDataFrame(list(zip(names, names[1:] + names[:1])), "concept string, control string")
     return C.train(C.samples_for_pairs(named, pairs, PER_CONCEPT)).select(*MEASURES)
@@ -151,7 +152,7 @@ def j9_input_attributions(spark, sf_dir):
     hidden = A.layer_output(rows, layers, 1)
     model = pca.fit(hidden, COMPONENTS)
     basis = pca.subspace(np.random.default_rng(4).normal(size=(DIRECTIONS, COMPONENTS + 32)))
-    pairs = rows.withColumn("base", F.array_repeat(F.lit(0.0), 64))
+    pairs = rows.withColumn("base", F.array_repeat(F.lit(0.0), F.size("vector")))
     total = F.aggregate("a", F.lit(0.0), lambda s, x: s + x)
     parts = [A.input_attributions(pairs, layers, 1, model, basis, part).select("id", F.lit(part).alias("part"), total.alias("total")) for part in ("all", "inside", "outside")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
@@ -183,11 +184,43 @@ def e19_cluster_similarity(spark, sf_dir):
     return rows.crossJoin(F.broadcast(members)).groupBy("id", "cluster").agg(F.avg(cosine).alias("mean_cosine"))
 
 
+def j8_sequence_attribution(spark, sf_dir):
+    """A network of convolutions and pooling over whole sequences in windows of 64 letters, against each window read backwards: attributions of letters."""
+    starts = F.explode(F.sequence(F.lit(0), F.greatest(F.length("seq") - 1, F.lit(0)), F.lit(64)))
+    windows = P.sequences(spark, sf_dir).filter("seq_id IS NOT NULL AND seq <> ''").select("seq_id", "seq", starts.alias("start"))
+    cut = windows.select((F.col("seq_id").cast("long") * 1_000_000_000 + F.col("start")).alias("id"), F.substring(F.col("seq"), F.col("start") + 1, F.lit(64)).alias("seq"))
+    found = A.input_attributions(cut.withColumn("base", F.reverse("seq")), sequence_network(), 0)
+    return found.select((F.col("id") / 1_000_000_000).cast("long").alias("seq_id"), (F.col("id") % 1_000_000_000).alias("start"), "a", "difference")
+
+
+def i1_leading_components(spark, sf_dir):
+    """The same leading shares by the randomised range finder, without a square matrix."""
+    rows = _vectors(spark, sf_dir)
+    model = pca.fit_wide(rows, COMPONENTS, passes=8)
+    share = model.variances / max(1, int((model.std != -1).sum()))
+    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(share)], "pc int, share double")
+
+
 def k5_motif_run(spark, sf_dir):
-    """The whole run over sequences: motifs of two languages put into the sequences of documents, shares of 3-letter strings as activations."""
-    control = P.sequences(spark, sf_dir).filter("length(seq) >= 200").select("seq_id", "seq")
-    pwm = P.pwm(spark, sf_dir).filter("motif IN ('de', 'fr')")
-    return run_concepts(control, pwm, sequences.kmer_shares, network(), (2, 8), COMPONENTS, PER_CONCEPT)["scores"]
+    """The whole run over sequences: motifs of all languages put into whole sequences of documents, shares of 3-letter strings as activations."""
+    control = P.sequences(spark, sf_dir).select("seq_id", "seq")
+    return run_concepts(control, sequences.kmer_shares, network(), pwm=P.pwm(spark, sf_dir), insertions=(2, 8), components=COMPONENTS, per_concept=PER_CONCEPT, control_kind="permuted")["scores"]
+
+
+def k5_all_concepts(spark, sf_dir):
+    """A run of consensus motifs with further concepts: regions of sequences, their signal, and synthetic GC content of the lengths of documents; random control."""
+    seqs = P.sequences(spark, sf_dir).filter("length(seq) >= 64")
+    control = seqs.select("seq_id", F.substring("seq", 1, 64).alias("seq"))
+    genome = P.genome(seqs.withColumn("chrom", F.col("seq_id").cast("string")), 256)
+    regions = seqs.select(F.concat(F.lit("region_"), F.coalesce("lang", F.lit("und"))).alias("concept"), F.col("seq_id").cast("string").alias("chrom"), F.floor(F.length("seq") / 2 - 20).alias("start")).withColumn("stop", F.col("start") + 40)
+    signal = seqs.select(F.col("seq_id").cast("string").alias("chrom"), F.lit(0).cast("long").alias("start"), F.length("seq").cast("long").alias("stop"), (F.col("seq_id") % 7).cast("double").alias("value"))
+    consensus = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("M"), (F.col("item_id") % 3).cast("string")).alias("motif"), F.substring(F.upper(F.regexp_replace("text", "[^acgtACGT]", "")), 1, 12).alias("consensus")).filter("length(consensus) = 12")
+
+    def others(builder):
+        tracks = regions.withColumn("concept", F.replace("concept", F.lit("region"), F.lit("track")))
+        return builder.add_regions(regions, genome, 64).add_tracks(tracks, signal, 64).add_synthetic_gc_like(0.5, control)
+
+    return run_concepts(control, sequences.kmer_and_track_shares, network(68), consensus=consensus, others=others, insertions=(2, 6), components=COMPONENTS, per_concept=PER_CONCEPT)["scores"]
 
 
 def network(inputs: int = 64, hidden: tuple[int, ...] = (32, 16), seed: int = 11) -> list[A.Dense]:
@@ -195,9 +228,22 @@ def network(inputs: int = 64, hidden: tuple[int, ...] = (32, 16), seed: int = 11
     return [A.Dense(rng.normal(size=(a, b)) / np.sqrt(a), rng.normal(size=b) * 0.1) for a, b in pairwise(sizes)]
 
 
+def sequence_network(length: int = 64, seed: int = 12) -> list[A.Layer]:
+    """Two convolutions, each with pooling (the second in overlapping windows), and two dense layers."""
+    rng = np.random.default_rng(seed)
+    sizes = [length - 4, (length - 4) // 4]
+    last = sizes[1] - 2
+    pooled = (last - 3) // 2 + 1
+    return [
+        A.Convolution(rng.normal(size=(8, 4, 5)) / 4, rng.normal(size=8) * 0.1, length), A.MaxPool(8, sizes[0], 4, 4),
+        A.Convolution(rng.normal(size=(12, 8, 3)) / 4, rng.normal(size=12) * 0.1, sizes[1]), A.MaxPool(12, last, 3, 2),
+        A.Dense(rng.normal(size=(12 * pooled, 16)) / 8, rng.normal(size=16) * 0.1), A.Dense(rng.normal(size=(16, 1)) / 4, rng.normal(size=1) * 0.1),
+    ]
+
+
 def _attributed(spark, sf_dir, model):
     rows = _vectors(spark, sf_dir)
-    base = rows.filter("concept = '0'").select(F.array(*[F.avg(F.col("vector")[i].cast("double")) for i in range(64)]).alias("base"))
+    base = rows.filter("concept = '0'").select(F.array(*[F.avg(F.col("vector")[i].cast("double")) for i in range(len(model.mean))]).alias("base"))
     return A.layer_attributions(rows.crossJoin(F.broadcast(base)), network(), model)
 
 
@@ -208,7 +254,10 @@ def j8_mlp_attribution(spark, sf_dir):
 def i7_cav_subspace(spark, sf_dir):
     """How much of a few directions' span each embedding lies in."""
     _, rows, cavs = _cavs(spark, sf_dir)
-    basis = pca.subspace(np.array([r.w for r in cavs.collect()]))  # a row per concept
+    found = cavs.collect()  # a row per concept
+    if not found:
+        return spark.createDataFrame([], "id long, share double")
+    basis = pca.subspace(np.array([r.w for r in found]))
     inner = F.array(*[F.aggregate(F.zip_with("emb", F.array(*map(F.lit, q.tolist())), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) for q in basis.T])
     return rows.select("id", (F.aggregate(inner, F.lit(0.0), lambda s, x: s + x * x) / C.dot("emb", "emb")).alias("share"))
 
@@ -237,4 +286,4 @@ ORACLE_SQL = {
       r AS (SELECT *, row_number() OVER (PARTITION BY concept, truth ORDER BY md5(concat_ws(':', '42', id::VARCHAR)), id) AS nth, count(*) OVER (PARTITION BY concept, truth) AS n FROM b)
       SELECT concept, truth, CASE WHEN nth <= ceil(n * 0.1::DOUBLE) THEN 'test' ELSE 'train' END AS split, count(*) AS n, sum(id)::BIGINT AS ids FROM r GROUP BY 1, 2, 3""",
 }
-QUERIES = {name: globals()[name] for name in [*ORACLE_SQL, "i3_pca_variance", "i5_embeddings", "j1_classifiers", "j2_adamw_classifiers", "j5_paired_controls", "j6_layer_output", "j7_patched_output", "j9_input_attributions", "e19_cluster_similarity", "k5_motif_run", "i10_cluster_order", "j8_mlp_attribution", "i7_cav_subspace", "k5_concept_run"]}
+QUERIES = {name: globals()[name] for name in [*ORACLE_SQL, "i3_pca_variance", "i5_embeddings", "j1_classifiers", "j2_adamw_classifiers", "j5_paired_controls", "j6_layer_output", "j7_patched_output", "j9_input_attributions", "e19_cluster_similarity", "k5_motif_run", "i10_cluster_order", "j8_mlp_attribution", "j8_sequence_attribution", "i1_leading_components", "i7_cav_subspace", "k5_concept_run", "k5_all_concepts"]}

@@ -130,6 +130,10 @@ def e9_line_fit(spark, sf_dir):
     return X.line_fit(_lengths(spark, sf_dir), "x", "y", "brand").select("brand", F.round("slope", 5).alias("slope"), F.round("intercept", 5).alias("intercept"), F.round("r2", 6).alias("r2"))
 
 
+def e9_p_values(spark, sf_dir):
+    return X.line_fit(_lengths(spark, sf_dir), "x", "y", "brand", p_value=True).select("brand", "p")
+
+
 def e9_residual_rank(spark, sf_dir):
     rows = X.residuals(_lengths(spark, sf_dir).groupBy("brand").agg(F.avg("x").alias("x"), F.avg("y").alias("y")), "x", "y")
     rank = F.row_number().over(W.orderBy(F.desc(F.round("residual", 5)), "brand"))  # a row per brand
@@ -247,4 +251,4 @@ ORACLE_SQL = {
     "b20_name_parsing": "SELECT page_id, regexp_extract(url, 'example\\.([a-z]+)', 1) AS top, regexp_replace(url, '[0-9]+', '_', 'g') AS pattern, starts_with(url, 'https') AS secure FROM pages",
     "b22_escaped_json": "SELECT page_id, md5(replace(html, '<', '\\u003c')) AS escaped, regexp_replace(url, '[^a-zA-Z0-9_-]', '_', 'g') AS safe_id FROM pages",
 }
-QUERIES = {name: globals()[name] for name in ORACLE_SQL}
+QUERIES = {name: globals()[name] for name in [*ORACLE_SQL, "e9_p_values"]}

@@ -13,42 +13,50 @@ from larkspur.operators import vectors as V
 from larkspur.sources.storage import table
 
 COUNTS = ("n", "n_pos", "n_neg", "tp", "fp", "fn")
+#: Labels times dimensions whose moments are gathered.
+CELLS = 5_000_000
 LONG_SQL = "SELECT vec_id, label, generate_subscripts(embedding, 1) - 1 AS d, unnest(embedding)::DOUBLE AS v FROM embeddings"
 
 
 def class_moments(rows: DataFrame) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
-    """Labels and, by label and dimension, numbers, means and population variances of ``label, v``.
+    """Labels and, by label and dimension, numbers, means and population variances of ``label, v``, of the length that most vectors have.
 
-    One pass; each partition adds up its vectors as matrices, and only (labels x dimensions) numbers of it are shuffled or reach the driver.
+    One pass; each partition adds up its vectors as matrices, and only (labels x dimensions) numbers of it are shuffled or reach the driver. More
+    than ``CELLS`` of them are an error.
     """
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, list] = {}
+        found: dict[tuple[int, int], list] = {}
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            sizes = np.unique(np.diff(batch.column("v").offsets.to_numpy()))
-            if len(sizes) > 1:
-                raise ValueError("vectors of several lengths")
-            x, label = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1), batch.column("label").to_numpy(zero_copy_only=False)
-            for k in np.unique(label).tolist():
-                own = x[label == k]
-                mean = own.mean(axis=0)
-                n, m, q = found.get(k, (0, 0.0, 0.0))
-                every = n + len(own)
-                # Sums of squares about the mean, put together.
-                q = q + ((own - mean) ** 2).sum(axis=0) + (mean - m) ** 2 * (n * len(own) / every)
-                found[k] = (every, m + (mean - m) * (len(own) / every), q)
-        for k, (n, m, q) in found.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k] * len(m), pa.int32()), pa.array(range(len(m)), pa.int32()), pa.array([n] * len(m), pa.int64()), pa.array(m), pa.array(q)], names=["label", "d", "n", "m", "q"])
-
-    parts = rows.select(F.col("label").cast("int").alias("label"), "v").mapInArrow(summed, "label int, d int, n long, m double, q double")
+            sizes, label = batch.column("v").value_lengths().to_numpy(zero_copy_only=False), batch.column("label").to_numpy(zero_copy_only=False)
+            for size in np.unique(sizes).tolist():
+                x = batch.column("v").filter(pa.array(sizes == size)).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+                of = label[sizes == size]
+                for k in np.unique(of).tolist():
+                    own = x[of == k]
+                    mean = own.mean(axis=0)
+                    n, m, q = found.get((size, k), (0, 0.0, 0.0))
+                    every = n + len(own)
+                    # Sums of squares about the mean, put together.
+                    q = q + ((own - mean) ** 2).sum(axis=0) + (mean - m) ** 2 * (n * len(own) / every)
+                    found[size, k] = (every, m + (mean - m) * (len(own) / every), q)
+        for (size, k), (n, m, q) in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k] * size, pa.int32()), pa.array(range(size), pa.int32()), pa.array([size] * size, pa.int32()), pa.array([n] * size, pa.int64()), pa.array(m), pa.array(q)], names=["label", "d", "size", "n", "m", "q"])
+
+    parts = rows.select(F.col("label").cast("int").alias("label"), "v").mapInArrow(summed, "label int, d int, size int, n long, m double, q double")
     n, mean = F.sum("n"), F.sum(F.col("n") * F.col("m")) / F.sum("n")
     spread = F.sum(F.col("q") + F.col("n") * F.col("m") * F.col("m")) / n - mean * mean
-    cells = parts.groupBy("label", "d").agg(n.alias("n"), mean.alias("m"), F.greatest(spread, F.lit(0.0)).alias("q")).orderBy("label", "d").collect()
+    cells = parts.groupBy("label", "size", "d").agg(n.alias("n"), mean.alias("m"), F.greatest(spread, F.lit(0.0)).alias("q")).limit(CELLS + 1).collect()
+    if len(cells) > CELLS:
+        raise ValueError(f"more than {CELLS} labels times dimensions")
+    by_size: dict[int, int] = {}
+    for c in cells:
+        by_size[c.size] = by_size.get(c.size, 0) + c.n * (c.d == 0)
+    most = min(by_size, key=lambda k: (-by_size[k], k), default=0)
+    cells = sorted((c for c in cells if c.size == most), key=lambda c: (c.label, c.d))
     labels = sorted({c.label for c in cells})
     shaped = lambda name: np.array([c[name] for c in cells], float).reshape(len(labels), -1)
-    return labels, shaped("n"), shaped("m"), shaped("q")
+    return (labels, shaped("n"), shaped("m"), shaped("q")) if labels else ([], *(np.zeros((0, 0)),) * 3)
 
 
 def flagship_concept_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,10 +66,11 @@ def flagship_concept_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     Means and deviations follow from the moments of the classes. Samples stay where they were read: Arrow batches are
     scored as matrices against all directions, and only counts per concept and partition are shuffled.
     """
-    rows = table(spark, sf_dir, "embeddings").filter("embedding IS NOT NULL AND label IS NOT NULL AND forall(embedding, x -> x IS NOT NULL)").select("label", F.col("embedding").cast("array<double>").alias("v"))
+    rows = table(spark, sf_dir, "embeddings").filter("embedding IS NOT NULL AND label IS NOT NULL AND size(embedding) > 0 AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < float('infinity'))").select("label", F.col("embedding").cast("array<double>").alias("v"))
     labels, n, m, q = class_moments(rows)
     if 0 not in labels:  # no control, no scores
         return table(spark, sf_dir, "embeddings").sparkSession.createDataFrame([], "concept int, n long, n_pos long, n_neg long, log_ratio double, fscore double")
+    rows = rows.filter(F.size("v") == m.shape[1])
     mean = (n * m).sum(axis=0) / n.sum(axis=0)
     std = np.sqrt((n * (q + (m - mean) ** 2)).sum(axis=0) / (n.sum(axis=0) - 1))
     std[std == 0] = -1.0

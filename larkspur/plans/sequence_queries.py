@@ -11,6 +11,7 @@ from larkspur.functions.hashing import uniform_sql
 from larkspur.operators import motifs as M
 from larkspur.operators import sequences as S
 from larkspur.plans import proxies as P
+from larkspur.sources.storage import table
 
 MOTIF = "ACGTAC"
 
@@ -47,7 +48,10 @@ def f2_drop_unclean(spark, sf_dir):
 
 
 def a20_synthetic_gc(spark, sf_dir):
-    return reduce(lambda a, b: a.unionByName(b), [S.synthetic_gc(spark, gc, 20, 64, "3") for gc in S.gc_grid(0.25)])
+    """For each item a sequence as long as its text, at five shares of G and C."""
+    sizes = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("seq_id"), F.length("text").alias("length"))
+    made = reduce(lambda a, b: a.unionByName(b), [S.synthetic_gc(sizes, gc, "3") for gc in S.gc_grid(0.25)])
+    return made.select("gc", "seq_id", F.md5("seq").alias("seq_md5"), E.letter_count(F.col("seq"), "GC").alias("n_gc"))
 
 
 def c4_saturate_motif(spark, sf_dir):
@@ -130,7 +134,7 @@ def c13_pssm_hits(spark, sf_dir):
 
 def _inserted(spark, sf_dir):
     matrix = [[0.97, 0.01, 0.01, 0.01], [0.01, 0.97, 0.01, 0.01], [0.01, 0.01, 0.97, 0.01], [0.01, 0.01, 0.01, 0.97]] * 2
-    return S.with_motifs(P.sequences(spark, sf_dir).filter("length(seq) >= 60"), matrix, 3, 2, 2)
+    return S.with_motifs(P.sequences(spark, sf_dir), matrix, 3, 2, 2)
 
 
 def c3_motif_insertion(spark, sf_dir):
@@ -154,8 +158,9 @@ ORACLE_SQL = {
     "b7_one_hot_counts": f"WITH {P.SEQUENCES} SELECT seq_id, " + ", ".join(f"length(seq) - length(replace(seq, '{b.upper()}', '')) AS {b}" for b in M.BASES) + " FROM seqs",
     "b13_gc_content": f"WITH {P.SEQUENCES}, n AS (SELECT seq_id, length(seq) AS n, length(seq) - length(translate(seq, 'GC', '')) AS k FROM seqs) SELECT seq_id, k AS gc_count, round(k::DOUBLE / nullif(n, 0), 6) AS gc FROM n",
     "f2_drop_unclean": f"WITH {P.SEQUENCES} SELECT seq_id, length(seq) AS n FROM seqs WHERE seq_id % 5 <> 0 AND seq <> ''",
-    "a20_synthetic_gc": f"""WITH d AS (SELECT printf('%.2f', k / 4.0) AS gc, k / 4.0::DOUBLE AS p, i AS seq_id, j, {uniform_sql("'3'", "printf('%.2f', k / 4.0)", "i::VARCHAR", "j::VARCHAR")} AS u FROM generate_series(0, 4) a(k), generate_series(0, 19) b(i), generate_series(0, 63) c(j))
-      SELECT gc, seq_id, string_agg(CASE WHEN u < (1 - p) / 2 THEN 'A' WHEN u < 0.5::DOUBLE THEN 'C' WHEN u < 0.5::DOUBLE + p / 2 THEN 'G' ELSE 'T' END, '' ORDER BY j) AS seq FROM d GROUP BY gc, seq_id""",
+    "a20_synthetic_gc": f"""WITH d AS (SELECT printf('%.2f', k / 4.0) AS gc, k / 4.0::DOUBLE AS p, item_id AS seq_id, j, {uniform_sql("'3'", "printf('%.2f', k / 4.0)", "item_id::VARCHAR", "j::VARCHAR")} AS u FROM benchmark, generate_series(0, 4) a(k), LATERAL (SELECT unnest(generate_series(0, length(text) - 1)) AS j) c),
+      s AS (SELECT gc, seq_id, string_agg(CASE WHEN u < (1 - p) / 2 THEN 'A' WHEN u < 0.5::DOUBLE THEN 'C' WHEN u < 0.5::DOUBLE + p / 2 THEN 'G' ELSE 'T' END, '' ORDER BY j) AS seq FROM d GROUP BY gc, seq_id)
+      SELECT gc, seq_id, md5(seq) AS seq_md5, length(seq) - length(translate(seq, 'GC', '')) AS n_gc FROM s""",
     "c4_saturate_motif": f"""WITH {P.SEQUENCES}, x AS (SELECT seq_id, seq, CASE WHEN length(seq) >= 9 THEN (length(seq) - 9) // 10 + 1 ELSE 0 END AS n FROM seqs),
       y AS (SELECT seq_id, CASE WHEN n = 0 THEN seq ELSE substr(seq, 1, 3) || array_to_string([ '{MOTIF}' || CASE WHEN i < n THEN substr(seq, 10 + 10 * (i - 1), 4) ELSE substr(seq, 10 + 10 * (i - 1)) END FOR i IN generate_series(1, n)], '') END AS s FROM x) SELECT seq_id, md5(s) AS seq_md5 FROM y""",
     "c6_paired_motif": f"WITH {P.SEQUENCES} SELECT seq_id, md5(substr(seq, 1, 5) || 'AAAA' || substr(seq, 10, 7) || 'CCCC' || substr(seq, 21)) AS seq_md5 FROM seqs WHERE length(seq) >= 40",

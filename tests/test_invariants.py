@@ -3,6 +3,7 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from larkspur.operators import attribution as A
@@ -107,7 +108,7 @@ def test_pwm_sampling_and_gc(spark):
     assert all(abs(share[b] / 10_000 - 0.25) < 0.02 for b in "ACGT")
     assert [r.seq for r in M.sampled(even, 9, "1").orderBy("draw").collect()] != [r.seq for r in M.sampled(even, 9, "2").orderBy("draw").collect()]
     for gc in (0.0, 0.3, 1.0):
-        text = "".join(r.seq for r in S.synthetic_gc(spark, gc, 50, 200, "1").collect())
+        text = "".join(r.seq for r in S.synthetic_gc(spark.range(50).selectExpr("id AS seq_id", "200 AS length"), gc, "1").collect())
         assert abs((text.count("G") + text.count("C")) / len(text) - gc) < 0.05
     assert S.gc_grid(0.1) == [min(1.0, i * 0.1) for i in range(11)]
 
@@ -171,6 +172,60 @@ def test_wide_and_nested_intervals(spark, monkeypatch):
     assert sorted([r.start, r.stop, r.n] for r in I.merge_overlaps(regions, "region_id").collect()) == blocks
 
 
+def test_insertions_by_batch():
+    """The same places whatever stands beside a sequence; every free place is as likely, also after others are taken."""
+    rng = np.random.default_rng(1)
+    seqs = ["".join(rng.choice(list("ACGT"), n)) for n in rng.integers(0, 60, 300)]
+    variants = [np.cumsum(np.eye(4)[[0, 1, 2]], axis=1), np.cumsum(np.eye(4)[[3, 3, 3, 3, 3]], axis=1)]
+    keys = np.arange(300) * 7 - 90
+    made, places = S.inserted(S.Letters.of(pa.array(seqs)), keys, variants, 4, 2, 3, 5)
+    texts = made.strings().to_pylist()
+    part, own = S.inserted(S.Letters.of(pa.array(seqs[100:130])), keys[100:130], variants, 4, 2, 3, 5)
+    assert part.strings().to_pylist() == texts[100:130] and (own == places[100:130]).all()
+    for seq, text, at in zip(seqs, texts, places.tolist()):
+        at = [p for p in at if p >= 0]
+        if not at:
+            assert text == seq and len(seq) <= 10
+            continue
+        motif = next(m for m in ("ACG", "TTTTT") if all(text[p : p + len(m)] == m for p in at))
+        assert len(text) == len(seq) and all(2 <= p < len(seq) - len(motif) - 3 for p in at) and all(abs(p - q) >= len(motif) for p in at for q in at if p != q)
+        covered = {p + i for p in at for i in range(len(motif))}
+        assert all(a == b for i, (a, b) in enumerate(zip(seq, text)) if i not in covered)
+        room = [p for p in range(2, len(seq) - len(motif) - 3) if all(abs(p - q) >= len(motif) for q in at)]
+        assert len(at) == 4 or not room
+    n = 30_000
+    _, places = S.inserted(S.Letters.of(pa.array(["A" * 12] * n)), np.arange(n), [np.cumsum(np.eye(4)[[1, 1]], axis=1)], 2, 0, 0, 3)
+    first, then = Counter(places[:, 0].tolist()), Counter(map(tuple, places.tolist()))
+    assert all(abs(first[p] / n - 0.1) < 0.01 for p in range(10))
+    for p in range(10):
+        free = [q for q in range(10) if abs(p - q) >= 2]
+        assert all(abs(then[p, q] / first[p] - 1 / len(free)) < 0.04 for q in free)
+
+
+def test_shuffles_are_even_over_all_paths():
+    """Every sequence with the same pairs of neighbours is as likely, by enumeration; long walks end where short ones do."""
+    import itertools
+
+    def pairs(s):
+        return sorted(zip(s, s[1:]))
+
+    for seq in ("AACAGAC", "ABABBA", "CACGTCA"):
+        want = {p for x in set(itertools.permutations(seq)) if pairs(p := "".join(x)) == pairs(seq) and p[0] == seq[0]}
+        n = 4_000
+        letters = S.Letters.of(pa.array([seq] * n))
+        got = Counter(S.shuffled(letters, np.arange(n), 1, 0, np.unique(letters.flat)).strings().to_pylist())
+        assert set(got) == want and all(abs(c / n - 1 / len(want)) < 5 * (1 / len(want) / n) ** 0.5 for c in got.values())
+    rng = np.random.default_rng(3)
+    seqs = ["".join(rng.choice(list("ACGTN"), n, p=[0.3, 0.3, 0.2, 0.15, 0.05])) for n in [*rng.integers(0, 90, 40), 5_000, 4_000, 1, 2, 3]] + ["A" * 50, "A" * 5_000 + "C", None]
+    letters = S.Letters.of(pa.array(seqs))
+    for copy in (0, 1):
+        made = S.shuffled(letters, np.arange(len(seqs)), 4, copy, np.unique(letters.flat)).strings().to_pylist()
+        assert all(pairs(a) == pairs(b or "") and a[:1] == (b or "")[:1] and a[-1:] == (b or "")[-1:] for a, b in zip(made, seqs))
+    assert made[40] != seqs[40]
+    alone = S.Letters.of(pa.array(seqs[38:42]))
+    assert S.shuffled(alone, np.arange(38, 42), 4, 1, np.unique(letters.flat)).strings().to_pylist() == made[38:42]
+
+
 def test_builder(spark):
     control = spark.createDataFrame([(i, "ACGT" * 10 if i else "ACGN") for i in range(10)], "seq_id long, seq string")
     builder = ConceptBuilder(control, 2, least=3).add_motif("m/1", np.eye(4), permuted=True).add_synthetic_gc(0.5, 4, 20)
