@@ -89,10 +89,12 @@ class Block:
     def best(self, query: int, vector: np.ndarray, order: np.ndarray, nearest: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the query's nearest, reranked from the lowest footrules."""
         near = np.argpartition(self.footrule(order), self.depth - 1)[: self.depth] if self.depth < len(self.vectors) else np.arange(len(self.vectors))
-        score = (self.vectors[near] * vector).sum(axis=1)
-        if len(near) > nearest + 1:  # those that may be among the nearest, ties included
-            kept = score >= np.partition(score, len(score) - nearest - 1)[len(score) - nearest - 1]
-            near, score = near[kept], score[kept]
+        some = self.vectors[near]
+        if len(near) > nearest + 1:  # by a quick product, those that may be among the nearest, ties and rounding included
+            quick = some @ vector
+            kept = quick >= np.partition(quick, len(quick) - nearest - 1)[len(quick) - nearest - 1] - 1e-9 * (1 + np.abs(quick).max())
+            near, some = near[kept], some[kept]
+        score = (some * vector).sum(axis=1)
         n = self.copies[near]
         at = np.repeat(self.starts[near] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         ids, scores = self.ids[at], np.repeat(score, n)
