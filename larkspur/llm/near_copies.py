@@ -4,10 +4,12 @@ Texts of equal sets are one point. Its SimHash over these shingles is linked by
 within 3 bits. At a similarity of 0.8 two SimHashes differ in 10 of 64 bits on average, which anchors can't cover, so points
 are also candidates if they share one of ``BANDS`` hashes, each of the smallest values of the
 shingles under ``ROWS`` permutations (at a similarity of 0.8 with a
-probability of 0.9998, above it more, at 0.3 of 0.02). Candidates are linked to components, and within these
-pairs are compared by their whole sets, so no link is below ``LIKE``. Of components of up to ``CELL`` points all pairs are
-compared; larger ones, which chains of chance candidates make ever larger as a corpus grows, are compared whole or by the points of
-each band, whichever moves fewer texts. Groups of more than ``CELL`` points are cut into chunks, each pair of chunks a group of its own.
+probability of 0.9998, above it more, at 0.3 of 0.02). All candidates are compared by their whole sets, in groups of any size alike.
+
+First every band's first point, its leader, meets the others, and the SimHash links are compared: near copies of one text are linked by that, with each text
+moved once for each leader it has. Then only bands whose other points aren't all linked yet go on: those outside the band's largest group of linked
+points meet all of it. Points are dealt into chunks of at most about ``CELL`` points and ``SHINGLES`` shingles; of a pair of chunks a task holds the sets of one, and
+the others pass by one at a time.
 
 Edge cases: texts without words are copies of each other; texts of fewer than 5 words are one shingle.
 """
@@ -27,12 +29,12 @@ from larkspur.llm.batches import bounded, text_slices
 from larkspur.llm.components import connected_components
 from larkspur.llm.fingerprints import _FACTORS, _mixed, sketches
 from larkspur.llm.simhash import one_of_each, row_key
-from larkspur.sources.storage import stored
+from larkspur.sources.storage import discard, stored
 
 LIKE = 0.8
 BANDS, ROWS = 28, 6
-#: Points that are compared in one group.
-CELL = 128
+#: Points, and shingles of them, that a task holds to compare others with.
+CELL, SHINGLES = 128, 1 << 21
 #: No bound on the shingles of a text.
 ALL = 1 << 62
 _random = np.random.default_rng(42)
@@ -62,7 +64,7 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in text_slices(batches):
         made = sketches(part.column("text"), ALL)
         fps = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in made], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("no_id", "id", "of_text")), pa.array(fps), pa.array([sim(x) for x in made], pa.int64()), pa.array([bands(x) for x in made], pa.list_(pa.int64()))], names=["no_id", "id", "of_text", "fp", "sim", "bands"])
+        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("no_id", "id", "of_text")), pa.array(fps), pa.array([sim(x) for x in made], pa.int64()), pa.array([bands(x) for x in made], pa.list_(pa.int64())), pa.array([len(x) for x in made], pa.int64())], names=["no_id", "id", "of_text", "fp", "sim", "bands", "size"])
 
 
 def _starred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,39 +83,38 @@ def _starred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(u[u != fps]), pa.array(fps[u != fps])], names=["u", "v"])
 
 
-def alike(sets: list[np.ndarray], like: float = LIKE) -> np.ndarray:
-    """For sets that aren't empty, labels that are equal for those connected by similarities of at least ``like``."""
-    size, label = np.array([len(x) for x in sets]), np.arange(len(sets))
-    starts = np.cumsum(size) - size
-    distinct, code = np.unique(np.concatenate(sets), return_inverse=True)
-    mark = np.zeros(len(distinct), bool)
-    for i in range(len(sets)):
-        own = code[starts[i] : starts[i] + size[i]]
-        mark[own] = True
-        common = np.add.reduceat(mark[code], starts, dtype=np.int64)
-        mark[own] = False
-        roots = np.unique(label[common >= like * (size + size[i] - common) - 1e-9])
-        if len(roots) > 1:
-            label[np.isin(label, roots)] = roots[0]
-    return label
-
-
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    group, fps, sets = None, [], []
+def alike(held: list[np.ndarray], other: np.ndarray, like: float = LIKE) -> np.ndarray:
+    """The places of the sets that have a similarity of at least ``like`` with another one; sets are sorted and not empty."""
+    flat, size = np.concatenate(held), np.array([len(x) for x in held])
+    at = np.searchsorted(other, flat)
+    met = other[np.minimum(at, len(other) - 1)] == flat
+    common = np.add.reduceat(met, np.cumsum(size) - size, dtype=np.int64)
+    return np.flatnonzero(common >= like * (size + len(other) - common) - 1e-9)
 
-    def links() -> pa.RecordBatch:
-        label = alike(sets) if sets else np.zeros(0, int)
-        far = np.flatnonzero(label != np.arange(len(label)))
-        return pa.RecordBatch.from_arrays([pa.array([fps[i] for i in far], pa.int64()), pa.array([fps[i] for i in label[far]], pa.int64())], names=["u", "v"])
 
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between points of each cell, of those that are held (side 0, first) with the others; no more than connect what all such links connect."""
+    cell, held, names, label = None, [], [], []
     for part in text_slices(batches):
-        for root, cell, fp, own in zip(*(part.column(c).to_pylist() for c in ("root", "cell", "fp")), sketches(part.column("text"), ALL)):
-            if (root, cell) != group:
-                yield links()
-                group, fps, sets = (root, cell), [], []
-            fps.append(fp)
-            sets.append(own)
-    yield links()
+        u, v = [], []
+        for group, number, side, fp, own in zip(*(part.column(c).to_pylist() for c in ("group", "cell", "side", "fp")), sketches(part.column("text"), ALL)):
+            if (group, number) != cell:
+                cell, held, names, label = (group, number), [], [], []
+            own = np.sort(own)
+            if side == 0:
+                label.append(len(held))
+                held.append(own)
+                names.append(fp)
+                continue
+            joined = None
+            for i in alike(held, own).tolist() if held else ():
+                if label[i] != joined:
+                    if names[i] != fp:
+                        u.append(names[i])
+                        v.append(fp)
+                    label = [label[i] if x == joined else x for x in label] if joined is not None else label
+                    joined = label[i]
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
 def candidates(points: DataFrame) -> DataFrame:
@@ -127,46 +128,61 @@ def candidates(points: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_starred, "u long, v long").unionByName(near).unionByName(equal).distinct()
 
 
-def _chunks(count: str = "count") -> Column:
-    return F.ceil(F.col(count) / F.lit(CELL)).cast("long")
+def _chunks(count: str, shingles: str) -> Column:
+    return F.greatest(F.ceil(F.col(count) / CELL), F.ceil(F.col(shingles) / SHINGLES), F.lit(1)).cast("long")
+
+
+def _own(chunks: str) -> Column:
+    return F.pmod(F.xxhash64(F.lit("chunk"), "fp"), F.col(chunks))
+
 
+def _meeting(texts: DataFrame, cells: DataFrame) -> DataFrame:
+    """Links within ``group, cell, side, fp``."""
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cells.join(texts, "fp").select("group", "cell", "side", "fp", "text").repartition(parts, "group", "cell").sortWithinPartitions("group", "cell", "side")
+    return dealt.mapInArrow(_compared, "u long, v long").distinct()
 
-def _paired(rows: DataFrame) -> DataFrame:
-    """``root, fp, cell``: the points of a group in the cells of their chunk with each chunk of ``root``, which has ``count`` points."""
-    dealt = rows.withColumn("chunks", _chunks()).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")))
-    cell = F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda j: F.least("own", j) * F.col("chunks") + F.greatest("own", j))
-    return dealt.select("root", "fp", F.explode(cell).alias("cell"))
 
+def edge_cells(edges: DataFrame) -> DataFrame:
+    """Cells of candidate pairs ``u, v``: each ``u`` meets its others, by chunks of these."""
+    sized = edges.groupBy(F.col("u").alias("group")).agg(F.count(F.lit(1)).alias("n")).withColumn("chunks", F.ceil(F.col("n") / CELL).cast("long"))
+    others = edges.select(F.col("u").alias("group"), F.col("v").alias("fp")).join(sized, "group").select("group", _own("chunks").alias("cell"), F.lit(1).alias("side"), "fp")
+    return others.unionByName(others.select("group", "cell", F.lit(0).alias("side"), F.col("group").alias("fp")).distinct())
 
-def cells(points: DataFrame, near: DataFrame) -> DataFrame:
-    """``root, fp, cell``: groups of points that are to be compared, from components ``node, root``.
 
-    A component is one group, or its bands are, if these together move fewer texts; points of a similarity of ``LIKE`` share a band.
-    """
-    sized = near.join(near.groupBy("root").count(), "root").select("root", F.col("node").alias("fp"), "count")
-    large = sized.filter(F.col("count") > CELL)
-    if not large.limit(1).count():
-        return _paired(sized)
-    by_band = stored(points.join(large, "fp").select("root", "count", "fp", F.explode("bands").alias("band")), "bands")
-    shared = by_band.groupBy("root", "band").agg(F.first("count").alias("all"), F.count(F.lit(1)).alias("count")).filter("count > 1")
-    costs = shared.groupBy("root").agg(F.sum(F.col("count") * _chunks()).alias("moved"), F.first("all").alias("all"))
-    loose = stored(costs.filter(F.col("moved") < F.col("all") * _chunks("all")).select("root"), "loose")
-    of_bands = by_band.drop("count").join(shared.join(loose, "root", "left_semi").select("root", "band", "count"), ["root", "band"])
-    return _paired(sized.join(loose, "root", "left_anti")).unionByName(_paired(of_bands.select(F.col("band").alias("root"), "fp", "count")))
+def band_cells(points: DataFrame, linked: DataFrame) -> DataFrame:
+    """Cells of bands whose points, but for the leader, aren't all linked by ``linked(node, root)``: those outside the largest group of linked points meet all."""
+    rooted = points.join(linked, points["fp"] == linked["node"], "left").select("fp", "size", "bands", F.coalesce("root", F.xxhash64("fp")).alias("root"))
+    by_band = rooted.select(F.explode("bands").alias("group"), "fp", "size", "root")
+    leaders = by_band.groupBy("group").agg(F.min("fp").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 2")
+    rest = stored(by_band.join(leaders.drop("n"), "group").filter("fp <> leader").drop("leader"), "rest")
+    per_root = rest.groupBy("group", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"))
+    largest = F.max(F.struct("n", "root")).alias("largest")
+    mixed = per_root.groupBy("group").agg(F.count(F.lit(1)).alias("roots"), F.sum("n").alias("n"), F.sum("shingles").alias("shingles"), largest, F.max_by("shingles", F.struct("n", "root")).alias("most")).filter("roots > 1")
+    outside = mixed.select("group", F.col("largest.root").alias("most_root"), (F.col("n") - F.col("largest.n")).alias("few"), (F.col("shingles") - F.col("most")).alias("few_shingles"), "n", "shingles")
+    chunked = outside.select("group", "most_root", _chunks("few", "few_shingles").alias("held"), _chunks("n", "shingles").alias("passing"))
+    met = rest.join(chunked, "group")
+    every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    few = met.filter("root <> most_root").select("group", F.explode(F.transform(every("passing"), lambda j: _own("held") * F.col("passing") + j)).alias("cell"), F.lit(0).alias("side"), "fp")
+    all_ = met.select("group", F.explode(F.transform(every("held"), lambda i: i * F.col("passing") + _own("passing"))).alias("cell"), F.lit(1).alias("side"), "fp")
+    return few.unionByName(all_)
 
 
 def links(docs: DataFrame, points: DataFrame) -> DataFrame:
     """``u, v``: links that connect what all candidates of at least ``LIKE`` connect."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    near = stored(connected_components(stored(candidates(points), "candidates")), "near")
-    wanted = points.join(near, points["fp"] == near["node"]).select("fp", "first.*")
-    texts = docs.select(*row_key(), F.col("text").cast("string").alias("text")).join(wanted, ["no_id", "id", "of_text"]).select("fp", "text").dropDuplicates(["fp"])
-    grouped = texts.join(cells(points, near), "fp").select("root", "cell", "fp", "text").repartition(parts, "root", "cell").sortWithinPartitions("root", "cell")
-    return grouped.mapInArrow(_verified, "u long, v long").distinct()
+    edges = stored(candidates(points), "candidates")
+    ends = edges.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
+    wanted = points.join(ends, "fp", "left_semi").select("fp", "first.*")
+    rows = docs.select(*row_key(), F.col("text").cast("string").alias("text")).join(wanted, ["no_id", "id", "of_text"])
+    texts = stored(rows.select("fp", "text").dropDuplicates(["fp"]), "texts")
+    first = stored(_meeting(texts, edge_cells(edges)), "links")
+    second = stored(_meeting(texts, band_cells(points, connected_components(first))), "links")
+    discard(edges, texts)
+    return first.unionByName(second)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The row of one document of each group of near copies, that of the smallest id, in all its columns."""
-    marked = bounded(docs).select(*row_key(), F.col("text").cast("string").alias("text")).mapInArrow(_marked, "no_id boolean, id long, of_text long, fp long, sim long, bands array<long>")
-    points = stored(marked.groupBy("fp").agg(F.min(F.struct("no_id", "id", "of_text")).alias("first"), F.first("sim").alias("sim"), F.first("bands").alias("bands")), "points")
+    marked = bounded(docs).select(*row_key(), F.col("text").cast("string").alias("text")).mapInArrow(_marked, "no_id boolean, id long, of_text long, fp long, sim long, bands array<long>, size long")
+    points = stored(marked.groupBy("fp").agg(F.min(F.struct("no_id", "id", "of_text")).alias("first"), F.first("sim").alias("sim"), F.first("bands").alias("bands"), F.first("size").alias("size")), "points")
     return one_of_each(docs, points.select("fp", "first"), links(docs, points))

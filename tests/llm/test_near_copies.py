@@ -1,6 +1,7 @@
 import corpus_pipeline as C
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 from larkspur.llm import near_copies as N
 from larkspur.llm.fingerprints import sketches
 
@@ -48,19 +49,63 @@ def test_close_simhashes_are_candidates(spark):
     assert {x for r in found for x in (r.u, r.v)} == {1, 2, 3} and len(found) >= 2
 
 
-def test_cells_of_loose_and_dense_components(spark, monkeypatch):
-    """A chain of points is compared by bands, a clique of points of the same bands as a whole; each pair of a band meets."""
+def met(cells):
+    """Pairs of points that a task compares, and how many times each point is moved."""
+    held, passing, moved = {}, {}, {}
+    for r in cells.collect():
+        (passing if r.side else held).setdefault((r.group, r.cell), set()).add(r.fp)
+        moved[r.fp] = moved.get(r.fp, 0) + 1
+    return {(min(a, b), max(a, b)) for c, xs in held.items() for a in xs for b in passing.get(c, ()) if a != b}, moved
+
+
+def test_every_candidate_meets(spark, monkeypatch):
+    """Leaders meet all of their bands; bands that aren't all linked go on, so that every pair of them that isn't linked meets."""
     monkeypatch.setattr(N, "CELL", 3)
-    chain = [(i, [1000 + i, 1001 + i, 5000 + i]) for i in range(20)]
-    clique = [(100 + i, list(range(2000, 2028))) for i in range(10)]
-    points = spark.createDataFrame(chain + clique + [(200, [7]), (201, [7])], "fp long, bands array<long>")
-    near = spark.createDataFrame([(fp, 1 if fp < 100 else 2 if fp < 200 else 3) for fp, _ in [*chain, *clique, (200, 0), (201, 0)]], "node long, root long")
-    groups = {}
-    for r in N.cells(points, near).collect():
-        groups.setdefault((r.root, r.cell), set()).add(r.fp)
-    met = {(a, b) for g in groups.values() for a in g for b in g if a < b}
-    assert met == {(i, i + 1) for i in range(19)} | {(a, b) for a in range(100, 110) for b in range(a + 1, 110)} | {(200, 201)}
-    assert sum(len(g) for g in groups.values()) <= 19 * 2 + 10 * 4 + 2
+    edges = spark.createDataFrame([(1, v) for v in range(2, 20)] + [(4, 5)], "u long, v long")
+    pairs, moved = met(N.edge_cells(edges))
+    assert pairs == {(1, v) for v in range(2, 20)} | {(4, 5)} and moved[1] == 6 and max(moved[v] for v in range(6, 20)) == 1
+    rows = [(fp, 10, [7, 8] if fp < 30 else [7]) for fp in range(1, 40)] + [(100, 10, [9]), (101, 10, [9]), (102, 10, [9]), (200, 5, [11]), (201, 5, [11])]
+    points = spark.createDataFrame(rows, "fp long, size long, bands array<long>")
+    root = lambda fp: 55 if fp < 36 else fp
+    linked = spark.createDataFrame([(fp, root(fp)) for fp in range(1, 40)], "node long, root long")
+    pairs, _ = met(N.band_cells(points, linked))
+    wanted = {(a, b) for a in range(2, 40) for b in range(a + 1, 40) if root(a) != root(b)} | {(101, 102)}
+    assert wanted <= pairs and not any(a < 36 and b < 36 for a, b in pairs)  # band 8 and what is linked already stay at rest
+    monkeypatch.setattr(N, "SHINGLES", 15)
+    assert wanted <= met(N.band_cells(points, linked))[0]
+
+
+def test_large_groups_move_each_text_a_few_times(spark):
+    """20,000 near copies of one text: leaders link them all but five, which meet the others."""
+    n = 20_000
+    points = spark.range(n).select(F.col("id").alias("fp"), F.lit(300).cast("long").alias("size"), F.sequence(F.lit(1).cast("long"), F.lit(3).cast("long")).alias("bands"))
+    edges = spark.range(1, n).select(F.lit(0).cast("long").alias("u"), F.col("id").alias("v"))
+    assert N.edge_cells(edges).count() <= n + n // N.CELL + 1
+    linked = spark.range(n - 5).select(F.col("id").alias("node"), F.lit(1).cast("long").alias("root"))
+    moved = N.band_cells(points, linked).groupBy("fp").count().agg(F.max("count"), F.sum("count")).first()
+    chunks = -(-n * 300 // N.SHINGLES) + n // N.CELL + 1
+    assert moved[1] <= 3 * (n + 5 * chunks) and N.band_cells(points, linked).filter("side = 1").groupBy("fp").count().filter("count > 3").count() == 0
+
+
+def test_comparison_links_what_is_connected():
+    """Links of a cell connect what all pairs of held and passing sets connect, and are no more than points."""
+    rng = np.random.default_rng(8)
+    base = [[f"w{x}" for x in rng.integers(0, 10**6, 80)] for _ in range(6)]
+    texts = [" ".join(w if rng.random() > 0.004 else f"e{rng.integers(10**9)}" for w in base[i % 6]) for i in range(60)]
+    rows = [{"group": 1, "cell": 2, "side": int(i >= 25), "fp": i, "text": t} for i, t in enumerate(texts)] + [{"group": 1, "cell": 2, "side": 1, "fp": 3, "text": texts[3]}]
+    out = [b for b in N._compared(iter([pa.RecordBatch.from_pylist(rows[:30]), pa.RecordBatch.from_pylist(rows[30:])]))]
+    links = [(r["u"], r["v"]) for b in out for r in b.to_pylist()]
+    sets = [plain_shingles(t) for t in texts]
+    near = {(i, j) for i in range(25) for j in [*range(25, 60), 3] if i != j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+
+    def groups(pairs):
+        label = list(range(60))
+        for a, b in pairs:
+            label = [label[a] if x == label[b] else x for x in label]
+        return label
+
+    same = lambda label: {(i, j) for i in range(60) for j in range(60) if label[i] == label[j]}
+    assert set(links) <= near and same(groups(links)) == same(groups(near)) and len(links) < 70
 
 
 def test_simhash_of_sets():
