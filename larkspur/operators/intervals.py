@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -97,26 +100,57 @@ def moving_average(points: DataFrame, width: int = 10) -> DataFrame:
     return copied.withColumn("smooth", F.sum("value").over(frame) / width).filter(F.col("run") == own).drop("run", "ordinal")
 
 
+def level_of(length: Column) -> Column:
+    """The level whose bins are at least as long as an interval: bins of level k have ``BIN * 8**k`` positions."""
+    return F.greatest(F.lit(0), F.ceil(F.log(F.greatest(length, F.lit(1)).cast("double") / BIN) / math.log(8.0) - 1e-9)).cast("int")
+
+
+def _bin(at: Column, level: Column) -> Column:
+    return F.floor(at / (BIN * F.pow(F.lit(8.0), level))).cast("long")
+
+
+def _own_bins(rows: DataFrame, start: str, stop: str, level: str) -> DataFrame:
+    """A row for each bin of its own level that an interval touches: one or two, however long it is."""
+    return rows.withColumn("bin", F.explode(F.sequence(_bin(F.col(start), F.col(level)), _bin(F.col(stop) - 1, F.col(level)))))
+
+
+def _levels(rows: DataFrame, level: str) -> list[int]:
+    """Levels that occur, of which a genome has a handful."""
+    return sorted(r[0] for r in rows.select(level).distinct().collect())
+
+
 def track_values(regions: DataFrame, signal: DataFrame) -> DataFrame:
     """Regions with ``track``, a value per base, from ``signal(chrom, start, stop, value)`` of intervals that don't overlap;
-    0 where there is none. Intervals meet regions by an equi-join on bins; what is gathered for a region lies within it."""
-    spread = lambda a, b: F.explode(F.sequence(F.floor(a / BIN), F.floor((b - 1) / BIN)))
-    left = regions.filter("start < stop").withColumn("bin", spread(F.col("start"), F.col("stop")))
-    right = signal.filter("start < stop").select("chrom", F.col("start").alias("from"), F.col("stop").alias("to"), "value").withColumn("bin", spread(F.col("from"), F.col("to")))
-    met = left.join(right, ["chrom", "bin"], "left").withColumn("piece", F.when((F.col("from") < F.col("stop")) & (F.col("to") > F.col("start")), F.struct(F.greatest("from", "start").alias("a"), F.least("to", "stop").alias("b"), F.col("value").cast("double").alias("v"))))
-    pieces = met.groupBy(*regions.columns).agg(F.array_sort(F.collect_set("piece")).alias("pieces"))
+    0 where there is none.
+
+    Intervals meet regions by equi-joins on bins of the longer one's level, in which it has one or two rows, so a region of a whole chromosome makes no more rows than a
+    short one. A pair that has two bins in common meets in that of its later start. What is gathered for a region lies within it.
+    """
+    left = regions.filter("start < stop").withColumn("level", level_of(F.col("stop") - F.col("start")))
+    right = signal.filter("start < stop").select("chrom", F.col("start").alias("from"), F.col("stop").alias("to"), "value").withColumn("of_level", level_of(F.col("to") - F.col("from")))
+    own, other = _levels(left, "level"), _levels(right, "of_level")
+    upwards = lambda rows, level, levels, least: rows.withColumn("at", F.explode(F.filter(F.array(*map(F.lit, levels)).cast("array<int>"), lambda k: k > F.col(level) - least)))
+    longer = _own_bins(left, "start", "stop", "level").withColumnRenamed("level", "at").join(_own_bins(upwards(right, "of_level", own, 1), "from", "to", "at").drop("of_level"), ["chrom", "at", "bin"])
+    shorter = _own_bins(upwards(left, "level", other, 0), "start", "stop", "at").drop("level").join(_own_bins(right, "from", "to", "of_level").withColumnRenamed("of_level", "at"), ["chrom", "at", "bin"])
+    met = longer.unionByName(shorter).filter((F.col("from") < F.col("stop")) & (F.col("to") > F.col("start")) & (F.col("bin") == _bin(F.greatest("from", "start"), F.col("at"))))
+    piece = F.struct(F.greatest("from", "start").alias("a"), F.least("to", "stop").alias("b"), F.col("value").cast("double").alias("v"))
+    each = met.select(*regions.columns, piece.alias("piece")).unionByName(left.select(*regions.columns, F.lit(None).cast("struct<a:long,b:long,v:double>").alias("piece")))
+    pieces = each.groupBy(*regions.columns).agg(F.array_sort(F.collect_set("piece")).alias("pieces"))
     zeros = lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
     start = F.struct(F.col("start").alias("at"), F.array().cast("array<double>").alias("done"))
     walked = F.aggregate("pieces", start, lambda x, p: F.struct(p["b"].alias("at"), F.concat(x["done"], zeros(p["a"] - x["at"]), F.array_repeat(p["v"], (p["b"] - p["a"]).cast("int"))).alias("done")))
     return pieces.withColumn("walked", walked).select(*regions.columns, F.concat("walked.done", zeros(F.col("stop") - F.col("walked.at"))).alias("track"))
 
 
-def range_join(regions: DataFrame, points: DataFrame) -> DataFrame:
-    """Regions with the ``pos, value`` they contain, by an equi-join on bins of positions."""
-    bins = F.explode(F.sequence(F.floor(F.col("start") / BIN), F.floor((F.col("stop") - 1) / BIN)))
-    left = regions.filter("start < stop").withColumn("bin", bins)
-    right = points.withColumn("bin", F.floor(F.col("pos") / BIN))
-    return left.join(right, ["chrom", "bin"]).filter("pos >= start AND pos < stop").drop("bin")
+def range_join(regions: DataFrame, points: DataFrame, levels: Sequence[int] | None = None) -> DataFrame:
+    """Regions with the ``pos, value`` they contain, by an equi-join on bins of each region's level.
+
+    A region has one or two rows, whatever its length, and a point one for each of ``levels``, those that occur among the regions if none are given.
+    """
+    left = regions.filter("start < stop").withColumn("level", level_of(F.col("stop") - F.col("start")))
+    levels = _levels(left, "level") if levels is None else levels
+    right = points.withColumn("level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("bin", _bin(F.col("pos"), F.col("level")))
+    return _own_bins(left, "start", "stop", "level").join(right, ["chrom", "level", "bin"]).filter("pos >= start AND pos < stop").drop("level", "bin")
 
 
 def random_regions(sizes: DataFrame, window: int, n: int, seed: str) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.hashing import shuffle_key, uniform
 from larkspur.functions.sequence import reverse_complement
+from larkspur.operators.relational import numbered
 
 BASES = ("a", "c", "g", "t")
 #: Draws after which a permutation that moves too few letters is an error.
@@ -61,8 +62,9 @@ def consensus_table(rows: DataFrame) -> DataFrame:
 
 def merged_names(rows: DataFrame, name: str, *order: str) -> DataFrame:
     """Names made different: the second and later get the suffix ``_1``, ``_2``, ... in ``order``."""
-    nth = F.row_number().over(W.partitionBy(name).orderBy(*order)) - 1
-    return rows.withColumn("unique_name", F.concat(F.col(name), F.when(nth > 0, F.concat(F.lit("_"), nth.cast("string"))).otherwise("")))
+    nth = F.col("ordinal")
+    suffix = F.when(nth > 0, F.concat(F.lit("_"), nth.cast("string"))).otherwise("")
+    return numbered(rows, *order, by=[name]).withColumn("unique_name", F.concat(F.col(name), suffix)).drop("ordinal")
 
 
 def sampled(pwm: DataFrame, draws: int, seed: str) -> DataFrame:

@@ -37,6 +37,16 @@ def numbered(rows: DataFrame, key: str, *tie: str, by: Sequence[str] = ()) -> Da
     return same(ranged.withColumn("within__", within), offsets, [*by, "range__"]).withColumn("ordinal", (F.col("offset__") + F.col("within__")).cast("long")).drop("range__", "offset__", "within__")
 
 
+def running_sum(rows: DataFrame, key: str, value: str, *tie: str) -> DataFrame:
+    """With ``upto``, the sum of ``value`` of all rows up to this one in the order of ``key`` and ``tie``; ranges carry their sums forward."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stored(rows.repartitionByRange(parts, key, *tie).withColumn("range__", F.spark_partition_id()), "ranges")
+    before = W.orderBy("range__").rowsBetween(W.unboundedPreceding, -1)  # a row per range
+    offsets = ranged.groupBy("range__").agg(F.sum(value).alias("sum__")).select("range__", F.coalesce(F.sum("sum__").over(before), F.lit(0)).alias("offset__"))
+    within = F.sum(value).over(W.partitionBy("range__").orderBy(key, *tie).rowsBetween(W.unboundedPreceding, 0))
+    return ranged.withColumn("within__", within).join(offsets, "range__").withColumn("upto", F.col("offset__") + F.col("within__")).drop("range__", "offset__", "within__")
+
+
 def zipped(left: DataFrame, right: DataFrame) -> DataFrame:
     """Numbered rows in pairs; the shorter side ends it."""
     return left.join(right, "ordinal")
@@ -65,6 +75,11 @@ def first_n(rows: DataFrame, by: str, order: str, n: int) -> DataFrame:
     return rows.withColumn("nth", F.row_number().over(W.partitionBy(by).orderBy(order))).filter(F.col("nth") <= n)
 
 
+def first_batches(rows: DataFrame, by: str, order: str, n: int, batch: int) -> DataFrame:
+    """The first rows of each group in whole batches: as many batches as hold ``n``."""
+    return first_n(rows, by, order, -(-n // batch) * batch)
+
+
 def whole_batches(rows: DataFrame, size: int) -> DataFrame:
     """Numbered rows with ``batch``, without the last one if it isn't full."""
     n = rows.agg(F.count(F.lit(1)).alias("n"))

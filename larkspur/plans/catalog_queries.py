@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from larkspur.functions import sequence as E
@@ -109,7 +108,8 @@ def f7_positive_similarity(spark, sf_dir):
 
 
 def g1_sorted_scores(spark, sf_dir):
-    return _sources(spark, sf_dir).withColumn("place", F.row_number().over(W.orderBy(F.desc("chars"), "concept")))
+    rows = R.numbered(_sources(spark, sf_dir).withColumn("down", -F.col("chars")), "down", "concept")
+    return rows.withColumn("place", F.col("ordinal") + 1).drop("down", "ordinal")
 
 
 def g7_mini_batches(spark, sf_dir):
@@ -130,7 +130,8 @@ def g11_argsort(spark, sf_dir):
 
 def g12_natural_order(spark, sf_dir):
     number = F.regexp_extract("concept", "([0-9]+)", 1).cast("int")
-    return _sources(spark, sf_dir).select("concept", F.row_number().over(W.orderBy(number)).alias("place"))
+    rows = R.numbered(_sources(spark, sf_dir).select("concept", number.alias("number")), "number", "concept")
+    return rows.select("concept", (F.col("ordinal") + 1).alias("place"))
 
 
 def h3_roles(spark, sf_dir):
@@ -181,7 +182,7 @@ ORACLE_SQL = {
     "g7_mini_batches": "WITH n AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS o FROM documents) SELECT (o // 64)::BIGINT AS batch, count(*) AS n, min(doc_id) AS first, max(doc_id) AS last FROM n GROUP BY 1",
     "g10_sample_cap": "SELECT (2147483647 // (max(len(embedding)) * count(DISTINCT label)))::BIGINT AS cap FROM embeddings",
     "g11_argsort": "SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) AS place FROM documents",
-    "g12_natural_order": f"WITH {SRC} SELECT concept, row_number() OVER (ORDER BY regexp_extract(concept, '([0-9]+)', 1)::INT) AS place FROM src",
+    "g12_natural_order": f"WITH {SRC} SELECT concept, row_number() OVER (ORDER BY regexp_extract(concept, '([0-9]+)', 1)::INT, concept) AS place FROM src",
     "h3_roles": "SELECT CASE WHEN lang = 'en' THEN 'control' ELSE 'test' END AS role, count(DISTINCT source) AS concepts, count(*) AS n FROM documents WHERE lang <> 'es' GROUP BY 1",
     "k4_paired_streams": "WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS ordinal FROM documents WHERE lang = 'fr'), b AS (SELECT event_id, event_type, row_number() OVER (ORDER BY event_id) - 1 AS ordinal FROM events) SELECT a.ordinal, doc_id, event_id, event_type FROM a JOIN b ON a.ordinal = b.ordinal",
     "k6_auc_table": f"WITH {P.PREDICTIONS}, {SRC}, " + ", ".join(F1S.format(k=k, x=12 * (k + 1)) for k in range(3)) + """,

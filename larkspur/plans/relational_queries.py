@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from larkspur.functions.hashing import uniform, uniform_sql
@@ -136,8 +135,8 @@ def e9_p_values(spark, sf_dir):
 
 def e9_residual_rank(spark, sf_dir):
     rows = X.residuals(_lengths(spark, sf_dir).groupBy("brand").agg(F.avg("x").alias("x"), F.avg("y").alias("y")), "x", "y")
-    rank = F.row_number().over(W.orderBy(F.desc(F.round("residual", 5)), "brand"))  # a row per brand
-    return rows.select("brand", F.round("residual", 5).alias("residual"), rank.alias("rank"))
+    rounded = rows.select("brand", F.round("residual", 5).alias("residual")).withColumn("down", -F.col("residual"))
+    return R.numbered(rounded, "down", "brand").select("brand", "residual", (F.col("ordinal") + 1).alias("rank"))
 
 
 def e13_distinct_concepts(spark, sf_dir):
@@ -157,13 +156,14 @@ def f2_label_suffix(spark, sf_dir):
 
 def f4_cumulative_shares(spark, sf_dir):
     counts = _docs(spark, sf_dir).groupBy("source").agg(F.sum("n_chars").alias("n"))
-    every = W.partitionBy()
-    return counts.select("source", F.round(F.sum("n").over(W.orderBy("source")) / F.sum("n").over(every), 6).alias("upto"))
+    every = F.broadcast(counts.agg(F.sum("n").alias("all")))
+    return R.running_sum(counts, "source", "n").crossJoin(every).select("source", F.round(F.col("upto") / F.col("all"), 6).alias("upto"))
 
 
 def g2_composite_order(spark, sf_dir):
     rows = _docs(spark, sf_dir).groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
-    return rows.withColumn("rank", F.row_number().over(W.orderBy(F.when(F.col("lang") == "en", 0).otherwise(1), F.desc("n"), "source", "lang")))
+    placed = rows.withColumns({"last": F.when(F.col("lang") == "en", 0).otherwise(1), "down": -F.col("n")})
+    return R.numbered(placed, "last", "down", "source", "lang").withColumn("rank", F.col("ordinal") + 1).drop("last", "down", "ordinal")
 
 
 def g3_top_concepts(spark, sf_dir):
@@ -174,6 +174,11 @@ def g5_first_n(spark, sf_dir):
     return R.first_n(_docs(spark, sf_dir), "source", "doc_id", 7).select("source", "doc_id", "nth")
 
 
+def g5_whole_batches(spark, sf_dir):
+    """The first batches of 4 that hold 7 rows of a source."""
+    return R.first_batches(_docs(spark, sf_dir), "source", "doc_id", 7, 4).select("source", "doc_id", "nth")
+
+
 def g6_drop_last(spark, sf_dir):
     return R.whole_batches(R.numbered(_docs(spark, sf_dir).select("doc_id"), "doc_id"), 48).groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("ids"))
 
@@ -243,6 +248,7 @@ ORACLE_SQL = {
     "g2_composite_order": "WITH c AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY source, lang) SELECT *, row_number() OVER (ORDER BY CASE WHEN lang = 'en' THEN 0 ELSE 1 END, n DESC, source, lang) AS rank FROM c",
     "g3_top_concepts": "SELECT source, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY source ORDER BY chars DESC, source LIMIT 10",
     "g5_first_n": "SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS nth FROM documents QUALIFY nth <= 7",
+    "g5_whole_batches": "SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS nth FROM documents QUALIFY nth <= 8",
     "g6_drop_last": f"WITH {DN} SELECT (ordinal // 48)::BIGINT AS batch, count(*) AS n, sum(doc_id)::BIGINT AS ids FROM dn WHERE ordinal < (SELECT count(*) // 48 * 48 FROM dn) GROUP BY 1",
     "g8_sample": "SELECT doc_id FROM documents ORDER BY md5(concat_ws(':', '4', doc_id::VARCHAR)), doc_id LIMIT 100",
     "g9_stratified_split": "WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(concat_ws(':', '42', doc_id::VARCHAR)), doc_id) AS k, count(*) OVER (PARTITION BY lang) AS n FROM documents) SELECT doc_id, lang, CASE WHEN k <= ceil(n * 0.1::DOUBLE) THEN 'test' ELSE 'train' END AS split FROM r",

@@ -102,8 +102,9 @@ def e12_consensus_means(spark, sf_dir):
 
 
 def a12_consensus_motifs(spark, sf_dir):
-    rows = M.with_reverse_complements(P.motifs(spark, sf_dir).withColumn("motif", F.substring("consensus", 1, 2)))
-    return M.consensus_table(rows)
+    """Names of up to eight strings, each with its reverse complement."""
+    items = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("M"), F.floor(F.col("item_id") / 8).cast("string")).alias("motif"), F.upper(F.regexp_replace("text", "[^acgtACGT]", "")).alias("consensus"))
+    return M.consensus_table(M.with_reverse_complements(items))
 
 
 def a13_merge_names(spark, sf_dir):
@@ -174,7 +175,7 @@ ORACLE_SQL = {
     "b12_letter_heights": f"WITH {P.PWM}, i AS (SELECT *, {IC} AS ic FROM pwm) SELECT motif, pos, round(a * ic, 6) AS a, round(c * ic, 6) AS c, round(g * ic, 6) AS g, round(t * ic, 6) AS t FROM i",
     "e11_motif_covariates": f"WITH {P.PWM}, i AS (SELECT *, {IC} AS ic FROM pwm) SELECT motif, count(*) AS len, round(sum(ic), 6) AS ic, round(sum((g + c) * ic), 6) AS ic_gc FROM i GROUP BY motif",
     "e12_consensus_means": f"WITH {P.MOTIFS} SELECT substr(consensus, 1, 1) AS name, round(avg(length(consensus)::DOUBLE), 6) AS len, round(avg((length(consensus) - length(translate(consensus, 'GC', '')))::DOUBLE), 6) AS gc FROM motifs GROUP BY 1",
-    "a12_consensus_motifs": f"WITH {P.MOTIFS}, b AS (SELECT substr(consensus, 1, 2) AS motif, consensus AS seq FROM motifs), u AS (SELECT motif, seq FROM b UNION ALL SELECT motif, {RC} FROM b) SELECT motif, string_agg(seq, ',' ORDER BY seq) AS variants FROM u GROUP BY motif",
+    "a12_consensus_motifs": f"WITH b AS (SELECT concat('M', item_id // 8) AS motif, upper(regexp_replace(text, '[^acgtACGT]', '', 'g')) AS seq FROM benchmark), u AS (SELECT motif, seq FROM b UNION ALL SELECT motif, {RC} FROM b) SELECT motif, string_agg(seq, ',' ORDER BY seq) AS variants FROM u GROUP BY motif",
     "a13_merge_names": f"WITH {P.MOTIFS}, n AS (SELECT substr(consensus, 1, 2) AS name, motif FROM motifs), r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY motif) - 1 AS k FROM n) SELECT name, motif, name || CASE WHEN k > 0 THEN '_' || k ELSE '' END AS unique_name FROM r",
     "a11_meme_round_trip": f"WITH {P.PWM} SELECT motif, pos, {R6} FROM pwm",
     "a24_meme_text": MEME,

@@ -303,9 +303,9 @@ def smoothed_pieces(pieces: DataFrame, width: int = 10) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("chrom", "start", "stop", "block")), *arrays], names=[c.split()[0] for c in schema.split(", ")])
 
     parts = pieces.mapInArrow(run, schema)
-    side = lambda name, at: parts.select("chrom", "block", F.posexplode(name).alias("i", "value")  , F.col("start"), F.col("stop")).select("chrom", F.col("block").alias("of"), (at + F.col("i")).alias("pos"), "value")
+    side = lambda name, at: parts.select("chrom", "block", F.posexplode(name).alias("i", "value"), "start", "stop").select("chrom", F.col("block").alias("of"), (at + F.col("i")).alias("pos"), "value")
     spilt = side("left", F.col("start") - after).unionByName(side("right", F.col("stop"))).filter("pos >= 0").groupBy("chrom", "of", "pos").agg(F.sum("value").alias("value"))
-    met = range_join(parts.select("chrom", "start", "stop", "block"), spilt).filter("block = of").groupBy("chrom", "block", "start").agg(F.map_from_entries(F.collect_list(F.struct((F.col("pos") - F.col("start")).cast("int"), "value"))).alias("more"))
+    met = range_join(parts.select("chrom", "start", "stop", "block"), spilt, range(8)).filter("block = of").groupBy("chrom", "block", "start").agg(F.map_from_entries(F.collect_list(F.struct((F.col("pos") - F.col("start")).cast("int"), "value"))).alias("more"))
     added = F.transform("values", lambda v, i: v + F.coalesce(F.try_element_at("more", i), F.lit(0.0)))
     return parts.join(met, ["chrom", "block", "start"], "left").select("chrom", "start", "stop", "block", F.when(F.col("more").isNull(), F.col("values")).otherwise(added).alias("values"))
 

@@ -234,3 +234,39 @@ def test_bytes_read_follow_the_regions(spark, tmp_path, monkeypatch):
     batch = __import__("pyarrow").RecordBatch.from_pylist([{"file": str(tmp_path / "g.fa"), "from__": a, "to__": a + 100} for a in (10, 80, 500_000, 900_000)])
     seqs = [s for out in files.range_batches(iter([batch])) for s in out.column("seq").to_pylist()]
     assert len(seqs) == 4 and read == [170, 100, 100] and record["length"] == 1_000_000
+
+
+def test_intervals_of_every_length_meet(spark, monkeypatch):
+    """Regions from one base to a whole chromosome make two rows at most, and meet points and intervals by brute force."""
+    from larkspur.operators import intervals as I
+
+    monkeypatch.setattr(I, "BIN", 4)
+    rng = np.random.default_rng(6)
+    sizes = [1, 2, 3, 4, 5, 8, 31, 32, 33, 255, 256, 257, 2_047, 2_048, 2_049, 4_000]
+    regions = [(i, "ab"[i % 2], int(a), int(a) + n) for i, (n, a) in enumerate(zip(sizes * 6, rng.integers(0, 2_000, 96)))] + [(200, "a", 5, 5), (201, "c", 0, 9), (202, "a", 0, 6_000)]
+    points = [("ab"[i % 2], int(p), float(i)) for i, p in enumerate(rng.integers(0, 6_200, 300))]
+    left = spark.createDataFrame(regions, "region_id long, chrom string, start long, stop long")
+    own = I._own_bins(left.filter("start < stop").withColumn("level", I.level_of(F.col("stop") - F.col("start"))), "start", "stop", "level")
+    assert own.groupBy("region_id").count().agg(F.max("count")).first()[0] == 2
+    got = I.range_join(left, spark.createDataFrame(points, "chrom string, pos long, value double"))
+    assert sorted((r.region_id, r.pos, r.value) for r in got.collect()) == sorted((i, p, v) for i, c, a, b in regions for d, p, v in points if c == d and a <= p < b)
+    signal, at = [], {"a": 0, "b": 0}
+    for n in rng.permutation(sizes * 2).tolist():
+        for c in "ab":
+            at[c] += int(rng.integers(0, 9))
+            signal.append((c, at[c], at[c] + n, float(rng.integers(1, 9))))
+            at[c] += n
+    tracks = {r.region_id: r.track for r in I.track_values(left, spark.createDataFrame(signal, "chrom string, start long, stop long, value double")).collect()}
+    base = {c: np.zeros(40_000) for c in "abc"}
+    for c, a, b, v in signal:
+        base[c][a:b] = v
+    assert tracks == {i: base[c][a:b].tolist() for i, c, a, b in regions if a < b}
+
+
+def test_running_sums_over_ranges(spark):
+    from larkspur.operators import relational as R
+
+    rows = [(k, t, (k * 7 + t) % 11) for k in range(60) for t in range(3)]
+    got = {(r.k, r.t): r.upto for r in R.running_sum(spark.createDataFrame(rows, "k long, t long, v long").repartition(5), "k", "v", "t").collect()}
+    assert got == dict(zip([r[:2] for r in rows], np.cumsum([r[2] for r in rows]).tolist()))
+    assert R.running_sum(spark.createDataFrame([], "k long, v long"), "k", "v").count() == 0
