@@ -29,15 +29,15 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
+def stored(df: DataFrame, what: str, **options: object) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     Cuts the lineage with less disk than a row checkpoint; a lost executor cannot take the
-    result along.
+    result along. ``options`` are those of the writer.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     rows = spark.read.schema(df.schema).parquet(path)
     rows._stored_at = path
     return rows
