@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import simhash
-from larkspur.llm.batches import bounded, text_slices
+from larkspur.llm.batches import bounded, returned, text_slices
 from larkspur.llm.components import connected_components
 from larkspur.llm.fingerprints import _FACTORS, _mixed, sketches
 from larkspur.llm.simhash import one_of_each, row_key
@@ -34,7 +34,9 @@ from larkspur.sources.storage import discard, stored
 LIKE = 0.8
 BANDS, ROWS = 28, 6
 #: Points, and shingles of them, that a task holds to compare others with.
-CELL, SHINGLES = 128, 1 << 21
+CELL, SHINGLES = 128, 1 << 18
+#: Bytes of a row group of texts; a task that writes them holds one.
+TEXT_BLOCK = 8 << 20
 #: No bound on the shingles of a text.
 ALL = 1 << 62
 _random = np.random.default_rng(42)
@@ -83,38 +85,52 @@ def _starred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(u[u != fps]), pa.array(fps[u != fps])], names=["u", "v"])
 
 
-def alike(held: list[np.ndarray], other: np.ndarray, like: float = LIKE) -> np.ndarray:
-    """The places of the sets that have a similarity of at least ``like`` with another one; sets are sorted and not empty."""
-    flat, size = np.concatenate(held), np.array([len(x) for x in held])
-    at = np.searchsorted(other, flat)
-    met = other[np.minimum(at, len(other) - 1)] == flat
-    common = np.add.reduceat(met, np.cumsum(size) - size, dtype=np.int64)
-    return np.flatnonzero(common >= like * (size + len(other) - common) - 1e-9)
+class Held:
+    """The sets of a task's chunk, one after another; none is empty."""
+
+    def __init__(self) -> None:
+        self.sets, self.names, self.label, self.flat = [], [], [], None
+
+    def add(self, name: int, own: np.ndarray) -> None:
+        self.label.append(len(self.sets))
+        self.sets.append(own)
+        self.names.append(name)
+
+    def alike(self, other: np.ndarray, like: float = LIKE) -> list[int]:
+        """The places of the sets that have a similarity of at least ``like`` with another one."""
+        if self.flat is None:
+            self.size = np.array([len(x) for x in self.sets])
+            self.flat, self.starts, self.sets = np.concatenate(self.sets), np.cumsum(self.size) - self.size, []
+        at = np.searchsorted(other, self.flat)
+        met = other[np.minimum(at, len(other) - 1)] == self.flat
+        common = np.add.reduceat(met, self.starts, dtype=np.int64)
+        return np.flatnonzero(common >= like * (self.size + len(other) - common) - 1e-9).tolist()
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links between points of each cell, of those that are held (side 0, first) with the others; no more than connect what all such links connect."""
-    cell, held, names, label = None, [], [], []
+    cell, held = None, Held()
     for part in text_slices(batches):
         u, v = [], []
         for group, number, side, fp, own in zip(*(part.column(c).to_pylist() for c in ("group", "cell", "side", "fp")), sketches(part.column("text"), ALL)):
             if (group, number) != cell:
-                cell, held, names, label = (group, number), [], [], []
+                cell, held = (group, number), Held()
             own = np.sort(own)
             if side == 0:
-                label.append(len(held))
-                held.append(own)
-                names.append(fp)
+                held.add(fp, own)
                 continue
             joined = None
-            for i in alike(held, own).tolist() if held else ():
-                if label[i] != joined:
-                    if names[i] != fp:
-                        u.append(names[i])
+            for i in held.alike(own) if held.names else ():
+                if held.label[i] != joined:
+                    if held.names[i] != fp:
+                        u.append(held.names[i])
                         v.append(fp)
-                    label = [label[i] if x == joined else x for x in label] if joined is not None else label
-                    joined = label[i]
+                    if joined is not None:
+                        held.label = [held.label[i] if x == joined else x for x in held.label]
+                    joined = held.label[i]
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+    del held
+    returned()
 
 
 def candidates(points: DataFrame) -> DataFrame:
@@ -174,7 +190,7 @@ def links(docs: DataFrame, points: DataFrame) -> DataFrame:
     ends = edges.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
     wanted = points.join(ends, "fp", "left_semi").select("fp", "first.*")
     rows = docs.select(*row_key(), F.col("text").cast("string").alias("text")).join(wanted, ["no_id", "id", "of_text"])
-    texts = stored(rows.select("fp", "text").dropDuplicates(["fp"]), "texts")
+    texts = stored(rows.select("fp", "text").dropDuplicates(["fp"]), "texts", **{"parquet.block.size": TEXT_BLOCK})
     first = stored(_meeting(texts, edge_cells(edges)), "links")
     second = stored(_meeting(texts, band_cells(points, connected_components(first))), "links")
     discard(edges, texts)
