@@ -64,7 +64,7 @@ def c9_clean_region_sequences(spark, sf_dir):
     """Sequences of regions of 40 along whole texts: those of unknown bases or beyond their text are left out."""
     rows = P.sequences(spark, sf_dir).withColumn("seq", F.when(F.col("seq_id") % 7 == 0, F.concat(F.repeat(F.lit("ACGN"), 12), "seq")).otherwise(F.col("seq")))
     rows = rows.filter("seq <> ''").withColumn("chrom", F.col("seq_id").cast("string"))
-    starts = F.sequence(F.lit(10).cast("long"), F.greatest(F.length("seq"), F.lit(10)).cast("long"), F.lit(40).cast("long"))
+    starts = F.sequence(F.lit(0).cast("long"), F.length("seq").cast("long"), F.lit(40).cast("long"))
     regions = rows.select("seq_id", "chrom", F.explode(starts).alias("start")).withColumn("stop", F.col("start") + 40)
     return S.drop_unclean(S.region_sequences(regions, P.genome(rows, 256), 256)).select("seq_id", "start", "seq")
 
@@ -83,8 +83,9 @@ def e10_line_or_zero(spark, sf_dir):
 
 
 def e17_reduce_attributions(spark, sf_dir):
-    """Means over baselines, then sums over four channels, then over length: 64 dimensions as 4 by 16."""
-    channel = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: sum(F.element_at(F.col("embedding"), i + 1 + 16 * k).cast("double") for k in range(4)))
+    """Means over baselines, then sums over four channels, then over length: vectors as four rows of a quarter each."""
+    quarter = F.floor(F.size("embedding") / 4).cast("int")
+    channel = F.transform(F.sequence(F.lit(0), quarter - 1), lambda i: sum(F.element_at(F.col("embedding"), i + 1 + quarter * k).cast("double") for k in range(4)))
     each = table(spark, sf_dir, "embeddings").select("label", F.aggregate(channel, F.lit(0.0), lambda a, x: a + x).alias("total"))
     return each.groupBy("label").agg(F.round(F.avg("total"), 6).alias("mean_total"))
 
@@ -103,7 +104,9 @@ def f6_any_threshold(spark, sf_dir):
 
 
 def f7_positive_similarity(spark, sf_dir):
-    dot = F.aggregate(F.zip_with(F.slice("embedding", 1, 32), F.slice("embedding", 33, 32), lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
+    """Vectors whose halves point the same way."""
+    half = F.floor(F.size("embedding") / 2).cast("int")
+    dot = F.aggregate(F.zip_with(F.slice("embedding", F.lit(1), half), F.slice("embedding", half + 1, half), lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(dot, 6).alias("similarity")).filter("similarity > 0")
 
 
@@ -170,14 +173,14 @@ ORACLE_SQL = {
     "b21_letter_decode": "SELECT doc_id, translate(to_base(doc_id, 4), '0123', 'ACGT') AS seq FROM documents",
     "b23_base64": "SELECT page_id, md5(to_base64(encode(url))) AS uri_md5 FROM pages",
     "c9_clean_region_sequences": f"""WITH {P.SEQUENCES}, w AS (SELECT seq_id, CASE WHEN seq_id % 7 = 0 THEN repeat('ACGN', 12) || seq ELSE seq END AS whole FROM seqs),
-      r AS (SELECT seq_id, whole, unnest(generate_series(10, length(whole) - 40, 40)) AS start FROM w) SELECT seq_id, start, substr(whole, start + 1, 40) AS seq FROM r WHERE NOT contains(substr(whole, start + 1, 40), 'N')""",
+      r AS (SELECT seq_id, whole, unnest(generate_series(0, length(whole) - 40, 40)) AS start FROM w) SELECT seq_id, start, substr(whole, start + 1, 40) AS seq FROM r WHERE NOT contains(substr(whole, start + 1, 40), 'N')""",
     "d4_motif_lookup": f"WITH {P.PWM}, i AS (SELECT motif, count(*) AS len, sum(2.0::DOUBLE + " + " + ".join(f"CASE WHEN {b} > 0 THEN {b} * log2({b}) ELSE 0.0::DOUBLE END" for b in M.BASES) + ") AS ic FROM pwm GROUP BY motif), c AS (SELECT lang AS motif, count(*) AS n FROM documents GROUP BY lang) SELECT c.motif, n, len, round(ic, 6) AS ic FROM c JOIN i ON c.motif = i.motif",
     "e10_line_or_zero": "WITH p AS (SELECT source AS name, CASE WHEN source LIKE '%0' THEN 1.0::DOUBLE ELSE doc_id::DOUBLE END AS x, n_chars::DOUBLE AS y FROM documents), m AS (SELECT name, avg(x) AS mx, avg(y) AS my FROM p GROUP BY name), c AS (SELECT p.name, any_value(mx) AS mx, any_value(my) AS my, sum((x - mx) * (x - mx)) AS xx, sum((x - mx) * (y - my)) AS xy, sum((y - my) * (y - my)) AS yy FROM p JOIN m ON p.name = m.name GROUP BY p.name) SELECT name, round(coalesce(xy / nullif(xx, 0), 0), 5) AS slope, round(coalesce(my - xy / nullif(xx, 0) * mx, 0), 5) AS intercept, round(CASE WHEN xx = 0 THEN 0.0::DOUBLE WHEN yy = 0 THEN 1.0::DOUBLE ELSE xy * xy / (xx * yy) END, 5) AS r2 FROM c",
     "e17_reduce_attributions": "WITH t AS (SELECT label, vec_id, unnest(embedding)::DOUBLE AS v FROM embeddings), s AS (SELECT label, vec_id, sum(v) AS total FROM t GROUP BY 1, 2) SELECT label, round(avg(total), 6) AS mean_total FROM s GROUP BY label",
     "e18_mean_predictions": f"WITH {P.PREDICTIONS} SELECT truth, round(avg(pred::DOUBLE), 6) AS mean_pred FROM pr GROUP BY truth",
     "f5_fscore_threshold": f"WITH {P.PREDICTIONS}, f AS (SELECT source, coalesce(2.0::DOUBLE * count(*) FILTER (pred = 1 AND truth = 1) / nullif(count(*) FILTER (pred = 1) + count(*) FILTER (truth = 1), 0), 0) AS f FROM pr GROUP BY source) SELECT source, round(f, 6) AS fscore FROM f WHERE f >= 0.9::DOUBLE",
     "f6_any_threshold": f"WITH {SRC} SELECT * FROM src WHERE greatest(n * 100, longest) > 10000",
-    "f7_positive_similarity": "WITH a AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings), s AS (SELECT x.vec_id, round(sum(x.v * y.v), 6) AS similarity FROM a x JOIN a y ON x.vec_id = y.vec_id AND y.i = x.i + 32 GROUP BY 1) SELECT * FROM s WHERE similarity > 0",
+    "f7_positive_similarity": "WITH a AS (SELECT vec_id, len(embedding) // 2 AS h, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings), s AS (SELECT x.vec_id, round(sum(x.v * y.v), 6) AS similarity FROM a x JOIN a y ON x.vec_id = y.vec_id AND y.i = x.i + x.h GROUP BY 1) SELECT * FROM s WHERE similarity > 0",
     "g1_sorted_scores": f"WITH {SRC} SELECT *, row_number() OVER (ORDER BY chars DESC, concept) AS place FROM src",
     "g7_mini_batches": "WITH n AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS o FROM documents) SELECT (o // 64)::BIGINT AS batch, count(*) AS n, min(doc_id) AS first, max(doc_id) AS last FROM n GROUP BY 1",
     "g10_sample_cap": "SELECT (2147483647 // (max(len(embedding)) * count(DISTINCT label)))::BIGINT AS cap FROM embeddings",

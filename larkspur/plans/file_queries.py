@@ -121,8 +121,8 @@ def a7_fasta_regions(spark, sf_dir):
 def a15_prediction_files(spark, sf_dir):
     path = _path(spark, "predictions")
     rows = P.predictions(spark, sf_dir).select("concept", F.col("source").alias("control"), "pred", "truth")
-    files.write_predictions(rows, path)
-    return spark.read.parquet(path).groupBy("concept", "control").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("pred") == F.col("truth")).cast("long")).alias("n_right"))
+    files.write_prediction_folders(rows, path)
+    return files.read_prediction_folders(spark, f"{path}/*").groupBy("concept", "control").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("pred") == F.col("truth")).cast("long")).alias("n_right"))
 
 
 def c10_epochs(spark, sf_dir):

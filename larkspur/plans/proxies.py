@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.functions.sequence import letter_count
+from larkspur.operators.sequences import Letters
 from larkspur.sources.storage import table
 
 
@@ -45,11 +49,27 @@ MOTIFS = "motifs AS (SELECT concat('M/', item_id) AS motif, upper(regexp_replace
 
 
 def pwm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Letter frequencies of each language's whole sequences, cut into stretches of 12, at the 12 places of a stretch."""
-    each = sequences(spark, sf_dir).select(F.col("lang").alias("motif"), F.explode(F.sequence(F.lit(1), F.lit(12))).alias("pos"), "seq")
-    own = each.select("motif", "pos", F.regexp_replace(F.substring(F.col("seq"), F.col("pos"), F.length("seq")), "(.).{0,11}", "$1").alias("own")).filter("own <> ''")
-    share = lambda b: (F.sum(letter_count(F.col("own"), b)) / F.sum(F.length("own"))).alias(b.lower())
-    return own.groupBy("motif", "pos").agg(*map(share, "ACGT"))
+    """Letter frequencies of each language's whole sequences, cut into stretches of 12, at the 12 places of a stretch.
+
+    Letters are counted batch by batch; a partition gives a few rows for each of its languages.
+    """
+    code = np.zeros(256, np.int64)
+    code[list(b"ACGT")] = range(4)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            letters, langs = Letters.of(batch.column("seq")), batch.column("motif").dictionary_encode(null_encoding="encode")
+            row = np.repeat(np.arange(batch.num_rows), letters.sizes)
+            place = (np.arange(len(letters.flat)) - letters.starts[row]) % 12
+            of = langs.indices.to_numpy(zero_copy_only=False)[row].astype(np.int64)
+            counts = np.bincount((of * 12 + place) * 4 + code[letters.flat], minlength=len(langs.dictionary) * 48).reshape(-1, 4)
+            there = np.flatnonzero(counts.sum(axis=1))
+            columns = [langs.dictionary.take(pa.array(there // 12)), pa.array((there % 12 + 1).astype(np.int32)), *(pa.array(c) for c in counts[there].T)]
+            yield pa.RecordBatch.from_arrays(columns, names=["motif", "pos", "a", "c", "g", "t"])
+
+    parts = sequences(spark, sf_dir).select(F.col("lang").alias("motif"), "seq").mapInArrow(counted, "motif string, pos int, a long, c long, g long, t long")
+    every = F.sum(F.col("a") + F.col("c") + F.col("g") + F.col("t"))
+    return parts.groupBy("motif", "pos").agg(*[(F.sum(b) / every).alias(b) for b in "acgt"])
 
 
 PWM = f"""{SEQUENCES}, own AS (SELECT lang AS motif, pos::INT AS pos, regexp_replace(substr(seq, pos), '(.).{{0,11}}', '\\1', 'g') AS own FROM seqs, generate_series(1, 12) s(pos)),

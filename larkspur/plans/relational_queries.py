@@ -94,8 +94,9 @@ def h6_pivot(spark, sf_dir):
 
 
 def h7_reshape(spark, sf_dir):
-    """Vectors as 2 by 32 with their halves exchanged."""
-    halves = table(spark, sf_dir, "embeddings").select("vec_id", F.concat(F.slice("embedding", 33, 32), F.slice("embedding", 1, 32)).alias("e"))
+    """Vectors as two rows with these exchanged."""
+    half = F.floor(F.size("embedding") / 2).cast("int")
+    halves = table(spark, sf_dir, "embeddings").select("vec_id", F.concat(F.slice("embedding", half + 1, half), F.slice("embedding", F.lit(1), half)).alias("e"))
     return halves.select("vec_id", F.posexplode("e").alias("place", "x")).select("vec_id", "place", F.round(F.col("x").cast("double"), 6).alias("x"))
 
 
@@ -233,7 +234,7 @@ ORACLE_SQL = {
     "h1_union_blocks": f"WITH {BLOCKS} SELECT concept, count(*) AS blocks, sum(n)::BIGINT AS n FROM u GROUP BY concept",
     "h5_unpivot": "SELECT source AS concept, 'chars' AS measure, sum(n_chars)::BIGINT AS value FROM documents GROUP BY source UNION ALL SELECT source, 'docs', count(*) FROM documents GROUP BY source",
     "h6_pivot": f"WITH {P.PREDICTIONS} SELECT source AS concept, nullif(count(*) FILTER (truth = 0), 0) AS truth_0, nullif(count(*) FILTER (truth = 1), 0) AS truth_1 FROM pr GROUP BY source",
-    "h7_reshape": "WITH e AS (SELECT vec_id, unnest(embedding) AS v, unnest(generate_series(0, len(embedding) - 1)) AS i FROM embeddings) SELECT vec_id, ((i + 32) % 64)::INT AS place, round(v::DOUBLE, 6) AS x FROM e",
+    "h7_reshape": "WITH e AS (SELECT vec_id, len(embedding) AS n, unnest(embedding) AS v, unnest(generate_series(0, len(embedding) - 1)) AS i FROM embeddings) SELECT vec_id, ((i + n // 2) % n)::INT AS place, round(v::DOUBLE, 6) AS x FROM e",
     "e3_accuracy_by_class": f"WITH {P.PREDICTIONS} SELECT concept, truth, count(*) AS n, round(avg((pred = truth)::INT::DOUBLE), 6) AS accuracy FROM pr GROUP BY ROLLUP (concept, truth)",
     "e4_class_scores": f"WITH {P.PREDICTIONS}, {CLASS.format(by='concept')} SELECT concept, cls, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM s",
     "e4_prf_macro": f"WITH {P.PREDICTIONS}, {CLASS.format(by='source')} SELECT source, round(max(f1) FILTER (cls = 1), 6) AS fscore, round(avg(f1), 6) AS fscore_macro FROM s GROUP BY source",

@@ -17,10 +17,10 @@ MOTIF = "ACGTAC"
 
 
 def b4_sequence_slice(spark, sf_dir):
-    """Regions of 20 from the tenth base to the end of every sequence, each on a strand, from a genome in chunks of 64."""
+    """Regions of 20 along every sequence, each on a strand, from a genome in chunks of 64."""
     seqs = P.sequences(spark, sf_dir).withColumn("chrom", F.col("seq_id").cast("string"))
-    starts = F.sequence(F.lit(10).cast("long"), F.length("seq") - 20, F.lit(20).cast("long"))
-    regions = seqs.filter("length(seq) >= 30").select("seq_id", "chrom", F.explode(starts).alias("start")).withColumn("stop", F.col("start") + 20)
+    starts = F.sequence(F.lit(0).cast("long"), F.length("seq") - 20, F.lit(20).cast("long"))
+    regions = seqs.filter("length(seq) >= 20").select("seq_id", "chrom", F.explode(starts).alias("start")).withColumn("stop", F.col("start") + 20)
     regions = regions.withColumn("strand", F.when((F.col("seq_id") + F.col("start") / 20) % 2 < 1, "-").otherwise("+"))
     cut = S.region_sequences(regions, P.genome(seqs, 64), 256)
     return cut.select("seq_id", "start", "strand", "seq")
@@ -60,8 +60,8 @@ def c4_saturate_motif(spark, sf_dir):
 
 
 def c6_paired_motif(spark, sf_dir):
-    long = P.sequences(spark, sf_dir).filter("length(seq) >= 40")
-    return long.select("seq_id", F.md5(S.paired(F.col("seq"), F.lit("AAAA"), F.lit("CCCC"), F.lit(5), 7)).alias("seq_md5"))
+    """Two motifs in every sequence, as far as it has room for them."""
+    return P.sequences(spark, sf_dir).select("seq_id", F.md5(S.paired(F.col("seq"), F.lit("AAAA"), F.lit("CCCC"), F.lit(5), 7)).alias("seq_md5"))
 
 
 def c5_region_insert(spark, sf_dir):
@@ -153,7 +153,7 @@ LETTER = "CASE WHEN u < a THEN 'A' WHEN u < a + c THEN 'C' WHEN u < a + c + g TH
 MEME = f"""WITH {P.PWM}, l AS (SELECT motif, string_agg(printf('%.6f %.6f %.6f %.6f', a, c, g, t), chr(10) ORDER BY pos) AS body, count(*) AS w FROM pwm GROUP BY motif)
   SELECT motif, 'MOTIF ' || motif || chr(10) || 'letter-probability matrix: alength= 4 w= ' || w || ' nsites= 20 E= 0' || chr(10) || body || chr(10) AS text FROM l"""
 ORACLE_SQL = {
-    "b4_sequence_slice": f"""WITH {P.SEQUENCES}, r AS (SELECT seq_id, seq AS whole, unnest(generate_series(10, length(seq) - 20, 20)) AS start FROM seqs WHERE length(seq) >= 30),
+    "b4_sequence_slice": f"""WITH {P.SEQUENCES}, r AS (SELECT seq_id, seq AS whole, unnest(generate_series(0, length(seq) - 20, 20)) AS start FROM seqs WHERE length(seq) >= 20),
       s AS (SELECT seq_id, start, CASE WHEN (seq_id + start // 20) % 2 = 0 THEN '-' ELSE '+' END AS strand, substr(whole, start + 1, 20) AS seq FROM r) SELECT seq_id, start, strand, CASE WHEN strand = '-' THEN {RC} ELSE seq END AS seq FROM s""",
     "b5_reverse_complement": f"WITH {P.SEQUENCES} SELECT seq_id, md5({RC}) AS rc_md5 FROM seqs",
     "b7_one_hot_counts": f"WITH {P.SEQUENCES} SELECT seq_id, " + ", ".join(f"length(seq) - length(replace(seq, '{b.upper()}', '')) AS {b}" for b in M.BASES) + " FROM seqs",
@@ -164,7 +164,7 @@ ORACLE_SQL = {
       SELECT gc, seq_id, md5(seq) AS seq_md5, length(seq) - length(translate(seq, 'GC', '')) AS n_gc FROM s""",
     "c4_saturate_motif": f"""WITH {P.SEQUENCES}, x AS (SELECT seq_id, seq, CASE WHEN length(seq) >= 9 THEN (length(seq) - 9) // 10 + 1 ELSE 0 END AS n FROM seqs),
       y AS (SELECT seq_id, CASE WHEN n = 0 THEN seq ELSE substr(seq, 1, 3) || array_to_string([ '{MOTIF}' || CASE WHEN i < n THEN substr(seq, 10 + 10 * (i - 1), 4) ELSE substr(seq, 10 + 10 * (i - 1)) END FOR i IN generate_series(1, n)], '') END AS s FROM x) SELECT seq_id, md5(s) AS seq_md5 FROM y""",
-    "c6_paired_motif": f"WITH {P.SEQUENCES} SELECT seq_id, md5(substr(seq, 1, 5) || 'AAAA' || substr(seq, 10, 7) || 'CCCC' || substr(seq, 21)) AS seq_md5 FROM seqs WHERE length(seq) >= 40",
+    "c6_paired_motif": f"WITH {P.SEQUENCES}, one AS (SELECT seq_id, substr(substr(seq, 1, 5) || 'AAAA' || substr(seq, 10), 1, length(seq)) AS s FROM seqs) SELECT seq_id, md5(substr(substr(s, 1, 16) || 'CCCC' || substr(s, 21), 1, length(s))) AS seq_md5 FROM one",
     "c5_region_insert": f"""WITH {P.SEQUENCES}, {P.MOTIFS}, m AS (SELECT motif, consensus, row_number() OVER (ORDER BY motif) - 1 AS pick, count(*) OVER () AS n FROM motifs),
       s AS (SELECT seq_id, seq, floor({uniform_sql("'5'", "'insert'", "seq_id::VARCHAR")} * (SELECT count(*) FROM motifs))::INT AS pick FROM seqs)
       SELECT seq_id, motif AS insert_id, md5(substr(substr(seq, 1, 4) || consensus || substr(seq, 5 + length(consensus)), 1, length(seq))) AS seq_md5 FROM s JOIN m ON s.pick = m.pick""",

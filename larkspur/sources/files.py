@@ -81,11 +81,18 @@ def folder_names(folder: Column) -> list[Column]:
 
 def read_prediction_folders(spark: SparkSession, pattern: str) -> DataFrame:
     """Prediction files of folders named ``<concept>_control_<control>``, with both names as columns."""
-    folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    folder = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2), "^folder=", "")
     rows = read_tsv(spark, pattern, PREDICTIONS, header=True).select("Pred", "Truth", folder.alias("folder"))
     return rows.select(*folder_names(F.col("folder")), F.col("Pred").alias("pred"), F.col("Truth").alias("truth"))
 
 
+def write_prediction_folders(predictions: DataFrame, path: str) -> None:
+    """``concept, control, pred, truth`` as tab-separated files of ``Pred`` and ``Truth``, in a folder for each concept and control that names both."""
+    folder = F.concat("concept", F.lit("_control_"), "control").alias("folder")
+    named = predictions.select(F.col("pred").alias("Pred"), F.col("truth").alias("Truth"), folder)
+    named.write.mode("overwrite").partitionBy("folder").options(sep="\t", header=True).csv(path)
+
+
 def write_predictions(predictions: DataFrame, path: str) -> None:
     """``pred, truth`` and any further columns, in a folder for each ``concept`` and ``control``."""
     predictions.write.mode("overwrite").partitionBy("concept", "control").parquet(path)
@@ -101,16 +108,17 @@ def read_run(spark: SparkSession, path: str, names: list[str]) -> dict[str, Data
     return {name: spark.read.parquet(f"{path}/{name}") for name in names}
 
 
-def read_indexed_fasta(spark: SparkSession, path: str, index: str, chunk: int = CHUNK) -> DataFrame:
+def read_indexed_fasta(spark: SparkSession, path: str, index: str, chunk: int = CHUNK, where: Column | str | None = None) -> DataFrame:
     """``chrom, chunk_start, seq`` of an uncompressed FASTA file with its .fai index, upper-cased, in chunks.
 
     The index is a table like others: its rows become chunks of as many whole lines as ``chunk`` bases hold (or one), each a range of
-    bytes, and tasks read their ranges. A filter on ``chrom`` or ``chunk_start`` is applied to the ranges, so the rest isn't read.
+    bytes, and tasks read their ranges. ``where``, a condition on ``chrom`` and ``chunk_start``, picks chunks before anything is read.
     """
     whole = F.greatest(F.lit(1), F.floor(F.lit(chunk) / F.col("line_bases"))) * F.col("line_bases")
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, whole.cast("long")))
     records = read_tsv(spark, index, FAI).withColumn("file", F.lit(path)).filter("length > 0 AND line_bases > 0")
     chunks = records.withColumn("size", whole.cast("long")).withColumn("chunk_start", starts)
+    chunks = chunks if where is None else chunks.filter(where)
     return _fasta_ranges(chunks.withColumn("stop", F.least("length", F.col("chunk_start") + F.col("size"))), "chunk_start").select("chrom", "chunk_start", "seq")
 
 
