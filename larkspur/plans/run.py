@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,8 @@ from larkspur.plans.report import write_report
 from larkspur.sources.files import write_run
 from larkspur.sources.storage import discard, stored
 
+#: Concepts whose similarities are put in order.
+LINKED = 2_000
 #: Columns of the scores that a run gives.
 SCORES = ("insertions", "concept", "fscore", "fscore_macro", "train_fscore", "n_pos", "n_neg", "log_ratio")
 
@@ -133,3 +136,23 @@ def _areas(scores: DataFrame, pwm: DataFrame | None, consensus: DataFrame | None
     fitted = X.residuals(areas, names[-1], "area").orderBy(F.desc("residual"), "concept")
     lines = reduce(lambda a, b: a.unionByName(b), [X.line_fit(areas, c, "area", p_value=True).select(F.lit(c).alias("covariate"), "slope", "intercept", "r2", "p") for c in names])
     return fitted, lines
+
+
+def similarity_order(similarity: DataFrame, scores: DataFrame) -> DataFrame:
+    """``insertions, concept, place, log_ratio``: concepts of a run's ``similarity`` in the order of average linkage, with their log ratios of ``scores``.
+
+    The matrices, concepts by concepts, are gathered; more than ``LINKED`` concepts of one insertion count are an error.
+    """
+    most = similarity.groupBy("insertions").agg(F.count_distinct("a").alias("n")).agg(F.max("n")).first()[0] or 0
+    if most > LINKED:
+        raise ValueError(f"more than {LINKED} concepts")
+    by_count: dict[int, dict[tuple[str, str], float]] = {}
+    for r in similarity.collect():
+        by_count.setdefault(r.insertions, {})[r.a, r.b] = r.cosine
+    rows = []
+    for n, cosines in by_count.items():
+        names = sorted({a for a, _ in cosines})
+        order = pca.average_linkage_order(np.array([[cosines[a, b] for b in names] for a in names]))
+        rows += [(n, names[i], place) for place, i in enumerate(order)]
+    placed = similarity.sparkSession.createDataFrame(rows, "insertions int, concept string, place int")
+    return placed.join(scores.select("insertions", "concept", "log_ratio"), ["insertions", "concept"]).select("insertions", "concept", "place", "log_ratio")

@@ -26,7 +26,7 @@ from larkspur.plans import catalogue
 from larkspur.plans import linear_queries as Q
 from larkspur.plans import proxies as P
 from larkspur.plans.report import ROWS, page
-from larkspur.plans.run import run_concepts
+from larkspur.plans.run import run_concepts, similarity_order
 from larkspur.sources import bigwig, files
 from larkspur.sources.storage import discard, stored
 
@@ -177,6 +177,9 @@ def test_run_finds_planted_motifs(spark, tmp_path, kind):
     assert {r.covariate for r in read["trends"].collect()} == {"len", "ic", "ic_gc"}
     assert {(r.a, r.b): round(r.cosine, 9) for r in read["similarity"].collect() if r.a == r.b and r.insertions == 8}.get(("m-1", "m-1")) == 1.0
     assert "m-1" in spark.read.text(str(tmp_path / "run" / "report"), wholetext=True).first().value
+    order = similarity_order(read["similarity"], tables["scores"]).collect()
+    assert {(r.insertions, r.concept) for r in order} == {(r.insertions, r.a) for r in read["similarity"].collect()}
+    assert all(sorted(r.place for r in order if r.insertions == n) == list(range(sum(r.insertions == n for r in order))) for n in (1, 8)) and all(r.log_ratio == scores[r.insertions, r.concept].log_ratio for r in order)
 
 
 def test_run_of_every_kind_of_concept(spark):
