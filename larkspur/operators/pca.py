@@ -63,12 +63,15 @@ def in_rounds(rows: DataFrame, partial: Callable[[Iterator[np.ndarray]], list[np
         lists = [unpacked(p.as_py(), s.as_py()) for p, s in zip(part.column("parts"), part.column("shapes"))]
         return pa.table(packed(part.column("node")[0].as_py() // FAN, merge(lists)), pa.schema([("node", pa.int64()), ("parts", pa.list_(pa.binary())), ("shapes", pa.list_(pa.list_(pa.int32())))]))
 
-    level = stored(rows.select("vector").coalesce(LEAVES).mapInArrow(leaf, schema).withColumn("node", F.spark_partition_id().cast("long")), "factors")
-    while len(last := level.limit(FAN + 1).collect()) > FAN:
-        above = stored(level.groupBy(F.expr(f"node DIV {FAN}").alias("above")).applyInArrow(branch, schema), "factors")
+    leaves = rows.select("vector").coalesce(LEAVES).mapInArrow(leaf, schema).withColumn("node", F.spark_partition_id().cast("long"))
+    last = leaves.limit(FAN + 1).collect()  # of few partitions these are all; of many, only some are read for this
+    if len(last) > FAN:
+        level = stored(leaves, "factors")
+        while len(last := level.limit(FAN + 1).collect()) > FAN:
+            above = stored(level.groupBy(F.expr(f"node DIV {FAN}").alias("above")).applyInArrow(branch, schema), "factors")
+            discard(level)
+            level = above
         discard(level)
-        level = above
-    discard(level)
     return merge([unpacked(r.parts, r.shapes) for r in last]) if last else None
 
 
