@@ -1,11 +1,12 @@
 """License scans with a generalised suffix automaton of template words.
 
-Templates (short notices, whole license texts and the base phrases) are cut into words and put into one suffix automaton. A file's words
-stream through it and give, at every word, the longest match with any template that ends there (the
-matching statistics). Matches of ``MIN_MATCH`` words or more, or of a whole template, are chained per
+Templates (the base phrases, short notices, short licenses and the bodies of long ones) are cut into words and put into one suffix
+automaton. A file's words stream through it and give, at every word, the longest match with any template that ends there (the
+matching statistics). Matches of ``MIN_MATCH`` words or more (of bodies ``MIN_BODY_MATCH``), or of a whole template, are chained per
 template where they follow each other in file and template with gaps of at most ``MAX_GAP`` words. A chain
-that covers ``MIN_COVER`` of its template's words gives its label and a covered span. Places of base
-phrases are read off the same matches.
+that covers ``MIN_COVER`` of its template's words gives its label and a covered span; a body counts as ``BODY_WORDS`` words, so
+an excerpt of it is enough. Long licenses share passages: of bodies whose chains overlap in a file, those that cover fewer words
+than one of another label give way. Places of base phrases are read off the same matches.
 
 Only runs of words that some template has are streamed, all others lead back to the automaton's
 root. Edge cases: null texts are empty and have no words; repeated rows, null ids and other
@@ -18,6 +19,8 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
+from functools import cache
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +33,10 @@ from larkspur.llm.license_texts import TEXTS
 from larkspur.sources.storage import table
 
 MIN_MATCH = 3
+MIN_BODY_MATCH = 5
 MAX_GAP = 6
 MIN_COVER = 0.8
+BODY_WORDS = 75
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -54,6 +59,21 @@ NOTICES: tuple[Template, ...] = (
     ("cc-by", "licensed under a creative commons attribution 4.0 international license"),
     ("reserved", "all rights reserved"),
 )
+# Bodies of long licenses, in files of ``license_bodies``.
+BODY_FILES: tuple[Template, ...] = (
+    ("apache", "Apache-2.0.txt"),
+    ("gpl", "GPL-2.txt"),
+    ("gpl", "GPL-3.txt"),
+    ("lgpl", "LGPL-2.1.txt"),
+    ("lgpl", "LGPL-3.txt"),
+    ("mpl", "MPL-2.0.txt"),
+)
+
+
+@cache
+def bodies() -> tuple[Template, ...]:
+    folder = resources.files("larkspur.llm").joinpath("license_bodies")
+    return tuple((label, folder.joinpath(name).read_text("utf-8")) for label, name in BODY_FILES)
 
 
 def words_of(text: str) -> list[str]:
@@ -64,10 +84,10 @@ class Automaton:
     """Suffix automaton of several word sequences.
 
     ``step`` maps (state, word) to a state, ``link`` is the suffix link and ``size`` the longest length of a
-    state; ``ends`` has each state's places as (sequence, end).
+    state; ``ends`` has each state's places as (sequence, end), those of matches shorter than a sequence's ``least`` left out.
     """
 
-    def __init__(self, sequences: Sequence[Sequence[int]]):
+    def __init__(self, sequences: Sequence[Sequence[int]], least: Sequence[int] | None = None):
         self.step: list[dict[int, int]] = [{}]
         self.link, self.size = [-1], [0]
         for sequence in sequences:
@@ -80,7 +100,7 @@ class Automaton:
             for i, word in enumerate(sequence):
                 state = self.step[state][word]
                 at = state
-                while at > 0:
+                while at > 0 and (least is None or self.size[at] >= least[t]):
                     self.ends[at].add((t, i + 1))
                     at = self.link[at]
 
@@ -127,16 +147,19 @@ class Automaton:
 class Scanner:
     """Templates compiled for scanning; small, and sent to every task."""
 
-    def __init__(self, phrases: Sequence[Template] = BASE, notices: Sequence[Template] = NOTICES + TEXTS):
-        texts = [words_of(text) for _, text in (*phrases, *notices)]
+    def __init__(self, phrases: Sequence[Template] = BASE, notices: Sequence[Template] = NOTICES + TEXTS, long: Sequence[Template] | None = None):
+        long = bodies() if long is None else long
+        texts = [words_of(text) for _, text in (*phrases, *notices, *long)]
         if not all(texts):
             raise ValueError("a template has no words")
-        self.labels = [label for label, _ in (*phrases, *notices)]
-        self.n_base, self.sizes = len(phrases), [len(x) for x in texts]
+        self.labels = [label for label, _ in (*phrases, *notices, *long)]
+        self.n_base, self.sizes, self.first_body = len(phrases), [len(x) for x in texts], len(phrases) + len(notices)
+        self.least = [min(MIN_MATCH if t < self.first_body else MIN_BODY_MATCH, n) for t, n in enumerate(self.sizes)]
+        self.needed = [n if t < self.first_body else min(n, BODY_WORDS) for t, n in enumerate(self.sizes)]
         self.vocabulary = sorted({w for x in texts for w in x})
         code = {w: i for i, w in enumerate(self.vocabulary)}
         coded = [[code[w] for w in x] for x in texts]
-        self.automaton = a = Automaton(coded)
+        self.automaton = a = Automaton(coded, self.least)
         self.shortest = min(self.sizes)
         self.phrases: list[list[int]] = [[] for _ in a.step]  # of a state: base phrases that end every match of their length
         own: dict[int, list[int]] = defaultdict(list)
@@ -167,37 +190,45 @@ class Scanner:
 
     def _matched(self, state: int, length: int, end: int, matches: dict[int, list[tuple[int, int, int]]]) -> None:
         for t, stop in self.automaton.ends[state]:
-            if length >= MIN_MATCH or length == self.sizes[t]:
+            if length >= self.least[t]:
                 matches[t].append((end - length, stop - length, length))
 
     def chains(self, matches: dict[int, list[tuple[int, int, int]]]) -> list[tuple[int, int, int, float]]:
         """``(template, first word, end, covered share)``; of chains of a template that overlap, the better one."""
         found = []
         for t, own in matches.items():
-            own = sorted(set(own))
-            best: list[tuple[int, int]] = []  # of the chain that ends in a match: words covered, first word
-            first_near = 0
-            for j, (f, p, n) in enumerate(own):
-                value, start = n, f
-                while own[first_near][0] + self.sizes[t] + MAX_GAP < f:
-                    first_near += 1
-                for i in range(first_near, j):
-                    g, q, m = own[i]
-                    if g + m <= f <= g + m + MAX_GAP and q + m <= p <= q + m + MAX_GAP and best[i][0] + n > value:
-                        value, start = best[i][0] + n, best[i][1]
-                best.append((value, start))
-            for (f, _, n), (value, start) in zip(own, best):
-                found.append((t, start, f + n, value / self.sizes[t]))
-        kept: list[tuple[int, int, int, float]] = []
+            reached: dict[int, dict[int, tuple[int, int]]] = defaultdict(dict)  # by ends in file and template: words covered, less the first word
+            for f, p, n in sorted(set(own)):
+                near = [reached[e] for e in range(f - MAX_GAP, f + 1) if e in reached]
+                covered, start = max((x[q] for x in near for q in range(p - MAX_GAP, p + 1) if q in x), default=(0, -f))
+                chain = (covered + n, start)
+                reached[f + n][p + n] = max(reached[f + n].get(p + n, chain), chain)
+                found.append((t, -start, f + n, covered + n))
+        kept: list[tuple[int, int, int, int]] = []
         end = (-1, -1)  # template and end of the chain kept last
-        for t, a, b, share in sorted(found, key=lambda x: (x[0], x[1], -x[3], x[2])):
+        for t, a, b, covered in sorted(found, key=lambda x: (x[0], x[1], -x[3], x[2])):
             if end[0] != t or a >= end[1]:
-                kept.append((t, a, b, share))
+                kept.append((t, a, b, covered))
                 end = (t, b)
-            elif share > kept[-1][3]:
-                kept[-1] = (t, a, b, share)
+            elif covered > kept[-1][3]:
+                kept[-1] = (t, a, b, covered)
                 end = (t, b)
-        return kept
+        return [(t, a, b, min(1.0, covered / self.needed[t])) for t, a, b, covered in self._told_apart(kept)]
+
+    def _told_apart(self, chains: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+        """Chains without those of bodies that overlap a longer one of a body of another label.
+
+        Chains of one template don't overlap, so each meets about as many as there are bodies.
+        """
+        long = sorted((x for x in chains if x[0] >= self.first_body), key=lambda x: x[1])
+        beaten = set()
+        for i, one in enumerate(long):
+            j = i + 1
+            while j < len(long) and long[j][1] < one[2]:
+                if self.labels[one[0]] != self.labels[long[j][0]] and one[3] != long[j][3]:
+                    beaten.add(min(one, long[j], key=lambda x: x[3]))
+                j += 1
+        return [x for x in chains if x not in beaten]
 
 
 def _scanned(texts: pa.Array, scanner: Scanner):
