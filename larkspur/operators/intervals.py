@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from larkspur.functions.hashing import uniform
 from larkspur.operators.relational import numbered
 
-#: Positions of a bin: the unit in which a chromosome is cut for windows and range joins.
+#: Positions of a bin: the unit in which a chromosome is cut for windows.
 BIN = 1 << 16
+#: Positions of a bin of the lowest level of range joins, about the length of a short region: neighbours that share a bin are all compared.
+JOINED = 1 << 10
 #: Points that one window runs over when they are smoothed.
 RUN = 1 << 12
 
@@ -101,12 +103,12 @@ def moving_average(points: DataFrame, width: int = 10) -> DataFrame:
 
 
 def level_of(length: Column) -> Column:
-    """The level whose bins are at least as long as an interval: bins of level k have ``BIN * 8**k`` positions."""
-    return F.greatest(F.lit(0), F.ceil(F.log(F.greatest(length, F.lit(1)).cast("double") / BIN) / math.log(8.0) - 1e-9)).cast("int")
+    """The level whose bins are at least as long as an interval: bins of level k have ``JOINED * 8**k`` positions."""
+    return F.greatest(F.lit(0), F.ceil(F.log(F.greatest(length, F.lit(1)).cast("double") / JOINED) / math.log(8.0) - 1e-9)).cast("int")
 
 
 def _bin(at: Column, level: Column) -> Column:
-    return F.floor(at / (BIN * F.pow(F.lit(8.0), level))).cast("long")
+    return F.floor(at / (JOINED * F.pow(F.lit(8.0), level))).cast("long")
 
 
 def _own_bins(rows: DataFrame, start: str, stop: str, level: str) -> DataFrame:
@@ -137,9 +139,10 @@ def track_values(regions: DataFrame, signal: DataFrame) -> DataFrame:
     each = met.select(*regions.columns, piece.alias("piece")).unionByName(left.select(*regions.columns, F.lit(None).cast("struct<a:long,b:long,v:double>").alias("piece")))
     pieces = each.groupBy(*regions.columns).agg(F.array_sort(F.collect_set("piece")).alias("pieces"))
     zeros = lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
-    start = F.struct(F.col("start").alias("at"), F.array().cast("array<double>").alias("done"))
-    walked = F.aggregate("pieces", start, lambda x, p: F.struct(p["b"].alias("at"), F.concat(x["done"], zeros(p["a"] - x["at"]), F.array_repeat(p["v"], (p["b"] - p["a"]).cast("int"))).alias("done")))
-    return pieces.withColumn("walked", walked).select(*regions.columns, F.concat("walked.done", zeros(F.col("stop") - F.col("walked.at"))).alias("track"))
+    ends = F.concat(F.array("start"), F.transform("pieces", lambda p: p["b"]))
+    each_one = lambda p, end: F.concat(zeros(p["a"] - end), F.array_repeat(p["v"], (p["b"] - p["a"]).cast("int")))
+    walked = F.flatten(F.zip_with("pieces", F.slice("ends", F.lit(1), F.size("pieces")), each_one))
+    return pieces.withColumn("ends", ends).select(*regions.columns, F.concat(walked, zeros(F.col("stop") - F.element_at("ends", -1))).alias("track"))
 
 
 def range_join(regions: DataFrame, points: DataFrame, levels: Sequence[int] | None = None) -> DataFrame:
