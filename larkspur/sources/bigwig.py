@@ -32,10 +32,18 @@ from larkspur.sources.storage import place
 SCHEMA = "chrom string, start long, stop long, value float"
 #: Intervals of a block, children of a node of either tree, bases of the finest summary and the factor to the next.
 ITEMS, CHILDREN, FINEST, COARSER, LEVELS = 1_024, 256, 1_024, 4, 10
+#: Intervals that make a block of even steps, and their longest; how hard blocks are packed.
+EVEN, EVEN_SPAN, PACKED = 128, 1 << 15, 1
+#: Stretches that a writer takes apart at once.
+ROWS = 256
 #: Nodes of a file's index that planning looks at, and bytes of one read.
 PLANNED, READ_BYTES = 1_024, 4 << 20
+#: Rows of a batch that is read.
+READ_ROWS = 1 << 14
 #: Nodes and blocks that a task remembers, as neighbouring regions ask for the same.
 KEPT = 256
+#: Bases of regions that a task works on at once, and the distance of regions that read their blocks together.
+BASES, NEAR = 1 << 20, 1 << 14
 
 # Marks and layouts of the format.
 MARK, NAMES_MARK, PLACES_MARK = 0x888FFC26, 0x78CA8C91, 0x2468ACE0
@@ -166,6 +174,20 @@ class Track:
         return chrom, starts, words[:, 1].astype(np.int64) if kind == BED_GRAPH else starts + span, values
 
 
+def _sections(starts: np.ndarray, stops: np.ndarray) -> Iterator[tuple[int, int, bool]]:
+    """Where blocks of up to ITEMS intervals begin and end, and whether theirs are EVEN or more of one length without gaps, which need no places."""
+    if not len(starts):
+        return
+    size = stops - starts
+    heads = np.r_[0, np.flatnonzero((starts[1:] != stops[:-1]) | (size[1:] != size[:-1])) + 1, len(starts)]
+    even = np.flatnonzero((np.diff(heads) >= EVEN) & (size[heads[:-1]] <= EVEN_SPAN))
+    at = 0
+    for first, last in [*zip(heads[even].tolist(), heads[even + 1].tolist()), (len(starts), len(starts))]:
+        yield from ((i, min(i + ITEMS, first), False) for i in range(at, first, ITEMS))
+        yield from ((i, min(i + ITEMS, last), True) for i in range(first, last, ITEMS))
+        at = last
+
+
 def _kept(seen: dict, key: int, value: object) -> None:
     """Remember the last KEPT values."""
     if len(seen) >= KEPT:
@@ -204,7 +226,7 @@ class Nodes(InputPartition):
 
 class Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path, self.most, self.bounds = options["path"], int(options.get("nodes", PLANNED)), Bounds()
+        self.path, self.most, self.bounds, self.parts = options["path"], int(options.get("nodes", PLANNED)), Bounds(), int(options.get("parts", PLANNED))
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
         """Blocks are pruned; rows of the blocks that are left are still filtered by Spark."""
@@ -217,8 +239,15 @@ class Reader(DataSourceReader):
             system, inner = place(path)
             with system.open_input_file(inner) as source:
                 nodes = Track(source, path).nodes(self.bounds, self.most)
-            found += [Nodes(path, [n]) for n in nodes]
-        return found
+            found += [(path, n) for n in nodes]
+        # Neighbours share a task where there are more nodes than tasks that a cluster needs.
+        each, out = -(-len(found) // self.parts), []
+        for path, n in found:
+            if out and out[-1].path == path and len(out[-1].nodes) < each:
+                out[-1].nodes.append(n)
+            else:
+                out.append(Nodes(path, [n]))
+        return out
 
     def read(self, part: Nodes | None) -> Iterator[pa.RecordBatch]:
         if part is None:
@@ -226,8 +255,19 @@ class Reader(DataSourceReader):
         system, inner = place(part.path)
         with system.open_input_file(inner) as source:
             track = Track(source, part.path)
-            for chrom, starts, stops, values in track.intervals(track.blocks(part.nodes, self.bounds)):
-                yield pa.RecordBatch.from_arrays([pa.array([track.names[chrom][0]] * len(starts), pa.string()), pa.array(starts), pa.array(stops), pa.array(values)], names=["chrom", "start", "stop", "value"])
+            held = []
+            for section in track.intervals(track.blocks(part.nodes, self.bounds)):
+                if held and (held[0][0] != section[0] or sum(len(x[1]) for x in held) >= READ_ROWS):
+                    yield self._rows(track, held)
+                    held = []
+                held.append(section)
+            if held:
+                yield self._rows(track, held)
+
+    def _rows(self, track: Track, sections: list[tuple]) -> pa.RecordBatch:
+        columns = [np.concatenate([x[i] for x in sections]) for i in (1, 2, 3)]
+        name = pa.array([track.names[sections[0][0]][0]], pa.string()).take(pa.array(np.zeros(len(columns[0]), np.int32)))
+        return pa.RecordBatch.from_arrays([name, *map(pa.array, columns)], names=["chrom", "start", "stop", "value"])
 
 
 class Spool:
@@ -237,7 +277,7 @@ class Spool:
         self.data, self.places, self.largest = tempfile.SpooledTemporaryFile(64 << 20), [], 0
 
     def add(self, first: tuple[int, int], last: tuple[int, int], raw: bytes) -> None:
-        packed = zlib.compress(raw, 6)
+        packed = zlib.compress(raw, PACKED)
         self.largest = max(self.largest, len(raw))
         self.places.append((first[0], first[1], last[0], last[1], self.data.tell(), len(packed)))
         self.data.write(packed)
@@ -338,14 +378,19 @@ class TrackFile:
         n = (stops - 1) // FINEST - first + 1
         own = np.repeat(np.arange(len(starts)), n)
         bin_ = first[own] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        records = np.zeros(len(own), RECORD)
-        records["chrom"] = len(self.names) - 1
-        records["start"], records["stop"] = np.maximum(starts[own], bin_ * FINEST), np.minimum(stops[own], (bin_ + 1) * FINEST)
-        covered, v = (records["stop"] - records["start"]).astype(float), values[own].astype(float)
-        records["covered"], records["low"], records["high"], records["sum"], records["squares"] = covered, v, v, covered * v, covered * v * v
-        if len(v):
-            self.total = np.array([self.total[0] + covered.sum(), min(self.total[1], v.min()), max(self.total[2], v.max()), self.total[3] + (covered * v).sum(), self.total[4] + (covered * v * v).sum()])
-        return summed(records, FINEST)
+        if not len(own):
+            return np.zeros(0, RECORD)
+        begin, end = np.maximum(starts[own], bin_ * FINEST), np.minimum(stops[own], (bin_ + 1) * FINEST)
+        covered, v = (end - begin).astype(float), values[own].astype(float)
+        heads = np.flatnonzero(np.r_[True, np.diff(bin_) != 0])
+        records = np.zeros(len(heads), RECORD)
+        records["chrom"], records["start"], records["stop"] = len(self.names) - 1, begin[heads], end[np.r_[heads[1:], len(own)] - 1]
+        records["low"], records["high"] = np.minimum.reduceat(v, heads), np.maximum.reduceat(v, heads)
+        sums = [np.add.reduceat(x, heads) for x in (covered, covered * v, covered * v * v)]
+        records["covered"], records["sum"], records["squares"] = sums
+        added = [x.sum() for x in sums]
+        self.total = np.array([self.total[0] + added[0], min(self.total[1], v.min()), max(self.total[2], v.max()), self.total[3] + added[1], self.total[4] + added[2]])
+        return records
 
     def _flush(self, whole: bool = True) -> None:
         if not self.held:
@@ -353,11 +398,11 @@ class TrackFile:
         starts, stops, values = (np.concatenate(x) for x in zip(*self.held))
         upto = len(starts) if whole else len(starts) // ITEMS * ITEMS
         chrom = len(self.names) - 1
-        for i in range(0, upto, ITEMS):
-            j = min(i + ITEMS, upto)
-            words = np.column_stack([starts[i:j].astype("<u4"), stops[i:j].astype("<u4"), values[i:j].view("<u4")])
-            head = struct.pack("<" + SECTION, chrom, int(starts[i]), int(stops[j - 1]), 0, 0, BED_GRAPH, 0, j - i)
-            self.blocks.add((chrom, int(starts[i])), (chrom, int(stops[j - 1])), head + words.tobytes())
+        for i, j, fixed in _sections(starts[:upto], stops[:upto]):
+            first, last, span = int(starts[i]), int(stops[j - 1]), int(stops[i] - starts[i])
+            words = values[i:j].view("<u4") if fixed else np.column_stack([starts[i:j].astype("<u4"), stops[i:j].astype("<u4"), values[i:j].view("<u4")])
+            head = struct.pack("<" + SECTION, chrom, first, last, *((span, span, FIXED) if fixed else (0, 0, BED_GRAPH)), 0, j - i)
+            self.blocks.add((chrom, first), (chrom, last), head + words.tobytes())
         self.held = [(starts[upto:], stops[upto:], values[upto:])] if upto < len(starts) else []
 
     def _zooms(self) -> list[tuple[int, Spool]]:
@@ -415,6 +460,16 @@ class Written(WriterCommitMessage):
     name: str
 
 
+def flat_stretches(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, start, stop and value of all runs of ``start, ends, values``: a run begins where the one before it ends."""
+    lists = batch.column("ends")
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    stops, values = (x.flatten().to_numpy(zero_copy_only=False) for x in (lists, batch.column("values")))
+    starts, heads = np.r_[0, stops[:-1]][: len(stops)], (np.cumsum(sizes) - sizes)[sizes > 0]
+    starts[heads] = batch.column("start").to_numpy(zero_copy_only=False)[sizes > 0]
+    return np.repeat(np.arange(len(sizes)), sizes), starts, stops, values
+
+
 class Writer(DataSourceArrowWriter):
     """A file for each partition that has rows, under a name of its own until all are whole."""
 
@@ -424,17 +479,13 @@ class Writer(DataSourceArrowWriter):
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         track, any_ = TrackFile(), False
         for batch in batches:
-            batch = batch.filter(np.logical_and.reduce([batch.column(c).is_valid().to_numpy(zero_copy_only=False) for c in ("chrom", "start", "stop", "value")]))
-            if not batch.num_rows:
-                continue
-            any_ = True
-            chroms = batch.column("chrom").dictionary_encode()
-            code = chroms.indices.to_numpy()
-            cuts = np.r_[0, np.flatnonzero(np.diff(code)) + 1, len(code)]
-            starts, stops, values = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("start", "stop", "value"))
-            lengths = batch.column("length").to_numpy(zero_copy_only=False) if "length" in batch.schema.names else np.zeros(len(code))
-            for a, b in zip(cuts, cuts[1:]):
-                track.add(chroms.dictionary[int(code[a])].as_py(), starts[a:b].astype(np.int64), stops[a:b].astype(np.int64), values[a:b], int(np.nan_to_num(lengths[a])))
+            packed = "ends" in batch.schema.names
+            columns = ("chrom", "start", "ends", "values") if packed else ("chrom", "start", "stop", "value")
+            batch = batch.filter(np.logical_and.reduce([batch.column(c).is_valid().to_numpy(zero_copy_only=False) for c in columns]))
+            rows = ROWS if packed else max(1, batch.num_rows)
+            for part in (batch.slice(i, rows) for i in range(0, batch.num_rows, rows)):
+                any_ = True
+                self._add(track, part, packed)
         if not any_:
             return Written("")
         system, inner = place(self.path)
@@ -444,6 +495,16 @@ class Writer(DataSourceArrowWriter):
             track.finish(sink)
         return Written(name)
 
+    def _add(self, track: TrackFile, batch: pa.RecordBatch, packed: bool) -> None:
+        row, starts, stops, values = flat_stretches(batch) if packed else (np.arange(batch.num_rows), *(batch.column(c).to_numpy(zero_copy_only=False) for c in ("start", "stop", "value")))
+        chroms = batch.column("chrom").dictionary_encode()
+        code = chroms.indices.to_numpy()[row]
+        lengths = np.nan_to_num(batch.column("length").to_numpy(zero_copy_only=False)) if "length" in batch.schema.names else np.zeros(batch.num_rows)
+        cuts = np.r_[0, np.flatnonzero(np.diff(code)) + 1, len(code)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a < b:
+                track.add(chroms.dictionary[int(code[a])].as_py(), starts[a:b].astype(np.int64), stops[a:b].astype(np.int64), values[a:b], int(lengths[row[a]]))
+
     def commit(self, messages: list[Written | None]) -> None:
         system, inner = place(self.path)
         system.create_dir(inner, recursive=True)
@@ -483,7 +544,8 @@ def read_bigwig(spark: SparkSession, path: str, nodes: int = PLANNED) -> DataFra
     """``chrom, start, stop, value`` of a file or of the files of a folder; filters prune what is read."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(BigWig)
-    return spark.read.format("bigwig").option("nodes", nodes).load(path)
+    parts = 8 * spark.sparkContext.defaultParallelism
+    return spark.read.format("bigwig").option("nodes", nodes).option("parts", parts).load(path)
 
 
 def write_bigwig(signal: DataFrame, path: str, sizes: DataFrame | None = None, files: int | None = None) -> None:
@@ -500,36 +562,98 @@ def write_bigwig(signal: DataFrame, path: str, sizes: DataFrame | None = None, f
     rows.repartitionByRange(parts, "chrom", "start").sortWithinPartitions("chrom", "start").write.format("bigwig").mode("overwrite").save(path)
 
 
+def write_stretches(stretches: DataFrame, path: str, sizes: DataFrame | None = None) -> None:
+    """The same of ``chrom, start, ends, values``, runs without gaps that begin where the one before ends; rows lie in ranges of increasing places, and stay there."""
+    spark = stretches.sparkSession
+    spark.dataSource.register(BigWig)
+    if sizes is not None:
+        stretches = stretches.join(F.broadcast(sizes.select("chrom", F.col("length").cast("long").alias("length"))), "chrom", "left")
+    stretches.write.format("bigwig").mode("overwrite").save(path)
+
+
 def tracks(regions: DataFrame, path: str) -> DataFrame:
     """Regions ``chrom, start, stop`` and any further columns with ``track``, a value per base from a bigWig file or folder, 0 where there is none.
 
     Regions are dealt by place, and each task finds its regions' blocks in the index: what is read follows the regions, not the file.
     """
-    spark, given = regions.sparkSession, files_of(path)
+    spark, given = regions.sparkSession, [(name, _extents(name)) for name in files_of(path)]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     schema = regions.withColumn("track", F.array().cast("array<double>")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        opened = []
-        for name in given:
-            system, inner = place(name)
-            opened.append(Track(system.open_input_file(inner), name))
+        opened: dict[str, Track] = {}
         for batch in batches:
-            found = []
-            for chrom, start, stop in zip(*(batch.column(c).to_pylist() for c in ("chrom", "start", "stop"))):
-                values = np.zeros(stop - start)
-                for track in opened:
-                    bounds = Bounds(frozenset([chrom]), start, stop)
-                    for number, starts, stops, own in track.intervals(track.blocks([track.root], bounds)):
-                        if track.names[number][0] != chrom:
-                            continue
-                        met = (starts < stop) & (stops > start)
-                        a, b = np.maximum(starts[met], start) - start, np.minimum(stops[met], stop) - start
-                        values[np.repeat(a, b - a) + np.arange((b - a).sum()) - np.repeat(np.cumsum(b - a) - (b - a), b - a)] = np.repeat(own[met], b - a)
-                found.append(values)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.float64()))], names=[*batch.schema.names, "track"])
-        for track in opened:
+            upto = np.cumsum(batch.column("stop").to_numpy() - batch.column("start").to_numpy())
+            at = 0
+            while at < batch.num_rows:
+                end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + BASES, "right")))
+                part = batch.slice(at, end - at)
+                yield pa.RecordBatch.from_arrays([*part.columns, _tracks(part, given, opened)], names=[*batch.schema.names, "track"])
+                at = end
+        for track in opened.values():
             track.source.close()
 
     sound = regions.filter("chrom IS NOT NULL AND start >= 0 AND start < stop")
     return sound.repartitionByRange(parts, "chrom", "start").sortWithinPartitions("chrom", "start").mapInArrow(run, schema)
+
+
+def _extents(path: str) -> dict[str, tuple[int, int]]:
+    """The range of places that a file has of each name, by the first node of its index."""
+    system, inner = place(path)
+    found: dict[str, tuple[int, int]] = {}
+    with system.open_input_file(inner) as source:
+        track = Track(source, path)
+        for first, start, last, stop in (x[:4] for x in track._node(track.root, LEAF, BRANCH)[1]):
+            for c in range(first, last + 1):
+                if c in track.names:
+                    low, high = found.get(track.names[c][0], (1 << 33, -1))
+                    found[track.names[c][0]] = min(low, start if c == first else 0), max(high, stop if first == last else 1 << 33)
+    return found
+
+
+def _tracks(batch: pa.RecordBatch, given: list[tuple[str, dict]], opened: dict[str, Track]) -> pa.Array:
+    """A value per base of each region of a batch in order; neighbouring regions read their blocks together."""
+    first, last = (batch.column(c).to_numpy() for c in ("start", "stop"))
+    chroms = batch.column("chrom").dictionary_encode()
+    code, names = chroms.indices.to_numpy(), chroms.dictionary.to_pylist()
+    ends = np.r_[0, np.cumsum(last - first)]
+    flat = np.zeros(ends[-1])
+    heads = [0]
+    for i in range(1, len(first)):
+        reach = last[i - 1] if i - 1 == heads[-1] else max(reach, last[i - 1])
+        if code[i] != code[i - 1] or first[i] > reach + NEAR:
+            heads.append(i)
+    used = set()
+    for a, b in zip(heads, [*heads[1:], len(first)]):
+        name, low, high = names[code[a]], int(first[a:b].min()), int(last[a:b].max())
+        for path, extents in given:
+            if name not in extents or extents[name][0] >= high or extents[name][1] <= low:
+                continue
+            used.add(path)
+            if path not in opened:
+                system, inner = place(path)
+                opened[path] = Track(system.open_input_file(inner), path)
+            track = opened[path]
+            met = [x[1:] for x in track.intervals(track.blocks([track.root], Bounds(frozenset([name]), low, high))) if track.names[x[0]][0] == name]
+            if met:
+                starts, stops, values = (np.concatenate(x) for x in zip(*met))
+                _fill(flat, ends[a:b], first[a:b], last[a:b], starts, stops, values)
+    for path in [x for x in opened if x not in used]:
+        opened.pop(path).source.close()
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
+
+
+def _spread(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers 0, 1, ... below each of ``sizes``, one after another, and whose they are."""
+    whose = np.repeat(np.arange(len(sizes)), sizes)
+    return whose, np.arange(len(whose)) - (np.cumsum(sizes) - sizes)[whose]
+
+
+def _fill(flat: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray, starts: np.ndarray, stops: np.ndarray, values: np.ndarray) -> None:
+    """Put the values of intervals in order under the regions that they meet; ``at`` is where a region's bases begin."""
+    low, high = np.searchsorted(stops, first, "right"), np.searchsorted(starts, last, "left")
+    region, k = _spread(np.maximum(high - low, 0))
+    of = low[region] + k
+    begin, end = np.maximum(starts[of], first[region]), np.minimum(stops[of], last[region])
+    pair, i = _spread(np.maximum(end - begin, 0))
+    flat[(at[region] + begin - first[region])[pair] + i] = values[of][pair]
