@@ -9,12 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.operators.intervals import center_regions, first_wins, range_join, region_name, with_block
+from larkspur.operators.intervals import BIN, center_regions, first_wins, region_name, with_block
 from larkspur.operators.motifs import meme_text, merged_names, parsed_meme
 from larkspur.functions.sequence import on_strand
+from larkspur.operators.relational import same
 from larkspur.operators.sequences import region_sequences
-from larkspur.sources.bigwig import write_bigwig
-from larkspur.sources.storage import place
+from larkspur.sources.bigwig import flat_stretches, write_stretches
+from larkspur.sources.storage import place, stored
 
 BED3 = "chrom string, start long, stop long"
 BED5 = f"{BED3}, strand string, concept string"
@@ -22,9 +23,12 @@ NARROW_PEAK = f"{BED3}, name string, score int, strand string, signal double, p
 FAI = "chrom string, length long, offset long, line_bases int, line_width int"
 CONSENSUS = "motif string, consensus string"
 BEDGRAPH = f"{BED3}, value double"
+STRETCHES = "chrom string, start long, ends array<long>, values array<double>"
 PREDICTIONS = "Pred int, Truth int"
 #: Bases of a chunk of a genome.
 CHUNK = 1 << 16
+#: Values of signal that are worked on at once.
+VALUES = 1 << 19
 #: Bytes of one read, and bytes between ranges that are read along rather than skipped.
 READ_BYTES, GAP = 4 << 20, 4 << 10
 
@@ -270,10 +274,10 @@ def write_signal(regions: DataFrame, arrays: str, path: str, smooth: bool = Fals
     """
     if kind not in ("bedgraph", "bigwig"):
         raise ValueError("kind is bedgraph or bigwig")
-    pieces = signal_pieces(regions, arrays)
-    runs = value_runs(smoothed_pieces(pieces, width) if smooth else pieces)
+    found = signal_stretches(signal_pieces(regions, arrays), width if smooth else 0)
+    runs = _rows(found)
     if kind == "bigwig":
-        write_bigwig(runs, path, sizes)
+        write_stretches(found, path, sizes)
     else:
         write_bedgraph(runs, path)
     return runs
@@ -288,50 +292,109 @@ def signal_pieces(regions: DataFrame, arrays: str) -> DataFrame:
     surplus = F.size(arrays) - (F.col("stop") - F.col("start"))
     wide = regions.withColumn("surplus", surplus).filter("surplus >= 0 AND surplus % 2 = 0").withColumn("start", F.col("start") - F.floor(F.col("surplus") / 2)).filter("start >= 0")
     wide = wide.select("region_id", "chrom", "start", (F.col("start") + F.size(arrays)).alias("stop"), F.col(arrays).cast("array<double>").alias("values"))
-    blocks = with_block(wide, "region_id").withColumn("first", F.col("start"))
-    kept = first_wins(blocks, "region_id")
-    offset = (F.col("start") - F.col("first")).cast("int")
-    return kept.select("chrom", "start", "stop", "block", F.slice("values", offset + 1, (F.col("stop") - F.col("start")).cast("int")).alias("values"))
+    # Which bases a region keeps follows from places alone; arrays meet the answer once.
+    places = stored(wide.select("region_id", "chrom", "start", "stop"), "places")
+    kept = first_wins(with_block(places, "region_id").withColumns({"first": F.col("start"), "last": F.col("stop")}), "region_id")
+    met = same(kept, wide.withColumnsRenamed({"start": "first", "stop": "last"}), ["region_id", "chrom", "first", "last"])
+    whole, offset = (F.col("start") == F.col("first")) & (F.col("stop") == F.col("last")), (F.col("start") - F.col("first")).cast("int")
+    own = F.when(whole, F.col("values")).otherwise(F.slice("values", offset + 1, (F.col("stop") - F.col("start")).cast("int")))
+    return met.select("chrom", "start", "stop", "block", own.alias("values"))
 
 
-def smoothed_pieces(pieces: DataFrame, width: int = 10) -> DataFrame:
-    """The pieces with the sum of ``width`` neighbouring values of their block over ``width``, zeros beyond the block's ends.
+def signal_stretches(pieces: DataFrame, width: int = 0) -> DataFrame:
+    """``chrom, start, ends, values`` of pieces: stretches without a gap, as runs of equal values and their ends, in ranges of increasing places.
 
-    A piece's values add to its own sums as arrays; only the few that reach beyond its ends, fewer than ``width`` a piece, become rows that
-    find the pieces they fall on.
+    With a ``width``, the values are the sums of so many neighbouring values of a block over ``width``, zeros beyond the block's ends. Pieces are cut at bins of positions, and a bin
+    is given the few values beyond its ends that its sums need, so a task holds a bin at a time; stretches end with their bin. Without a width, nulls are gaps.
     """
-    before, after = width // 2, width - width // 2 - 1
-    schema = "chrom string, start long, stop long, block long, values array<double>, left array<double>, right array<double>"
+    before, after = (width // 2, width - width // 2 - 1) if width else (0, 0)
+    first, last = F.greatest(F.floor((F.col("start") - after) / BIN), F.lit(0)), F.floor((F.col("stop") - 1 + before) / BIN)
+    part = lambda b, at, values: F.struct(b.cast("long").alias("bin"), at.cast("long").alias("at"), values.alias("values"))
+
+    def cut(b: Column) -> Column:
+        low, high = F.greatest(F.col("start"), b * BIN - before), F.least(F.col("stop"), (b + 1) * BIN + after)
+        return part(b, low, F.slice("values", (low - F.col("start") + 1).cast("int"), (high - low).cast("int")))
+
+    parts = F.when(first == last, F.array(part(first, F.col("start"), F.col("values")))).otherwise(F.transform(F.sequence(first, last), cut))
+    rows = pieces.select("chrom", "block", F.explode(parts).alias("part")).select("chrom", "part.bin", "part.at", "block", "part.values")
+    n = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.repartitionByRange(n, "chrom", "bin").sortWithinPartitions("chrom", "bin", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            full = [np.convolve(np.nan_to_num(np.array(v, float)), np.ones(width) / width) for v in batch.column("values").to_pylist()]
-            cut = [(x[after : len(x) - before], x[:after], x[len(x) - before :]) for x in full]
-            arrays = [pa.array([c[i] for c in cut], pa.list_(pa.float64())) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("chrom", "start", "stop", "block")), *arrays], names=[c.split()[0] for c in schema.split(", ")])
+        held = None
+        for batch in (x for b in batches for x in _by_values(b)):
+            table = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch]).combine_chunks()
+            new = _new_group(table)
+            upto = int(np.flatnonzero(new)[-1])  # the last bin may go on
+            if upto:
+                yield _stretches(table.slice(0, upto), before, after, width)
+            held = table.slice(upto)
+        if held is not None:
+            yield _stretches(held, before, after, width)
+
+    return ordered.mapInArrow(run, STRETCHES)
+
+
+def _by_values(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most VALUES values, or of one row."""
+    upto = np.cumsum(np.nan_to_num(batch.column("values").value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))
+    at = 0
+    while at < len(upto):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + VALUES, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def _new_group(table: pa.Table) -> np.ndarray:
+    """Whether a row begins a bin."""
+    chrom, bin_ = table.column("chrom").combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(), table.column("bin").to_numpy()
+    return np.r_[True, (chrom[1:] != chrom[:-1]) | (bin_[1:] != bin_[:-1])]
+
+
+def _stretches(table: pa.Table, before: int, after: int, width: int) -> pa.RecordBatch:
+    """Runs of whole bins, whose rows are in order."""
+    group = np.cumsum(_new_group(table)) - 1
+    at, sizes = table.column("at").to_numpy(), table.column("values").combine_chunks().value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    # Of rows of one place, the first counts.
+    once = np.r_[True, (group[1:] != group[:-1]) | (at[1:] != at[:-1])]
+    if not once.all():
+        table, group, at, sizes = table.filter(pa.array(once)), group[once], at[once], sizes[once]
+    flat = table.column("values").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    shift = at - (np.cumsum(sizes) - sizes)
+    pos = np.arange(len(flat)) + shift[row]
+    if width:
+        block = table.column("block").to_numpy()
+        number = np.cumsum(np.r_[True, (group[1:] != group[:-1]) | (block[1:] != block[:-1])])[row]
+        value = np.nan_to_num(flat)
+        flat = value.copy()
+        for d in (d for d in range(-before, after + 1) if d and abs(d) < len(value)):
+            to, of = (slice(None, -d), slice(d, None)) if d > 0 else (slice(-d, None), slice(None, d))
+            flat[to] += np.where(number[to] == number[of], value[of], 0.0)
+        flat /= width
+    low = table.column("bin").to_numpy()[row] * BIN
+    there = np.flatnonzero((pos >= low) & (pos < low + BIN) & ~np.isnan(flat))
+    pos, flat, row = pos[there], flat[there], row[there]
+    apart = np.r_[True, (pos[1:] != pos[:-1] + 1) | (group[row[1:]] != group[row[:-1]])][: len(pos)]
+    cut = np.flatnonzero(apart | np.r_[True, flat[1:] != flat[:-1]][: len(pos)])
+    heads = np.flatnonzero(apart[cut])
+    ends = pa.array(np.r_[heads, len(cut)].astype(np.int32))
+    stops = pos[np.r_[cut[1:], len(pos)] - 1] + 1 if len(pos) else pos
+    lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (stops, flat[cut])]
+    return pa.RecordBatch.from_arrays([table.column("chrom").combine_chunks().take(pa.array(row[cut[heads]])), pa.array(pos[cut[heads]]), *lists], names=["chrom", "start", "ends", "values"])
+
+
+def _rows(stretches: DataFrame) -> DataFrame:
+    """``chrom, start, stop, value`` of stretches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (x for b in batches for x in _by_values(b)):
+            row, starts, stops, values = flat_stretches(batch)
+            yield pa.RecordBatch.from_arrays([batch.column("chrom").take(pa.array(row)), pa.array(starts), pa.array(stops), pa.array(values)], names=["chrom", "start", "stop", "value"])
 
-    parts = pieces.mapInArrow(run, schema)
-    side = lambda name, at: parts.select("chrom", "block", F.posexplode(name).alias("i", "value"), "start", "stop").select("chrom", F.col("block").alias("of"), (at + F.col("i")).alias("pos"), "value")
-    spilt = side("left", F.col("start") - after).unionByName(side("right", F.col("stop"))).filter("pos >= 0").groupBy("chrom", "of", "pos").agg(F.sum("value").alias("value"))
-    met = range_join(parts.select("chrom", "start", "stop", "block"), spilt, range(8)).filter("block = of").groupBy("chrom", "block", "start").agg(F.map_from_entries(F.collect_list(F.struct((F.col("pos") - F.col("start")).cast("int"), "value"))).alias("more"))
-    added = F.transform("values", lambda v, i: v + F.coalesce(F.try_element_at("more", i), F.lit(0.0)))
-    return parts.join(met, ["chrom", "block", "start"], "left").select("chrom", "start", "stop", "block", F.when(F.col("more").isNull(), F.col("values")).otherwise(added).alias("values"))
+    return stretches.mapInArrow(run, BEDGRAPH)
 
 
 def value_runs(pieces: DataFrame) -> DataFrame:
-    """``chrom, start, stop, value`` of ``chrom, start, values``: a row for each run of equal values, not for each base; nulls are gaps."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = batch.column("values")
-            flat = values.flatten().to_numpy(zero_copy_only=False).astype(float)
-            sizes = values.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            at = np.repeat(batch.column("start").to_numpy(), sizes) + np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            cut = np.flatnonzero(np.r_[True, (flat[1:] != flat[:-1]) | (row[1:] != row[:-1])]) if len(flat) else np.zeros(0, int)
-            ends = at[np.r_[cut[1:], len(flat)] - 1] + 1 if len(flat) else cut
-            there = ~np.isnan(flat[cut])
-            cut, ends = cut[there], ends[there]
-            yield pa.RecordBatch.from_arrays([batch.column("chrom").take(pa.array(row[cut])), pa.array(at[cut]), pa.array(ends), pa.array(flat[cut])], names=["chrom", "start", "stop", "value"])
-
-    return pieces.select("chrom", "start", F.col("values").cast("array<double>").alias("values")).mapInArrow(run, BEDGRAPH)
+    """``chrom, start, stop, value`` of pieces: a row for each run of equal values, not for each base; nulls are gaps."""
+    return _rows(signal_stretches(pieces))

@@ -270,3 +270,72 @@ def test_running_sums_over_ranges(spark):
     got = {(r.k, r.t): r.upto for r in R.running_sum(spark.createDataFrame(rows, "k long, t long, v long").repartition(5), "k", "v", "t").collect()}
     assert got == dict(zip([r[:2] for r in rows], np.cumsum([r[2] for r in rows]).tolist()))
     assert R.running_sum(spark.createDataFrame([], "k long, v long"), "k", "v").count() == 0
+
+
+def test_only_files_with_regions_are_opened(spark, tmp_path):
+    """Of many files, a batch of regions opens those that hold them, and its tracks are right across their borders."""
+    import pyarrow as pa
+
+    rows, path = intervals(4_000, 3), str(tmp_path / "many")
+    B.write_bigwig(frame(spark, rows), path, files=12)
+    given = [(name, B._extents(name)) for name in B.files_of(path)]
+    last = {c: max(r[2] for r in rows if r[0] == c) for c in ("chr1", "chr10", "chr2")}
+    for regions, most in (([("chr10", a, a + 50) for a in range(100, 5_000, 70)], 2), ([("chr2", 0, last["chr2"])], 6), ([("chr3", 0, 9)], 0)):
+        opened = {}
+        columns = [pa.array([r[i] for r in regions]) for i in range(3)]
+        got = B._tracks(pa.RecordBatch.from_arrays(columns, names=["chrom", "start", "stop"]), given, opened).to_pylist()
+        assert len(given) == 12 and len(opened) <= most
+        base = {c: np.zeros(max(last.get(c, 9), 6_000)) for c, _, _ in regions}
+        for c, a, b, v in rows:
+            if c in base:
+                base[c][a:b] = v
+        assert got == [base[c][a:b].tolist() for c, a, b in regions]
+
+
+@pytest.mark.parametrize("smooth", [False, True])
+def test_signal_across_bins(spark, tmp_path, smooth):
+    """Long arrays and short ones beside the borders of bins by brute force; blocks of even steps take few bytes a base."""
+    rng = np.random.default_rng(4)
+    places = [(1, 40_000, 170_000), (2, 65_530, 65_540), (3, 169_990, 196_606), (4, 196_606, 196_609), (5, 196_609, 196_700), (5, 262_140, 262_150), (5, 262_140, 262_150)]
+    rows = [(i, "c", a, b, rng.integers(0, 5, b - a).astype(float).tolist()) for i, a, b in places]
+    rows[-1] = rows[-2]  # the same region twice
+    path = str(tmp_path / "bw")
+    files.write_signal(spark.createDataFrame(rows, "region_id long, chrom string, start long, stop long, x array<double>"), "x", path, smooth, kind="bigwig")
+    values, block = np.full(262_200, np.nan), np.zeros(262_200, int)
+    for k, (_, _, a, b, x) in enumerate(rows):
+        free = np.isnan(values[a:b])
+        values[a:b][free] = np.array(x)[free]
+        block[a:b][free] = [1, 1, 1, 4, 5, 6, 6][k]
+    want = values.copy()
+    if smooth:
+        for p in np.flatnonzero(~np.isnan(values)):
+            near = slice(p - 5, p + 5)
+            want[p] = values[near][block[near] == block[p]].sum() / 10
+    got = np.full(262_200, np.nan)
+    for r in B.read_bigwig(spark, path).collect():
+        assert np.isnan(got[r.start : r.stop]).all()
+        got[r.start : r.stop] = r.value
+    assert np.array_equal(got, want.astype(np.float32).astype(float), equal_nan=True)
+
+
+def test_even_steps_without_places(tmp_path):
+    """Blocks of even steps hold values only; others keep their places, and both are read back."""
+    track, rng = B.TrackFile(), np.random.default_rng(2)
+    ends = np.cumsum(np.r_[np.full(5_000, 1), np.full(300, 5), rng.integers(1, 9, 700), np.full(4_000, 1)])
+    starts, values = np.r_[0, ends[:-1]], rng.normal(size=len(ends)).astype(np.float32)
+    track.add("c", starts, ends, values)
+    with open(tmp_path / "x.bw", "wb") as sink:
+        track.finish(sink)
+    read = opened(str(tmp_path / "x.bw"))
+    got = [np.concatenate(x) for x in list(zip(*read.intervals(read.blocks([read.root], B.Bounds()))))[1:]]
+    assert all(np.array_equal(a, b) for a, b in zip(got, (starts, ends, values)))
+    assert sum(size for _, size in read.blocks([read.root], B.Bounds())) < 5 * len(ends)
+
+
+def test_short_regions_meet_few_neighbours(spark):
+    """Bins of a join are about as long as short regions, so that not all of a stretch of 65,536 positions meet."""
+    from larkspur.operators import intervals as I
+
+    regions = spark.range(600).selectExpr("id", "id * 100 AS start", "id * 100 + 90 AS stop").withColumn("level", I.level_of(F.col("stop") - F.col("start")))
+    shared = I._own_bins(regions, "start", "stop", "level").groupBy("bin").count().agg(F.max("count")).first()[0]
+    assert shared <= 13
