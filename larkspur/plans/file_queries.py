@@ -71,7 +71,7 @@ def _event_signal(spark, sf_dir):
 
 
 def _track_digests(tracks):
-    return tracks.select("region_id", F.size("track").alias("n"), F.md5(F.array_join(F.transform("track", lambda x: x.cast("int").cast("string")), ",")).alias("track_md5"))
+    return tracks.select("region_id", F.size("track").alias("n"), F.md5(F.array_join(F.col("track").cast("array<int>").cast("array<string>"), ",")).alias("track_md5"))
 
 
 def a9_bigwig_scan(spark, sf_dir):
@@ -92,11 +92,16 @@ def a9_bigwig_regions(spark, sf_dir):
 def _signal_sums(spark, sf_dir, smooth):
     """Arrays of regions written as bigWig and scanned: bases, values and places by chromosome; smoothed values are tenths."""
     path = _path(spark, "signal")
-    values = F.transform(F.sequence(F.lit(0).cast("long"), F.col("stop") - F.col("start") - 1), lambda i: (F.col("region_id") + F.floor(i / 5)) % 7)
+    size = (F.col("stop") - F.col("start")).cast("int")
+    fives = F.transform(F.sequence(F.lit(0).cast("long"), F.floor((size - 1) / 5)), lambda k: F.array_repeat(((F.col("region_id") + k) % 7).cast("double"), 5))
+    values = F.slice(F.flatten(fives), 1, size)
     files.write_signal(P.regions(spark, sf_dir).select("region_id", "chrom", "start", "stop", values.alias("x")), "x", path, smooth, kind="bigwig")
     n = F.col("stop") - F.col("start")
     v = F.round(F.col("value").cast("double") * (10 if smooth else 1)).cast("long")
-    return bigwig.read_bigwig(spark, path).groupBy("chrom").agg(F.sum(n).alias("n"), F.sum(n * v).alias("total"), F.sum(v * F.expr("(start + stop - 1) * (stop - start) DIV 2")).cast("double").alias("moment"))
+    moments = bigwig.read_bigwig(spark, path).select("chrom", n.alias("n"), (n * v).alias("total"), (v * F.expr("(start + stop - 1) * (stop - start) DIV 2")).alias("m"))
+    # Sums of moments pass 64 bits on large genomes; those of their halves don't.
+    sums = moments.groupBy("chrom").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.expr("sum(m DIV 4294967296)").alias("high"), F.expr("sum(m % 4294967296)").alias("low"))
+    return sums.select("chrom", "n", "total", F.expr("CAST(CAST(high AS DECIMAL(20)) * 4294967296 + CAST(low AS DECIMAL(20)) AS DOUBLE)").alias("moment"))
 
 
 def a23_bigwig_signal(spark, sf_dir):
