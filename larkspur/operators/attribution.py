@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from larkspur.operators.pca import Model, project, restore
 from larkspur.operators.sequences import Letters
 
-#: Numbers that a layer's inputs and outputs may have in a batch.
-AT_ONCE = 1 << 22
+#: Numbers that a layer's inputs and outputs may have in a batch; some forty arrays of that many live at once.
+AT_ONCE = 1 << 19
 
 
 class Dense(NamedTuple):
