@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.operators.sequences import Letters
-from larkspur.sources.storage import table
+from larkspur.sources.storage import stored, table
 
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,11 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("seq_id"), "lang", F.upper(F.regexp_replace("text", "[^acgtACGT]", "")).alias("seq"))
 
 
+def stored_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, for runs that read them many times: texts are read once, and sequences dealt out evenly, however few files there were."""
+    return stored(sequences(spark, sf_dir).repartition(8 * spark.sparkContext.defaultParallelism, "seq_id"), "sequences")
+
+
 SEQUENCES = "seqs AS (SELECT doc_id AS seq_id, lang, upper(regexp_replace(text, '[^acgtACGT]', '', 'g')) AS seq FROM documents)"
 
 
@@ -48,8 +53,8 @@ def motifs(spark: SparkSession, sf_dir: str) -> DataFrame:
 MOTIFS = "motifs AS (SELECT concat('M/', item_id) AS motif, upper(regexp_replace(text, '[^acgtACGT]', '', 'g')) AS consensus FROM benchmark)"
 
 
-def pwm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Letter frequencies of each language's whole sequences, cut into stretches of 12, at the 12 places of a stretch.
+def pwm(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    """Letter frequencies of each language's whole sequences (or those of ``rows``), cut into stretches of 12, at the 12 places of a stretch.
 
     Letters are counted batch by batch; a partition gives a few rows for each of its languages.
     """
@@ -67,7 +72,7 @@ def pwm(spark: SparkSession, sf_dir: str) -> DataFrame:
             columns = [langs.dictionary.take(pa.array(there // 12)), pa.array((there % 12 + 1).astype(np.int32)), *(pa.array(c) for c in counts[there].T)]
             yield pa.RecordBatch.from_arrays(columns, names=["motif", "pos", "a", "c", "g", "t"])
 
-    parts = sequences(spark, sf_dir).select(F.col("lang").alias("motif"), "seq").mapInArrow(counted, "motif string, pos int, a long, c long, g long, t long")
+    parts = (sequences(spark, sf_dir) if rows is None else rows).select(F.col("lang").alias("motif"), "seq").mapInArrow(counted, "motif string, pos int, a long, c long, g long, t long")
     every = F.sum(F.col("a") + F.col("c") + F.col("g") + F.col("t"))
     return parts.groupBy("motif", "pos").agg(*[(F.sum(b) / every).alias(b) for b in "acgt"])
 
