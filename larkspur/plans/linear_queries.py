@@ -203,18 +203,20 @@ def i1_leading_components(spark, sf_dir):
 
 def k5_motif_run(spark, sf_dir):
     """The whole run over sequences: motifs of all languages put into whole sequences of documents, shares of 3-letter strings as activations."""
-    control = P.sequences(spark, sf_dir).select("seq_id", "seq")
-    return run_concepts(control, sequences.kmer_shares, network(), pwm=P.pwm(spark, sf_dir), insertions=(2, 8), components=COMPONENTS, per_concept=PER_CONCEPT, control_kind="permuted")["scores"]
+    seqs = P.stored_sequences(spark, sf_dir)
+    control, pwm = seqs.select("seq_id", "seq"), stored(P.pwm(spark, sf_dir, seqs), "pwm")
+    return run_concepts(control, sequences.kmer_shares, network(), pwm=pwm, insertions=(2, 8), components=COMPONENTS, per_concept=PER_CONCEPT, control_kind="permuted")["scores"]
 
 
 def k5_all_concepts(spark, sf_dir):
     """A run of consensus motifs with further concepts: regions of sequences, their signal, and synthetic GC content of the lengths of documents; random control."""
-    seqs = P.sequences(spark, sf_dir).filter("length(seq) >= 64")
+    seqs = P.stored_sequences(spark, sf_dir).filter("length(seq) >= 64")
     control = seqs.select("seq_id", F.substring("seq", 1, 64).alias("seq"))
     genome = P.genome(seqs.withColumn("chrom", F.col("seq_id").cast("string")), 256)
     regions = seqs.select(F.concat(F.lit("region_"), F.coalesce("lang", F.lit("und"))).alias("concept"), F.col("seq_id").cast("string").alias("chrom"), F.floor(F.length("seq") / 2 - 20).alias("start")).withColumn("stop", F.col("start") + 40)
     signal = seqs.select(F.col("seq_id").cast("string").alias("chrom"), F.lit(0).cast("long").alias("start"), F.length("seq").cast("long").alias("stop"), (F.col("seq_id") % 7).cast("double").alias("value"))
     consensus = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("M"), (F.col("item_id") % 3).cast("string")).alias("motif"), F.substring(F.upper(F.regexp_replace("text", "[^acgtACGT]", "")), 1, 12).alias("consensus")).filter("length(consensus) = 12")
+    consensus = stored(consensus, "consensus")
 
     def others(builder):
         tracks = regions.withColumn("concept", F.replace("concept", F.lit("region"), F.lit("track")))

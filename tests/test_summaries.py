@@ -56,3 +56,36 @@ def test_ratios_of_several_attributions(spark):
     assert got["second", "x"].target_share == 1 and got["second", "x"].log_ratio is None
     assert S.attribution_ratios(scores.limit(0)).count() == 0
     assert S.classifier_summary(spark.createDataFrame([], "concept string, pred int, truth int"), "concept").count() == 0
+
+
+def test_attributions_take_little_memory_at_once():
+    """The arrays of a slice of the largest size, traced; batches of any size are cut to it."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from larkspur.operators import attribution as A
+    from larkspur.plans import linear_queries as Q
+
+    layers, rng = Q.sequence_network(), np.random.default_rng(3)
+    batch = pa.RecordBatch.from_arrays([pa.array(["".join(rng.choice(list("ACGT"), 64)) for _ in range(5_000)])], names=["seq"])
+    parts = list(A._slices(iter([batch]), layers))
+    assert sum(p.num_rows for p in parts) == 5_000
+    tracemalloc.start()
+    x = A.inputs(parts[0].column("seq"), layers)
+    A.multipliers(x, x[::-1], layers)
+    assert tracemalloc.get_traced_memory()[1] < 150 << 20
+    tracemalloc.stop()
+
+
+def test_runs_read_texts_once(spark):
+    """Sequences of a run are stored evenly: the same rows, in more than one part, and plans on them don't read the documents."""
+    from larkspur.plans import proxies as P
+
+    sf = "/root/testdata/sf0.001"
+    stored = P.stored_sequences(spark, sf)
+    assert sorted(map(tuple, stored.collect()), key=str) == sorted(map(tuple, P.sequences(spark, sf).collect()), key=str)
+    assert not any("documents" in f for f in stored.inputFiles()) and len(stored.inputFiles()) > 4
+    ours, theirs = ({(r.motif, r.pos): r[2:] for r in x.collect()} for x in (P.pwm(spark, sf, stored), P.pwm(spark, sf)))
+    assert ours == theirs
