@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.operators.intervals import BIN, center_regions, first_wins, region_name, with_block
+from larkspur.operators.intervals import BIN, center_regions, region_name
 from larkspur.operators.motifs import meme_text, merged_names, parsed_meme
 from larkspur.functions.sequence import on_strand
-from larkspur.operators.relational import same
 from larkspur.operators.sequences import region_sequences
 from larkspur.sources.bigwig import flat_stretches, write_stretches
-from larkspur.sources.storage import place, stored
+from larkspur.sources.storage import place
 
 BED3 = "chrom string, start long, stop long"
 BED5 = f"{BED3}, strand string, concept string"
@@ -29,6 +30,8 @@ PREDICTIONS = "Pred int, Truth int"
 CHUNK = 1 << 16
 #: Values of signal that are worked on at once.
 VALUES = 1 << 19
+#: Places of a chromosome lie below this where several are put on one line; a multiple of the bins.
+FAR = BIN << 24
 #: Bytes of one read, and bytes between ranges that are read along rather than skipped.
 READ_BYTES, GAP = 4 << 20, 4 << 10
 
@@ -284,51 +287,46 @@ def write_signal(regions: DataFrame, arrays: str, path: str, smooth: bool = Fals
 
 
 def signal_pieces(regions: DataFrame, arrays: str) -> DataFrame:
-    """``chrom, start, stop, block, values``: what each region keeps of its array where regions overlap and the first by place wins.
+    """``chrom, start, region_id, values``: the array of each region where it stands.
 
-    Longer arrays reach out evenly on both sides; regions that then begin before 0 are left out, as is an odd surplus. ``block`` is the start of
-    the block of overlapping regions; those that only touch are blocks of their own.
+    Longer arrays reach out evenly on both sides; regions that then begin before 0 are left out, as is an odd surplus.
     """
     surplus = F.size(arrays) - (F.col("stop") - F.col("start"))
-    wide = regions.withColumn("surplus", surplus).filter("surplus >= 0 AND surplus % 2 = 0").withColumn("start", F.col("start") - F.floor(F.col("surplus") / 2)).filter("start >= 0")
-    wide = wide.select("region_id", "chrom", "start", (F.col("start") + F.size(arrays)).alias("stop"), F.col(arrays).cast("array<double>").alias("values"))
-    # Which bases a region keeps follows from places alone; arrays meet the answer once.
-    places = stored(wide.select("region_id", "chrom", "start", "stop"), "places")
-    kept = first_wins(with_block(places, "region_id").withColumns({"first": F.col("start"), "last": F.col("stop")}), "region_id")
-    met = same(kept, wide.withColumnsRenamed({"start": "first", "stop": "last"}), ["region_id", "chrom", "first", "last"])
-    whole, offset = (F.col("start") == F.col("first")) & (F.col("stop") == F.col("last")), (F.col("start") - F.col("first")).cast("int")
-    own = F.when(whole, F.col("values")).otherwise(F.slice("values", offset + 1, (F.col("stop") - F.col("start")).cast("int")))
-    return met.select("chrom", "start", "stop", "block", own.alias("values"))
+    wide = regions.withColumn("surplus", surplus).filter("surplus >= 0 AND surplus % 2 = 0").withColumn("start", F.col("start") - F.floor(F.col("surplus") / 2))
+    return wide.filter((F.col("start") >= 0) & F.col("chrom").isNotNull() & (F.size(arrays) > 0)).select("chrom", "start", "region_id", F.col(arrays).cast("array<double>").alias("values"))
 
 
 def signal_stretches(pieces: DataFrame, width: int = 0) -> DataFrame:
     """``chrom, start, ends, values`` of pieces: stretches without a gap, as runs of equal values and their ends, in ranges of increasing places.
 
-    With a ``width``, the values are the sums of so many neighbouring values of a block over ``width``, zeros beyond the block's ends. Pieces are cut at bins of positions, and a bin
-    is given the few values beyond its ends that its sums need, so a task holds a bin at a time; stretches end with their bin. Without a width, nulls are gaps.
+    Where pieces overlap, the first by start and ``region_id`` wins. With a ``width``, the values are the sums of so many neighbouring values of a block over ``width``, zeros beyond
+    the block's ends; blocks are of overlapping pieces, and those that only touch are blocks of their own. Pieces are cut at bins of positions, and a bin is given the few values
+    beyond its ends that its sums need. All pieces over a position meet in its bin, so arrays are moved once, and a task holds what a bin keeps; stretches end with their bin.
+    Without a width, nulls are gaps.
     """
     before, after = (width // 2, width - width // 2 - 1) if width else (0, 0)
-    first, last = F.greatest(F.floor((F.col("start") - after) / BIN), F.lit(0)), F.floor((F.col("stop") - 1 + before) / BIN)
+    stop = F.col("start") + F.size("values")
+    first, last = F.greatest(F.floor((F.col("start") - after) / BIN), F.lit(0)), F.floor((stop - 1 + before) / BIN)
     part = lambda b, at, values: F.struct(b.cast("long").alias("bin"), at.cast("long").alias("at"), values.alias("values"))
 
     def cut(b: Column) -> Column:
-        low, high = F.greatest(F.col("start"), b * BIN - before), F.least(F.col("stop"), (b + 1) * BIN + after)
+        low, high = F.greatest(F.col("start"), b * BIN - before), F.least(stop, (b + 1) * BIN + after)
         return part(b, low, F.slice("values", (low - F.col("start") + 1).cast("int"), (high - low).cast("int")))
 
     parts = F.when(first == last, F.array(part(first, F.col("start"), F.col("values")))).otherwise(F.transform(F.sequence(first, last), cut))
-    rows = pieces.select("chrom", "block", F.explode(parts).alias("part")).select("chrom", "part.bin", "part.at", "block", "part.values")
+    rows = pieces.select("chrom", "start", "region_id", F.explode(parts).alias("part")).select("chrom", "part.bin", "start", "region_id", "part.at", "part.values")
     n = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(n, "chrom", "bin").sortWithinPartitions("chrom", "bin", "at")
+    ordered = rows.repartitionByRange(n, "chrom", "bin").sortWithinPartitions("chrom", "bin", "start", "region_id").select("chrom", "bin", "at", "values")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, reached = None, None
         for batch in (x for b in batches for x in _by_values(b)):
-            table = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch]).combine_chunks()
-            new = _new_group(table)
-            upto = int(np.flatnonzero(new)[-1])  # the last bin may go on
+            own, reached = _kept(batch, reached, before, after)
+            held = own if held is None else Kept(*map(np.concatenate, zip(held, own)))
+            upto = int(np.flatnonzero(held.new)[-1])  # the last bin may go on
             if upto:
-                yield _stretches(table.slice(0, upto), before, after, width)
-            held = table.slice(upto)
+                done, held = held.cut(upto)
+                yield _stretches(done, before, after, width)
         if held is not None:
             yield _stretches(held, before, after, width)
 
@@ -345,43 +343,86 @@ def _by_values(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         at = end
 
 
-def _new_group(table: pa.Table) -> np.ndarray:
-    """Whether a row begins a bin."""
-    chrom, bin_ = table.column("chrom").combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(), table.column("bin").to_numpy()
-    return np.r_[True, (chrom[1:] != chrom[:-1]) | (bin_[1:] != bin_[:-1])]
-
-
-def _stretches(table: pa.Table, before: int, after: int, width: int) -> pa.RecordBatch:
-    """Runs of whole bins, whose rows are in order."""
-    group = np.cumsum(_new_group(table)) - 1
-    at, sizes = table.column("at").to_numpy(), table.column("values").combine_chunks().value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    # Of rows of one place, the first counts.
-    once = np.r_[True, (group[1:] != group[:-1]) | (at[1:] != at[:-1])]
-    if not once.all():
-        table, group, at, sizes = table.filter(pa.array(once)), group[once], at[once], sizes[once]
-    flat = table.column("values").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float)
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    shift = at - (np.cumsum(sizes) - sizes)
-    pos = np.arange(len(flat)) + shift[row]
+class Kept(NamedTuple):
+    """What pieces keep of their bin, in order: a row for each, and the values of all; ``new`` rows begin a bin, ``head`` rows a block."""
+
+    chrom: np.ndarray
+    bin: np.ndarray
+    at: np.ndarray
+    sizes: np.ndarray
+    new: np.ndarray
+    head: np.ndarray
+    flat: np.ndarray
+
+    def cut(self, row: int) -> tuple[Kept, Kept]:
+        k = int(self.sizes[:row].sum())
+        return Kept(*(x[:row] for x in self[:-1]), self.flat[:k]), Kept(*(x[row:] for x in self[:-1]), self.flat[k:])
+
+
+def _kept(batch: pa.RecordBatch, reached: tuple[str, int, int] | None, before: int, after: int) -> tuple[Kept, tuple[str, int, int]]:
+    """What earlier pieces of a bin leave of each piece; ``reached`` is the last bin so far and how far its pieces reach."""
+    chrom, bin_, at = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("chrom", "bin", "at"))
+    sizes, flat = batch.column("values").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), batch.column("values").flatten().to_numpy(zero_copy_only=False)
+    new = np.r_[reached is None or reached[:2] != (chrom[0], bin_[0]), (chrom[1:] != chrom[:-1]) | (bin_[1:] != bin_[:-1])]
+    # Places within bins, which are laid end to end: what earlier bins reach is below all of this one.
+    low = np.cumsum(new) * (BIN + before + after + 1)
+    first = low + at - bin_ * BIN + before
+    last = first + sizes
+    upto = np.maximum.accumulate(np.r_[-1 if reached is None else reached[2], last])
+    own = np.maximum(first, upto[:-1])
+    left, skipped = np.maximum(last - own, 0), own - first
+    if skipped.any():
+        there = left > 0
+        to = np.cumsum(left[there]) - left[there]
+        flat = flat[np.repeat((np.cumsum(sizes) - sizes + skipped)[there] - to, left[there]) + np.arange(left.sum())]
+        # A bin's first piece keeps all it has, so no bin loses its beginning.
+        kept = Kept(chrom[there], bin_[there], (at + skipped)[there], left[there], new[there], (upto[:-1] <= first)[there], flat)
+    else:
+        kept = Kept(chrom, bin_, at, sizes, new, upto[:-1] <= first, flat)
+    return kept, (chrom[-1], bin_[-1], int(upto[-1] - low[-1]))
+
+
+def _stretches(kept: Kept, before: int, after: int, width: int) -> pa.RecordBatch:
+    """Runs of whole bins."""
+    flat, at, sizes, starts = kept.flat, kept.at, kept.sizes, np.cumsum(kept.sizes) - kept.sizes
     if width:
-        block = table.column("block").to_numpy()
-        number = np.cumsum(np.r_[True, (group[1:] != group[:-1]) | (block[1:] != block[:-1])])[row]
-        value = np.nan_to_num(flat)
-        flat = value.copy()
-        for d in (d for d in range(-before, after + 1) if d and abs(d) < len(value)):
-            to, of = (slice(None, -d), slice(d, None)) if d > 0 else (slice(-d, None), slice(None, d))
-            flat[to] += np.where(number[to] == number[of], value[of], 0.0)
-        flat /= width
-    low = table.column("bin").to_numpy()[row] * BIN
-    there = np.flatnonzero((pos >= low) & (pos < low + BIN) & ~np.isnan(flat))
-    pos, flat, row = pos[there], flat[there], row[there]
-    apart = np.r_[True, (pos[1:] != pos[:-1] + 1) | (group[row[1:]] != group[row[:-1]])][: len(pos)]
+        flat = _window_sums(np.nan_to_num(flat), starts[kept.head], before, after) / width
+        low = kept.bin * BIN
+        early, late = np.clip(low - at, 0, sizes), np.clip(at + sizes - low - BIN, 0, sizes)
+        there = np.ones(len(flat), bool)
+        for i in np.flatnonzero(early + late):
+            there[starts[i] : starts[i] + early[i]] = there[starts[i] + sizes[i] - late[i] : starts[i] + sizes[i]] = False
+        flat, at, sizes = flat[there], at + early, np.maximum(sizes - early - late, 0)
+    # Places of all chromosomes on one line, far apart.
+    names = np.cumsum(np.r_[False, kept.chrom[1:] != kept.chrom[:-1]])
+    pos = np.arange(len(flat)) + np.repeat(names * FAR + at - (np.cumsum(sizes) - sizes), sizes)
+    if (gaps := np.isnan(flat)).any():
+        pos, flat = pos[~gaps], flat[~gaps]
+    apart = np.r_[True, (pos[1:] != pos[:-1] + 1) | (pos[1:] % BIN == 0)][: len(pos)]
     cut = np.flatnonzero(apart | np.r_[True, flat[1:] != flat[:-1]][: len(pos)])
     heads = np.flatnonzero(apart[cut])
     ends = pa.array(np.r_[heads, len(cut)].astype(np.int32))
-    stops = pos[np.r_[cut[1:], len(pos)] - 1] + 1 if len(pos) else pos
+    stops = pos[np.r_[cut[1:], len(pos)] - 1] % FAR + 1 if len(pos) else pos
     lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (stops, flat[cut])]
-    return pa.RecordBatch.from_arrays([table.column("chrom").combine_chunks().take(pa.array(row[cut[heads]])), pa.array(pos[cut[heads]]), *lists], names=["chrom", "start", "ends", "values"])
+    first = pos[cut[heads]]
+    chrom = kept.chrom[np.r_[True, kept.chrom[1:] != kept.chrom[:-1]]][first // FAR]
+    return pa.RecordBatch.from_arrays([pa.array(chrom, pa.string()), pa.array(first % FAR), *lists], names=["chrom", "start", "ends", "values"])
+
+
+def _window_sums(value: np.ndarray, heads: np.ndarray, before: int, after: int) -> np.ndarray:
+    """Sums of ``before`` values, the own and ``after`` values in blocks that begin at ``heads``: zeros stand between blocks, as many as a window reaches."""
+    gap, sizes, out = max(before, after), np.diff(np.r_[heads, len(value)]), np.empty(len(value))
+    room = np.cumsum(sizes + gap) // VALUES
+    for a, b in pairwise(np.r_[np.flatnonzero(np.r_[True, np.diff(room) > 0]), len(heads)].tolist()):
+        low, high = heads[a], heads[b] if b < len(heads) else len(value)
+        to = np.arange(high - low) + np.repeat(gap * np.arange(1, b - a + 1), sizes[a:b])
+        spaced = np.zeros(high - low + gap * (b - a + 1))
+        spaced[to] = value[low:high]
+        sums, n = spaced[gap : len(spaced) - gap].copy(), len(spaced) - 2 * gap
+        for d in (d for d in range(-before, after + 1) if d):
+            sums += spaced[gap + d : gap + d + n]
+        out[low:high] = sums[to - gap]
+    return out
 
 
 def _rows(stretches: DataFrame) -> DataFrame:

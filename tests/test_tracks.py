@@ -3,6 +3,7 @@
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -339,3 +340,41 @@ def test_short_regions_meet_few_neighbours(spark):
     regions = spark.range(600).selectExpr("id", "id * 100 AS start", "id * 100 + 90 AS stop").withColumn("level", I.level_of(F.col("stop") - F.col("start")))
     shared = I._own_bins(regions, "start", "stop", "level").groupBy("bin").count().agg(F.max("count")).first()[0]
     assert shared <= 13
+
+
+def test_arrays_of_signal_are_moved_once(spark, tmp_path):
+    """However small the regions' table looks, arrays meet no join, which could gather them on the driver, and one shuffle."""
+    path = str(tmp_path / "regions")
+    spark.createDataFrame([(1, "c", 0, 4, [1.0] * 4)], "region_id long, chrom string, start long, stop long, x array<double>").write.parquet(path)
+    for width in (0, 10):
+        plan = files.signal_stretches(files.signal_pieces(spark.read.parquet(path), "x"), width)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and plan.count("Repartition") == 1
+
+
+def test_first_piece_wins_over_slices(monkeypatch):
+    """What pieces keep doesn't depend on where batches are cut, and sums of windows not on how many blocks are summed at once."""
+    rng = np.random.default_rng(8)
+    places = sorted((int(a), int(n)) for a, n in zip(rng.integers(0, 900, 200), rng.choice([1, 3, 60], 200)))
+    arrays = [rng.integers(0, 9, n).astype(float).tolist() for _, n in places]
+    chroms, at = ["c"] * 150 + ["d"] * 50, [a for a, _ in places]
+    batch = pa.RecordBatch.from_arrays([pa.array(chroms), pa.array([0] * 200), pa.array(at), pa.array(arrays, pa.list_(pa.float64()))], names=["chrom", "bin", "at", "values"])
+    want, block, reach = {}, {}, {}
+    for c, a, x in zip(chroms, at, arrays):
+        if a >= reach.get(c, (0, 0))[0]:
+            reach[c] = (a, a)
+        reach[c] = (max(reach[c][0], a + len(x)), reach[c][1])
+        for k, v in enumerate(x):
+            if (c, a + k) not in want:
+                want[c, a + k], block[c, a + k] = v, reach[c][1]
+    sums = {(c, p): sum(want[c, q] for q in range(p - 5, p + 5) if block.get((c, q)) == block[c, p]) for c, p in want}
+    for step in (1, 7, 200):
+        reached, parts = None, []
+        for i in range(0, 200, step):
+            own, reached = files._kept(batch.slice(i, step), reached, 5, 4)
+            parts.append(own)
+        kept = files.Kept(*map(np.concatenate, zip(*parts)))
+        keys = [(c, a + k) for c, a, n in zip(kept.chrom, kept.at, kept.sizes) for k in range(n)]
+        assert dict(zip(keys, kept.flat)) == want and len(keys) == len(want)
+        for most in (1 << 19, 20):
+            monkeypatch.setattr(files, "VALUES", most)
+            assert dict(zip(keys, files._window_sums(kept.flat, (np.cumsum(kept.sizes) - kept.sizes)[kept.head], 5, 4))) == sums
