@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from larkspur.operators import intervals as I
@@ -89,15 +91,24 @@ def a9_bigwig_regions(spark, sf_dir):
     return _track_digests(bigwig.tracks(P.regions(spark, sf_dir).select("region_id", "chrom", "start", "stop"), path))
 
 
+def _fives(batches):
+    """Regions with ``x``: a value per base that changes every five bases and repeats after 35; a region begins at its own five."""
+    for batch in (b.slice(i, 1_024) for b in batches for i in range(0, b.num_rows, 1_024)):
+        sizes = batch.column("stop").to_numpy() - batch.column("start").to_numpy()
+        turns = np.tile(np.repeat(np.arange(7.0), 5), int(sizes.max()) // 35 + 2)
+        first = batch.column("region_id").to_numpy() % 7 * 5
+        x = np.concatenate([turns[a : a + n] for a, n in zip(first.tolist(), sizes.tolist())])
+        ends = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("chrom", "start", "stop", "region_id")), pa.ListArray.from_arrays(ends, pa.array(x))], names=["chrom", "start", "stop", "region_id", "x"])
+
+
 def _signal_sums(spark, sf_dir, smooth):
     """Arrays of regions written as bigWig and scanned: bases, values and places by chromosome; smoothed values are tenths."""
     path = _path(spark, "signal")
-    size = (F.col("stop") - F.col("start")).cast("int")
-    fives = F.transform(F.sequence(F.lit(0).cast("long"), F.floor((size - 1) / 5)), lambda k: F.array_repeat(((F.col("region_id") + k) % 7).cast("double"), 5))
-    values = F.slice(F.flatten(fives), 1, size)
-    files.write_signal(P.regions(spark, sf_dir).select("region_id", "chrom", "start", "stop", values.alias("x")), "x", path, smooth, kind="bigwig")
+    regions = P.regions(spark, sf_dir).select("region_id", "chrom", "start", "stop").filter("start >= 0 AND start < stop").repartition(8 * spark.sparkContext.defaultParallelism)
+    files.write_signal(regions.mapInArrow(_fives, f"{files.BED3}, region_id long, x array<double>"), "x", path, smooth, kind="bigwig")
     n = F.col("stop") - F.col("start")
-    v = F.round(F.col("value").cast("double") * (10 if smooth else 1)).cast("long")
+    v = F.rint(F.col("value").cast("double") * (10 if smooth else 1)).cast("long")
     moments = bigwig.read_bigwig(spark, path).select("chrom", n.alias("n"), (n * v).alias("total"), (v * F.expr("(start + stop - 1) * (stop - start) DIV 2")).alias("m"))
     # Sums of moments pass 64 bits on large genomes; those of their halves don't.
     sums = moments.groupBy("chrom").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.expr("sum(m DIV 4294967296)").alias("high"), F.expr("sum(m % 4294967296)").alias("low"))
