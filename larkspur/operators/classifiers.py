@@ -20,9 +20,14 @@ SCHEMA = "concept string, w array<double>, bias double, fscore double, fscore_ma
 DECAYS = {"adamw": (1e-2, 1e-4, 1e-6), "l2": (1e-2, 1e-4, 1e-6, 1e-8), "l1": (1e-1, 1.0)}
 
 
+def drawn(rows: DataFrame, per_concept: int, seed: str = "42") -> DataFrame:
+    """Rows of ``concept, id`` that a classifier's samples are made of: the first of each concept in hash order."""
+    return first_n(rows.withColumn("order_key", shuffle_key(seed, F.col("id"))), "concept", "order_key", per_concept).drop("nth", "order_key")
+
+
 def samples_for(rows: DataFrame, control: str, per_concept: int, seed: str = "42") -> DataFrame:
     """``concept, id, emb, truth, split``: each concept (truth 0) with the control (truth 1), split 9 to 1."""
-    keyed = first_n(rows.withColumn("order_key", shuffle_key(seed, F.col("id"))), "concept", "order_key", per_concept).drop("nth", "order_key")
+    keyed = drawn(rows, per_concept, seed)
     shared = keyed.filter(F.col("concept") == control).drop("concept")
     names = keyed.select("concept").filter(F.col("concept") != control).distinct()
     both = keyed.filter(F.col("concept") != control).withColumn("truth", F.lit(0)).unionByName(names.join(shared).withColumn("truth", F.lit(1)))
@@ -31,7 +36,7 @@ def samples_for(rows: DataFrame, control: str, per_concept: int, seed: str = "42
 
 def samples_for_pairs(rows: DataFrame, pairs: DataFrame, per_concept: int, seed: str = "42") -> DataFrame:
     """``concept, id, emb, truth, split`` with a control of its own for each concept: ``pairs(concept, control)``."""
-    keyed = stored(first_n(rows.withColumn("order_key", shuffle_key(seed, F.col("id"))), "concept", "order_key", per_concept).select("concept", "id", "emb"), "samples")
+    keyed = stored(drawn(rows, per_concept, seed).select("concept", "id", "emb"), "samples")
     own = keyed.join(pairs.select("concept"), "concept", "left_semi").withColumn("truth", F.lit(0))
     other = keyed.withColumnRenamed("concept", "control").join(pairs.select("concept", "control"), "control").select("concept", "id", "emb", F.lit(1).alias("truth"))
     both = own.unionByName(other)

@@ -17,6 +17,8 @@ from larkspur.operators.relational import numbered
 from larkspur.sources.storage import stored
 
 ROLES = ("test", "control", "permuted")
+#: Roles that components are fitted on.
+FITTED = ("test", "control")
 
 
 @dataclass
@@ -115,26 +117,29 @@ class ConceptBuilder:
             self.parts.append(self._tagged(S.synthetic_gc(sizes, gc, f"{self.seed}:{round(gc * 1e4)}"), f"synthetic_gc_{gc:.2f}", "test"))
         return self
 
-    def motif_samples(self) -> DataFrame:
-        """``concept, role, seq_id, seq`` of all motif concepts, in one pass over the control."""
-        return S.with_insertions(S.drop_unclean(self.control), self.insertions, self.motifs_per_sequence, *self.buffers, self.seed)
+    def motif_samples(self, roles: Sequence[str] = ROLES) -> DataFrame:
+        """``concept, role, seq_id, seq`` of all motif concepts of these roles, in one pass over the control."""
+        return S.with_insertions(S.drop_unclean(self.control), [x for x in self.insertions if x.role in roles], self.motifs_per_sequence, *self.buffers, self.seed)
 
     def motif_concepts(self) -> list[str]:
         return [x.concept for x in self.insertions if x.role == "test"]
 
-    def samples(self) -> DataFrame:
-        return reduce(lambda a, b: a.unionByName(b), [*self.parts, *([self.motif_samples()] if self.insertions else [])])
+    def samples(self, roles: Sequence[str] = ROLES) -> DataFrame:
+        others = [r for r in ROLES if r not in roles]
+        given = [p.filter(~F.col("role").isin(others)) for p in self.parts] if others else self.parts
+        return reduce(lambda a, b: a.unionByName(b), [*given, *([self.motif_samples(roles)] if any(x.role in roles for x in self.insertions) else [])])
 
     def paired_tracks(self) -> DataFrame:
         """``concept, role, seq_id, seq, track`` of the concepts of signal."""
         return reduce(lambda a, b: a.unionByName(b), self.tracks)
 
-    def everything(self) -> DataFrame:
-        """``concept, role, seq_id, seq, track`` of all concepts; only those of signal have a track."""
-        return reduce(lambda a, b: a.unionByName(b), [self.samples().withColumn("track", F.lit(None).cast("array<double>")), *self.tracks])
+    def everything(self, roles: Sequence[str] = ROLES) -> DataFrame:
+        """``concept, role, seq_id, seq, track`` of all concepts of these roles; only those of signal have a track."""
+        tracks = self.tracks if "test" in roles else []
+        return reduce(lambda a, b: a.unionByName(b), [self.samples(roles).withColumn("track", F.lit(None).cast("array<double>")), *tracks])
 
     def for_components(self) -> DataFrame:
-        return self.samples().filter(F.col("role") != "permuted")
+        return self.samples(FITTED)
 
     def summary(self) -> DataFrame:
         return self.samples().groupBy("concept", "role").agg(F.count(F.lit(1)).alias("n"), F.avg(F.length("seq")).alias("mean_length"))

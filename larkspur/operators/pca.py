@@ -38,7 +38,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def _doubles(rows: DataFrame, size: int | None = None) -> DataFrame:
     """Vectors that take part, in double precision; of the given length, or of that of most."""
     doubles = rows.select("id", F.col("vector").cast("array<double>").alias("vector"))
-    return sound(doubles, "vector") if size is None else doubles.filter(F.size("vector") == size).filter(F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+    return sound(doubles, "vector", size)
 
 
 def in_rounds(rows: DataFrame, partial: Callable[[Iterator[np.ndarray]], list[np.ndarray] | None], merge: Callable[[list[list[np.ndarray]]], list[np.ndarray]]) -> list[np.ndarray] | None:

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def sound(rows: DataFrame, vector: str) -> DataFrame:
-    """Rows whose vector takes part: neither null nor with null or non-finite components, and of the length that most such vectors have."""
+def sound(rows: DataFrame, vector: str, size: int | None = None) -> DataFrame:
+    """Rows whose vector takes part: neither null nor with null or non-finite components, and of the given length, or that which most such vectors have."""
     whole = rows.filter(F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+    if size is not None:
+        return whole.filter(F.size(vector) == size)
     most = whole.groupBy(F.size(vector).alias("n")).count().orderBy(F.desc("count"), "n").first()
     return whole.filter(F.size(vector) == (most.n if most else 0))
 

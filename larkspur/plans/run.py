@@ -17,7 +17,7 @@ from larkspur.operators import metrics as X
 from larkspur.operators import motifs as M
 from larkspur.operators import pca
 from larkspur.operators import vectors as V
-from larkspur.operators.concepts import ConceptBuilder
+from larkspur.operators.concepts import FITTED, ROLES, ConceptBuilder
 from larkspur.operators.relational import first_n
 from larkspur.plans.attributions import save_model
 from larkspur.plans.report import write_report
@@ -72,16 +72,18 @@ def run_concepts(
         builders[0] = others(ConceptBuilder(control, 0, buffers, seed))
     if not builders:
         raise ValueError("neither motifs nor other concepts")
-    vectors = {n: _vectors(b, activations) for n, b in builders.items()}
-    fitted_on = [vectors[n].filter("role <> 'permuted'") for n in {max(builders), *([0] if 0 in builders else [])}]
-    rows = reduce(lambda a, b: a.unionByName(b), fitted_on)
+    # Vectors that components are fitted on are stored whole, of others only those that classifiers draw.
+    vectors = {n: stored(_vectors(builders[n], activations, FITTED), "vectors") for n in {max(builders), *([0] if 0 in builders else [])}}
+    rows = reduce(lambda a, b: a.unionByName(b), vectors.values())
     if per_component is not None:
         rows = first_n(rows.withColumn("turn", shuffle_key(str(seed), F.col("concept"), F.col("seq_id"))), "concept", "turn", per_component)
     model = pca.fit(rows.select("id", "vector"), components)
+    drawn = {n: stored(C.drawn(V.sound(_drawn_from(b, activations, vectors.get(n)), "vector", len(model.mean)), per_concept), "drawn") for n, b in builders.items()}
     signs_of = _attributed(next(iter(vectors.values())), layers, model)
-    found, directions, every = [], [], []
+    found, directions, every, used = [], [], [], [signs_of, *vectors.values(), *drawn.values()]
     for n, builder in builders.items():
-        embedded = stored(pca.embed(vectors[n].select("id", "vector"), model).join(vectors[n].select("id", "concept"), "id"), "embedded")
+        embedded = stored(pca.embed(drawn[n].select("id", "vector"), model).join(drawn[n].select("id", "concept"), "id"), "embedded")
+        used.append(embedded)
         samples = _paired(builder, embedded, per_concept) if permuted and n else C.samples_for(embedded.filter(~F.col("concept").endswith("_permuted")), "control", per_concept)
         cavs = stored(C.train(samples, method), "directions")
         signs = X.sign_counts(C.scores(signs_of, cavs), "concept", median=False)
@@ -98,14 +100,21 @@ def run_concepts(
         save_model(control.sparkSession, model, f"{path}/model")
         write_run(path, tables)
         write_report(f"{path}/report", "Concepts", {k: v for k, v in tables.items() if k != "directions"})
-    discard(*vectors.values())
+    discard(*used)
     return tables
 
 
-def _vectors(builder: ConceptBuilder, activations: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``id, concept, role, seq_id, vector`` of all samples of a builder; activations are computed once."""
-    rows = builder.everything()
-    return stored(activations(rows).select(F.xxhash64("concept", "role", "seq_id").alias("id"), "concept", "role", "seq_id", F.col("vector").cast("array<double>").alias("vector")), "vectors")
+def _vectors(builder: ConceptBuilder, activations: Callable[[DataFrame], DataFrame], roles: Sequence[str] = ROLES) -> DataFrame:
+    """``id, concept, seq_id, vector`` of all samples of a builder of these roles."""
+    return activations(builder.everything(roles)).select(F.xxhash64("concept", "role", "seq_id").alias("id"), "concept", "seq_id", F.col("vector").cast("array<double>").alias("vector"))
+
+
+def _drawn_from(builder: ConceptBuilder, activations: Callable[[DataFrame], DataFrame], fitted: DataFrame | None) -> DataFrame:
+    """The same of all roles, of which classifiers draw; vectors that were stored to fit components aren't computed again."""
+    if fitted is None:
+        return _vectors(builder, activations)
+    others = [r for r in ROLES if r not in FITTED]
+    return fitted.unionByName(_vectors(builder, activations, others)) if any(x.role in others for x in builder.insertions) else fitted
 
 
 def _attributed(vectors: DataFrame, layers: list[A.Layer], model: pca.Model) -> DataFrame:

@@ -606,3 +606,25 @@ def test_range_finder_query(spark, data):
     s = np.linalg.svd(z, compute_uv=False) ** 2
     got = sorted(ran(spark, "i1_leading_components"))
     assert [r.pc for r in got] == list(range(Q.COMPONENTS)) and np.allclose([r.share for r in got], (s / s.sum())[: Q.COMPONENTS], rtol=0.02)
+
+
+def test_run_stores_little(spark, monkeypatch):
+    """Vectors are stored whole for the components only, embeddings of drawn samples only, and neither stays."""
+    from larkspur.plans import run
+
+    tables = []
+
+    def kept(rows, what, **options):
+        tables.append((what, stored(rows, what, **options)))
+        counts.setdefault(what, []).append(tables[-1][1].count())
+        return tables[-1][1]
+
+    counts = {}
+    monkeypatch.setattr(run, "stored", kept)
+    rng = np.random.default_rng(2)
+    control = spark.createDataFrame([(i, "".join(rng.choice(list("ACGT"), 60))) for i in range(40)], "seq_id long, seq string")
+    found = run_concepts(control, S.kmer_shares, Q.network(), sharp_and_flat(spark), insertions=(1, 2, 4), control_kind="permuted", per_concept=10)
+    assert counts["vectors"] == [40 * 3] and counts["embedded"] == [10 * 5] * 3
+    with_files = {what for what, rows in tables if spark._jvm.java.io.File(rows._stored_at.removeprefix("file:")).exists()}
+    assert with_files == {"directions", "scores", "areas"}
+    assert {n: t.count() for n, t in found.items() if n in ("scores", "areas", "directions")} == {"scores": 6, "areas": 2, "directions": 6}
