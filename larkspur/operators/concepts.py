@@ -113,8 +113,8 @@ class ConceptBuilder:
     def add_synthetic_gc_like(self, step: float, rows: DataFrame) -> "ConceptBuilder":
         """The same, with a sequence for each row of ``seq_id`` and ``length`` (or ``seq``, whose length it is)."""
         sizes = rows.select("seq_id", (F.col("length") if "length" in rows.columns else F.length("seq")).alias("length"))
-        for gc in S.gc_grid(step):
-            self.parts.append(self._tagged(S.synthetic_gc(sizes, gc, f"{self.seed}:{round(gc * 1e4)}"), f"synthetic_gc_{gc:.2f}", "test"))
+        made = S.with_synthetic_gc(sizes, {f"synthetic_gc_{gc:.2f}": gc for gc in S.gc_grid(step)}, self.seed)
+        self.parts.append(made.select("concept", F.lit("test").alias("role"), "seq_id", "seq"))
         return self
 
     def motif_samples(self, roles: Sequence[str] = ROLES) -> DataFrame:

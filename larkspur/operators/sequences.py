@@ -18,6 +18,8 @@ from larkspur.operators.relational import numbered
 
 #: Fixed value: letters in the order of a matrix's columns.
 BASES = np.frombuffer(b"ACGT", np.uint8)
+#: Letters that are drawn at once.
+LETTERS = 1 << 20
 #: Sequences that are shuffled at once, letters they may have together, and walks that are left to go on one by one.
 SHUFFLED, FEW, ALONE = 4_096, 5, 8
 
@@ -53,6 +55,27 @@ def synthetic_gc(rows: DataFrame, gc: float, seed: str) -> DataFrame:
     return rows.filter("length > 0").select(F.lit(name).alias("gc"), "seq_id", F.array_join(bases, "").alias("seq"))
 
 
+def with_synthetic_gc(rows: DataFrame, shares: dict[str, float], seed: int = 1) -> DataFrame:
+    """``concept, seq_id, seq`` for each of ``seq_id, length`` and each concept with its share of G and C: the same bases by arrays, drawn from the row's key, in one pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            upto, at = np.cumsum(batch.column("length").to_numpy()), 0
+            while at < batch.num_rows:
+                end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + LETTERS, "right")))
+                ids, sizes = batch.column("seq_id").slice(at, end - at), batch.column("length").to_numpy()[at:end]
+                starts, keys = np.cumsum(sizes) - sizes, np.repeat(pc.fill_null(ids, 0).to_numpy(), sizes)
+                place = np.arange(len(keys)) - np.repeat(starts, sizes)
+                for concept, gc in shares.items():
+                    u = counted(seed, keys, 3, round(gc * 1e4), place)
+                    drawn = sum((u >= edge).astype(np.uint8) for edge in ((1 - gc) / 2, 0.5, 0.5 + gc / 2))
+                    yield pa.RecordBatch.from_arrays([pa.array([concept] * len(ids), pa.string()), ids, Letters(BASES[drawn], starts, sizes).strings()], names=["concept", "seq_id", "seq"])
+                at = end
+
+    narrow = rows.select(F.col("seq_id").cast("long").alias("seq_id"), F.col("length").cast("long").alias("length"))
+    return narrow.filter("length > 0").mapInArrow(run, "concept string, seq_id long, seq string")
+
+
 def gc_grid(step: float) -> list[float]:
     """0, step, ... up to 1."""
     if not 0 < step <= 1:

@@ -209,22 +209,33 @@ def k5_motif_run(spark, sf_dir):
 
 
 def k5_all_concepts(spark, sf_dir):
-    """A run of consensus motifs with further concepts: regions of sequences, their signal, and synthetic GC content of the lengths of documents; random control."""
-    seqs = P.stored_sequences(spark, sf_dir).filter("length(seq) >= 64")
-    control = seqs.select("seq_id", F.substring("seq", 1, 64).alias("seq"))
-    genome = P.genome(seqs.withColumn("chrom", F.col("seq_id").cast("string")), 256)
-    regions = seqs.select(F.concat(F.lit("region_"), F.coalesce("lang", F.lit("und"))).alias("concept"), F.col("seq_id").cast("string").alias("chrom"), F.floor(F.length("seq") / 2 - 20).alias("start")).withColumn("stop", F.col("start") + 40)
-    signal = seqs.select(F.col("seq_id").cast("string").alias("chrom"), F.lit(0).cast("long").alias("start"), F.length("seq").cast("long").alias("stop"), (F.col("seq_id") % 7).cast("double").alias("value"))
-    consensus = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("M"), (F.col("item_id") % 3).cast("string")).alias("motif"), F.substring(F.upper(F.regexp_replace("text", "[^acgtACGT]", "")), 1, 12).alias("consensus")).filter("length(consensus) = 12")
-    consensus = stored(consensus, "consensus")
+    """A run of consensus motifs in whole sequences with further concepts: regions that cover sequences, their signal, and synthetic GC content of the lengths of sequences; random control."""
+    seqs = P.stored_sequences(spark, sf_dir)
+    control, long = seqs.select("seq_id", "seq"), seqs.filter("length(seq) >= 64").withColumn("chrom", F.col("seq_id").cast("string"))
+    genome = P.genome(long, 256)
+    # Windows of 64 letters one after another, and the last one where the sequence ends.
+    last = F.length("seq") - 64
+    starts = F.array_distinct(F.concat(F.sequence(F.lit(12), last + 12, F.lit(64)), F.array(last + 12))).cast("array<long>")
+    regions = long.select(F.concat(F.lit("region_"), F.coalesce("lang", F.lit("und"))).alias("concept"), "chrom", F.explode(starts).alias("start")).withColumn("stop", F.col("start") + 40)
+    middle = F.floor(F.length("seq") / 2 - 20)
+    tracks = long.select(F.concat(F.lit("track_"), F.coalesce("lang", F.lit("und"))).alias("concept"), "chrom", middle.alias("start"), (middle + 40).alias("stop"))
+    signal = long.select("chrom", F.lit(0).cast("long").alias("start"), F.length("seq").cast("long").alias("stop"), (F.col("seq_id") % 7).cast("double").alias("value"))
+    consensus = stored(_consensus(spark, sf_dir), "consensus")
 
     def others(builder):
-        tracks = regions.withColumn("concept", F.replace("concept", F.lit("region"), F.lit("track")))
         return builder.add_regions(regions, genome, 64).add_tracks(tracks, signal, 64).add_synthetic_gc_like(0.5, control)
 
     return run_concepts(control, sequences.kmer_and_track_shares, network(68), consensus=consensus, others=others, insertions=(2, 6), components=COMPONENTS, per_concept=PER_CONCEPT)["scores"]
 
 
+def _consensus(spark, sf_dir):
+    """The letters of each whole text in stretches of 12, the last one where they end (or all of fewer), as variants of three motifs."""
+    letters = F.upper(F.regexp_replace("text", "[^acgtACGT]", ""))
+    whole = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("M"), (F.col("item_id") % 3).cast("string")).alias("motif"), letters.alias("letters")).filter("letters <> ''")
+    stretches = F.array_union(F.regexp_extract_all("letters", F.lit(".{12}"), F.lit(0)), F.array(F.right("letters", F.lit(12))))
+    return whole.select("motif", F.explode(stretches).alias("consensus")).distinct()
+
+
 def network(inputs: int = 64, hidden: tuple[int, ...] = (32, 16), seed: int = 11) -> list[A.Dense]:
     rng, sizes = np.random.default_rng(seed), (inputs, *hidden, 1)
     return [A.Dense(rng.normal(size=(a, b)) / np.sqrt(a), rng.normal(size=b) * 0.1) for a, b in pairwise(sizes)]

@@ -628,3 +628,34 @@ def test_run_stores_little(spark, monkeypatch):
     with_files = {what for what, rows in tables if spark._jvm.java.io.File(rows._stored_at.removeprefix("file:")).exists()}
     assert with_files == {"directions", "scores", "areas"}
     assert {n: t.count() for n, t in found.items() if n in ("scores", "areas", "directions")} == {"scores": 6, "areas": 2, "directions": 6}
+
+
+def test_all_concepts_use_whole_texts(spark, monkeypatch):
+    """Control and synthetic sequences are as long as the texts' letters; regions and consensus stretches leave no letter out."""
+    given = {}
+    monkeypatch.setattr(Q, "run_concepts", lambda control, *rest, **named: given.update(control=control, **named) or {"scores": None})
+    Q.k5_all_concepts(spark, SF)
+    seqs = {r.seq_id: r.seq for r in P.sequences(spark, SF).collect()}
+    assert {r.seq_id: r.seq for r in given["control"].collect()} == seqs and max(map(len, seqs.values())) > 1000
+    builder = given["others"](ConceptBuilder(given["control"]))
+    rows = builder.samples().withColumn("kind", F.split("concept", "_")[0])
+    for r in rows.filter("kind = 'synthetic'").groupBy("concept").agg(F.map_from_entries(F.collect_list(F.struct("seq_id", F.length("seq")))).alias("sizes")).collect():
+        assert r.sizes == {i: len(s) for i, s in seqs.items() if s}
+    got = Counter(r.seq for r in rows.filter("kind = 'region'").collect())
+    want = Counter(s[a : a + 64] for s in seqs.values() if len(s) >= 64 for a in {*range(0, len(s) - 63, 64), len(s) - 64})
+    assert got == want
+    stretches = defaultdict(set)
+    for r in given["consensus"].collect():
+        stretches[r.motif].add(r.consensus)
+    for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
+        letters = "".join(c for c in r.text.upper() if c in "ACGT") if r.text else ""
+        assert all(letters[a : a + 12] in stretches[f"M{r.item_id % 3}"] for a in {*range(0, len(letters) - 11, 12), max(0, len(letters) - 12)} if letters)
+
+
+def test_synthetic_gc_in_one_pass(spark, monkeypatch):
+    rows = spark.range(300).selectExpr("id AS seq_id", "id AS length").unionByName(spark.sql("SELECT CAST(NULL AS LONG) AS seq_id, 9L AS length"))
+    parts = {n: {(r.concept, r.seq_id): r.seq for r in S.with_synthetic_gc(rows.repartition(n), {"a": 0.0, "b": 0.3, "c": 1.0}, 4).collect()} for n in (1, 5)}
+    assert parts[1] == parts[5] and {k: len(v) for k, v in parts[1].items()} == {(c, i): i or 9 for c in "abc" for i in (None, *range(1, 300))}
+    for c, gc in (("a", 0), ("b", 0.3), ("c", 1)):
+        text = "".join(v for (k, _), v in parts[1].items() if k == c)
+        assert all(abs(text.count(x) / len(text) - (gc if x in "CG" else 1 - gc) / 2) < 0.01 for x in "ACGT")
