@@ -255,12 +255,13 @@ class Reader(DataSourceReader):
         system, inner = place(part.path)
         with system.open_input_file(inner) as source:
             track = Track(source, part.path)
-            held = []
+            held, rows = [], 0
             for section in track.intervals(track.blocks(part.nodes, self.bounds)):
-                if held and (held[0][0] != section[0] or sum(len(x[1]) for x in held) >= READ_ROWS):
+                if held and (held[0][0] != section[0] or rows >= READ_ROWS):
                     yield self._rows(track, held)
-                    held = []
+                    held, rows = [], 0
                 held.append(section)
+                rows += len(section[1])
             if held:
                 yield self._rows(track, held)
 
